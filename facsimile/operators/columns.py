@@ -16,7 +16,7 @@ from facsimile.functions.missing import present
 
 ROOT = ""
 KEYS = ["grp", "cid"]
-_EXACT = 1 << 53
+EXACT = 1 << 53
 
 
 def column_class(dtype: T.DataType) -> str:
@@ -49,33 +49,33 @@ def name_of(cid: Column, columns: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in columns]), cid + 1)
 
 
-def _long(df: DataFrame, cells: list[tuple[int, list[Column]]], fields: list[str], by: str | None) -> DataFrame:
-    levels = [F.lit(ROOT)] + ([group_of(by)] if by else [])
+def _long(df: DataFrame, cells: list[tuple[int, list[Column]]], group: Column | None) -> DataFrame:
+    levels = [F.lit(ROOT)] + ([] if group is None else [group])
     structs = [
         F.struct(level.alias("grp"), F.lit(cid).alias("cid"), *values)
         for cid, values in cells
         for level in levels
     ]
     long = df.select(F.inline(F.array(*structs)))
-    return long.where(F.col("grp").isNotNull() & F.col(fields[0]).isNotNull())
+    return long.where(F.col("grp").isNotNull() & F.col("value").isNotNull())
 
 
 def numeric_cells(df: DataFrame, columns: list[str], by: str | None = None,
-                  values: dict[str, Column] | None = None) -> DataFrame:
+                  group: Column | None = None) -> DataFrame:
     """One row (grp, cid, value, wide) per present numeric cell.
 
-    ``value`` is a double. ``wide`` keeps integers beyond 2**53 apart, which a
+    Groups are those of the column ``by``, or given as a ready key ``group``. ``value`` is a double. ``wide`` keeps integers beyond 2**53 apart, which a
     double would merge; it is null otherwise.
     """
     types = {f.name: f.dataType for f in df.schema}
     cells = []
     for cid, name in enumerate(columns):
-        col = values[name] if values else present(name, types[name])
+        col = present(name, types[name])
         wide = F.lit(None).cast("bigint")
         if isinstance(types.get(name), T.LongType):
-            wide = F.when((col >= _EXACT) | (col <= -_EXACT), col)
+            wide = F.when((col >= EXACT) | (col <= -EXACT), col)
         cells.append((cid, [col.cast("double").alias("value"), wide.alias("wide")]))
-    return _long(df, cells, ["value"], by)
+    return _long(df, cells, group_of(by) if by else group)
 
 
 def text_cells(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def text_cells(df: DataFrame, columns: list[str], by: str | None = None) -> Data
         else:
             text = F.when(col.isNotNull(), F.md5(F.to_json(F.struct(col.alias("v")))))
         cells.append((cid, [text.alias("value")]))
-    return _long(df, cells, ["value"], by)
+    return _long(df, cells, group_of(by) if by else None)
 
 
 def tally(cells: DataFrame) -> DataFrame:

@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.missing import present
-from facsimile.operators.columns import KEYS, ROOT, group_of, numeric_cells, tally
-from facsimile.operators.numeric import ordered_values
+from facsimile.operators.columns import EXACT, ROOT, group_of, numeric_cells, tally
+from facsimile.operators.numeric import NO_FACTS, column_facts, ordered_values
 from facsimile.operators.ordered import Ordered
 from facsimile.operators.sizing import SMALL_ROWS, skew_safe_lookup
 
 
-def _ranked(values: Ordered) -> DataFrame:
-    """Average rank of each value, centred and scaled to (-1/2, 1/2)."""
-    n = F.col("n_cnt")
-    rank = F.col("cum_cnt") - (F.col("cnt") - 1) / 2.0
-    return values.positioned("n_cnt").withColumn("score", (rank - (n + 1) / 2.0) / n)
+@dataclass
+class _Series:
+    """A column as ranked for some of its pairs: alone, or on the rows where another is present."""
 
+    alias: str
+    cell: str
+    source: Ordered
+    cid: int
 
-def _attach_scores(rows: DataFrame, values: Ordered, ranked: DataFrame, cid: int, alias: str,
-                   distinct: int) -> DataFrame:
-    """Put the score of column ``cid`` on every row, by value."""
-    table = ranked.where(F.col("cid") == cid).select(
-        "grp", "value", F.coalesce("wide", F.lit(0).cast("bigint")).alias("wide"), "cnt", "n_cnt", "score"
-    )
-    on = {"grp": "grp", f"{alias}__value": "value", f"{alias}__wide": "wide"}
-    if distinct <= SMALL_ROWS:
-        side = table.select(*[F.col(r).alias(f"_r{i}") for i, r in enumerate(on.values())], F.col("score").alias(alias))
-        match = [F.col(left) == F.col(f"_r{i}") for i, left in enumerate(on)]
-        joined = rows.join(F.broadcast(side), match, "left").drop("_r0", "_r1", "_r2")
-    else:
-        # A value with more than 1/1000 of its group's cells: at most 1000 per group.
-        hot = table.where(F.col("cnt") * 1000 > F.col("n_cnt"))
-        joined = skew_safe_lookup(rows, on, table, hot, "score", alias)
-    return joined.drop(f"{alias}__value", f"{alias}__wide")
+
+def _ranked(values: Ordered) -> DataFrame:
+    """Average rank of each value, centred and scaled to (-1/2, 1/2)."""
+    score = F.expr("(cum_cnt - (cnt - 1) / 2.0D - (n_cnt + 1) / 2.0D) / n_cnt")
+    return values.positioned("n_cnt").withColumn("score", score)
+
+
+def _with_score(rows: DataFrame, series: _Series, ranked: DataFrame, known: dict) -> DataFrame:
+    """Put the score of a series on every row, by value."""
+    a = series.alias
+    table = ranked.where(F.col("cid") == series.cid).selectExpr(
+        "grp", "value", "coalesce(wide, 0L) wide", "cnt", "n_cnt", "score")
+    on = {"grp": "grp", f"{a}_value": "value", f"{a}_wide": "wide"}
+    if not known["wide"]:
+        del on[f"{a}_wide"]
+    if known["distinct"] <= SMALL_ROWS:
+        side = table.select(*[F.col(r).alias(f"{a}_{r}_of") for r in on.values()], F.col("score").alias(a))
+        return rows.join(F.broadcast(side), [F.col(left) == F.col(f"{a}_{r}_of") for left, r in on.items()], "left")
+    # A value with more than 1/1000 of its group's cells: at most 1000 per group.
+    hot = table.where("cnt * 1000 > n_cnt")
+    return skew_safe_lookup(rows, on, table, hot, "score", a)
 
 
 def spearman(df: DataFrame, columns: list[str], by: str | None = None,
@@ -48,90 +56,72 @@ def spearman(df: DataFrame, columns: list[str], by: str | None = None,
     present rows. An undefined correlation is 0.
     """
     types = {f.name: f.dataType for f in df.schema}
-    clean = {c: present(c, types[c]) for c in columns}
-    tested = df.agg(*[F.count(F.when(clean[c].isNull(), 1)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    gappy = [c for i, c in enumerate(columns) if tested[i]]
-
-    # Ranked series: each column alone, and y on the rows where a gappy x is present.
-    alone = list(columns)
-    paired = [(y, x) for x in gappy for y in columns if y != x]
     if values is None:
-        values = ordered_values(tally(numeric_cells(df, alone, by)), ["cnt"], "spearman")
-    sources = [(values, alone, {c: (c,) for c in alone})]
+        values = ordered_values(tally(numeric_cells(df, columns, by)), ["cnt"], "spearman")
+    facts, total = column_facts(values), df.count()
+    gappy = [i for i in range(len(columns)) if facts.get(i, NO_FACTS)["n_root"] < total]
+
+    base = df.select(
+        (group_of(by) if by else F.lit(ROOT)).alias("of"),
+        *[present(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)],
+    )
+    series = {(i, None): _Series(f"s{i}", f"c{i}", values, i) for i in range(len(columns))}
+    known = {(i, None): facts.get(i, NO_FACTS) for i in range(len(columns))}
+    paired = [(y, x) for x in gappy for y in range(len(columns)) if y != x]
     if paired:
-        narrowed = df.select(
-            *([F.col(f"`{by}`").alias("_by")] if by else []),
-            *[F.when(clean[x].isNotNull(), clean[y]).alias(f"p{i}") for i, (y, x) in enumerate(paired)],
-        )
+        cells = [f"CASE WHEN c{x} IS NOT NULL THEN c{y} END" for y, x in paired]
+        narrowed = base.select("of", *[F.expr(c).alias(f"p{i}") for i, c in enumerate(cells)])
         names = [f"p{i}" for i in range(len(paired))]
-        cells = tally(numeric_cells(narrowed, names, "_by" if by else None))
-        sources.append((ordered_values(cells, ["cnt"], "spearman-pairs"), names, None))
-
-    levels = [ROOT] + ([None] if by else [])
-    results = None
-    for level in levels:
-        grp = F.lit(ROOT) if level == ROOT else group_of(by)
-        rows = df.select(grp.alias("grp"), *[clean[c].alias(f"c{i}") for i, c in enumerate(columns)])
-        if level is None:
-            rows = rows.where(F.col("grp").isNotNull())
-        position = {c: i for i, c in enumerate(columns)}
-        scores: dict[tuple[str, ...], tuple[str, Ordered, int]] = {}
-        for source, names, _ in sources:
-            ranked = _ranked(source)
-            sized = {
-                r["cid"]: r["d"]
-                for r in source.parts.groupBy(*KEYS).agg(F.first("distinct_cnt").alias("d"))
-                .groupBy("cid").agg(F.sum("d").alias("d")).collect()
-            }
-            for cid in range(len(names)):
-                y, x = (columns[cid], None) if source is values else paired[cid]
-                alias = f"s{position[y]}" if x is None else f"s{position[y]}_{position[x]}"
-                cell = F.col(f"c{position[y]}")
-                if x is not None:
-                    cell = F.when(F.col(f"c{position[x]}").isNotNull(), cell)
-                wide = F.lit(0).cast("bigint")
-                if str(types[y].simpleString()) == "bigint":
-                    wide = F.when((cell >= 1 << 53) | (cell <= -(1 << 53)), cell).otherwise(wide)
-                rows = rows.withColumns({f"{alias}__value": cell.cast("double"), f"{alias}__wide": wide})
-                rows = _attach_scores(rows, source, ranked, cid, alias, sized.get(cid, 0))
-                scores[(y,) if x is None else (y, x)] = (alias, source, cid)
-
-        def score(y: str, x: str) -> str:
-            return scores[(y, x) if x in gappy and x != y else (y,)][0]
-
-        products = []
-        for i, j in combinations(range(len(columns)), 2):
-            a, b = score(columns[i], columns[j]), score(columns[j], columns[i])
-            products += [
-                F.sum(F.col(a) * F.col(b)).alias(f"ab_{i}_{j}"),
-                F.sum(F.when(F.col(b).isNotNull(), F.col(a) * F.col(a))).alias(f"aa_{i}_{j}"),
-                F.sum(F.when(F.col(a).isNotNull(), F.col(b) * F.col(b))).alias(f"bb_{i}_{j}"),
-            ]
-        squares = [F.sum(F.col(f"s{i}") * F.col(f"s{i}")).alias(f"own_{i}") for i in range(len(columns))]
-        sums = rows.groupBy("grp").agg(*products, *squares)
-        part = _long_matrix(sums, columns)
-        results = part if results is None else results.unionByName(part)
-    return results
-
-
-def _long_matrix(sums: DataFrame, columns: list[str]) -> DataFrame:
-    """Turn the sums of squares and products into a full matrix in long form."""
-    cells = []
-    for i, c in enumerate(columns):
-        own = F.when(F.col(f"own_{i}") > 1e-300, F.lit(1.0)).otherwise(F.lit(0.0))
-        cells.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), own.alias("rho")))
+        counts = tally(numeric_cells(narrowed, names, group=F.col("of") if by else None))
+        again = ordered_values(counts, ["cnt"], "spearman-pairs")
+        for i, key in enumerate(paired):
+            series[key] = _Series(f"s{key[0]}_{key[1]}", cells[i], again, i)
+        more = column_facts(again)
+        known.update({key: more.get(i, NO_FACTS) for i, key in enumerate(paired)})
+    ranked = {id(v): _ranked(v) for v in {id(s.source): s.source for s in series.values()}.values()}
+
+    def level(grp: str) -> DataFrame:
+        keys = []
+        for key, s in series.items():
+            keys.append(f"CAST({s.cell} AS DOUBLE) {s.alias}_value")
+            if known[key]["wide"]:
+                keys.append(f"CASE WHEN abs(CAST({s.cell} AS DOUBLE)) >= {EXACT} THEN {s.cell} ELSE 0L END {s.alias}_wide")
+        rows = base.selectExpr(f"{grp} AS grp", *keys).where("grp IS NOT NULL")
+        for key, s in series.items():
+            rows = _with_score(rows, s, ranked[id(s.source)], known[key])
+        own = [F.expr(f"sum({s.alias} * {s.alias}) AS own_{s.alias}") for s in series.values()]
+        pairs = [
+            F.expr(f"sum({a.alias} * {b.alias}) AS ab_{a.alias}_{b.alias}")
+            for a, b in (sides(i, j) for i, j in combinations(range(len(columns)), 2))
+        ]
+        return rows.groupBy("grp").agg(*own, *pairs)
+
+    def sides(i: int, j: int) -> tuple[_Series, _Series]:
+        return series[i, j if j in gappy else None], series[j, i if i in gappy else None]
+
+    sums = level("''")
+    if by:
+        sums = sums.unionByName(level("of"))
+    cells = [(c, c, f"CASE WHEN own_s{i} > 1e-300D THEN 1.0D ELSE 0.0D END") for i, c in enumerate(columns)]
     for i, j in combinations(range(len(columns)), 2):
-        rho = _ratio(F.col(f"ab_{i}_{j}"), F.col(f"aa_{i}_{j}"), F.col(f"bb_{i}_{j}"))
-        for a, b in ((i, j), (j, i)):
-            cells.append(F.struct(F.lit(columns[a]).alias("col_a"), F.lit(columns[b]).alias("col_b"), rho.alias("rho")))
-    return sums.select("grp", F.inline(F.array(*cells)))
+        a, b = sides(i, j)
+        rho = _ratio(f"ab_{a.alias}_{b.alias}", f"own_{a.alias}", f"own_{b.alias}")
+        cells += [(columns[i], columns[j], rho), (columns[j], columns[i], rho)]
+    return _matrix(sums, cells)
+
+
+def _matrix(sums: DataFrame, cells: list[tuple[str, str, str]]) -> DataFrame:
+    """One row per matrix cell from one row of sums."""
+    quoted = lambda c: "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    structs = ", ".join(f"struct({quoted(a)} AS col_a, {quoted(b)} AS col_b, {rho} AS rho)" for a, b, rho in cells)
+    return sums.selectExpr("grp", f"inline(array({structs}))")
 
 
-def _ratio(ab: Column, aa: Column, bb: Column) -> Column:
+def _ratio(ab: str, aa: str, bb: str) -> str:
     """Correlation from centred sums; 0 where it is undefined."""
-    spread = F.sqrt(aa) * F.sqrt(bb)
-    value = F.try_divide(ab, F.when(spread > 0, spread))
-    return F.greatest(F.least(F.coalesce(value, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+    spread = f"(sqrt({aa}) * sqrt({bb}))"
+    value = f"try_divide({ab}, CASE WHEN {spread} > 0 THEN {spread} END)"
+    return f"greatest(least(coalesce({value}, 0.0D), 1.0D), -1.0D)"
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -143,42 +133,33 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     itself too.
     """
     types = {f.name: f.dataType for f in df.schema}
-    clean = [present(c, types[c]).cast("double") for c in columns]
-    first = df.agg(
-        *[F.avg(c).alias(f"mean{i}") for i, c in enumerate(clean)],
-        *[F.count(F.when(c.isNull(), 1)).alias(f"gap{i}") for i, c in enumerate(clean)],
-        *[F.min(c).alias(f"min{i}") for i, c in enumerate(clean)],
-        *[F.max(c).alias(f"max{i}") for i, c in enumerate(clean)],
-    ).first()
     k = len(columns)
-    flat = [first[f"min{i}"] == first[f"max{i}"] for i in range(k)]
-    away = df.select([
-        (F.lit(0.0) * c if flat[i] else c - F.lit(first[f"mean{i}"] or 0.0)).alias(f"d{i}") for i, c in enumerate(clean)
+    clean = df.select([present(c, types[c]).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    first = clean.agg(*[
+        F.expr(f"{f}(c{i}) AS {f}{i}") for i in range(k) for f in ("avg", "count", "min", "max")
+    ], F.count(F.lit(1)).alias("rows")).first()
+    gappy = [first[f"count{i}"] < first["rows"] for i in range(k)]
+    centre = [first[f"min{i}"] if first[f"min{i}"] == first[f"max{i}"] else first[f"avg{i}"] for i in range(k)]
+    away = clean.select([
+        (F.col(f"c{i}") - F.lit(centre[i]).cast("double")).alias(f"d{i}") for i in range(k)
     ])
-    sums = [F.sum(F.col(f"d{i}") * F.col(f"d{i}")).alias(f"own_{i}") for i in range(k)]
+    sums = [f"sum(d{i} * d{i}) AS own_{i}" for i in range(k)]
+    cells = [(c, c, f"CASE WHEN own_{i} > 0 THEN 1.0D ELSE 0.0D END") for i, c in enumerate(columns)]
     for i, j in combinations(range(k), 2):
-        a, b = F.col(f"d{i}"), F.col(f"d{j}")
-        product = F.sum(a * b)
-        if first[f"gap{i}"] or first[f"gap{j}"]:
-            a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-            n = F.count(a)
-            shared = lambda s, t, st: st - F.try_divide(s * t, n.cast("double"))
-            sa, sb = F.sum(a), F.sum(b)
-            aa, bb = F.sum(a * a), F.sum(b * b)
-            sums += [
-                shared(sa, sb, product).alias(f"ab_{i}_{j}"),
-                _positive(shared(sa, sa, aa), aa, a).alias(f"aa_{i}_{j}"),
-                _positive(shared(sb, sb, bb), bb, b).alias(f"bb_{i}_{j}"),
-            ]
+        sums.append(f"sum(d{i} * d{j}) AS ab_{i}_{j}")
+        if not (gappy[i] or gappy[j]):
+            rho = _ratio(f"ab_{i}_{j}", f"own_{i}", f"own_{j}")
         else:
-            sums += [product.alias(f"ab_{i}_{j}")]
-    row = away.agg(*sums)
-    for i, j in combinations(range(k), 2):
-        if not (first[f"gap{i}"] or first[f"gap{j}"]):
-            row = row.withColumns({f"aa_{i}_{j}": F.col(f"own_{i}"), f"bb_{i}_{j}": F.col(f"own_{j}")})
-    return _long_matrix(row.withColumn("grp", F.lit(ROOT)), columns)
-
-
-def _positive(spread: Column, squares: Column, values: Column) -> Column:
-    """The spread, or 0 where all values are the same."""
-    return F.when(F.min(values) < F.max(values), F.greatest(spread, F.lit(0.0))).otherwise(F.lit(0.0))
+            for tag, here, there in (("a", i, j), ("b", j, i)):
+                x = f"CASE WHEN d{there} IS NOT NULL THEN d{here} END"
+                sums += [f"{f}({x}) AS {tag}{f}_{i}_{j}" for f in ("sum", "min", "max")]
+                sums.append(f"sum(({x}) * d{here}) AS {tag}{tag}_{i}_{j}")
+            sums.append(f"count(d{i} + d{j}) AS n_{i}_{j}")
+            e = f"{i}_{j}"
+            spread = lambda t: (
+                f"CASE WHEN {t}min_{e} < {t}max_{e} THEN "
+                f"greatest({t}{t}_{e} - try_divide({t}sum_{e} * {t}sum_{e}, n_{e}), 0.0D) ELSE 0.0D END")
+            rho = _ratio(f"(ab_{e} - try_divide(asum_{e} * bsum_{e}, n_{e}))", f"({spread('a')})", f"({spread('b')})")
+        cells += [(columns[i], columns[j], rho), (columns[j], columns[i], rho)]
+    row = away.agg(*[F.expr(s) for s in sums]).withColumn("grp", F.lit(ROOT))
+    return _matrix(row, cells)

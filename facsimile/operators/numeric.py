@@ -14,7 +14,7 @@ from facsimile.functions.estimators import (
     adjusted_skewness, auto_bin_count, bin_index, decimals_of, interpolated, sample_std,
 )
 from facsimile.functions.hashed import laplace, uniform
-from facsimile.operators.columns import KEYS
+from facsimile.operators.columns import KEYS, ROOT
 from facsimile.operators.ordered import Ordered, ordered
 from facsimile.operators.sizing import broadcast_if_small
 
@@ -39,6 +39,8 @@ def ordered_values(counts: DataFrame, weights: list[str], name: str = "values")
         per_key[f"distinct_{w}"] = F.sum(f"part_distinct_{w}")
         per_key[f"min_{w}"] = F.min(f"part_min_{w}")
         per_key[f"max_{w}"] = F.max(f"part_max_{w}")
+    if "wide" in counts.columns:
+        measures["part_wide"] = F.max(F.col("wide").isNotNull())
     measures["part_decimals"] = F.max(decimals_of(value))
     per_key["decimals"] = F.max("part_decimals")
     order = ["value", "wide"] if "wide" in counts.columns else ["value"]
@@ -56,6 +58,20 @@ def key_level(values: Ordered) -> DataFrame:
     )
 
 
+NO_FACTS = {"n_root": 0, "distinct": 0, "wide": False}
+
+
+def column_facts(values: Ordered) -> dict[int, dict]:
+    """What plans need to know per column: values in the table, distinct values over
+    all groups, and whether any integer is too wide for a double."""
+    w = values.weights[0]
+    rows = values.parts.groupBy("cid").agg(
+        F.sum(F.when(F.col("grp") == ROOT, F.col(f"sum_{w}"))).alias("n_root"),
+        F.sum(f"part_distinct_{w}").alias("distinct"), F.max("part_wide").alias("wide"),
+    )
+    return {r["cid"]: r.asDict() for r in rows.collect()}
+
+
 def _mean(w: str) -> Column:
     return F.try_divide(F.col(f"moment_{w}"), F.col(f"n_{w}").cast("double"))
 

@@ -70,12 +70,9 @@ class Profiler:
         raw = numeric.numeric_summary(self.values)
         raw = numeric.with_capped_range(raw, self.cap).join(broadcast_if_small(self.sizes, self.groups), "grp")
         # Integer columns with gaps count as floating: their bins may be narrower than 1.
-        root = {
-            r["cid"]: r["gaps"] for r in self.values.parts.where(F.col("grp") == ROOT)
-            .groupBy("cid").agg(F.first("n_cnt").alias("n"))
-            .join(self.sizes.where(F.col("grp") == ROOT)).select("cid", (F.col("num_rows") - F.col("n")).alias("gaps")).collect()
-        }
-        whole = [columns.is_integral(self.types[c]) and root.get(i, 0) == 0 for i, c in enumerate(self.numeric_names)]
+        facts = numeric.column_facts(self.values)
+        total = self.sizes.where(F.col("grp") == ROOT).first()["num_rows"]
+        whole = [columns.is_integral(self.types[c]) and facts.get(i, numeric.NO_FACTS)["n_root"] == total for i, c in enumerate(self.numeric_names)]
         fixed = self._table(self.numeric_names, {"name": self.numeric_names, "integral": whole})
         stats = raw.withColumns({"column_name": fixed["name"], "integral": fixed["integral"]})
         stats = stats.withColumns({
