@@ -47,17 +47,6 @@ def ordered_values(counts: DataFrame, weights: list[str], name: str = "values")
     return ordered(counts, KEYS, order, weights, name, measures, per_key)
 
 
-def key_level(values: Ordered) -> DataFrame:
-    """First-pass measures, one row per (grp, cid)."""
-    wanted = ["decimals"]
-    for w in values.weights:
-        wanted += [f"{m}_{w}" for m in ("n", "moment", "distinct", "min", "max")]
-    rows = values.parts.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in wanted])
-    return rows.withColumns({f"mean_{w}": _mean(w) for w in values.weights}).drop(
-        *[f"moment_{w}" for w in values.weights]
-    )
-
-
 NO_FACTS = {"n_root": 0, "distinct": 0, "wide": False}
 
 
@@ -91,21 +80,25 @@ def second_pass(values: Ordered, w: str) -> list[Column]:
     return aggregates
 
 
-def numeric_summary(values: Ordered) -> DataFrame:
-    """Moments, quartiles and range per (grp, cid); column names end in the weight."""
-    carry = [f"{m}_{w}" for w in values.weights for m in ("n", "moment")]
-    second = values.positioned(*carry).groupBy(*KEYS).agg(
-        *[a for w in values.weights for a in second_pass(values, w)]
+def numeric_summary(values: Ordered, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Moments, quartiles and range per (grp, cid); column names end in the weight.
+
+    ``extra`` adds further aggregates over the positioned rows to the same pass.
+    """
+    known = ["decimals"] + [f"{m}_{w}" for w in values.weights for m in ("n", "moment", "distinct", "min", "max")]
+    rows = values.positioned(*known).groupBy(*KEYS).agg(
+        *[F.first(c).alias(c) for c in known],
+        *[a for w in values.weights for a in second_pass(values, w)],
+        *[a.alias(name) for name, a in (extra or {}).items()],
     )
-    both = key_level(values).join(second, KEYS)
     derived = {}
     for w in values.weights:
         n = F.col(f"n_{w}")
+        derived[f"mean_{w}"] = _mean(w)
         derived[f"std_{w}"] = sample_std(n, F.col(f"m2_{w}"))
         derived[f"skewness_{w}"] = adjusted_skewness(n, F.col(f"m2_{w}"), F.col(f"m3_{w}"))
         derived[f"iqr_{w}"] = F.col(f"q3_{w}") - F.col(f"q1_{w}")
-    drop = [f"{m}_{w}" for w in values.weights for m in ("m2", "m3")]
-    return both.withColumns(derived).drop(*drop)
+    return rows.withColumns(derived).drop(*[f"{m}_{w}" for w in values.weights for m in ("m2", "m3", "moment")])
 
 
 def with_capped_range(stats: DataFrame, cap: bool) -> DataFrame:
