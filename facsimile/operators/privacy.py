@@ -60,10 +60,10 @@ def scan_privacy(df: DataFrame) -> DataFrame:
     # The wording of the reasons.
     reason = (
         F.when(F.col("named"), F.format_string(
-            "Column name matches identifier heuristic. Uniqueness ratio: %.2f", ratio))
+            "Column name matches identifier heuristic. Uniqueness ratio: %.2f", F.bround(ratio, 2)))
         .when(numeric, F.lit("Numeric column not matching identifier heuristic."))
         .when(crowded, F.format_string(
-            "High cardinality categorical column (%.0f%% unique values). Potential identifier.", ratio * 100))
+            "High cardinality categorical column (%.0f%% unique values). Potential identifier.", F.bround(ratio * 100, 0)))
         .otherwise(F.lit("Did not flag identifier heuristics."))
     )
     return rows.select("position", "column_name", level.alias("warning_level"), reason.alias("reason"))

@@ -28,8 +28,10 @@ _BELOW_ONE = 1.0 - 2.0**-52
 class Generator:
     """Draws ``num_rows`` rows from a profile; the same seed and profile give the same rows."""
 
-    def __init__(self, profile: Profile, num_rows: int, seed: int = 42, rank_exact: bool = False):
+    def __init__(self, profile: Profile, num_rows: int, seed: int = 42, rank_exact: bool = False,
+                 partitions: int | None = None):
         self.profile, self.n, self.seed, self.rank_exact = profile, num_rows, seed, rank_exact
+        self.partitions = partitions
         self.spark = profile.spark
         self.source = T.StructType.fromDDL(profile.table_schema)
         meta = profile.meta.where(F.col("grp") == ROOT).first()
@@ -67,7 +69,7 @@ class Generator:
         Two permutations of the row number: ``pos`` orders the table's key, the
         other deals rows to groups, so a group's keys lie all over the table.
         """
-        ids = self.spark.range(self.n)
+        ids = self.spark.range(0, self.n, 1, self.partitions)
         size = F.lit(self.n).cast("bigint")
         pos = permuted(F.col("id"), size, self.n, "row", self.seed)
         if not self.by:
@@ -286,14 +288,15 @@ class Generator:
 
 
 def generate_table(profile: Profile, num_rows: int, seed: int = 42, shuffle: bool = False,
-                   rank_exact: bool = False) -> DataFrame:
+                   rank_exact: bool = False, partitions: int | None = None) -> DataFrame:
     """A synthetic table of ``num_rows`` rows with the columns of the profiled one.
 
     Rows are independent and groups come mixed, so their order carries nothing;
     ``shuffle`` sorts them by a keyed hash all the same. ``rank_exact`` corrects
-    the copula so that rank correlations, not scores, meet the target.
+    the copula so that rank correlations, not scores, meet the target. ``partitions``
+    sets how many tasks draw the rows and changes nothing else.
     """
-    table = Generator(profile, num_rows, seed, rank_exact).table()
+    table = Generator(profile, num_rows, seed, rank_exact, partitions).table()
     if shuffle:
         return table.orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in table.columns], F.lit(seed)))
     return table
