@@ -25,7 +25,7 @@ STATS = f"""{GAPS}, {NUMBERS}, s AS (
     min(value) AS lo, max(value) AS hi, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std,
     skewness(value) AS skew, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2,
     quantile_cont(value, 0.75) AS q3,
-    max(CASE WHEN value % 1 = 0 THEN 0 WHEN round(value, 1) = value THEN 1 WHEN round(value, 2) = value THEN 2
+    max(CASE WHEN value IS NULL THEN NULL WHEN value % 1 = 0 THEN 0 WHEN round(value, 1) = value THEN 1 WHEN round(value, 2) = value THEN 2
         WHEN round(value, 3) = value THEN 3 ELSE 4 END) AS places
   FROM u GROUP BY column_name)"""
 INTEGERS = "('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber')"
@@ -219,7 +219,7 @@ WITH {STATS}, {sql_input("part_shapes", "ps")}, pu AS (
   SELECT 'half_skewed' AS column_name, half_skewed AS value FROM ps UNION ALL SELECT 'squared_size', squared_size FROM ps
   UNION ALL SELECT 'p_retailprice', p_retailprice FROM ps)
 SELECT column_name, places AS decimals FROM s
-UNION ALL SELECT column_name, max(CASE WHEN value % 1 = 0 THEN 0 WHEN round(value, 1) = value THEN 1
+UNION ALL SELECT column_name, max(CASE WHEN value IS NULL THEN NULL WHEN value % 1 = 0 THEN 0 WHEN round(value, 1) = value THEN 1
   WHEN round(value, 2) = value THEN 2 WHEN round(value, 3) = value THEN 3 ELSE 4 END) FROM pu GROUP BY column_name""")
 def p11(spark, sf_dir):
     shapes = profiler(spark, sf_dir, "part_shapes").stats.where(
@@ -272,7 +272,7 @@ def p14(spark, sf_dir):
 
 
 @query("p15_category_frequencies", f"""
-WITH {sql_input("orders_flags", "g")}, {GAPS.replace("g AS", "l AS")}, u AS (
+WITH {sql_input("orders_flags", "g")}, {sql_input("lineitem_gaps", "l")}, u AS (
   SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM g
   UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM g UNION ALL SELECT 'is_large', CAST(is_large AS VARCHAR) FROM g
   UNION ALL SELECT 'l_returnflag', l_returnflag FROM l UNION ALL SELECT 'l_linestatus', l_linestatus FROM l)
@@ -379,7 +379,7 @@ def p20(spark, sf_dir):
 WITH {sql_input("orders_flags", "g")}, u AS (
   SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM g
   UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM g UNION ALL SELECT 'is_large', CAST(is_large AS VARCHAR) FROM g)
-SELECT column_name, count(DISTINCT value) AS categories, 1.0 AS total, true AS each_valid, true AS each_close, true AS some_moved
+SELECT column_name, count(DISTINCT value) AS categories, CAST(1 AS DOUBLE) AS total, true AS each_valid, true AS each_close, true AS some_moved
 FROM u GROUP BY column_name""")
 def p21(spark, sf_dir):
     exact = profiler(spark, sf_dir, "orders_flags").frequencies.select("cid", "value", F.col("frequency").alias("true"))

@@ -76,3 +76,19 @@ def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     lower = F.lit(1.0) - lower * math.sqrt(2.0 * math.pi) / safe
     p = F.when(x <= 0.04, F.lit(1.0)).when(x < 1.18, lower).otherwise(upper)
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+
+
+def two_decimals(value: Column) -> Column:
+    """Round to two decimals by the exact binary value, ties to even, as printf does.
+
+    0.015 is a little below its decimal reading and goes to 0.01. The value is
+    split in two halves whose hundredfold is exact, so nothing is lost on the way.
+    """
+    spread = value * 134217729.0
+    high = spread - (spread - value)
+    low = (value - high) * 100.0
+    high = high * 100.0
+    whole = F.floor(high + low).cast("double")
+    rest = (high - whole - 0.5) + low
+    up = (rest > 0) | ((rest == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    return F.when(up, whole + 1).otherwise(whole) / 100.0

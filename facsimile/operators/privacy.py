@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.functions.estimators import two_decimals
 from facsimile.functions.missing import present
-from facsimile.operators.columns import ROOT, column_class, name_of, numeric_cells, tally, text_cells
+from facsimile.operators.columns import column_class, name_of, numeric_cells, tally, text_cells
 
 # Names, or parts of a name between underscores, that identify a person.
 IDENTIFIER_NAMES = [
@@ -60,10 +61,10 @@ def scan_privacy(df: DataFrame) -> DataFrame:
     # The wording of the reasons.
     reason = (
         F.when(F.col("named"), F.format_string(
-            "Column name matches identifier heuristic. Uniqueness ratio: %.2f", F.bround(ratio, 2)))
+            "Column name matches identifier heuristic. Uniqueness ratio: %.2f", two_decimals(ratio)))
         .when(numeric, F.lit("Numeric column not matching identifier heuristic."))
         .when(crowded, F.format_string(
-            "High cardinality categorical column (%.0f%% unique values). Potential identifier.", F.bround(ratio * 100, 0)))
+            "High cardinality categorical column (%.0f%% unique values). Potential identifier.", F.rint(ratio * 100)))
         .otherwise(F.lit("Did not flag identifier heuristics."))
     )
     return rows.select("position", "column_name", level.alias("warning_level"), reason.alias("reason"))
