@@ -27,8 +27,8 @@ def _share_gaps(drawn, expected, keys):
 
 
 @query("s4_write_table", """
-SELECT 'csv' AS format, count(*) AS num_rows, count(DISTINCT c_custkey) AS keys, CAST(7 AS INTEGER) AS columns FROM customer
-UNION ALL SELECT 'parquet', count(*), count(DISTINCT c_custkey), 7 FROM customer""".replace("7", "9"))
+SELECT 'csv' AS format, count(*) AS num_rows, count(DISTINCT c_custkey) AS keys, CAST(9 AS INTEGER) AS columns FROM customer
+UNION ALL SELECT 'parquet', count(*), count(DISTINCT c_custkey), 9 FROM customer""")
 def s4(spark, sf_dir):
     from uuid import uuid4
 

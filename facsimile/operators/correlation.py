@@ -47,27 +47,43 @@ def _with_score(rows: DataFrame, series: _Series, ranked: DataFrame, known: dict
     return skew_safe_lookup(rows, on, table, hot, "score", a)
 
 
+def _gap_patterns(base: DataFrame, gappy: list[int], k: int) -> dict[tuple[int, int], int]:
+    """(y, x) -> a column with the gaps of x, where y has values that the gaps of x cut out.
+
+    Columns with the same gaps share one representative, so a table whose gaps
+    follow few patterns needs few extra rankings.
+    """
+    if not gappy:
+        return {}
+    lost = base.agg(*[
+        F.expr(f"count_if(c{x} IS NULL AND c{y} IS NOT NULL) AS l{x}_{y}") for x in gappy for y in range(k) if y != x
+    ]).first()
+    same = lambda a, b: a == b or (lost[f"l{a}_{b}"] == 0 and lost[f"l{b}_{a}"] == 0)
+    first = {x: next(r for r in gappy if same(r, x)) for x in gappy}
+    return {(y, x): first[x] for x in gappy for y in range(k) if y != x and lost[f"l{x}_{y}"] > 0}
+
+
 def spearman(df: DataFrame, columns: list[str], by: str | None = None,
              values: Ordered | None = None) -> DataFrame:
     """Rank correlation of every pair: (grp, col_a, col_b, rho), both triangles and the diagonal.
 
     Rows missing either value are left out of a pair and the rest ranked anew:
-    for a column with missing values, the others are ranked once more on its
-    present rows. An undefined correlation is 0.
+    for each pattern of gaps, the columns that lose values to it are ranked
+    once more on its present rows. An undefined correlation is 0.
     """
     types = {f.name: f.dataType for f in df.schema}
     if values is None:
         values = ordered_values(tally(numeric_cells(df, columns, by)), ["cnt"], "spearman")
     facts, total = column_facts(values), df.count()
-    gappy = [i for i in range(len(columns)) if facts.get(i, NO_FACTS)["n_root"] < total]
-
     base = df.select(
         (group_of(by) if by else F.lit(ROOT)).alias("of"),
         *[present(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)],
     )
+    gappy = [i for i in range(len(columns)) if facts.get(i, NO_FACTS)["n_root"] < total]
+    narrows = _gap_patterns(base, gappy, len(columns))
     series = {(i, None): _Series(f"s{i}", f"c{i}", values, i) for i in range(len(columns))}
     known = {(i, None): facts.get(i, NO_FACTS) for i in range(len(columns))}
-    paired = [(y, x) for x in gappy for y in range(len(columns)) if y != x]
+    paired = sorted({(y, x) for (y, _), x in narrows.items()})
     if paired:
         cells = [f"CASE WHEN c{x} IS NOT NULL THEN c{y} END" for y, x in paired]
         narrowed = base.select("of", *[F.expr(c).alias(f"p{i}") for i, c in enumerate(cells)])
@@ -97,7 +113,7 @@ def spearman(df: DataFrame, columns: list[str], by: str | None = None,
         return rows.groupBy("grp").agg(*own, *pairs)
 
     def sides(i: int, j: int) -> tuple[_Series, _Series]:
-        return series[i, j if j in gappy else None], series[j, i if i in gappy else None]
+        return series[i, narrows.get((i, j))], series[j, narrows.get((j, i))]
 
     sums = level("''")
     if by:

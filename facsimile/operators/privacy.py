@@ -45,12 +45,15 @@ def uniqueness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def scan_privacy(df: DataFrame) -> DataFrame:
-    """One verdict per column: (position, column_name, warning_level, reason); none for an empty table."""
+def scan_privacy(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """One verdict per column: (position, column_name, warning_level, reason); none for an empty table.
+
+    ``counted`` has the columns of :func:`uniqueness`, for a caller who counted already.
+    """
     kinds = F.create_map(*[
         F.lit(v) for f in df.schema for v in (f.name, column_class(f.dataType))
     ])
-    rows = uniqueness(df).withColumns({
+    rows = (uniqueness(df) if counted is None else counted).withColumns({
         "kind": F.element_at(kinds, F.col("column_name")),
         "named": matches_identifier(F.col("column_name")),
     })

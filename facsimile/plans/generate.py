@@ -54,6 +54,7 @@ class Generator:
             F.collect_set(F.when(F.col("inferred_type") == "numeric", F.col("decimals"))).alias("decimals"),
             F.max(F.when(root, F.col("missing_percentage"))).alias("missing"),
             F.max("missing_percentage").alias("most_missing"),
+            F.max("semantic_type").alias("semantic"),
             F.max("num_unique").alias("most_unique"), F.sum("num_unique").alias("all_unique"),
         )
         return rows.orderBy("position").collect()
@@ -241,9 +242,8 @@ class Generator:
             if "categories" in kinds:
                 value = F.col(f"v_{i}")
             strategy = constants[f"strategy_{i}"]
-            semantic = self._semantic(name)
-            if semantic:
-                value = F.when(strategy == "semantic", fake(semantic, name, self.seed, *at)).otherwise(value)
+            if fact["semantic"]:
+                value = F.when(strategy == "semantic", fake(fact["semantic"], name, self.seed, *at)).otherwise(value)
             if "key" in kinds:
                 value = F.when(strategy == "key", F.concat(F.lit("ID-"), (F.col("idx") + 1).cast("string"))).otherwise(value)
             value = value.cast("boolean") if kind == "boolean" else value
@@ -282,10 +282,6 @@ class Generator:
             value = value.cast("bigint")
         return value
 
-    def _semantic(self, name: str) -> str | None:
-        row = self.plan.where((F.col("column_name") == name) & F.col("semantic_type").isNotNull()).select("semantic_type").first()
-        return row[0] if row else None
-
 
 def generate_table(profile: Profile, num_rows: int, seed: int = 42, shuffle: bool = False,
                    rank_exact: bool = False, partitions: int | None = None) -> DataFrame:

@@ -7,13 +7,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from facsimile.operators import categories, columns, correlation, numeric
 from facsimile.operators.columns import KEYS, ROOT
 from facsimile.operators.ordered import Ordered
 from facsimile.operators.privacy import scan_privacy
 from facsimile.operators.sizing import broadcast_if_small
+from facsimile.plans.together import together
 from facsimile.sources.staging import stage
 
 
@@ -155,32 +155,60 @@ class Profiler:
         )
         return table.persist()
 
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """Privacy verdicts from the distinct counts at hand."""
+        total = self.sizes.where(F.col("grp") == ROOT).first()["num_rows"]
+        root = self.columns.where((F.col("grp") == ROOT) & F.lit(total > 0))
+        ratio = F.col("num_unique") / F.lit(max(total, 1))
+        return scan_privacy(self.df, root.select("position", "column_name", "num_unique", ratio.alias("uniqueness_ratio")))
+
     def run(self) -> "Profile":
-        """Compute and stage every part of the profile."""
+        """Compute and stage every part of the profile, independent ones side by side."""
         spark = self.df.sparkSession
         empty = lambda ddl: spark.createDataFrame([], ddl)
         name = lambda frame, names: frame.withColumn("column_name", columns.name_of(F.col("cid"), names)).drop("cid")
         has_numbers, has_labels = bool(self.numeric_names), bool(self.label_names)
-        meta = self.sizes.select(
-            "grp", "num_rows", F.lit(len(self.names)).alias("num_columns"),
-            F.lit(self.by).cast("string").alias("conditional_by_column"),
-            F.lit(self.epsilon).cast("double").alias("dp_epsilon"),
+        together(
+            spark,
+            sizes=lambda: self.groups,
+            values=lambda: self.values if has_numbers else None,
+            labels=lambda: self.label_totals.count() if has_labels else None,
         )
-        parts = {
-            "meta": meta,
-            "columns": self.columns,
-            "histogram": name(self.histogram, self.numeric_names) if has_numbers else empty(
-                "grp string, bin bigint, left_edge double, right_edge double, count bigint, column_name string"),
-            "sample": name(self.sample, self.numeric_names) if has_numbers else empty(
-                "grp string, idx bigint, value double, column_name string"),
-            "frequencies": name(self.frequencies, self.label_names) if has_labels else empty(
-                "grp string, value string, weight bigint, frequency double, column_name string"),
-            "correlations": self.correlations if self.correlations is not None else empty(
-                "grp string, col_a string, col_b string, rho double"),
-            "warnings": scan_privacy(self.df),
-        }
+
+        def described() -> dict:
+            if has_numbers:
+                self.stats.count()
+            self.columns.count()
+            meta = self.sizes.select(
+                "grp", "num_rows", F.lit(len(self.names)).alias("num_columns"),
+                F.lit(self.by).cast("string").alias("conditional_by_column"),
+                F.lit(self.epsilon).cast("double").alias("dp_epsilon"),
+            )
+            return together(
+                spark,
+                meta=lambda: stage(meta, "meta"),
+                columns=lambda: stage(self.columns, "columns"),
+                warnings=lambda: stage(self.warnings, "warnings"),
+                histogram=lambda: stage(name(self.histogram, self.numeric_names), "histogram") if has_numbers else empty(
+                    "grp string, bin bigint, left_edge double, right_edge double, count bigint, column_name string"),
+                sample=lambda: stage(name(self.sample, self.numeric_names), "sample") if has_numbers else empty(
+                    "grp string, idx bigint, value double, column_name string"),
+            )
+
+        def related() -> DataFrame:
+            if self.correlations is None:
+                return empty("grp string, col_a string, col_b string, rho double")
+            return stage(self.correlations, "correlations")
+
+        def counted() -> DataFrame:
+            if not has_labels:
+                return empty("grp string, value string, weight bigint, frequency double, column_name string")
+            return stage(name(self.frequencies, self.label_names), "frequencies")
+
+        parts = together(spark, described=described, correlations=related, frequencies=counted)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema)
-        return Profile(**{k: stage(v, k) for k, v in parts.items()}, table_schema=schema)
+        return Profile(**parts.pop("described"), **parts, table_schema=schema)
 
 
 PARTS = ["meta", "columns", "histogram", "sample", "frequencies", "correlations", "warnings"]

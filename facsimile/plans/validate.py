@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.operators import comparison
+from facsimile.plans.together import together
 from facsimile.sources.staging import stage
 
 _METRICS = [
@@ -43,6 +44,9 @@ def column_metrics(ref: DataFrame, synth: DataFrame) -> DataFrame:
 
 def validate_tables(ref: DataFrame, synth: DataFrame) -> Validation:
     """Compare two tables column by column, their correlations, and score the likeness."""
-    columns = stage(column_metrics(ref, synth), "column-metrics")
-    score = comparison.quality_score(columns, comparison.correlation_error(ref, synth))
-    return Validation(columns, score)
+    done = together(
+        ref.sparkSession,
+        columns=lambda: stage(column_metrics(ref, synth), "column-metrics"),
+        correlation=lambda: comparison.correlation_error(ref, synth),
+    )
+    return Validation(done["columns"], comparison.quality_score(done["columns"], done["correlation"]))
