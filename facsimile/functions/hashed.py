@@ -7,22 +7,39 @@ after any recomputation.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _salt(tag: str, seed: int) -> Column:
+    """One literal that stands for a tag and a seed; stable across processes."""
+    digest = hashlib.blake2b(f"{seed}/{tag}".encode(), digest_size=8).digest()
+    return F.lit(int.from_bytes(digest, "little", signed=True))
+
+
 def uniform(tag: str, seed: int, *keys: Column) -> Column:
     """Uniform on the open interval (0, 1); 52 hash bits, centred in their cell."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(tag), F.lit(seed)), 12)
+    bits = F.shiftrightunsigned(F.xxhash64(*keys, _salt(tag, seed)), 12)
     return (bits.cast("double") + 0.5) * F.lit(2.0**-52)
 
 
 def normal(tag: str, seed: int, *keys: Column) -> Column:
     """Standard normal by Box-Muller from two keyed uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(tag + "/r", seed, *keys)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(tag + "/a", seed, *keys))
+    return radius(tag, seed, *keys) * F.cos(angle(tag, seed, *keys))
+
+
+def radius(tag: str, seed: int, *keys: Column) -> Column:
+    """Distance from the origin of a standard normal point in the plane."""
+    # ln and / may be null for Spark; saying they are not keeps null checks out of all that follows
+    return F.sqrt(F.lit(-2.0) * F.coalesce(F.ln(uniform(tag + "/r", seed, *keys)), F.lit(0.0)))
+
+
+def angle(tag: str, seed: int, *keys: Column) -> Column:
+    """Direction of a standard normal point; its cosine and sine give two independent normals."""
+    return F.lit(2.0 * math.pi) * uniform(tag + "/a", seed, *keys)
 
 
 def laplace(scale: Column, tag: str, seed: int, *keys: Column) -> Column:
@@ -38,8 +55,8 @@ _ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution function as a codegen expression."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = F.lit(1.0) / (x * _ERF_P + 1.0)
+    x = F.abs(z) * math.sqrt(0.5)
+    t = F.coalesce(F.lit(1.0) / (x * _ERF_P + 1.0), F.lit(0.0))
     poly = F.lit(0.0)
     for a in reversed(_ERF_A):
         poly = (poly + a) * t
@@ -125,7 +142,7 @@ def permuted(index: Column, size: Column, limit: int, tag: str, seed: int, *keys
     """
     salt = sum((i + 1) * ord(ch) for i, ch in enumerate(tag)) * 1_000_003 + seed * 7919 + 1
     prime = F.lit(prime_above(max(limit, 2), salt))
-    shift = F.pmod(F.xxhash64(*keys, F.lit(tag), F.lit(seed), F.lit("shift")), size)
+    shift = F.pmod(F.xxhash64(*keys, _salt(tag, seed)), size)
     if limit <= 1 << 30:
         return F.pmod(F.pmod(prime, size) * index + shift, size)
     if limit <= 1 << 40:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.hashed import normal, normal_cdf, normal_quantile, permuted, uniform
+from facsimile.functions.hashed import angle, normal_cdf, normal_quantile, permuted, radius, uniform
 from facsimile.operators.columns import ROOT
 from facsimile.operators.copula import mixing_rows
 from facsimile.operators.draws import Size, by_segment, draw_category, draw_numeric
@@ -20,6 +20,7 @@ from facsimile.operators.marginals import numeric_segments, strategies
 from facsimile.operators.ordered import ordered
 from facsimile.operators.sizing import SMALL_ROWS, broadcast_if_small, exclusive_total
 from facsimile.plans.profile import Profile
+from facsimile.sources.session import prefer_compiled_methods
 from facsimile.sources.staging import stage
 
 _BELOW_ONE = 1.0 - 2.0**-52
@@ -33,6 +34,7 @@ class Generator:
         self.profile, self.n, self.seed, self.rank_exact = profile, num_rows, seed, rank_exact
         self.partitions = partitions
         self.spark = profile.spark
+        prefer_compiled_methods(self.spark)
         self.source = T.StructType.fromDDL(profile.table_schema)
         meta = profile.meta.where(F.col("grp") == ROOT).first()
         self.by = meta["conditional_by_column"]
@@ -191,11 +193,16 @@ class Generator:
             return rows.withColumns(independent) if independent else rows
         order = self._copula_order()
         k = len(order)
-        scores = {f"g_{j}": normal(f"z/{c}", self.seed, *at) for j, c in enumerate(order)}
         keys = [c for c in order if self._fact(c)["strategy"] == "key"]
+        points, scores = {}, {}
+        for j in range(0, k, 2):
+            points[f"r_{j}"] = radius(f"z/{order[j]}", self.seed, *at)
+            points[f"a_{j}"] = angle(f"z/{order[j]}", self.seed, *at)
+            scores[f"g_{j}"] = F.col(f"r_{j}") * F.cos(F.col(f"a_{j}"))
+            scores[f"g_{j + 1}"] = F.col(f"r_{j}") * F.sin(F.col(f"a_{j}"))
         if keys:
             scores["g_0"] = normal_quantile((F.col("pos") + 0.5) / self.n)
-        rows = rows.withColumns({**independent, **scores})
+        rows = rows.withColumns({**independent, **points}).withColumns(scores)
         mixed = {}
         for i, c in enumerate(order):
             z = None

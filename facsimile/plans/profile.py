@@ -14,6 +14,7 @@ from facsimile.operators.ordered import Ordered
 from facsimile.operators.privacy import scan_privacy
 from facsimile.operators.sizing import broadcast_if_small
 from facsimile.plans.together import together
+from facsimile.sources.session import prefer_compiled_methods
 from facsimile.sources.staging import stage
 
 
@@ -22,6 +23,7 @@ class Profiler:
 
     def __init__(self, df: DataFrame, conditional_by: str | None = None, epsilon: float | None = None,
                  auto_clean_outliers: bool = False, smart_pii: bool = False, seed: int = 0):
+        prefer_compiled_methods(df.sparkSession)
         self.df = df
         self.by = conditional_by if conditional_by in df.columns else None
         self.epsilon, self.seed = epsilon, seed

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facsimile.operators import comparison
 from facsimile.plans.together import together
+from facsimile.sources.session import prefer_compiled_methods
 from facsimile.sources.staging import stage
 
 _METRICS = [
@@ -44,6 +45,7 @@ def column_metrics(ref: DataFrame, synth: DataFrame) -> DataFrame:
 
 def validate_tables(ref: DataFrame, synth: DataFrame) -> Validation:
     """Compare two tables column by column, their correlations, and score the likeness."""
+    prefer_compiled_methods(ref.sparkSession)
     done = together(
         ref.sparkSession,
         columns=lambda: stage(column_metrics(ref, synth), "column-metrics"),
