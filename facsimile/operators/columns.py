@@ -8,6 +8,8 @@ the column.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +63,11 @@ def _long(df: DataFrame, cells: list[tuple[int, list[Column]]], group: Column |
 
 
 def numeric_cells(df: DataFrame, columns: list[str], by: str | None = None,
-                  group: Column | None = None) -> DataFrame:
+                  gaps: dict[str, str] | None = None) -> DataFrame:
     """One row (grp, cid, value, wide) per present numeric cell.
 
-    Groups are those of the column ``by``, or given as a ready key ``group``. ``value`` is a double. ``wide`` keeps integers beyond 2**53 apart, which a
+    ``gaps`` adds counters: under each of its names, 1 where the column it
+    names is present in the same row, else 0. ``value`` is a double. ``wide`` keeps integers beyond 2**53 apart, which a
     double would merge; it is null otherwise.
     """
     types = {f.name: f.dataType for f in df.schema}
@@ -74,8 +77,12 @@ def numeric_cells(df: DataFrame, columns: list[str], by: str | None = None,
         wide = F.lit(None).cast("bigint")
         if isinstance(types.get(name), T.LongType):
             wide = F.when((col >= EXACT) | (col <= -EXACT), col)
-        cells.append((cid, [col.cast("double").alias("value"), wide.alias("wide")]))
-    return _long(df, cells, group_of(by) if by else group)
+        beside = [
+            F.when(present(other, types[other]).isNotNull(), 1).otherwise(0).cast("bigint").alias(counter)
+            for counter, other in (gaps or {}).items()
+        ]
+        cells.append((cid, [col.cast("double").alias("value"), wide.alias("wide"), *beside]))
+    return _long(df, cells, group_of(by) if by else None)
 
 
 def text_cells(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
@@ -99,9 +106,10 @@ def text_cells(df: DataFrame, columns: list[str], by: str | None = None) -> Data
     return _long(df, cells, group_of(by) if by else None)
 
 
-def tally(cells: DataFrame) -> DataFrame:
-    """Occurrences of each cell value, combined on the map side first."""
-    return cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("cnt"))
+def tally(cells: DataFrame, counters: Iterable[str] = ()) -> DataFrame:
+    """Occurrences of each cell value, and sums of its counters, combined on the map side first."""
+    keys = [c for c in cells.columns if c not in counters]
+    return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(c) for c in counters])
 
 
 def group_sizes(df: DataFrame, by: str | None) -> DataFrame:

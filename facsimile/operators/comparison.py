@@ -81,7 +81,7 @@ def ks_statistics(values: Ordered) -> DataFrame:
 def numeric_metrics(ref: DataFrame, synth: DataFrame, names: list[str]) -> DataFrame:
     """All distances of the numeric columns, one row per column with values on both sides."""
     values = paired_values(ref, synth, names)
-    stats = numeric_summary(values, {"ks_statistic": ks_aggregate()})
+    stats = numeric_summary(values, ["ref", "synth"], {"ks_statistic": ks_aggregate()})
     both = stats.where("n_ref > 0 AND n_synth > 0")
     diff = lambda m: F.abs(F.col(f"{m}_ref") - F.col(f"{m}_synth"))
     relative = lambda m: diff(m) / F.greatest(F.abs(F.col(f"{m}_ref")), F.lit(1e-5))

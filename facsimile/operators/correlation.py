@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.missing import present
@@ -16,112 +16,111 @@ from facsimile.operators.sizing import SMALL_ROWS, skew_safe_lookup
 
 
 @dataclass
-class _Series:
-    """A column as ranked for some of its pairs: alone, or on the rows where another is present."""
+class Gaps:
+    """Where missing values of one numeric column cut out values of another.
 
-    alias: str
-    cell: str
-    source: Ordered
-    cid: int
-
-
-def _ranked(values: Ordered) -> DataFrame:
-    """Average rank of each value, centred and scaled to (-1/2, 1/2)."""
-    score = F.expr("(cum_cnt - (cnt - 1) / 2.0D - (n_cnt + 1) / 2.0D) / n_cnt")
-    return values.positioned("n_cnt").withColumn("score", score)
-
-
-def _with_score(rows: DataFrame, series: _Series, ranked: DataFrame, known: dict) -> DataFrame:
-    """Put the score of a series on every row, by value."""
-    a = series.alias
-    table = ranked.where(F.col("cid") == series.cid).selectExpr(
-        "grp", "value", "coalesce(wide, 0L) wide", "cnt", "n_cnt", "score")
-    on = {"grp": "grp", f"{a}_value": "value", f"{a}_wide": "wide"}
-    if not known["wide"]:
-        del on[f"{a}_wide"]
-    if known["distinct"] <= SMALL_ROWS:
-        side = table.select(*[F.col(r).alias(f"{a}_{r}_of") for r in on.values()], F.col("score").alias(a))
-        return rows.join(F.broadcast(side), [F.col(left) == F.col(f"{a}_{r}_of") for left, r in on.items()], "left")
-    # A value with more than 1/1000 of its group's cells: at most 1000 per group.
-    hot = table.where("cnt * 1000 > n_cnt")
-    return skew_safe_lookup(rows, on, table, hot, "score", a)
+    ``counters`` names one column for each pattern of gaps; ``narrows`` tells
+    for a pair (y, x) which pattern the values of y must be ranked under.
+    """
 
+    counters: dict[str, str]
+    narrows: dict[tuple[int, int], str]
 
-def _gap_patterns(base: DataFrame, gappy: list[int], k: int) -> dict[tuple[int, int], int]:
-    """(y, x) -> a column with the gaps of x, where y has values that the gaps of x cut out.
 
-    Columns with the same gaps share one representative, so a table whose gaps
-    follow few patterns needs few extra rankings.
-    """
+def gap_patterns(df: DataFrame, columns: list[str]) -> Gaps:
+    """The patterns of gaps; columns with the same gaps share one, and most tables have few."""
+    types = {f.name: f.dataType for f in df.schema}
+    k = len(columns)
+    base = df.select([present(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
+    found = base.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(f"count(c{i}) AS n{i}") for i in range(k)]).first()
+    gappy = [i for i in range(k) if 0 < found[f"n{i}"] < found["rows"]]
     if not gappy:
-        return {}
+        return Gaps({}, {})
     lost = base.agg(*[
         F.expr(f"count_if(c{x} IS NULL AND c{y} IS NOT NULL) AS l{x}_{y}") for x in gappy for y in range(k) if y != x
     ]).first()
     same = lambda a, b: a == b or (lost[f"l{a}_{b}"] == 0 and lost[f"l{b}_{a}"] == 0)
     first = {x: next(r for r in gappy if same(r, x)) for x in gappy}
-    return {(y, x): first[x] for x in gappy for y in range(k) if y != x and lost[f"l{x}_{y}"] > 0}
+    narrows = {(y, x): f"p{first[x]}" for x in gappy for y in range(k) if y != x and lost[f"l{x}_{y}"] > 0}
+    return Gaps({p: columns[int(p[1:])] for p in sorted(set(narrows.values()))}, narrows)
+
+
+def rankable_values(df: DataFrame, columns: list[str], by: str | None, gaps: Gaps) -> Ordered:
+    """Ordered value counts that also count, per value, the rows each pattern of gaps leaves."""
+    cells = numeric_cells(df, columns, by, gaps.counters)
+    return ordered_values(tally(cells, gaps.counters), ["cnt"], counters=gaps.counters)
+
+
+def _with_scores(rows: DataFrame, ranked: DataFrame, cid: int, names: dict[str, str], known: dict) -> DataFrame:
+    """Put the rank scores of one column on every row, by value."""
+    table = ranked.where(F.col("cid") == cid)
+    on = {"grp": "grp", f"v{cid}": "value"}
+    if known["wide"]:
+        on[f"w{cid}"] = "wide"
+    if known["distinct"] <= SMALL_ROWS:
+        side = table.select(
+            *[F.col(r).alias(f"_{left}_of_{cid}") for left, r in on.items()],
+            *[F.col(s).alias(a) for s, a in names.items()])
+        return rows.join(F.broadcast(side), [F.col(left) == F.col(f"_{left}_of_{cid}") for left in on], "left")
+    # A value with more than 1/1000 of its group's cells: at most 1000 per group.
+    hot = table.where("cnt * 1000 > n_cnt")
+    return skew_safe_lookup(rows, on, table, hot, names)
 
 
 def spearman(df: DataFrame, columns: list[str], by: str | None = None,
-             values: Ordered | None = None) -> DataFrame:
+             values: Ordered | None = None, gaps: Gaps | None = None) -> DataFrame:
     """Rank correlation of every pair: (grp, col_a, col_b, rho), both triangles and the diagonal.
 
-    Rows missing either value are left out of a pair and the rest ranked anew:
-    for each pattern of gaps, the columns that lose values to it are ranked
-    once more on its present rows. An undefined correlation is 0.
+    Rows missing either value are left out of a pair and the rest ranked anew.
+    All the rankings a column needs, one per pattern of gaps, come from the
+    same ordered counts and reach the rows in one lookup by value. An undefined
+    correlation is 0.
     """
     types = {f.name: f.dataType for f in df.schema}
-    if values is None:
-        values = ordered_values(tally(numeric_cells(df, columns, by)), ["cnt"], "spearman")
-    facts, total = column_facts(values), df.count()
-    base = df.select(
-        (group_of(by) if by else F.lit(ROOT)).alias("of"),
-        *[present(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)],
-    )
-    gappy = [i for i in range(len(columns)) if facts.get(i, NO_FACTS)["n_root"] < total]
-    narrows = _gap_patterns(base, gappy, len(columns))
-    series = {(i, None): _Series(f"s{i}", f"c{i}", values, i) for i in range(len(columns))}
-    known = {(i, None): facts.get(i, NO_FACTS) for i in range(len(columns))}
-    paired = sorted({(y, x) for (y, _), x in narrows.items()})
-    if paired:
-        cells = [f"CASE WHEN c{x} IS NOT NULL THEN c{y} END" for y, x in paired]
-        narrowed = base.select("of", *[F.expr(c).alias(f"p{i}") for i, c in enumerate(cells)])
-        names = [f"p{i}" for i in range(len(paired))]
-        counts = tally(numeric_cells(narrowed, names, group=F.col("of") if by else None))
-        again = ordered_values(counts, ["cnt"], "spearman-pairs")
-        for i, key in enumerate(paired):
-            series[key] = _Series(f"s{key[0]}_{key[1]}", cells[i], again, i)
-        more = column_facts(again)
-        known.update({key: more.get(i, NO_FACTS) for i, key in enumerate(paired)})
-    ranked = {id(v): _ranked(v) for v in {id(s.source): s.source for s in series.values()}.values()}
-
-    def level(grp: str) -> DataFrame:
-        keys = []
-        for key, s in series.items():
-            keys.append(f"CAST({s.cell} AS DOUBLE) {s.alias}_value")
-            if known[key]["wide"]:
-                keys.append(f"CASE WHEN abs(CAST({s.cell} AS DOUBLE)) >= {EXACT} THEN {s.cell} ELSE 0L END {s.alias}_wide")
-        rows = base.selectExpr(f"{grp} AS grp", *keys).where("grp IS NOT NULL")
-        for key, s in series.items():
-            rows = _with_score(rows, s, ranked[id(s.source)], known[key])
-        own = [F.expr(f"sum({s.alias} * {s.alias}) AS own_{s.alias}") for s in series.values()]
-        pairs = [
-            F.expr(f"sum({a.alias} * {b.alias}) AS ab_{a.alias}_{b.alias}")
-            for a, b in (sides(i, j) for i, j in combinations(range(len(columns)), 2))
+    if gaps is None or values is None:
+        gaps = gap_patterns(df, columns)
+        values = rankable_values(df, columns, by, gaps)
+    facts = column_facts(values)
+    k = len(columns)
+
+    # Average rank of each value, centred and scaled to (-1/2, 1/2), in total and per pattern.
+    weights = ["cnt", *gaps.counters]
+    ranked = values.positioned(*[f"n_{w}" for w in weights]).selectExpr(
+        "grp", "cid", "value", "coalesce(wide, 0L) AS wide", "cnt", "n_cnt",
+        *[f"coalesce(try_divide(cum_{w} - ({w} - 1) / 2.0D - (n_{w} + 1) / 2.0D, n_{w}), 0.0D) AS score_{w}" for w in weights])
+    used = {i: ["cnt", *sorted({p for (y, _), p in gaps.narrows.items() if y == i})] for i in range(k)}
+
+    cell = {c: present(c, types[c]) for c in columns}
+    base = []
+    for i, c in enumerate(columns):
+        base.append(cell[c].cast("double").alias(f"v{i}"))
+        if facts.get(i, NO_FACTS)["wide"]:
+            beyond = (cell[c] >= EXACT) | (cell[c] <= -EXACT)
+            base.append(F.when(beyond, cell[c]).otherwise(F.lit(0)).cast("bigint").alias(f"w{i}"))
+    base += [cell[c].isNotNull().alias(f"has_{p}") for p, c in gaps.counters.items()]
+
+    def score(y: int, x: int) -> str:
+        return f"s{y}_{gaps.narrows.get((y, x), 'cnt')}"
+
+    def level(grp: Column) -> DataFrame:
+        rows = df.select(grp.alias("grp"), *base).where("grp IS NOT NULL")
+        for i in range(k):
+            names = {f"score_{w}": f"s{i}_{w}" for w in used[i]}
+            rows = _with_scores(rows, ranked, i, names, facts.get(i, NO_FACTS))
+        own = [
+            F.expr(f"sum({'' if w == 'cnt' else f'CASE WHEN has_{w} THEN '}s{i}_{w} * s{i}_{w}{'' if w == 'cnt' else ' END'}) AS own_{i}_{w}")
+            for i in range(k) for w in used[i]
         ]
+        # A value that is missing has no score, so a product exists on pair-complete rows only.
+        pairs = [F.expr(f"sum({score(i, j)} * {score(j, i)}) AS ab_{i}_{j}") for i, j in combinations(range(k), 2)]
         return rows.groupBy("grp").agg(*own, *pairs)
 
-    def sides(i: int, j: int) -> tuple[_Series, _Series]:
-        return series[i, narrows.get((i, j))], series[j, narrows.get((j, i))]
-
-    sums = level("''")
+    sums = level(F.lit(ROOT))
     if by:
-        sums = sums.unionByName(level("of"))
-    cells = [(c, c, f"CASE WHEN own_s{i} > 1e-300D THEN 1.0D ELSE 0.0D END") for i, c in enumerate(columns)]
-    for i, j in combinations(range(len(columns)), 2):
-        a, b = sides(i, j)
-        rho = _ratio(f"ab_{a.alias}_{b.alias}", f"own_{a.alias}", f"own_{b.alias}")
+        sums = sums.unionByName(level(group_of(by)))
+    cells = [(c, c, f"CASE WHEN own_{i}_cnt > 1e-300D THEN 1.0D ELSE 0.0D END") for i, c in enumerate(columns)]
+    for i, j in combinations(range(k), 2):
+        rho = _ratio(f"ab_{i}_{j}", f"own_{score(i, j)[1:]}", f"own_{score(j, i)[1:]}")
         cells += [(columns[i], columns[j], rho), (columns[j], columns[i], rho)]
     return _matrix(sums, cells)
 

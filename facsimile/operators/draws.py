@@ -94,4 +94,4 @@ def draw_category(rows: DataFrame, u: str, categories: DataFrame, size: Size, al
     masses = broadcast_if_small(classes.groupBy("grp").agg(F.sum("mass").alias("all")), None)
     hot = dictionary.join(masses, "grp").where("weight * 1000 > all").drop("all")
     on = {"grp": "grp", "_weight": "weight", "_member": "member"}
-    return skew_safe_lookup(placed, on, dictionary, hot, "value", alias).drop("_weight", "_member")
+    return skew_safe_lookup(placed, on, dictionary, hot, {"value": alias}).drop("_weight", "_member")

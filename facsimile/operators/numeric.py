@@ -7,6 +7,8 @@ one row here.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 KDE_LIMIT = 1000
 
 
-def ordered_values(counts: DataFrame, weights: list[str], name: str = "values") -> Ordered:
+def ordered_values(counts: DataFrame, weights: list[str], name: str = "values",
+                   counters: Iterable[str] = ()) -> Ordered:
     """Order the value counts of numeric cells; collect first-pass measures on the way.
 
-    Per weight ``w``: ``n_w`` values, ``mean_w``, ``distinct_w``, ``min_w``, ``max_w``.
+    Per weight ``w``: ``n_w`` values, ``moment_w``, ``distinct_w``, ``min_w``, ``max_w``.
+    ``counters`` get running totals only.
     """
     measures, per_key = {}, {}
     value = F.col("value")
@@ -44,7 +48,7 @@ def ordered_values(counts: DataFrame, weights: list[str], name: str = "values")
     measures["part_decimals"] = F.max(decimals_of(value))
     per_key["decimals"] = F.max("part_decimals")
     order = ["value", "wide"] if "wide" in counts.columns else ["value"]
-    return ordered(counts, KEYS, order, weights, name, measures, per_key)
+    return ordered(counts, KEYS, order, [*weights, *counters], name, measures, per_key)
 
 
 NO_FACTS = {"n_root": 0, "distinct": 0, "wide": False}
@@ -80,25 +84,25 @@ def second_pass(values: Ordered, w: str) -> list[Column]:
     return aggregates
 
 
-def numeric_summary(values: Ordered, extra: dict[str, Column] | None = None) -> DataFrame:
+def numeric_summary(values: Ordered, weights: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
     """Moments, quartiles and range per (grp, cid); column names end in the weight.
 
     ``extra`` adds further aggregates over the positioned rows to the same pass.
     """
-    known = ["decimals"] + [f"{m}_{w}" for w in values.weights for m in ("n", "moment", "distinct", "min", "max")]
+    known = ["decimals"] + [f"{m}_{w}" for w in weights for m in ("n", "moment", "distinct", "min", "max")]
     rows = values.positioned(*known).groupBy(*KEYS).agg(
         *[F.first(c).alias(c) for c in known],
-        *[a for w in values.weights for a in second_pass(values, w)],
+        *[a for w in weights for a in second_pass(values, w)],
         *[a.alias(name) for name, a in (extra or {}).items()],
     )
     derived = {}
-    for w in values.weights:
+    for w in weights:
         n = F.col(f"n_{w}")
         derived[f"mean_{w}"] = _mean(w)
         derived[f"std_{w}"] = sample_std(n, F.col(f"m2_{w}"))
         derived[f"skewness_{w}"] = adjusted_skewness(n, F.col(f"m2_{w}"), F.col(f"m3_{w}"))
         derived[f"iqr_{w}"] = F.col(f"q3_{w}") - F.col(f"q1_{w}")
-    return rows.withColumns(derived).drop(*[f"{m}_{w}" for w in values.weights for m in ("m2", "m3", "moment")])
+    return rows.withColumns(derived).drop(*[f"{m}_{w}" for w in weights for m in ("m2", "m3", "moment")])
 
 
 def with_capped_range(stats: DataFrame, cap: bool) -> DataFrame:

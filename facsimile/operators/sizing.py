@@ -25,23 +25,24 @@ def skew_safe_lookup(
     on: dict[str, str],
     table: DataFrame,
     hot: DataFrame,
-    payload: str,
-    alias: str,
+    payload: dict[str, str],
 ) -> DataFrame:
-    """Left lookup of ``payload`` in a large table with unique keys.
+    """Left lookup in a large table with unique keys.
 
-    ``on`` maps key columns of ``df`` to those of ``table``. ``hot`` holds the
+    ``on`` maps key columns of ``df`` to those of ``table``, ``payload`` the
+    table's columns to their new names; the first is never null. ``hot`` holds the
     keys that many rows of ``df`` carry; it is a bounded subset of ``table``
     and is broadcast. Rows answered there, and rows without a key, are
     scattered over all tasks of the shuffled join instead of meeting in one.
     """
     answers = hot.select(
         *[F.col(r).alias(f"_hot_{i}") for i, r in enumerate(on.values())],
-        F.col(payload).alias("_hot_payload"),
+        *[F.col(p).alias(f"_hot_{a}") for p, a in payload.items()],
     )
     match = [F.col(left) == F.col(f"_hot_{i}") for i, left in enumerate(on)]
     answered = df.join(F.broadcast(answers), match, "left")
-    open_row = F.col("_hot_payload").isNull()
+    names = list(payload.values())
+    open_row = F.col(f"_hot_{names[0]}").isNull()
     for left in on:
         open_row = open_row & F.col(left).isNotNull()
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(9973)) + 1
@@ -53,13 +54,13 @@ def skew_safe_lookup(
     cold = table.select(
         *[F.col(r).alias(f"_cold_{i}") for i, r in enumerate(on.values())],
         F.pmod(F.xxhash64(*[F.col(r) for r in on.values()]), F.lit(1)).alias("_zero"),
-        F.col(payload).alias("_cold_payload"),
+        *[F.col(p).alias(f"_cold_{a}") for p, a in payload.items()],
     )
     match = [F.col(f"_key_{i}") == F.col(f"_cold_{i}") for i in range(len(on))]
     joined = keyed.join(cold, [*match, F.col("_salt") == F.col("_zero")], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        F.coalesce("_hot_payload", "_cold_payload").alias(alias),
+        *[F.coalesce(f"_hot_{a}", f"_cold_{a}").alias(a) for a in names],
     )
 
 

@@ -47,8 +47,11 @@ class Profiler:
     @cached_property
     def values(self) -> Ordered:
         """Ordered value counts of the numeric columns."""
-        cells = columns.numeric_cells(self.df, self.numeric_names, self.by)
-        return numeric.ordered_values(columns.tally(cells), ["cnt"])
+        return correlation.rankable_values(self.df, self.numeric_names, self.by, self.gaps)
+
+    @cached_property
+    def gaps(self) -> correlation.Gaps:
+        return correlation.gap_patterns(self.df, self.numeric_names)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -69,7 +72,7 @@ class Profiler:
     @cached_property
     def stats(self) -> DataFrame:
         """Numeric statistics per (grp, cid); cached."""
-        raw = numeric.numeric_summary(self.values)
+        raw = numeric.numeric_summary(self.values, ["cnt"])
         raw = numeric.with_capped_range(raw, self.cap).join(broadcast_if_small(self.sizes, self.groups), "grp")
         # Integer columns with gaps count as floating: their bins may be narrower than 1.
         facts = numeric.column_facts(self.values)
@@ -114,7 +117,7 @@ class Profiler:
     def correlations(self) -> DataFrame | None:
         if len(self.numeric_names) < 2:
             return None
-        return correlation.spearman(self.df, self.numeric_names, self.by, self.values)
+        return correlation.spearman(self.df, self.numeric_names, self.by, self.values, self.gaps)
 
     # --- assembly -------------------------------------------------------------
 
