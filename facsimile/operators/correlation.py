@@ -31,6 +31,8 @@ def gap_patterns(df: DataFrame, columns: list[str]) -> Gaps:
     """The patterns of gaps; columns with the same gaps share one, and most tables have few."""
     types = {f.name: f.dataType for f in df.schema}
     k = len(columns)
+    if k < 2:
+        return Gaps({}, {})
     base = df.select([present(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
     found = base.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(f"count(c{i}) AS n{i}") for i in range(k)]).first()
     gappy = [i for i in range(k) if 0 < found[f"n{i}"] < found["rows"]]
