@@ -120,7 +120,7 @@ def p2(spark, sf_dir):
     frames = [profiler(spark, sf_dir, "events"), profiler(spark, sf_dir, "embeddings"), Profiler(flags)]
     result = None
     for p in frames:
-        part = p.columns.select("column_name", "inferred_type")
+        part = p.basics.select("column_name", "inferred_type")
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -133,7 +133,7 @@ SELECT '{c}' AS column_name, count(*) - count({c}) AS missing_count,
   round(100.0 * (count(*) - count({c})) / count(*), 6) AS missing_percentage, count(*) > count({c}) AS nullable FROM g"""
     for c in ALL_LINEITEM))
 def p3(spark, sf_dir):
-    return profiler(spark, sf_dir, "lineitem_gaps").columns.select(
+    return profiler(spark, sf_dir, "lineitem_gaps").basics.select(
         "column_name", "missing_count", rounded("missing_percentage"), "nullable")
 
 
@@ -143,7 +143,7 @@ def p3(spark, sf_dir):
     f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS num_unique FROM documents"
     for c in ("doc_id", "text", "lang", "source", "n_chars")))
 def p4(spark, sf_dir):
-    parts = [profiler(spark, sf_dir, t).columns.select("column_name", "num_unique") for t in ("lineitem_gaps", "documents")]
+    parts = [profiler(spark, sf_dir, t).basics.select("column_name", "num_unique") for t in ("lineitem_gaps", "documents")]
     return parts[0].unionByName(parts[1])
 
 
@@ -164,7 +164,7 @@ SELECT column_name, ({_KEYISH}) AND d = n AND d > 0 AS is_primary_key FROM ("""
 def p5(spark, sf_dir):
     result = None
     for table, names in KEY_TABLES.items():
-        part = profiler(spark, sf_dir, table).columns.where(F.col("column_name").isin(names))
+        part = profiler(spark, sf_dir, table).basics.where(F.col("column_name").isin(names))
         part = part.select("column_name", "is_primary_key")
         result = part if result is None else result.unionByName(part)
     return result
@@ -297,7 +297,7 @@ UNION ALL SELECT column_name, n, semantic_type FROM (SELECT count(DISTINCT c_mkt
   ('home_town', 'city'), ('postal_code', 'zipcode'), ('country', 'country'), ('employer', 'company'), ('segment', NULL))
   AS t(column_name, semantic_type)""")
 def p16(spark, sf_dir):
-    return profiler(spark, sf_dir, "customer_people", smart_pii=True).columns.where("inferred_type = 'categorical'").select(
+    return profiler(spark, sf_dir, "customer_people", smart_pii=True).basics.where("inferred_type = 'categorical'").select(
         "column_name", "num_unique", "semantic_type")
 
 

@@ -45,7 +45,9 @@ def auto_bin_count(n: Column, low: Column, high: Column, iqr: Column, integral:
 def bin_index(value: Column, first: Column, last: Column, bins: Column) -> Column:
     """Bin of a value among equal bins, corrected against the computed edges."""
     step = (last - first) / bins
-    raw = F.least(F.floor((value - first) / (last - first) * bins), bins - 1)
+    # beyond 2**53 the two edges of a constant column can be the same double
+    share = F.coalesce(F.try_divide(value - first, last - first), F.lit(0.0))
+    raw = F.least(F.floor(share * bins), bins - 1)
     down = (value < first + raw * step) & (raw > 0)
     up = (value >= first + (raw + 1) * step) & (raw < bins - 1)
     return F.when(down, raw - 1).when(up, raw + 1).otherwise(raw).cast("bigint")

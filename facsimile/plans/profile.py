@@ -122,49 +122,59 @@ class Profiler:
     # --- assembly -------------------------------------------------------------
 
     @cached_property
-    def columns(self) -> DataFrame:
-        """One row per (group, column) with all scalar statistics; cached."""
-        order = {c: i for i, c in enumerate(self.names)}
+    def basics(self) -> DataFrame:
+        """One row per (group, column): class, gaps, distinct values, key, semantic type; no second pass."""
         listing = self.sizes.select(
             "grp", "num_rows", F.posexplode(F.array(*[F.lit(c) for c in self.names])).alias("position", "column_name"))
         kinds = F.create_map(*[F.lit(v) for c in self.names for v in (c, columns.column_class(self.types[c]))])
         parts = []
-        keep = {
-            "min_value": "min_value", "max_value": "max_value", "mean": "mean_cnt", "std_dev": "std_cnt",
-            "median": "median_cnt", "q1": "q1_cnt", "q3": "q3_cnt", "iqr": "iqr_cnt", "skewness": "skewness_cnt",
-        }
         if self.numeric_names:
-            parts.append(self.stats.select(
-                "grp", "column_name", F.col("n_cnt").alias("n"), F.col("distinct_cnt").alias("d"),
-                *[F.col(v).alias(k) for k, v in keep.items()], "is_discrete", F.col("decimals").alias("places")))
+            # every slice of a key repeats the key's totals
+            totals = self.values.parts.groupBy(*KEYS).agg(F.first("n_cnt").alias("n"), F.first("distinct_cnt").alias("d"))
+            parts.append(totals.withColumn("column_name", columns.name_of(F.col("cid"), self.numeric_names)))
         if self.label_names:
-            parts.append(self.label_totals.select(
-                "grp", columns.name_of(F.col("cid"), self.label_names).alias("column_name"),
-                F.col("n_cnt").alias("n"), F.col("distinct_cnt").alias("d"),
-                *[F.lit(None).cast("double").alias(k) for k in keep],
-                F.lit(False).alias("is_discrete"), F.lit(None).cast("int").alias("places")))
+            totals = self.label_totals.withColumnsRenamed({"n_cnt": "n", "distinct_cnt": "d"})
+            parts.append(totals.withColumn("column_name", columns.name_of(F.col("cid"), self.label_names)))
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         n, d = (F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in "nd")
         kind = F.when(n > 0, F.element_at(kinds, F.col("column_name"))).otherwise("unsupported")
         missing = F.col("num_rows") - n
         semantic = F.when(kind == "categorical", categories.semantic_type(F.col("column_name")))
-        table = listing.join(found, ["grp", "column_name"], "left").select(
+        return listing.join(found, ["grp", "column_name"], "left").select(
             "grp", "position", "column_name", kind.alias("inferred_type"), (missing > 0).alias("nullable"),
             d.alias("num_unique"), missing.alias("missing_count"),
             F.coalesce(F.try_divide(missing * 100.0, F.col("num_rows").cast("double")), F.lit(0.0)).alias("missing_percentage"),
-            *keep,
-            F.coalesce("is_discrete", F.lit(False)).alias("is_discrete"),
             categories.is_key(F.col("column_name"), d, n).alias("is_primary_key"),
             (semantic if self.semantic else F.lit(None).cast("string")).alias("semantic_type"),
+        ).persist()
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        """One row per (group, column) with all scalar statistics; cached."""
+        figures = {
+            "min_value": "min_value", "max_value": "max_value", "mean": "mean_cnt", "std_dev": "std_cnt",
+            "median": "median_cnt", "q1": "q1_cnt", "q3": "q3_cnt", "iqr": "iqr_cnt", "skewness": "skewness_cnt",
+        }
+        if self.numeric_names:
+            stats = self.stats.select(
+                "grp", "column_name", *[F.col(v).alias(k) for k, v in figures.items()],
+                F.col("is_discrete").alias("discrete"), F.col("decimals").alias("places"))
+            table = self.basics.join(stats, ["grp", "column_name"], "left")
+        else:
+            table = self.basics.withColumns({
+                **{k: F.lit(None).cast("double") for k in figures},
+                "discrete": F.lit(None).cast("boolean"), "places": F.lit(None).cast("int")})
+        return table.select(
+            *[c for c in self.basics.columns if c not in ("is_primary_key", "semantic_type")], *figures,
+            F.coalesce("discrete", F.lit(False)).alias("is_discrete"), "is_primary_key", "semantic_type",
             F.coalesce("places", F.lit(4)).alias("decimals"),
-        )
-        return table.persist()
+        ).persist()
 
     @cached_property
     def warnings(self) -> DataFrame:
         """Privacy verdicts from the distinct counts at hand."""
         total = self.sizes.where(F.col("grp") == ROOT).first()["num_rows"]
-        root = self.columns.where((F.col("grp") == ROOT) & F.lit(total > 0))
+        root = self.basics.where((F.col("grp") == ROOT) & F.lit(total > 0))
         ratio = F.col("num_unique") / F.lit(max(total, 1))
         return scan_privacy(self.df, root.select("position", "column_name", "num_unique", ratio.alias("uniqueness_ratio")))
 

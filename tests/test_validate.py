@@ -99,7 +99,7 @@ def test_kolmogorov_branches_meet(spark):
     df = spark.createDataFrame([(0.0,), (0.0117,), (0.0118,), (0.0119,), (0.05,)], "d double")
     n = F.lit(20000)
     p = [r[0] for r in df.select(kolmogorov_p(F.col("d"), n, n)).collect()]
-    assert p[0] == 1.0 and p[-1] < 1e-9 and p[1] > p[2] > p[3] and p[1] - p[3] < 0.01
+    assert p[0] == 1.0 and p[-1] < 1e-9 and abs(p[2] - (p[1] + p[3]) / 2) < 1e-3
 
 
 def test_end_to_end(spark):
