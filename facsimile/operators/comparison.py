@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions.estimators import kolmogorov_p
+from facsimile.functions.missing import present
 from facsimile.operators.columns import KEYS, column_class, name_of, numeric_cells, text_cells
 from facsimile.operators.correlation import pearson
 from facsimile.operators.numeric import QUARTILES, numeric_summary, ordered_values
 from facsimile.operators.ordered import Ordered
 from facsimile.operators.sizing import broadcast_if_small
+from facsimile.sources.staging import stage
 
 NUMERIC = "numeric"
 CATEGORICAL = "categorical"
@@ -30,8 +32,8 @@ def dispatch(ref: DataFrame, synth: DataFrame) -> DataFrame:
     names = [n for n, _ in pairs]
     counted = None
     for side, df in (("ref", ref), ("synth", synth)):
-        present = df.select([F.count(_clean(df, n)).alias(f"c{i}") for i, n in enumerate(names)])
-        long = present.select(F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("position", f"n_{side}"))
+        counts = df.select([F.count(_clean(df, n)).alias(f"c{i}") for i, n in enumerate(names)])
+        long = counts.select(F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("position", f"n_{side}"))
         counted = long if counted is None else counted.join(long, "position")
     kinds = F.element_at(F.array(*[F.lit(k) for _, k in pairs]), F.col("position") + 1)
     empty = (F.col("n_ref") == 0) | (F.col("n_synth") == 0)
@@ -41,8 +43,6 @@ def dispatch(ref: DataFrame, synth: DataFrame) -> DataFrame:
 
 
 def _clean(df: DataFrame, name: str) -> Column:
-    from facsimile.functions.missing import present
-
     return present(name, df.schema[name].dataType)
 
 
@@ -115,6 +115,8 @@ def category_metrics(ref: DataFrame, synth: DataFrame, names: list[str]) -> Data
     left = text_cells(ref, names).withColumns({"ref": one, "synth": none})
     right = text_cells(as_text, names).withColumns({"ref": none, "synth": one})
     counts = left.unionByName(right).groupBy(*KEYS, "value").agg(F.sum("ref").alias("ref"), F.sum("synth").alias("synth"))
+    # read twice, for the totals and for the frequencies
+    counts = stage(counts, "paired-labels")
     totals = counts.groupBy(*KEYS).agg(F.sum("ref").alias("n_ref"), F.sum("synth").alias("n_synth"))
     totals = totals.where("n_ref > 0 AND n_synth > 0")
     apart = F.abs(F.col("ref") / F.col("n_ref") - F.col("synth") / F.col("n_synth"))

@@ -64,8 +64,8 @@ def _with_scores(rows: DataFrame, ranked: DataFrame, cid: int, names: dict[str,
             *[F.col(r).alias(f"_{left}_of_{cid}") for left, r in on.items()],
             *[F.col(s).alias(a) for s, a in names.items()])
         return rows.join(F.broadcast(side), [F.col(left) == F.col(f"_{left}_of_{cid}") for left in on], "left")
-    # A value with more than 1/1000 of its group's cells: at most 1000 per group.
-    hot = table.where("cnt * 1000 > n_cnt")
+    # Keys on more than 1/1000 of all rows; fewer than 1000, however many groups there are.
+    hot = table.where(F.col("cnt") * 1000 > known["n_root"])
     return skew_safe_lookup(rows, on, table, hot, names)
 
 
@@ -88,7 +88,7 @@ def spearman(df: DataFrame, columns: list[str], by: str | None = None,
     # Average rank of each value, centred and scaled to (-1/2, 1/2), in total and per pattern.
     weights = ["cnt", *gaps.counters]
     ranked = values.positioned(*[f"n_{w}" for w in weights]).selectExpr(
-        "grp", "cid", "value", "coalesce(wide, 0L) AS wide", "cnt", "n_cnt",
+        "grp", "cid", "value", "coalesce(wide, 0L) AS wide", "cnt",
         *[f"coalesce(try_divide(cum_{w} - ({w} - 1) / 2.0D - (n_{w} + 1) / 2.0D, n_{w}), 0.0D) AS score_{w}" for w in weights])
     used = {i: ["cnt", *sorted({p for (y, _), p in gaps.narrows.items() if y == i})] for i in range(k)}
 

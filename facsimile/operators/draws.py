@@ -90,8 +90,9 @@ def draw_category(rows: DataFrame, u: str, categories: DataFrame, size: Size, al
     member = F.least(F.floor(share * F.col("members")), F.col("members") - 1) + 1
     placed = joined.withColumn("_member", member).withColumnRenamed("weight", "_weight").drop("_lo", "_hi", "members", "mass")
     dictionary = numbered.positioned().select("grp", "weight", F.col("cum_one").alias("member"), "value")
-    # Categories heavier than 1/1000 of their group: at most 1000 per group.
-    masses = broadcast_if_small(classes.groupBy("grp").agg(F.sum("mass").alias("all")), None)
-    hot = dictionary.join(masses, "grp").where("weight * 1000 > all").drop("all")
+    # Categories on more than 1/1000 of all rows. The root level is the heaviest, and it and
+    # all groups together each hold fewer than 1000 such.
+    heaviest = classes.groupBy("grp").agg(F.sum("mass").alias("mass")).agg(F.max("mass")).first()[0]
+    hot = dictionary.where(F.col("weight") * 1000 > heaviest)
     on = {"grp": "grp", "_weight": "weight", "_member": "member"}
     return skew_safe_lookup(placed, on, dictionary, hot, {"value": alias}).drop("_weight", "_member")

@@ -31,8 +31,8 @@ def skew_safe_lookup(
 
     ``on`` maps key columns of ``df`` to those of ``table``, ``payload`` the
     table's columns to their new names; the first is never null. ``hot`` holds the
-    keys that many rows of ``df`` carry; it is a bounded subset of ``table``
-    and is broadcast. Rows answered there, and rows without a key, are
+    keys that many rows of ``df`` carry, a subset of ``table`` whose size the
+    caller bounds, and is broadcast. Rows answered there, and rows without a key, are
     scattered over all tasks of the shuffled join instead of meeting in one.
     """
     answers = hot.select(
