@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from facsimile.llm import quality_rules
+from facsimile.llm import packing, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op2_toxicity_neighbours": toxicity.query,
+    "op6_vector_sharding": sharding.query,
+    "op7_dynamic_packing": packing.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLES = {
