@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from facsimile.llm import packing, quality_rules, sharding, toxicity
+from facsimile.llm import decontamination, packing, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op1_cotraining_quality": quality_classifier.query,
     "op2_toxicity_neighbours": toxicity.query,
     "op6_vector_sharding": sharding.query,
     "op7_dynamic_packing": packing.query,
+    "op8_string_tiling": decontamination.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLES = {
