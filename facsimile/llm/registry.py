@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from facsimile.llm import decontamination, html_extraction, packing, quality_classifier, quality_rules, sharding, toxicity
+from facsimile.llm import (
+    decontamination, html_extraction, language_model, packing, quality_classifier, quality_rules, sharding, toxicity)
 
 QUERIES = {
     "op1_cotraining_quality": quality_classifier.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_dynamic_packing": packing.query,
     "op8_string_tiling": decontamination.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_elias_fano_lm": language_model.query,
 }
 ORACLES = {
     "op9_quality_rules": quality_rules.oracle(),
