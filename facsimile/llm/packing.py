@@ -38,7 +38,7 @@ WORD_PENALTY = 24
 #: Tokens between cuts inside a sentence.
 WORD_STEP = 64
 SEGMENT = 1 << 19
-IDS_PER_BLOCK = 2048
+IDS_PER_BLOCK = 512
 END_ID = 1
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "block long")
