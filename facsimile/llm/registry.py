@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from facsimile.llm import (
     decontamination, html_extraction, jaccard_join, language_model, packing, quality_classifier, quality_rules, sharding,
-    toxicity)
+    suffix_dedup, toxicity)
 
 QUERIES = {
     "op1_cotraining_quality": quality_classifier.query,
     "op2_toxicity_neighbours": toxicity.query,
+    "op3_suffix_factors": suffix_dedup.query,
     "op4_site_templates": html_extraction.query,
     "op5_signature_trees": jaccard_join.query,
     "op6_vector_sharding": sharding.query,
