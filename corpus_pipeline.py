@@ -1,12 +1,56 @@
-"""A corpus from documents: stages of the training-data operators, one after another."""
+"""A training corpus from raw documents: five operators, one after another.
 
-STAGES = []
+Each stage works on all rows its predecessor kept. All but the last return the
+columns of ``documents``; the last returns pieces of token sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from facsimile.llm import decontamination, jaccard_join, packing, quality_classifier, suffix_dedup
+from facsimile.sources.staging import stage
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).keep(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the first stays."""
+    return jaccard_join.keep_first(docs, k=5, percent=80)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes and more that occur earlier are cut out of the texts."""
+    return suffix_dedup.cut(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048, as pieces of documents."""
+    return packing.pack(docs, packing.public_tokenizer())
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("suffix-array dedup", without_repeated_passages),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
+]
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over the documents table."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what passes between two is written once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, apply) in enumerate(STAGES):
+        docs = apply(spark, docs if not i else stage(docs, "corpus"), sf_dir)
     return docs

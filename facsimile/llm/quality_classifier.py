@@ -34,8 +34,8 @@ TEXT_FEATURES, META_FEATURES = 1 << 15, 1 << 12
 VIEWS = ("text", "meta")
 #: A view passes a label on where its calibrated probability of good quality is beyond these.
 SURE_BAD, SURE_GOOD = 0.02, 0.98
-LEAST_CHI_SQUARED = 28.4
-LEAST_DOCUMENTS = 8
+LEAST_CHI_SQUARED = 15.1
+LEAST_DOCUMENTS = 4
 #: Bins of raw scores (text view) and of combined ones, for calibration.
 BINS = 512
 GRID = 48
