@@ -1,6 +1,7 @@
 """Marginal distributions as tables of segments.
 
-Every column is drawn the same way: a uniform u picks the segment with
+Columns with a closed form (normal, cut to a range or not) are drawn from it.
+Every other is drawn the same way: a uniform u picks the segment with
 lo <= u < hi, and the value lies between x0 and x1 in proportion. Steps have
 x0 = x1. The whole inverse distribution function of a column is thus a few
 rows, computed from its profile alone.
@@ -8,9 +9,10 @@ rows, computed from its profile alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.functions.hashed import _ERFC, normal_cdf, normal_quantile, normal_tail
 from facsimile.operators.sizing import exclusive_total
 
 KEYS = ["grp", "column_name"]
@@ -67,71 +69,111 @@ def _bin_segments(chosen: DataFrame, histogram: DataFrame) -> DataFrame:
     )
 
 
-def _curve_segments(chosen: DataFrame, sample: DataFrame) -> DataFrame:
-    """Segments of smooth curves at equal steps of u, from a bounded row of parameters each.
+def _tail_steps() -> list[float]:
+    """Probabilities a density is laid out at: even steps, and ever finer ones towards both ends."""
+    fine = [2.0 ** (-k / 8) for k in range(8 * 50, 8 * 10, -1)]
+    even = [k / GRID for k in range(1, GRID)]
+    return sorted({0.0, *fine, *even, *[1.0 - p for p in fine], 1.0})
+
+
+def _erfc(x):
+    """Complementary error function of an array of x >= 0, relatively exact to 1.2e-7."""
+    import numpy as np
+
+    t = 1.0 / (1.0 + 0.5 * x)
+    poly = np.zeros_like(t)
+    for c in _ERFC:
+        poly = poly * t + c
+    return t * np.exp(poly - x * x)
 
-    A density estimate is a Gaussian kernel on at most 1000 sample values with
-    Scott's bandwidth, held to the column's range; a normal is cut to the range.
+
+def density_curve(points, steps):
+    """Quantiles at ``steps`` of a Gaussian kernel estimate with Scott's bandwidth.
+
+    Each half of the distribution is inverted from its own tail, in logarithms,
+    so the far ends are as exact as the middle.
     """
+    import numpy as np
+
+    points = np.sort(np.asarray(points, dtype=float))
+    width = points.std(ddof=1) * len(points) ** -0.2
+    if width == 0:
+        return np.full(len(steps), points[0])
+    xs = np.linspace(points[0] - 8.5 * width, points[-1] + 8.5 * width, 6 * GRID)
+
+    def tail(side):
+        """Log chance to lie beyond xs on one side."""
+        out = []
+        for part in np.array_split(xs, 24):
+            z = side * (part[:, None] - points[None, :]) / width
+            half = 0.5 * _erfc(np.abs(z) * np.sqrt(0.5))
+            out.append(np.where(z >= 0, half, 1.0 - half).mean(axis=1))
+        return np.log(np.maximum(np.concatenate(out), 1e-300))
+
+    steps = np.asarray(steps)
+    below, above = tail(-1.0), tail(1.0)
+    low = np.interp(np.log(np.maximum(steps, 2.0**-53)), np.maximum.accumulate(below), xs)
+    rest = np.log(np.maximum(1.0 - steps, 2.0**-53))
+    high = np.interp(-rest, np.maximum.accumulate(-above), xs)
+    return np.maximum.accumulate(np.where(steps < 0.5, low, high))
+
+
+def _curve_segments(chosen: DataFrame, sample: DataFrame) -> DataFrame:
+    """Segments of density estimates on at most 1000 sample values each, held to the column's range."""
     values = sample.groupBy(*KEYS).agg(F.collect_list("value").alias("values"))
-    rows = chosen.join(values, KEYS, "left").select(
-        *KEYS, "strategy", "mean", "std_dev", "min_value", "max_value", "values")
+    rows = chosen.join(values, KEYS, "left").select(*KEYS, "min_value", "max_value", "values")
 
     def curves(batches):
         from math import inf
-        from statistics import NormalDist
 
         import numpy as np
         import pandas as pd
 
-        unit = NormalDist()
-
-        def phi(z):
-            # Abramowitz & Stegun 7.1.26.
-            x = np.abs(z) / np.sqrt(2.0)
-            t = 1.0 / (1.0 + 0.3275911 * x)
-            poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-            tail = 0.5 * poly * np.exp(-x * x)
-            return np.where(z >= 0, 1.0 - tail, tail)
-
-        def density(points):
-            points = np.sort(np.asarray(points, dtype=float))
-            width = points.std(ddof=1) * len(points) ** -0.2
-            if width == 0:
-                return np.full(GRID_SIZE + 1, points[0])
-            xs = np.linspace(points[0] - 6 * width, points[-1] + 6 * width, 4 * GRID_SIZE)
-            cdf = np.concatenate([
-                phi((part[:, None] - points[None, :]) / width).mean(axis=1) for part in np.array_split(xs, 16)
-            ])
-            return np.interp(steps, np.maximum.accumulate(cdf), xs)
-
-        def bell(mean, std, low, high):
-            a = unit.cdf((low - mean) / std) if low > -inf else 0.0
-            b = unit.cdf((high - mean) / std) if high < inf else 1.0
-            inner = np.clip(a + steps * (b - a), 1e-12, 1.0 - 1e-12)
-            return np.array([mean + std * unit.inv_cdf(p) for p in inner])
-
-        steps = np.linspace(0.0, 1.0, GRID_SIZE + 1)
+        steps = np.array(_tail_steps())
         for frame in batches:
             for row in frame.itertuples(index=False):
                 low = -inf if pd.isna(row.min_value) else row.min_value
                 high = inf if pd.isna(row.max_value) else row.max_value
-                if row.strategy == "density":
-                    x = density(row.values)
-                else:
-                    x = bell(row.mean, row.std_dev, low, high)
-                x = np.clip(x, low, high)
+                x = np.clip(density_curve(row.values, steps), low, high)
                 yield pd.DataFrame({
                     "grp": row.grp, "column_name": row.column_name,
                     "lo": steps[:-1], "hi": steps[1:], "x0": x[:-1], "x1": x[1:],
                 })
 
-    GRID_SIZE = GRID
     return rows.mapInPandas(curves, SEGMENT)
 
 
+#: Strategies with a closed form, which need no segments.
+BELLS = ("normal", "truncated_normal")
+
+
+def bell_draw(u: Column, z: Column | None, mean: Column, std: Column, low: Column, high: Column) -> Column:
+    """A normal cut to [low, high] (null: open) at the uniform ``u``, or at the normal score ``z`` if there is one.
+
+    Draws above the median count their chance from the upper end, so both tails
+    keep their digits.
+    """
+    a, b = (low - mean) / std, (high - mean) / std
+    none = F.lit(0.0)
+    below, beyond = F.coalesce(normal_cdf(a), none), F.coalesce(normal_tail(b), none)
+    if z is None:
+        lower, upper = u, F.lit(1.0) - u
+        first_half = u < 0.5
+        open_score = F.when(first_half, normal_quantile(lower)).otherwise(-normal_quantile(upper))
+    else:
+        lower, upper = normal_cdf(z), normal_tail(z)
+        first_half = z < 0
+        open_score = z
+    left_out = below + beyond
+    score = F.when(first_half, normal_quantile(below + lower * (F.lit(1.0) - left_out))).otherwise(
+        -normal_quantile(beyond + upper * (F.lit(1.0) - left_out)))
+    bounded = low.isNotNull() | high.isNotNull()
+    value = mean + std * F.when(bounded, score).otherwise(open_score)
+    return F.least(F.greatest(value, low), high)
+
+
 def numeric_segments(chosen: DataFrame, histogram: DataFrame, sample: DataFrame) -> DataFrame:
-    """Segments of all numeric columns but keys: (grp, column_name, lo, hi, x0, x1).
+    """Segments of all numeric columns but keys and bells: (grp, column_name, lo, hi, x0, x1).
 
     ``chosen`` comes from :func:`strategies`.
     """
@@ -141,5 +183,5 @@ def numeric_segments(chosen: DataFrame, histogram: DataFrame, sample: DataFrame)
     flat = of("constant", "uniform").select(
         *KEYS, F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), low.alias("x0"), high.alias("x1"))
     bins = _bin_segments(of("discrete", "histogram"), histogram)
-    curves = _curve_segments(of("density", "truncated_normal", "normal"), sample)
+    curves = _curve_segments(of("density"), sample)
     return flat.unionByName(bins).unionByName(curves)

@@ -16,7 +16,7 @@ from facsimile.operators.columns import ROOT
 from facsimile.operators.copula import mixing_rows
 from facsimile.operators.draws import Size, by_segment, draw_category, draw_numeric
 from facsimile.operators.fakes import fake
-from facsimile.operators.marginals import numeric_segments, strategies
+from facsimile.operators.marginals import BELLS, bell_draw, numeric_segments, strategies
 from facsimile.operators.ordered import ordered
 from facsimile.operators.sizing import SMALL_ROWS, broadcast_if_small, exclusive_total
 from facsimile.plans.profile import Profile
@@ -74,12 +74,12 @@ class Generator:
         """
         ids = self.spark.range(0, self.n, 1, self.partitions)
         size = F.lit(self.n).cast("bigint")
-        pos = permuted(F.col("id"), size, self.n, "row", self.seed)
+        pos = permuted(F.col("id"), size, "row", self.seed)
         if not self.by:
             return ids.select(pos.alias("pos"), F.lit(ROOT).alias("grp"), pos.alias("idx"), size.alias("size"))
         bounds = self.group_bounds()
         groups = bounds.count()
-        deal = permuted(F.col("id"), size, self.n, "group", self.seed)
+        deal = permuted(F.col("id"), size, "group", self.seed)
         placed = ids.select(pos.alias("pos"), deal.alias("deal"), F.lit("all").alias("grp"))
         placed = placed.withColumn("_u", (F.col("deal") + 0.5) / self.n)
         segments = bounds.select(
@@ -127,6 +127,9 @@ class Generator:
             wanted[f"missing_{i}"] = F.max(F.when(at, gaps))
             wanted[f"decimals_{i}"] = F.max(F.when(at, F.col("decimals")))
             wanted[f"strategy_{i}"] = F.max(F.when(at, F.col("strategy")))
+            if not set(BELLS).isdisjoint(self.facts[i]["strategies"]):
+                for figure in ("mean", "std_dev", "min_value", "max_value"):
+                    wanted[f"{figure}_{i}"] = F.max(F.when(at, F.col(figure)))
         table = self.plan.groupBy("grp").agg(*[c.alias(a) for a, c in wanted.items()])
         factors = None
         if len(self.numeric) > 1:
@@ -136,7 +139,7 @@ class Generator:
             factors = mixing_rows(correlations, self._copula_order(), self.rank_exact)
         if not self.by:
             row = table.first().asDict()
-            constants = {a: F.lit(v) for a, v in row.items() if a != "grp"}
+            constants = {a: F.lit(v).cast(table.schema[a].dataType) for a, v in row.items() if a != "grp"}
             if factors is not None:
                 found = factors.first()
                 constants["factor"] = list(found["factor"]) if found else None
@@ -160,7 +163,7 @@ class Generator:
             rows = rows.join(broadcast_if_small(side, self.groups), "grp", "left")
         at = [F.col("pos"), F.col("grp")]
         rows = self._with_uniforms(rows, constants, at)
-        numeric_drawn = self.plan.where(~F.col("strategy").isin("key", "empty", "categories", "semantic"))
+        numeric_drawn = self.plan.where(~F.col("strategy").isin("key", "empty", "categories", "semantic", *BELLS))
         segments, sizes = None, {}
         if self.numeric:
             segments = stage(numeric_segments(numeric_drawn, self.profile.histogram, self.profile.sample), "segments")
@@ -172,13 +175,25 @@ class Generator:
             if name in sizes:
                 own = segments.where(F.col("column_name") == name).drop("column_name")
                 rows = draw_numeric(rows, f"u_{i}", own, sizes[name], f"v_{i}")
-            elif "categories" in kinds:
+            if not kinds.isdisjoint(BELLS):
+                rows = self._with_bell(rows, i, constants, name in sizes)
+            if name not in sizes and "categories" in kinds:
                 own = self.profile.frequencies.where(F.col("column_name") == name).select("grp", "value", "weight")
                 size = Size(fact["most_unique"], fact["all_unique"], self.groups)
                 rows = draw_category(rows, f"u_{i}", own, size, f"v_{i}")
         output = [self._finished(i, fact, constants, at) for i, fact in enumerate(self.facts)]
         return rows.select(output)
 
+    def _with_bell(self, rows: DataFrame, i: int, constants: dict, drawn: bool) -> DataFrame:
+        """``v_<i>`` of the groups in which the column is normal, cut to its range or not."""
+        z = F.col(f"z_{i}") if f"z_{i}" in rows.columns else None
+        figure = lambda name: constants[f"{name}_{i}"]
+        strategy = constants[f"strategy_{i}"]
+        cut = lambda name: F.when(strategy == "truncated_normal", figure(name))
+        value = bell_draw(F.col(f"u_{i}"), z, figure("mean"), figure("std_dev"), cut("min_value"), cut("max_value"))
+        other = F.col(f"v_{i}") if drawn else F.lit(None).cast("double")
+        return rows.withColumn(f"v_{i}", F.when(strategy.isin(*BELLS), value).otherwise(other))
+
     def _with_uniforms(self, rows: DataFrame, constants: dict, at: list[Column]) -> DataFrame:
         """Add ``u_<i>``: correlated through the copula for numeric columns, else independent."""
         index = {c: i for i, c in enumerate(self.names)}
@@ -258,7 +273,7 @@ class Generator:
             return F.lit(None).cast(dtype).alias(name)
         if fact["most_missing"] > 0 and fact["strategy"] != "key":
             missing = F.floor(constants[f"missing_{i}"] / 100.0 * F.col("size"))
-            place = permuted(F.col("idx"), F.col("size"), self.n, f"gap/{name}", self.seed, F.col("grp"))
+            place = permuted(F.col("idx"), F.col("size"), f"gap/{name}", self.seed, F.col("grp"))
             value = F.when(place >= missing, value)
         return value.alias(name)
 
