@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.hashed import normal
+from facsimile.functions.missing import present
 from facsimile.operators.ordered import ordered
 from facsimile.sources.staging import stage
 
@@ -63,10 +64,11 @@ def mixing_rows(correlations: DataFrame, names: list[str], rank_exact: bool = Fa
 def impose_rank_correlation(df: DataFrame, columns: list[str], correlation: list[list[float]], seed: int = 0) -> DataFrame:
     """Reorder the values within numeric columns so that their ranks correlate as asked.
 
-    Each column keeps its values and the places of its nulls. Rows get
+    Each column keeps its values, in their own type, and the places of its nulls. Rows get
     correlated normal scores; the value of rank r goes to the row whose score
     has rank r among the column's present rows. All columns share two range
-    sorts and one join on (column, rank), whose keys are unique.
+    sorts and one join on (column, rank), whose keys are unique. The same rows
+    give the same result however they are laid out.
     """
     import numpy as np
 
@@ -76,26 +78,43 @@ def impose_rank_correlation(df: DataFrame, columns: list[str], correlation: list
     values, vectors = np.linalg.eigh(target)
     root = vectors * np.sqrt(np.clip(values, 0.0, None))
 
-    # The row id must not change between uses, so it is written down first.
-    rows = stage(df.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    noise = rows.select("_rid", *columns, *[normal(f"copula/{j}", seed, F.col("_rid")).alias(f"_g{j}") for j in range(len(columns))])
+    # Rows are numbered in the order of their values' hash, so the result depends on the rows
+    # alone; equal rows may swap numbers, which changes nothing, and are spread by the tie.
+    names = df.columns
+    columns = [f"c{names.index(c)}" for c in columns]
+    df = df.toDF(*[f"c{i}" for i in range(len(names))])  # names of any kind pass through Arrow
+    cells_of_row = [F.col(c) for c in df.columns]
+    numbered = df.withColumns({
+        "_all": F.lit(0), "_one": F.lit(1).cast("bigint"), "_hash": F.xxhash64(*cells_of_row),
+        "_tie": F.monotonically_increasing_id()})
+    rows = stage(ordered(numbered, ["_all"], ["_hash", "_tie"], ["_one"], "rows").positioned().select(
+        *cells_of_row, F.col("cum__one").alias("_rid")), "rows")
+    noise = rows.select("_rid", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)],
+                        *[normal(f"copula/{j}", seed, F.col("_rid")).alias(f"_g{j}") for j in range(len(columns))])
+    # One slot per data type: a value is ordered and carried as what it is.
+    types = {f.name: f.dataType for f in df.schema}
+    kinds = list(dict.fromkeys(types[c].simpleString() for c in columns))
+    slots = [f"_s{k}" for k in range(len(kinds))]
     cells = []
     for i, c in enumerate(columns):
         z = F.lit(0.0)
         for j in range(len(columns)):
             z = z + F.col(f"_g{j}") * float(root[i, j])
-        cells.append(F.struct(F.lit(i).alias("cid"), F.col(f"`{c}`").cast("double").alias("value"), z.alias("z")))
-    long = noise.select("_rid", F.inline(F.array(*cells))).where("value IS NOT NULL AND NOT isnan(value)")
+        own = present(f"_c{i}", types[c])
+        cells.append(F.struct(
+            F.lit(i).alias("cid"), z.alias("z"), own.isNotNull().alias("has"),
+            *[(own if kind == types[c].simpleString() else F.lit(None)).cast(kind).alias(slot) for kind, slot in zip(kinds, slots)]))
+    long = noise.select("_rid", F.inline(F.array(*cells))).where("has").drop("has")
     long = long.withColumn("one", F.lit(1).cast("bigint"))
-    by_value = ordered(long.select("cid", "value", "_rid", "one"), ["cid"], ["value", "_rid"], ["one"], "by-value")
+    by_value = ordered(long.select("cid", *slots, "_rid", "one"), ["cid"], [*slots, "_rid"], ["one"], "by-value")
     by_score = ordered(long.select("cid", "z", "_rid", "one"), ["cid"], ["z", "_rid"], ["one"], "by-score")
-    placed = by_value.positioned().select("cid", "cum_one", "value").join(
+    placed = by_value.positioned().select("cid", "cum_one", *slots).join(
         by_score.positioned().select("cid", "cum_one", "_rid"), ["cid", "cum_one"])
+    slot_of = {c: slots[kinds.index(types[c].simpleString())] for c in columns}
     wide = placed.groupBy("_rid").agg(*[
-        F.max(F.when(F.col("cid") == i, F.col("value"))).alias(f"_v{i}") for i in range(len(columns))
+        F.max(F.when(F.col("cid") == i, F.col(slot_of[c]))).alias(f"_v{i}") for i, c in enumerate(columns)
     ])
-    types = {f.name: f.dataType for f in df.schema}
     position = {c: i for i, c in enumerate(columns)}
     return rows.join(wide, "_rid", "left").select([
-        F.col(f"_v{position[c]}").cast(types[c]).alias(c) if c in position else F.col(f"`{c}`") for c in df.columns
-    ])
+        F.col(f"_v{position[c]}").alias(c) if c in position else F.col(c) for c in df.columns
+    ]).toDF(*names)
