@@ -62,12 +62,15 @@ def decimals_of(value: Column) -> Column:
 
 
 def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
-    """Asymptotic two-sample Kolmogorov-Smirnov p-value.
+    """Two-sample Kolmogorov-Smirnov p-value at the effective size of both samples.
 
-    Two expansions of the same limit law, each used where it converges fast.
+    The argument is corrected for a finite size (Vrbik's expansion); then two
+    expansions of the limit law, each used where it converges fast.
     """
-    size = F.round(n.cast("double") * m / (n + m))
-    x = statistic * F.sqrt(size)
+    size = F.greatest(F.round(n.cast("double") * m / (n + m)), F.lit(1.0))
+    root = F.sqrt(size)
+    x = statistic * root
+    x = F.when(statistic == 0, F.lit(0.0)).otherwise(x + F.lit(1.0) / (root * 6.0) + (x - 1.0) / (size * 4.0))
     upper = F.lit(0.0)
     for k in range(1, 9):
         upper = upper + F.exp(x * x * (-2.0 * k * k)) * (2.0 if k % 2 else -2.0)

@@ -67,8 +67,8 @@ def numeric_cells(df: DataFrame, columns: list[str], by: str | None = None,
     """One row (grp, cid, value, wide) per present numeric cell.
 
     ``gaps`` adds counters: under each of its names, 1 where the column it
-    names is present in the same row, else 0. ``value`` is a double. ``wide`` keeps integers beyond 2**53 apart, which a
-    double would merge; it is null otherwise.
+    names is present in the same row, else 0. ``value`` is a double. ``wide`` keeps apart, and in order, integers
+    beyond 2**53 and decimals beyond 15 digits, which a double would merge; it is null otherwise.
     """
     types = {f.name: f.dataType for f in df.schema}
     cells = []
@@ -77,6 +77,12 @@ def numeric_cells(df: DataFrame, columns: list[str], by: str | None = None,
         wide = F.lit(None).cast("bigint")
         if isinstance(types.get(name), T.LongType):
             wide = F.when((col >= EXACT) | (col <= -EXACT), col)
+        elif isinstance(types.get(name), T.DecimalType) and types[name].precision > 15:
+            # what the double leaves out, in units of the last place: equal doubles of different values differ by it
+            scale = types[name].scale
+            near = col.cast("double").try_cast(T.DecimalType(38, scale))
+            rest = (col.cast(T.DecimalType(38, scale)) - near).cast("double") * float(10**scale)
+            wide = F.coalesce(F.round(rest).cast("bigint"), F.lit(0).cast("bigint"))
         beside = [
             F.when(present(other, types[other]).isNotNull(), 1).otherwise(0).cast("bigint").alias(counter)
             for counter, other in (gaps or {}).items()

@@ -34,7 +34,10 @@ def uniqueness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     counted = None
     for group, cells in ((numeric, numeric_cells), (other, text_cells)):
         if group:
-            part = tally(cells(df, group)).groupBy("cid").agg(F.count(F.lit(1)).alias("num_unique"))
+            own = cells(df, group)
+            if group is other:
+                own = own.withColumn("value", F.md5("value"))  # only their number is wanted, so no text is shuffled
+            part = tally(own).groupBy("cid").agg(F.count(F.lit(1)).alias("num_unique"))
             part = part.select(name_of(F.col("cid"), group).alias("column_name"), "num_unique")
             counted = part if counted is None else counted.unionByName(part)
     listing = rows.select("num_rows", F.posexplode(F.array(*[F.lit(c) for c in names])).alias("position", "column_name"))
