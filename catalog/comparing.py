@@ -27,7 +27,9 @@ _KS = """ks AS (
       SELECT column_name, value, 1 AS r, 0 AS s FROM ur UNION ALL SELECT column_name, value, 0, 1 FROM us)
       WHERE value IS NOT NULL GROUP BY column_name, value)
     WINDOW w AS (PARTITION BY column_name ORDER BY value)) GROUP BY column_name)"""
-_X = "(ks_statistic * sqrt(round(CAST(n AS DOUBLE) * m / (n + m))))"
+_SIZE = "greatest(round(CAST(n AS DOUBLE) * m / (n + m)), 1)"
+_PLAIN = f"ks_statistic * sqrt({_SIZE})"
+_X = f"(CASE WHEN ks_statistic = 0 THEN 0.0 ELSE {_PLAIN} + 1.0 / (6 * sqrt({_SIZE})) + ({_PLAIN} - 1.0) / (4 * {_SIZE}) END)"
 _UPPER = " + ".join(f"{'2.0' if k % 2 else '-2.0'} * exp({-2.0 * k * k} * {_X} * {_X})" for k in range(1, 9))
 _LOWER = " + ".join(f"exp({-((2 * k - 1) ** 2) / 8.0} * pi() * pi() / ({_X} * {_X}))" for k in range(1, 5))
 _P = f"""CASE WHEN {_X} <= 0.04 THEN 1.0 WHEN {_X} < 1.18 THEN 1.0 - ({_LOWER}) * sqrt(2.0 * pi()) / {_X}

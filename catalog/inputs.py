@@ -45,6 +45,10 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "flat_rate": "CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey * 0 + 7.5 END",
         "worth": "c_custkey * 10 + c_acctbal / 10",
     }),
+    "customer_letters": ("customer", {
+        c: f"CASE WHEN (c_custkey * {m}) % 10 > 0 THEN c_acctbal + c_custkey % {k} END"
+        for k, (c, m) in enumerate({"high": 7, "name": 3, "length": 9, "rating": 1, "month": 11, "quota": 13}.items(), 2)
+    }),
     "part_shapes": ("part", {
         "half_skewed": "p_retailprice * p_retailprice * p_retailprice * 1e-6",
         "squared_size": "p_size * p_size * 1.5",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import facsimile as fs
-from facsimile.functions.hashed import normal_cdf, normal_quantile, permuted, prime_above, uniform
+from facsimile.functions.hashed import normal_cdf, normal_quantile, normal_tail, permuted, uniform
 from facsimile.operators.correlation import spearman
 
 
@@ -106,17 +106,75 @@ def test_impose_rank_correlation(spark):
     assert out["a"].isna().sum() == 200 and out[["a", "b"]].corr(method="spearman").iloc[0, 1] == pytest.approx(0.78, abs=0.05)
 
 
+def test_impose_rank_correlation_keeps_values_and_layout(spark):
+    from decimal import Decimal
+
+    rows = [((1 << 53) + 2 * i + 1, Decimal(i) / 100 + Decimal("12345678901234567.01"), float(i % 5), "same") for i in range(60)]
+    df = spark.createDataFrame(rows * 2, "`wide.id` bigint, cents decimal(20,2), few double, t string")
+    impose = lambda d: fs.impose_rank_correlation(d, ["wide.id", "cents", "few"], [[1, 0.9, 0], [0.9, 1, 0], [0, 0, 1]])
+    out = impose(df)
+    assert out.schema == df.schema
+    for i in range(3):
+        assert sorted(r[i] for r in out.collect()) == sorted(r[i] for r in df.collect())
+    one, eight = (sorted(map(tuple, impose(df.repartition(p)).collect())) for p in (1, 8))
+    assert one == eight
+
+
 def test_permutations_are_bijections(spark):
-    for n in (1, 2, 97, 1000, 4096):
-        seen = spark.range(n).select(permuted(F.col("id"), F.lit(n), n, "t", 3).alias("p")).distinct()
+    for n in (1, 2, 3, 5, 97, 1000, 4096):
+        seen = spark.range(n).select(permuted(F.col("id"), F.lit(n), "t", 3).alias("p")).distinct()
         assert seen.agg(F.min("p"), F.max("p"), F.count("p")).first() == (0, n - 1, n)
-    for limit, size in ((1 << 35, 1000), (1 << 50, 1000)):
-        seen = spark.range(size).select(permuted(F.col("id"), F.lit(size), limit, "t", 3).alias("p")).distinct()
-        assert seen.agg(F.min("p"), F.max("p"), F.count("p")).first() == (0, size - 1, size)
-    for limit in (1 << 36, 1 << 45):  # large positions without overflow, equal to exact integers
-        p = prime_above(limit, sum((i + 1) * ord(ch) for i, ch in enumerate("t")) * 1_000_003 + 3 * 7919 + 1)
-        got = [r[0] for r in spark.range(limit - 3, limit).select(permuted(F.col("id"), F.lit(limit), limit, "t", 3)).collect()]
-        assert (got[1] - got[0]) % limit == p % limit == (got[2] - got[1]) % limit
+    for size in (1 << 36, 1 << 45, (1 << 45) + 12_345):  # large positions without overflow
+        got = spark.range(size - 500, size).select(permuted(F.col("id"), F.lit(size), "t", 3).alias("p")).agg(
+            F.min("p"), F.max("p"), F.count_distinct("p")).first()
+        assert 0 <= got[0] and got[1] < size and got[2] == 500
+
+
+def test_permutations_are_independent(spark):
+    """Joint counts of two permutations' first tenths, for names whose letters have one weighted sum."""
+    n, tags = 60_000, ["high", "name", "length", "rating", "month", "quota"]
+    table = spark.range(n).select(*[(permuted(F.col("id"), F.lit(n), f"gap/{t}", 3) < n // 10).alias(t) for t in tags])
+    pairs = [(a, b) for i, a in enumerate(tags) for b in tags[:i]]
+    got = table.agg(*[F.count_if(F.col(a) & F.col(b)) for a, b in pairs], *[F.count_if(F.col(t)) for t in tags]).first()
+    assert all(c == n // 10 for c in got[len(pairs):])
+    assert all(abs(c - n / 100) < 5 * (n * 0.1 * 0.1 * 0.9 * 0.9) ** 0.5 for c in got[:len(pairs)])
+
+
+def test_tails_of_bells(spark):
+    from statistics import NormalDist
+
+    from facsimile.operators.marginals import bell_draw
+
+    unit = NormalDist()
+    points = [-8.0, -5.0, -1.0, 0.0, 2.0, 6.0]
+    got = spark.createDataFrame([(z,) for z in points], "z double").select(normal_tail(F.col("z"))).collect()
+    for z, (p,) in zip(points, got):
+        assert p == pytest.approx(unit.cdf(-z), rel=1e-6)
+    none = F.lit(None).cast("double")
+    draw = lambda low, high, z: bell_draw(F.col("u"), z, F.lit(10.0), F.lit(2.0), low, high)
+    for z in points:
+        row = spark.createDataFrame([(unit.cdf(z), z)], "u double, z double").select(
+            draw(none, none, F.col("z")), draw(F.lit(5.0), F.lit(11.0), F.col("z")), draw(F.lit(5.0), F.lit(11.0), None)).first()
+        assert row[0] == pytest.approx(10 + 2 * z, abs=1e-9)
+        a, b = unit.cdf(-2.5), unit.cdf(0.5)
+        expected = 10 + 2 * unit.inv_cdf(a + unit.cdf(z) * (b - a))
+        assert row[1] == pytest.approx(expected, abs=1e-5) and row[2] == pytest.approx(expected, abs=1e-5)
+
+
+def test_density_curve_follows_the_kernels():
+    from statistics import NormalDist
+
+    from facsimile.operators.marginals import _tail_steps, density_curve
+
+    points = np.random.default_rng(0).normal(5, 3, 400)
+    steps = np.array(_tail_steps())
+    curve = density_curve(points, steps)
+    width = points.std(ddof=1) * 400 ** -0.2
+    assert (np.diff(curve) >= 0).all() and (np.diff(steps) > 0).all()
+    for k in (40, 200, 300, len(steps) // 2, len(steps) - 200, len(steps) - 120):
+        cdf = np.mean([NormalDist(x, width).cdf(curve[k]) for x in points])
+        sf = np.mean([NormalDist(-x, width).cdf(-curve[k]) for x in points])
+        assert cdf == pytest.approx(steps[k], rel=0.02) and sf == pytest.approx(1 - steps[k], rel=0.02)
 
 
 def test_random_expressions(spark):
