@@ -8,8 +8,6 @@ just these, and ``bytes.lower()`` changes A-Z alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,20 +36,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def by_batch(make: Callable[[list[bytes], pa.RecordBatch], dict], schema: pa.Schema,
-             text: str = "text", keep: tuple[str, ...] = ("doc_id",)):
-    """A mapInArrow function: per batch, kept columns plus the columns ``make`` returns."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {k: batch.column(batch.schema.get_field_index(k)) for k in keep}
-            columns |= make(as_bytes(batch.column(batch.schema.get_field_index(text))), batch)
-            yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, f.type)
-                 for f in schema for c in (columns[f.name],)], schema=schema)
-
-    return run
+def mapped(rows: DataFrame, run) -> DataFrame:
+    """``rows.mapInArrow(run, rows.schema)`` for columns of any names, dots among them; ``run`` goes by places."""
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*rows.columns)
 
 
 # --- 64-bit hashes -------------------------------------------------------------

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import WordHashes, as_bytes, mixed, quoted, text_rows
+from facsimile.llm.common import WordHashes, as_bytes, mapped, mixed, quoted, text_rows
 from facsimile.sources.staging import stage
 
 MIN_TILE = 5
@@ -213,7 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:last], pa.array(found, batch.column(last).type)], schema=batch.schema)
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = mapped(rows, run)
     if keep:
         return rows.where(quoted(name).isNull()).drop(name)
     leaks = F.coalesce(F.col(name), F.array().cast(leak_type))

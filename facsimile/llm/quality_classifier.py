@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import WordHashes, as_bytes, fold, quoted, shingle_hashes
+from facsimile.llm.common import WordHashes, as_bytes, fold, mapped, quoted, shingle_hashes
 from facsimile.sources.staging import stage
 
 ROUNDS = 3
@@ -181,7 +181,7 @@ class QualityModel:
                     [*batch.columns[:-1], pa.StructArray.from_arrays([pa.array(s, pa.float64()) for s in scores], fields=list(kind))],
                     schema=batch.schema)
 
-        return rows.mapInArrow(run, rows.schema)
+        return mapped(rows, run)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text_score, meta_score, score, good) of every row: chances of good quality, good where 0.5 or more.

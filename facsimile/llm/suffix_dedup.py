@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import as_bytes, mixed, quoted, signed
+from facsimile.llm.common import as_bytes, mapped, mixed, quoted, signed
 from facsimile.sources.staging import stage
 
 WIDTH = 100
@@ -475,9 +475,9 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
             if count_at is not None:
                 counts = [c if n is o else len(n) for c, o, n in zip(batch.column(count_at).to_pylist(), old, new)]
                 columns[count_at] = pa.array(counts, batch.column(count_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, batch.schema.field(batch.num_columns - 1).type)], schema=batch.schema)
 
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run).drop(names["found"])
 
 
 def without(data: bytes, found: list[dict]) -> str:

@@ -14,7 +14,7 @@ def documents(spark, texts, ids=None, partitions=3, **extra):
     df = spark.createDataFrame(rows, DOCS).repartition(partitions)
     from pyspark.sql import functions as F
 
-    for name, value in extra.items():
+    for name, value in {**extra, "a.dotted name": "clash"}.items():
         df = df.withColumn(name, F.lit(value))
     return df
 

@@ -46,7 +46,7 @@ def test_edges(spark):
     odd = documents(spark, [None, "", "calm words number", "BAD!!! " * 200_000, "x", "x"], ids=[1000, None, 1, 3, 7, 7])
     odd = odd.withColumn("lang", F.lit(None).cast("string")).withColumn(
         "n_chars", F.when(F.col("doc_id") == 7, -1).otherwise(F.col("n_chars")))
-    model = qc.fit(docs.select(*odd.columns).unionAll(odd), labels)
+    model = qc.fit(docs.select(*(f"`{c}`" for c in odd.columns)).unionAll(odd), labels)
     got = model.score(odd).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert model.score(documents(spark, [])).count() == 0
