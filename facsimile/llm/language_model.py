@@ -35,7 +35,7 @@ from facsimile.sources.staging import stage
 UNIGRAMS = 1 << 19
 DISCOUNT = 0.75
 #: Tokens a shard is meant to hold, and tokens coded at a time.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 BATCH_TOKENS = 1_000_000
 #: A context with more than this share of a shard's tokens is salted.
 HOT_SHARE = 0.25
@@ -326,8 +326,9 @@ def shard_trie(known: Unigrams, contexts: np.ndarray, words: np.ndarray, shard:
     return trie, heads, tokens
 
 
-def _scored(known: Unigrams, blobs: list[bytes], begin: int, shard: int) -> tuple[np.ndarray, ...]:
-    """Per document of a shard: uid, log10(count + 1) summed over its contexts, known contexts, log10 probabilities."""
+def _scored(known: Unigrams, blobs: list[bytes], begin: int, shard: int) -> Iterator[tuple[int, bytes]]:
+    """Per block of documents and for each of these: its place, log10(count + 1) summed over its contexts, known contexts,
+    log10 probabilities."""
     contexts, words, uid, trains = (np.concatenate(x) for x in zip(*map(_decoded, blobs)))
     order = np.lexsort((words, contexts))
     contexts, words, uid, trains = contexts[order], words[order], uid[order], trains[order]
@@ -348,8 +349,15 @@ def _scored(known: Unigrams, blobs: list[bytes], begin: int, shard: int) -> tupl
     is_word = c != np.uint64(begin)
     base = np.where(is_word, np.log10(n + 1), 0.0)
     docs, at = np.unique(uid, return_inverse=True)
-    return (docs, np.bincount(at, base[which]), np.bincount(at, (is_word & (n > 0))[which]).astype(np.int64),
+    sums = (docs, np.bincount(at, base[which]), np.bincount(at, (is_word & (n > 0))[which]).astype(np.int64),
             np.bincount(at, log_p[which]))
+    # by block, so that few rows leave a shard however many documents it meets
+    firsts = np.unique([np.frombuffer(x, "<i8", 1)[0] for x in blobs])
+    edges = np.r_[np.searchsorted(docs, firsts), len(docs)]
+    for first, lo, hi in zip(firsts.tolist(), edges, edges[1:]):
+        part = [x[lo:hi] for x in sums]
+        yield first, b"".join(((part[0] - first).astype("<u4").tobytes(), part[1].astype("<f8").tobytes(),
+                               part[2].astype("<u4").tobytes(), part[3].astype("<f8").tobytes()))
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,7 +373,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(known)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     begin, end = (WordHashes()[x] for x in (BEGIN, END))
-    names = ["shard", "blob", "doc_id", "uid", "held_out", "n_tokens"]
+    names = ["shard", "blob", "doc_id", "uid", "first", "held_out", "n_tokens"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A blob per shard of some documents, and a row per document."""
@@ -387,31 +395,28 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
                     pa.array([x for x, _ in blobs] + [int(u) % shared.value.shards for u in uid[a:b]], pa.int64()),
                     pa.array([x for _, x in blobs] + [None] * n, pa.binary()),
                     pa.array([None] * k + batch.column(0)[a:b].to_pylist(), batch.column(0).type),
-                    pa.array([None] * k + uid[a:b].tolist(), pa.int64()),
+                    pa.array([None] * k + uid[a:b].tolist(), pa.int64()), pa.array(np.full(k + n, uid[a])),
                     pa.array([None] * k + held_out[a:b].tolist(), pa.bool_()),
                     pa.array([None] * k + [len(x) + 1 for x in held_words], pa.int64())], names=names)
                 a = b
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per document of a shard; the documents' own rows pass through."""
-        fields = ["uid", "doc_id", "held_out", "n_tokens", "base", "known", "log_p"]
+        """Sums of each block in a shard; the documents' own rows pass through."""
         current, blobs = None, []
 
         def closed():
-            uid, base, n, log_p = _scored(shared.value, blobs, begin, current)
-            none = lambda kind: pa.nulls(len(uid), kind)
+            found = list(_scored(shared.value, blobs, begin, current))
+            none = lambda kind: pa.nulls(len(found), kind)
             return pa.RecordBatch.from_arrays(
-                [pa.array(uid), none(kind_of_id), none(pa.bool_()), none(pa.int64()), pa.array(base), pa.array(n),
-                 pa.array(log_p)], names=fields)
+                [none(pa.int64()), pa.array([x for _, x in found], pa.binary()), none(kind_of_id), none(pa.int64()),
+                 pa.array([x for x, _ in found], pa.int64()), none(pa.bool_()), none(pa.int64())], names=names)
 
         for batch in batches:
             kind_of_id = batch.column(2).type
             is_doc = batch.column(1).is_null()
             own = batch.filter(is_doc)
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(3), own.column(2), own.column(4), own.column(5), pa.array(np.zeros(own.num_rows)),
-                     pa.array(np.zeros(own.num_rows, np.int64)), pa.array(np.zeros(own.num_rows))], names=fields)
+                yield own
             rest = batch.filter(pa.compute.invert(is_doc))
             for at, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist()):
                 if at != current and blobs:
@@ -422,13 +427,44 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
         if blobs:
             yield closed()
 
-    coded = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
-        code, f"shard long, blob binary, doc_id {id_type}, uid long, held_out boolean, n_tokens long")
-    sums = coded.repartition(known.shards, "shard").sortWithinPartitions("shard").mapInArrow(
-        look_up, f"uid long, doc_id {id_type}, held_out boolean, n_tokens long, base double, known long, log_p double")
-    totals = sums.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("log_p").alias("log_p"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, documents first: what each shard has of them added up."""
+        fields = ["doc_id", "held_out", "n_tokens", "base", "known", "log_p"]
+        current, own, sums = None, [], None
+
+        def closed():
+            docs_ = pa.Table.from_batches(own)
+            return pa.RecordBatch.from_arrays(
+                [docs_.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens")]
+                + [pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], names=fields)
+
+        for batch in batches:
+            firsts = batch.column(4).to_numpy()
+            edges = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1], True])
+            for lo, hi in zip(edges, edges[1:]):
+                part = batch.slice(lo, hi - lo)
+                if firsts[lo] != current:
+                    if own:
+                        yield closed()
+                    current, own, sums = firsts[lo], [], None
+                is_doc = part.column(1).is_null()
+                if (docs_ := part.filter(is_doc)).num_rows:
+                    own.append(docs_)
+                for blob in part.filter(pa.compute.invert(is_doc)).column(1).to_pylist():
+                    if sums is None:
+                        sums = np.zeros((3, sum(x.num_rows for x in own)))
+                    n = len(blob) // 24
+                    at = np.frombuffer(blob, "<u4", n)
+                    for k, (kind, place) in enumerate((("<f8", 4), ("<u4", 12), ("<f8", 16))):
+                        sums[k, at] += np.frombuffer(blob, kind, n, place * n)
+        if own:
+            yield closed()
+
+    kinds = f"shard long, blob binary, doc_id {id_type}, uid long, first long, held_out boolean, n_tokens long"
+    coded = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(code, kinds)
+    sums = coded.repartition(known.shards, "shard").sortWithinPartitions("shard").mapInArrow(look_up, kinds)
+    totals = sums.repartition("first").sortWithinPartitions("first", F.asc_nulls_last("uid")).mapInArrow(
+        add_up, f"doc_id {id_type}, held_out boolean, n_tokens long, base double, known long, log_p double")
     spread = math.log10(known.tokens + known.types + 1)
     return totals.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + int(known.ends > 0)).alias("n_known"),
