@@ -46,8 +46,6 @@ HOT_ROWS = 2000
 HOT_LIMIT = 1 << 17
 #: Windows put in suffix order together.
 WINDOWS = 1 << 16
-#: Bytes of per-document lists that are broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -297,11 +295,9 @@ def _packed(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("doc", "none", "th").agg(F.collect_list(F.struct("start", "n")).alias(value))
 
 
-def _joined(rows: DataFrame, lists: DataFrame, value: str, how: str) -> DataFrame:
-    """Documents with their lists: broadcast if all lists together are small, else by a shuffle."""
-    lists = stage(lists, value)
-    size = lists.agg(F.sum(40 + 16 * F.size(value))).first()[0] or 0
-    return rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["doc", "none", "th"], how)
+def _joined(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Documents with their lists, which grow with the corpus, so both sides are shuffled at any size."""
+    return rows.join(lists, ["doc", "none", "th"], how)
 
 
 def _matches_of_contexts(rows: DataFrame, wanted: DataFrame, hot) -> DataFrame:
@@ -372,7 +368,7 @@ def _matches_of_contexts(rows: DataFrame, wanted: DataFrame, hot) -> DataFrame:
                 count += row[4]
         yield from closed()
 
-    texts = _joined(rows, _packed(wanted, "wanted"), "wanted", "inner").select("doc", "none", "th", "raw", "wanted")
+    texts = _joined(rows, _packed(wanted, "wanted"), "inner").select("doc", "none", "th", "raw", "wanted")
     dealt = texts.mapInArrow(contexts, "h long, salt long, " + _RUN + ", bytes binary").repartition("h", "salt")
     return stage(dealt.sortWithinPartitions("h", "salt").mapInArrow(compare, _RUN), "matches")
 
@@ -396,7 +392,7 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     once, repeats = _without_repeats(docs, id_col, text_col)
     rows, found = _spans(once, id_col, text_col)
-    joined = _joined(rows, found, "found", "left").select("doc", "none", "th", "raw", "found")
+    joined = _joined(rows, found, "left").select("doc", "none", "th", "raw", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,15 +449,13 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
     """
     once, _ = _without_repeats(docs, id_col, text_col)
     _, found = _spans(once, id_col, text_col)
-    found = stage(found, "found")
-    size = found.agg(F.sum(40 + 16 * F.size("found"))).first()[0] or 0
     names = {k: f"__{k}" for k in ("doc", "none", "th", "found")}
     lists = found.select(*(F.col(k).alias(v) for k, v in names.items()))
     raw = F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary")
     doc = quoted(id_col)
     on = ((F.coalesce(doc.cast("long"), F.lit(0)) == F.col("__doc")) & (doc.isNull() == F.col("__none"))
           & (F.xxhash64(raw) == F.col("__th")))
-    rows = once.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, on, "left").select(
+    rows = once.join(lists, on, "left").select(
         *(quoted(c) for c in docs.columns), "__found")
     text_at = docs.columns.index(text_col)
     count_at = docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None

@@ -57,7 +57,6 @@ def test_planted_passages(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(sd, "HOT_ROWS", hot_rows)  # a low one salts nearly every shared anchor
     monkeypatch.setattr(sd, "TOGETHER", 3000)
     monkeypatch.setattr(sd, "WINDOWS", 500)
-    monkeypatch.setattr(sd, "BROADCAST_BYTES", 1000 if hot_rows == 5 else sd.BROADCAST_BYTES)
     texts = planted(random.Random(11))
     check(sd.remove_copies(documents(spark, texts, doc="clash", raw="clash", th="clash")).collect(), dict(enumerate(texts)))
 
