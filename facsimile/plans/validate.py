@@ -20,10 +20,14 @@ _METRICS = [
 
 @dataclass
 class Validation:
-    """``columns``: one row of metrics per compared column; ``score``: one row."""
+    """``columns``: one row of metrics per compared column; ``score``: one row.
+
+    ``correlation_status`` says why the correlation error is missing, if it is.
+    """
 
     columns: DataFrame
     score: DataFrame
+    correlation_status: str = "compared"
 
 
 def column_metrics(ref: DataFrame, synth: DataFrame) -> DataFrame:
@@ -51,4 +55,5 @@ def validate_tables(ref: DataFrame, synth: DataFrame) -> Validation:
         columns=lambda: stage(column_metrics(ref, synth), "column-metrics"),
         correlation=lambda: comparison.correlation_error(ref, synth),
     )
-    return Validation(done["columns"], comparison.quality_score(done["columns"], done["correlation"]))
+    status = "compared" if done["correlation"] is not None else "Not enough numeric columns"
+    return Validation(done["columns"], comparison.quality_score(done["columns"], done["correlation"]), status)

@@ -33,3 +33,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop this application's staged tables and cached frames; results not yet read are lost."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    spark.catalog.clearCache()

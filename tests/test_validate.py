@@ -71,8 +71,21 @@ def test_empty_sides_and_missing_columns(spark):
     m = metrics(v)
     assert set(m) == {"v", "s", "e"} and m["v"]["status"] == m["e"]["status"] == "empty"
     assert v.score.first()["distribution_similarity"] == 1.0
-    fidelity = {r["column"]: r for r in fs.numeric_fidelity(v).collect()}
-    assert fidelity["v"]["ks"] == 0.0 and fidelity["e"]["median_error"] == 0.0
+
+
+def test_status_of_the_correlation(spark):
+    words = spark.createDataFrame([("a",), ("b",)], "s string")
+    v = fs.validate_tables(words, words)
+    assert v.correlation_status == "Not enough numeric columns" and v.score.first()["mean_absolute_correlation_error"] is None
+
+
+def test_staged_tables_can_be_dropped(spark, monkeypatch, tmp_path):
+    from facsimile.sources import staging
+
+    monkeypatch.setattr(staging, "staging_root", lambda _: str(tmp_path / "own"))
+    assert staging.stage(spark.range(3), "three").count() == 3 and (tmp_path / "own").exists()
+    fs.release(spark)
+    assert not (tmp_path / "own").exists()
 
 
 def test_no_numeric_columns(spark):
