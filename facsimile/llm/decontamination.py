@@ -228,8 +228,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """All documents, with the benchmark items that leak into each."""
+    """Of all documents those into which a benchmark item leaks, with the items."""
     found = find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select(
-        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"),
-        F.coalesce(F.try_element_at("leaks.coverage", F.lit(1)), F.lit(0.0)).alias("coverage"), "leaks")
+    return found.where(F.size("leaks") > 0).select(
+        "doc_id", F.lit(True).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"),
+        F.try_element_at("leaks.coverage", F.lit(1)).alias("coverage"), "leaks")

@@ -347,4 +347,5 @@ def held_out(doc_id: Column) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, scored."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return fit(docs, labels).score(docs).withColumn("held_out", held_out(F.col("doc_id")))
+    scored = fit(docs, labels).score(docs)
+    return scored.withColumnRenamed("good", "kept").withColumn("held_out", held_out(F.col("doc_id")))

@@ -14,9 +14,9 @@ def test_held_out_accuracy(spark):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     held = [(rows[r.doc_id], r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
             if rows[r.doc_id].held_out]
-    assert all(0 <= r.score <= 1 and r.good == (r.score >= 0.5) for r in rows.values())
-    assert np.mean([r.good == bool(y) for r, y in held]) > 0.95
-    assert np.mean([r.good for r, y in held if y]) > 0.98  # good documents stay
+    assert all(0 <= r.score <= 1 and r.kept == (r.score >= 0.5) for r in rows.values())
+    assert np.mean([r.kept == bool(y) for r, y in held]) > 0.95
+    assert np.mean([r.kept for r, y in held if y]) > 0.98  # good documents stay
     # calibrated: the mean score is near the share of good documents
     assert abs(np.mean([r.score for r, _ in held]) - np.mean([y for _, y in held])) < 0.05
 
