@@ -60,7 +60,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash by word; bounded, since a full table starts anew."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -35,8 +35,8 @@ from facsimile.sources.staging import stage
 UNIGRAMS = 1 << 19
 DISCOUNT = 0.75
 #: Tokens a shard is meant to hold, and tokens coded at a time.
-SHARD_TOKENS = 2_000_000
-BATCH_TOKENS = 1_000_000
+SHARD_TOKENS = 1_000_000
+BATCH_TOKENS = 500_000
 #: A context with more than this share of a shard's tokens is salted.
 HOT_SHARE = 0.25
 WORD_BITS = 40
@@ -206,7 +206,7 @@ def count_words(rows: DataFrame) -> DataFrame:
             for words in _tokens(as_bytes(batch.column(1)), hashes):
                 held.append(words)
                 size += len(words)
-                if size > 4 * BATCH_TOKENS:
+                if size > 6 * BATCH_TOKENS:
                     yield flushed()
                     held, size = [], 0
         if size:
