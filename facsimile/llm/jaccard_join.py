@@ -11,9 +11,10 @@ whole sets.
 
 Only connection matters, so pairs inside a component are never looked at. A
 first round joins every class with its likeliest partner in a few buckets; the
-next take every bucket that still holds several components, at first with the
-likeliest partner per class and component, last with all. The last round leaves
-no possible link unchecked, so the components are exact.
+second takes every bucket that still holds several components, and checks for
+each class the likeliest partner in each other component. Where that one is no
+link, another may be: a third round compares such classes with all others of
+their buckets. So no possible link is left unchecked and components are exact.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ FANOUT = 8
 #: Classes of a bucket that one task compares at a time.
 BLOCK = 4096
 FIRST_TOKENS = 4
+#: The same in the first round, where any partner will do.
+FIRST_BLOCK = 512
 #: Class keys broadcast at most; more are joined by a shuffle.
-MOST_KEYS = 2_000_000
+MOST_KEYS = 500_000
 PAIRS_AT_A_TIME = 60_000
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -56,9 +59,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """About two bits a shingle, a power of two in all."""
+    """One to two bits a shingle, a power of two in all."""
     bits = 128
-    while bits < min(MOST_BITS, 2 * len(shingles)):
+    while bits < min(MOST_BITS, len(shingles)):
         bits *= 2
     out = np.zeros(bits // 8, np.uint8)
     at = (shingles >> np.uint64(40)) % np.uint64(bits)
@@ -133,6 +136,16 @@ def dual_traversal(x: Signatures, y: Signatures, percent: int) -> Iterator[tuple
         work.append((k - 1, ii[real], jj[real]))
 
 
+def _likeliest(a: np.ndarray, b: np.ndarray, overlap: np.ndarray, sizes: np.ndarray, component: np.ndarray):
+    """Of the pairs, both ways round, the likeliest for each member and other component."""
+    likely = overlap / (sizes[a] + sizes[b] - overlap)
+    a, b, likely = np.r_[a, b], np.r_[b, a], np.r_[likely, likely]
+    order = np.lexsort((b, -likely, component[b], a))
+    a, b = a[order], b[order]
+    first = np.r_[True, (a[1:] != a[:-1]) | (component[b[1:]] != component[b[:-1]])]
+    return a[first], b[first]
+
+
 def candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int,
                best_only: bool, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of one bucket that may link two components; with ``best_only`` the likeliest for each
@@ -164,14 +177,45 @@ def candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, perc
     if left is not None:
         keep = left[a] | left[b]
         a, b, overlap = a[keep], b[keep], overlap[keep]
-    if best_only and len(a):
-        likely = overlap / (sizes[a] + sizes[b] - overlap)
-        a, b, likely = np.r_[a, b], np.r_[b, a], np.r_[likely, likely]
-        order = np.lexsort((b, -likely, component[b], a))
-        a, b = a[order], b[order]
-        first = np.r_[True, (a[1:] != a[:-1]) | (component[b[1:]] != component[b[:-1]])]
-        a, b = a[first], b[first]
-    return a, b
+    return _likeliest(a, b, overlap, sizes, component) if best_only and len(a) else (a, b)
+
+
+def small_candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int, best_only: bool,
+                     left: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`candidates` of many buckets at once that are no larger than a tree's root: only the members' own level."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    count = np.diff(np.r_[starts, len(bucket)])
+    owner = np.repeat(np.arange(len(starts)), count)
+    # each member with all later ones of its bucket
+    later = (starts + count)[owner] - np.arange(len(bucket)) - 1
+    a = np.repeat(np.arange(len(bucket)), later)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+    keep = (component[a] != component[b]) & (left[a] | left[b])
+    keep &= (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+    a, b = a[keep], b[keep]
+    length = np.array([len(m) for m in maps])
+    found = []
+    for bits in np.unique(np.minimum(length[a], length[b])).tolist() if len(a) else ():
+        own = np.minimum(length[a], length[b]) == bits
+        i, j = a[own], b[own]
+        used = np.unique(np.r_[i, j])
+        raw = np.empty((len(used), bits), np.uint8)
+        for k, m in enumerate(used.tolist()):
+            one = np.frombuffer(maps[m], np.uint8)
+            while len(one) > bits:
+                one = one[:len(one) // 2] | one[len(one) // 2:]
+            raw[k] = one
+        n, comp = sizes[used], component[used]
+        level = (raw, n, n, comp, comp, n - _POPCOUNT[raw].sum(axis=1))
+        x, y = np.searchsorted(used, i), np.searchsorted(used, j)
+        for at in range(0, len(i), PAIRS_AT_A_TIME):
+            part = slice(at, at + PAIRS_AT_A_TIME)
+            ok, overlap = _possible(level, level, x[part], y[part], percent)
+            found.append((i[part][ok], j[part][ok], overlap[ok]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b, overlap = (np.concatenate(x) for x in zip(*found))
+    return _likeliest(a, b, overlap, sizes, component) if best_only and len(a) else (a, b)
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -240,24 +284,42 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(buckets: DataFrame, percent: int, best_only: bool) -> DataFrame:
     """(hub, member) pairs of classes to check, from rows (token, block, cid, n, map, component, left)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, small = None, [], []
+
+        def out(hub, member):
+            for at in range(0, len(hub), 200_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hub[at:at + 200_000]), pa.array(member[at:at + 200_000])], names=["hub", "member"])
 
         def closed():
-            if len(held) > 1:
+            """A bucket of several levels by itself; small ones wait for others."""
+            if 1 < len(held) <= FANOUT:
+                small.append(held)
+            elif len(held) > 1:
                 cid, n, maps, component, left = zip(*held)
                 cid, component = np.array(cid), np.array(component)
                 a, b = candidates(list(maps), np.array(n), component, percent, best_only, np.array(left))
-                for at in range(0, len(a), 200_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cid[b[at:at + 200_000]]), pa.array(cid[a[at:at + 200_000]])], names=["hub", "member"])
+                yield from out(cid[b], cid[a])
+
+        def gathered():
+            if small:
+                cid, n, maps, component, left = zip(*(x for bucket in small for x in bucket))
+                cid = np.array(cid)
+                bucket = np.repeat(np.arange(len(small)), [len(x) for x in small])
+                a, b = small_candidates(list(maps), np.array(n), np.array(component), percent, best_only, np.array(left), bucket)
+                yield from out(cid[b], cid[a])
+            small.clear()
 
         for batch in batches:
             for token, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (token, block) != key:
                     yield from closed()
                     key, held = (token, block), []
+                    if len(small) >= 2000:
+                        yield from gathered()
                 held.append(row)
         yield from closed()
+        yield from gathered()
 
     dealt = buckets.select("token", "block", "cid", "n", "map", "component", "left")
     return dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(run, "hub long, member long")
@@ -349,23 +411,38 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
     rows = stage(tokens.join(several, "token"), "shared-tokens")
     component = classes.select("cid", F.col("cid").alias("component"))
     true = pairs_done = None
-    for first_only, best_only in ((True, True), (False, True), (False, False)):
+    for number in range(3):
+        first_only, best_only = number == 0, number < 2
+        if number == 2:
+            # classes whose likeliest partner in some other component is no link
+            apart = pairs_done.join(found.select(F.col("u").alias("hub"), F.col("v").alias("member")), ["hub", "member"], "left_anti")
+            of = lambda side: component.select(F.col("cid").alias(side), F.col("component").alias(f"{side}_component"))
+            apart = apart.join(of("hub"), "hub").join(of("member"), "member").where("hub_component <> member_component")
+            open_ = stage(apart.select(F.col("hub").alias("cid")).unionAll(apart.select("member")).distinct()
+                          .withColumn("open", F.lit(True)), "open")
+            if open_.isEmpty():
+                break
+            tokens_left = rows.join(open_.select("cid"), "cid").select("token").distinct()
+            rows = rows.join(tokens_left, "token")
         known = rows.join(component, "cid")
         if first_only:
             # the first tokens of each class; hot buckets are cut by salts, as any partner will do
             rank = F.row_number().over(Window.partitionBy("cid").orderBy("token"))
             known = known.withColumn("rank", rank).where(F.col("rank") <= FIRST_TOKENS).drop("rank")
-            size = known.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+            size = known.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(FIRST_BLOCK)).cast("int").alias("blocks"))
             buckets = known.join(size, "token").withColumn(
                 "block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("left", F.lit(True))
         else:
             buckets = _blocked(known)
+        if number == 2:
+            buckets = buckets.join(open_, "cid", "left").withColumn("left", F.coalesce("open", F.lit(False))).drop("open")
         pairs = _pairs(buckets.join(classes.select("cid", "n", "map"), "cid"), percent, best_only)
         pairs = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
         if pairs_done is not None:
             pairs = pairs.join(pairs_done, ["hub", "member"], "left_anti")
         pairs = stage(pairs, "pairs")
         found = _checked(pairs, classes, docs, k, percent)
+        found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         true = found if true is None else true.unionAll(found)
         pairs_done = pairs if pairs_done is None else pairs_done.unionAll(pairs)
         reached = components(true)

@@ -51,6 +51,7 @@ def family(draw, n, words=60, edits=6):
 
 def test_families_near_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK", 16)  # so that hot buckets are cut
+    monkeypatch.setattr(jj, "FIRST_BLOCK", 12)
     monkeypatch.setattr(jj, "HOT_SHARE", 0.05)
     draw = random.Random(7)
     texts = [t for n, words in ((70, 60), (40, 25), (25, 200), (10, 8), (6, 3)) for t in family(draw, n, words)]
