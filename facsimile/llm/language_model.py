@@ -9,10 +9,10 @@ levels to a file, maps that into memory, and looks up all its tokens by
 successor search. Only sums per document leave a shard.
 
 Smoothing is interpolated absolute discounting over unigrams with add-one
-counts. Unigram counts of the at most UNIGRAMS most frequent words are
-broadcast; rarer words and unknown ones share what probability is left
-equally. All counts themselves cover all training tokens, and those of the
-base score are exact for every word.
+counts, all exact. The counts of the at most UNIGRAMS most frequent words are
+broadcast. For every other word it meets a shard asks the bucket of that word,
+which holds its count: each shard sends its distinct rare words once and gets
+as many counts back, so no table of all words is held anywhere.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import WordHashes, as_bytes, fold, mixed, signed, text_rows
+from facsimile.llm.common import EMPTY, WordHashes, as_bytes, fold, mixed, signed, text_rows
 from facsimile.sources.staging import stage
 
 UNIGRAMS = 1 << 19
@@ -170,7 +170,7 @@ class Trie:
 
 @dataclass
 class Unigrams:
-    """Bounded: the most frequent words, and what all others share."""
+    """Bounded: the most frequent words, and the mean share of all others (their own counts are asked for)."""
 
     tokens: int
     types: int
@@ -180,13 +180,26 @@ class Unigrams:
     log_rest: float
     hot: dict[int, tuple[int, int]]  # context: (tokens, salts)
     shards: int
-
-    def log_prob(self, words: np.ndarray) -> np.ndarray:
+    whole: bool = True  # no word is left out
+
+    @property
+    def buckets(self) -> int:
+        """Of rare words: fewer than shards, so that requests do not grow with the square of the input."""
+        return max(1, math.ceil(8 * math.sqrt(self.shards)))
+
+    def log_prob(self, words: np.ndarray, rare: np.ndarray = EMPTY, counts: np.ndarray = EMPTY) -> np.ndarray:
+        """log10 probabilities; ``rare`` words, ascending, have ``counts``, and words in neither table none."""
+        own = np.zeros(len(words))
+        if len(rare):
+            at = np.searchsorted(rare, words)
+            at[at == len(rare)] = 0
+            own = np.where(rare[at] == words, counts[at], 0)
+        own = np.log10((own + 1) / (self.tokens + self.types + 1))
         if not len(self.words):
-            return np.full(len(words), self.log_rest)
+            return own
         at = np.searchsorted(self.words, words)
         at[at == len(self.words)] = 0
-        return np.where(self.words[at] == words, self.log_p[at], self.log_rest)
+        return np.where(self.words[at] == words, self.log_p[at], own)
 
 
 def _tokens(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
@@ -217,6 +230,11 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 def learn_unigrams(training: DataFrame, all_tokens: int | None = None) -> Unigrams:
     """Totals, and the most frequent words: what a whole count table tells in a bounded size."""
+    return _learned(training)[0]
+
+
+def _learned(training: DataFrame) -> tuple[Unigrams, DataFrame]:
+    """The unigrams, and (word, n) of the words that are not among them."""
     counts = count_words(training)
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).first()
     ends = training.count()
@@ -229,13 +247,15 @@ def learn_unigrams(training: DataFrame, all_tokens: int | None = None) -> Unigra
         if kept + k > UNIGRAMS:
             break
         least, kept = b, kept + k
-    frequent = counts.where(F.floor(F.log2("n") * 16) >= least).toArrow() if least is not None else counts.limit(0).toArrow()
+    is_frequent = F.floor(F.log2("n") * 16) >= least if least is not None else F.lit(False)
+    frequent = counts.where(is_frequent).toArrow()
     words = frequent.column("word").to_numpy().astype(np.int64).view(np.uint64)
     n = frequent.column("n").to_numpy().astype(np.float64)
     shards = max(1, -(-tokens // SHARD_TOKENS))
     limit = max(1.0, HOT_SHARE * tokens / shards)
     begin, end = (WordHashes()[x] for x in (BEGIN, END))
-    known = {int(w): int(c) for w, c in zip(words[n > limit], n[n > limit])}
+    # at most shards / HOT_SHARE words, also where the table is too small for them
+    known = {r.word % (1 << 64): r.n for r in counts.where(F.col("n") > limit).collect()}
     if ends > limit:
         known[begin] = ends
     hot = {w: (c, math.ceil(c / limit)) for w, c in known.items()}
@@ -243,7 +263,40 @@ def learn_unigrams(training: DataFrame, all_tokens: int | None = None) -> Unigra
     low = np.r_[words, np.uint64(end)].astype(np.uint64) & _MASK
     order = np.argsort(low, kind="stable")
     rest = max(1 - p.sum(), 1 / (tokens + types + 1)) / max(1, types - len(words))
-    return Unigrams(tokens, types, ends, low[order], np.log10(p[order]), math.log10(rest), hot, shards)
+    whole = kept == sum(k for _, k in bins)
+    return (Unigrams(tokens, types, ends, low[order], np.log10(p[order]), math.log10(rest), hot, shards, whole),
+            counts.where(~is_frequent))
+
+
+def rare_words(known: Unigrams, words: np.ndarray) -> np.ndarray:
+    """The distinct words, ascending, whose counts a shard has to ask for."""
+    return EMPTY if known.whole else np.setdiff1d(words, known.words)
+
+
+def _requests(known: Unigrams, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, rare words) of a shard."""
+    if known.whole:
+        return
+    rare = rare_words(known, np.concatenate([_decoded(x)[1] for x in blobs]))
+    bucket = rare % np.uint64(known.buckets)
+    for b in np.unique(bucket).tolist():
+        yield b, rare[bucket == b].astype("<u8").tobytes()
+
+
+def _replies(requests: list[bytes], words: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The counts of each request's words, from the counts of one bucket."""
+    words, which = np.unique(words.view(np.uint64) & _MASK, return_inverse=True)
+    n = np.bincount(which, n).astype(np.int64)
+    out = []
+    for blob in requests:
+        asked = np.frombuffer(blob, "<u8")
+        counts = np.zeros(len(asked), np.int64)
+        if len(words):
+            at = np.searchsorted(words, asked)
+            at[at == len(words)] = 0
+            counts = np.where(words[at] == asked, n[at], 0)
+        out.append(counts.astype("<i8").tobytes())
+    return out
 
 
 def _coded(known: Unigrams, docs: list[np.ndarray], trains: np.ndarray, first: int, begin: int, end: int):
@@ -295,7 +348,8 @@ def salted(contexts: np.ndarray, words: np.ndarray, salts: np.ndarray, shards: i
     return mixed(mixed(contexts) + mixed(words) % salts) % np.uint64(shards)
 
 
-def shard_trie(known: Unigrams, contexts: np.ndarray, words: np.ndarray, shard: int = 0) -> tuple[Trie, np.ndarray, np.ndarray]:
+def shard_trie(known: Unigrams, contexts: np.ndarray, words: np.ndarray, shard: int = 0, rare: np.ndarray = EMPTY,
+               counts: np.ndarray = EMPTY) -> tuple[Trie, np.ndarray, np.ndarray]:
     """The trie of the training pairs given in ascending order, its contexts and their tokens in all shards.
 
     A salted context has the words of some salts here. Its back-off weight is
@@ -321,25 +375,29 @@ def shard_trie(known: Unigrams, contexts: np.ndarray, words: np.ndarray, shard:
         share[k] = p[here].sum() + max(0.0, 1 - p.sum()) * salts.mean()
     back = DISCOUNT * followers / np.maximum(tokens, 1) / np.maximum(share, 1e-9)
     owner = np.repeat(np.arange(len(heads)), followers)
-    p = (n - DISCOUNT) / tokens[owner] + back[owner] * 10 ** known.log_prob(w)
+    p = (n - DISCOUNT) / tokens[owner] + back[owner] * 10 ** known.log_prob(w, rare, counts)
     trie = Trie.of(heads, starts, w, np.log10(np.minimum(p, 1.0)), np.log10(back))
     return trie, heads, tokens
 
 
-def _scored(known: Unigrams, blobs: list[bytes], begin: int, shard: int) -> Iterator[tuple[int, bytes]]:
+def _scored(known: Unigrams, blobs: list[bytes], begin: int, shard: int, replies: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
     """Per block of documents and for each of these: its place, log10(count + 1) summed over its contexts, known contexts,
     log10 probabilities."""
     contexts, words, uid, trains = (np.concatenate(x) for x in zip(*map(_decoded, blobs)))
     order = np.lexsort((words, contexts))
     contexts, words, uid, trains = contexts[order], words[order], uid[order], trains[order]
-    trie, heads, tokens = shard_trie(known, contexts[trains], words[trains], shard)
+    rare = rare_words(known, words)
+    counts, bucket = np.zeros(len(rare), np.int64), rare % np.uint64(known.buckets)
+    for b, blob in replies.items():
+        counts[bucket == b] = np.frombuffer(blob, "<i8")
+    trie, heads, tokens = shard_trie(known, contexts[trains], words[trains], shard, rare, counts)
     trie = trie.mapped()
     # every pair once; they are sorted
     head = np.r_[True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])]
     which = np.cumsum(head) - 1
     c, w = contexts[head], words[head]
     is_known, found, value = trie.look_up(c, w)
-    log_p = np.where(found, value, value + known.log_prob(w))
+    log_p = np.where(found, value, value + known.log_prob(w, rare, counts))
     at = np.searchsorted(heads, c)
     at[at == len(heads)] = 0
     n = np.where(is_known, tokens[at], 0) if len(heads) else np.zeros(len(c))
@@ -369,7 +427,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
     empty result.
     """
     rows = text_rows(docs, id_col, text_col).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
-    known = learn_unigrams(rows.where(~F.col("held_out")).select("doc_id", "text"))
+    known, rare_counts = _learned(rows.where(~F.col("held_out")).select("doc_id", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(known)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     begin, end = (WordHashes()[x] for x in (BEGIN, END))
@@ -400,32 +458,31 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
                     pa.array([None] * k + [len(x) + 1 for x in held_words], pa.int64())], names=names)
                 a = b
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of each block in a shard; the documents' own rows pass through."""
-        current, blobs = None, []
+    def blobs_of(table: pa.Table) -> list[bytes]:
+        return table.column("blob").drop_null().to_pylist()
 
-        def closed():
-            found = list(_scored(shared.value, blobs, begin, current))
-            none = lambda kind: pa.nulls(len(found), kind)
-            return pa.RecordBatch.from_arrays(
-                [none(pa.int64()), pa.array([x for _, x in found], pa.binary()), none(kind_of_id), none(pa.int64()),
-                 pa.array([x for x, _ in found], pa.int64()), none(pa.bool_()), none(pa.int64())], names=names)
+    def ask(table: pa.Table) -> pa.Table:
+        """What a shard wants to know of each bucket."""
+        blobs = blobs_of(table)
+        found = list(_requests(shared.value, blobs)) if blobs else []
+        return pa.table({"bucket": pa.array([b for b, _ in found], pa.int64()),
+                         "shard": pa.array([table.column("shard")[0].as_py()] * len(found), pa.int64()),
+                         "blob": pa.array([x for _, x in found], pa.binary())})
 
-        for batch in batches:
-            kind_of_id = batch.column(2).type
-            is_doc = batch.column(1).is_null()
-            own = batch.filter(is_doc)
-            if own.num_rows:
-                yield own
-            rest = batch.filter(pa.compute.invert(is_doc))
-            for at, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist()):
-                if at != current and blobs:
-                    yield closed()
-                    blobs = []
-                current = at
-                blobs.append(blob)
-        if blobs:
-            yield closed()
+    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        found = _replies(asked.column("blob").to_pylist(), counts.column("word").to_numpy(), counts.column("n").to_numpy())
+        return pa.table({"shard": asked.column("shard"), "bucket": asked.column("bucket"), "blob": pa.array(found, pa.binary())})
+
+    def look_up(table: pa.Table, replies: pa.Table) -> pa.Table:
+        """Sums of each block in a shard; the documents' own rows pass through."""
+        own = table.filter(table.column("blob").is_null())
+        blobs = blobs_of(table)
+        told = dict(zip(replies.column("bucket").to_pylist(), replies.column("blob").to_pylist()))
+        found = list(_scored(shared.value, blobs, begin, table.column("shard")[0].as_py(), told)) if blobs else []
+        none = lambda c: pa.nulls(len(found), table.schema.field(c).type)
+        sums = pa.table([none("shard"), pa.array([x for _, x in found], pa.binary()), none("doc_id"), none("uid"),
+                         pa.array([x for x, _ in found], pa.int64()), none("held_out"), none("n_tokens")], names=names)
+        return pa.concat_tables([own.select(names), sums.cast(own.select(names).schema)])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block, documents first: what each shard has of them added up."""
@@ -462,7 +519,13 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
 
     kinds = f"shard long, blob binary, doc_id {id_type}, uid long, first long, held_out boolean, n_tokens long"
     coded = rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(code, kinds)
-    sums = coded.repartition(known.shards, "shard").sortWithinPartitions("shard").mapInArrow(look_up, kinds)
+    # dealt once: Spark reuses the exchange for the requests and for the scores
+    dealt = coded.repartition(known.shards, "shard")
+    asked = dealt.groupBy("shard").applyInArrow(ask, "bucket long, shard long, blob binary")
+    told = rare_counts.select((F.col("word").bitwiseAND(F.lit(int(_MASK))) % known.buckets).alias("bucket"), "word", "n")
+    replies = asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
+        answer, "shard long, bucket long, blob binary").repartition(known.shards, "shard")
+    sums = dealt.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(look_up, kinds)
     totals = sums.repartition("first").sortWithinPartitions("first", F.asc_nulls_last("uid")).mapInArrow(
         add_up, f"doc_id {id_type}, held_out boolean, n_tokens long, base double, known long, log_p double")
     spread = math.log10(known.tokens + known.types + 1)

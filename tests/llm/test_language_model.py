@@ -100,3 +100,12 @@ def test_unigrams_of_rare_words_sum_to_one(spark, monkeypatch):
     assert 0 < len(known.words) <= 11
     rest = known.types - (len(known.words) - 1) - 1 + 1  # the end is in words; one unknown
     assert (10 ** known.log_p).sum() + rest * 10 ** known.log_rest == pytest.approx(1)
+
+
+def test_words_beyond_the_table_keep_their_own_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "UNIGRAMS", 10)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(lm, "HOT_SHARE", 1e9)
+    draw = np.random.default_rng(3)
+    texts = {i: " ".join(f"w{int(draw.zipf(1.4)) % 300}" for _ in range(20)) for i in range(100)}
+    check(lm.score(documents(spark, list(texts.values()))).collect(), texts)
