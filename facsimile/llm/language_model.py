@@ -12,7 +12,9 @@ Smoothing is interpolated absolute discounting over unigrams with add-one
 counts, all exact. The counts of the at most UNIGRAMS most frequent words are
 broadcast. For every other word it meets a shard asks the bucket of that word,
 which holds its count: each shard sends its distinct rare words once and gets
-as many counts back, so no table of all words is held anywhere.
+as many counts back, so no table of all words is held anywhere. In the same
+way the shards of a salted context learn its followers in all shards: salting
+changes no probability.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ WORD_BITS = 40
 _MASK = np.uint64((1 << WORD_BITS) - 1)
 #: Words hold no space, so these are never words of a text.
 BEGIN, END = b" begin", b" end"
-#: log10 probabilities and weights in equal steps, from 4 (a salted context's weight may exceed 1) to -16.
-_STEPS, _HIGHEST, _LOWEST = 65_535, 4.0, -16.0
+#: log10 probabilities and weights in equal steps, from 0 to -16.
+_STEPS, _HIGHEST, _LOWEST = 65_535, 0.0, -16.0
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Place of the k-th one in a byte, by rule.
@@ -182,6 +184,10 @@ class Unigrams:
     shards: int
     whole: bool = True  # no word is left out
 
+    @property
+    def hot_contexts(self) -> np.ndarray:
+        return np.array(sorted(self.hot), np.uint64)
+
     @property
     def buckets(self) -> int:
         """Of rare words: fewer than shards, so that requests do not grow with the square of the input."""
@@ -273,29 +279,63 @@ def rare_words(known: Unigrams, words: np.ndarray) -> np.ndarray:
     return EMPTY if known.whole else np.setdiff1d(words, known.words)
 
 
+def _runs(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Where a pair differs from the one before."""
+    return np.r_[True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])] if len(contexts) else np.empty(0, bool)
+
+
+def followers_here(known: Unigrams, contexts: np.ndarray, words: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The salted contexts met in a shard, ascending, and how many distinct words follow each in its training pairs.
+
+    The salt goes by the word, so the followers in all shards add up to the context's own.
+    """
+    at = np.isin(contexts, known.hot_contexts)
+    hot = np.unique(contexts[at])
+    at &= trains
+    c, w = contexts[at], words[at]
+    order = np.lexsort((w, c))
+    c, w = c[order], w[order]
+    return hot, np.bincount(np.searchsorted(hot, c[_runs(c, w)]), minlength=len(hot))
+
+
 def _requests(known: Unigrams, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """(bucket, rare words) of a shard."""
-    if known.whole:
+    """(bucket, rare words, salted contexts and their followers) of a shard."""
+    if known.whole and not known.hot:
         return
-    rare = rare_words(known, np.concatenate([_decoded(x)[1] for x in blobs]))
-    bucket = rare % np.uint64(known.buckets)
-    for b in np.unique(bucket).tolist():
-        yield b, rare[bucket == b].astype("<u8").tobytes()
+    contexts, words, _, trains = (np.concatenate(x) for x in zip(*map(_decoded, blobs)))
+    rare = rare_words(known, words)
+    hot, followers = followers_here(known, contexts, words, trains)
+    bucket, hot_bucket = _bucket(known, rare), _bucket(known, hot)
+    for b in np.union1d(bucket, hot_bucket).tolist():
+        mine, his = rare[bucket == b], hot_bucket == b
+        yield b, b"".join((np.array([len(mine)], "<i8").tobytes(), mine.astype("<u8").tobytes(),
+                           hot[his].astype("<u8").tobytes(), followers[his].astype("<u8").tobytes()))
+
+
+def _bucket(known: Unigrams, words: np.ndarray) -> np.ndarray:
+    return (words & _MASK) % np.uint64(known.buckets)
 
 
 def _replies(requests: list[bytes], words: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """The counts of each request's words, from the counts of one bucket."""
+    """Of each request the words' counts, and the followers of its salted contexts in all shards, from one bucket."""
     words, which = np.unique(words.view(np.uint64) & _MASK, return_inverse=True)
     n = np.bincount(which, n).astype(np.int64)
-    out = []
+    asked, hot = [], []
     for blob in requests:
-        asked = np.frombuffer(blob, "<u8")
-        counts = np.zeros(len(asked), np.int64)
+        all_ = np.frombuffer(blob, "<u8")
+        k = int(all_[0]) + 1
+        asked.append(all_[1:k])
+        hot.append(all_[k:].reshape(2, -1))
+    contexts, which = np.unique(np.concatenate([c for c, _ in hot]) if hot else EMPTY, return_inverse=True)
+    followers = np.bincount(which, np.concatenate([f for _, f in hot]) if hot else None, len(contexts)).astype(np.int64)
+    out = []
+    for mine, (c, _) in zip(asked, hot):
+        counts = np.zeros(len(mine), np.int64)
         if len(words):
-            at = np.searchsorted(words, asked)
+            at = np.searchsorted(words, mine)
             at[at == len(words)] = 0
-            counts = np.where(words[at] == asked, n[at], 0)
-        out.append(counts.astype("<i8").tobytes())
+            counts = np.where(words[at] == mine, n[at], 0)
+        out.append(np.r_[counts, followers[np.searchsorted(contexts, c)]].astype("<i8").tobytes())
     return out
 
 
@@ -309,7 +349,7 @@ def _coded(known: Unigrams, docs: list[np.ndarray], trains: np.ndarray, first: i
     doc = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
     spread = mixed(contexts)
     if known.hot:
-        hot = np.array(sorted(known.hot), np.uint64)
+        hot = known.hot_contexts
         salts = np.array([known.hot[int(w)][1] for w in hot], np.uint64)
         at = np.searchsorted(hot, contexts)
         at[at == len(hot)] = 0
@@ -348,52 +388,47 @@ def salted(contexts: np.ndarray, words: np.ndarray, salts: np.ndarray, shards: i
     return mixed(mixed(contexts) + mixed(words) % salts) % np.uint64(shards)
 
 
-def shard_trie(known: Unigrams, contexts: np.ndarray, words: np.ndarray, shard: int = 0, rare: np.ndarray = EMPTY,
-               counts: np.ndarray = EMPTY) -> tuple[Trie, np.ndarray, np.ndarray]:
+def shard_trie(known: Unigrams, contexts: np.ndarray, words: np.ndarray, rare: np.ndarray = EMPTY, counts: np.ndarray = EMPTY,
+               hot: np.ndarray = EMPTY, hot_followers: np.ndarray = EMPTY) -> tuple[Trie, np.ndarray, np.ndarray]:
     """The trie of the training pairs given in ascending order, its contexts and their tokens in all shards.
 
-    A salted context has the words of some salts here. Its back-off weight is
-    the discount of these words, over the unigram share of all words that such
-    salts may hold, so probabilities of a context still sum to one over shards.
+    A salted context has the words of some salts here, perhaps none; its tokens
+    and followers (``hot_followers``) are those of all shards.
     """
-    head = np.r_[True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])] if len(contexts) else np.empty(0, bool)
-    pair = np.flatnonzero(head)
+    pair = np.flatnonzero(_runs(contexts, words))
     n = np.diff(np.r_[pair, len(contexts)])
     c, w = contexts[pair], words[pair]
-    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, np.int64)
-    starts = np.r_[first, len(c)].astype(np.int64)
-    followers = np.diff(starts)
-    own = np.add.reduceat(n, first) if len(first) else np.empty(0, np.int64)
-    heads = c[first]
-    tokens, share = own.copy(), np.ones(len(heads))
-    for k in np.flatnonzero(np.isin(heads, np.array(sorted(known.hot), np.uint64))):
-        tokens[k], n_salts = known.hot[int(heads[k])]
-        every = np.uint64(n_salts)
-        p = 10 ** known.log_p
-        here = salted(heads[k:k + 1], known.words, every, known.shards) == shard
-        salts = mixed(mixed(heads[k:k + 1]) + np.arange(n_salts, dtype=np.uint64)) % np.uint64(known.shards) == shard
-        share[k] = p[here].sum() + max(0.0, 1 - p.sum()) * salts.mean()
-    back = DISCOUNT * followers / np.maximum(tokens, 1) / np.maximum(share, 1e-9)
-    owner = np.repeat(np.arange(len(heads)), followers)
+    heads = np.union1d(c, hot).astype(np.uint64)
+    starts = np.r_[np.searchsorted(c, heads), len(c)].astype(np.int64)
+    here = np.diff(starts)
+    owner = np.repeat(np.arange(len(heads)), here)
+    followers, tokens = here.copy(), np.bincount(owner, n, len(heads)).astype(np.int64)
+    at = np.searchsorted(heads, hot)
+    followers[at] = hot_followers
+    tokens[at] = [known.hot[int(x)][0] for x in hot]
+    back = DISCOUNT * followers / np.maximum(tokens, 1)
     p = (n - DISCOUNT) / tokens[owner] + back[owner] * 10 ** known.log_prob(w, rare, counts)
     trie = Trie.of(heads, starts, w, np.log10(np.minimum(p, 1.0)), np.log10(back))
     return trie, heads, tokens
 
 
-def _scored(known: Unigrams, blobs: list[bytes], begin: int, shard: int, replies: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+def _scored(known: Unigrams, blobs: list[bytes], begin: int, replies: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
     """Per block of documents and for each of these: its place, log10(count + 1) summed over its contexts, known contexts,
     log10 probabilities."""
     contexts, words, uid, trains = (np.concatenate(x) for x in zip(*map(_decoded, blobs)))
     order = np.lexsort((words, contexts))
     contexts, words, uid, trains = contexts[order], words[order], uid[order], trains[order]
     rare = rare_words(known, words)
-    counts, bucket = np.zeros(len(rare), np.int64), rare % np.uint64(known.buckets)
+    hot, followers = followers_here(known, contexts, words, trains)
+    counts, bucket, hot_bucket = np.zeros(len(rare), np.int64), _bucket(known, rare), _bucket(known, hot)
     for b, blob in replies.items():
-        counts[bucket == b] = np.frombuffer(blob, "<i8")
-    trie, heads, tokens = shard_trie(known, contexts[trains], words[trains], shard, rare, counts)
+        told, mine = np.frombuffer(blob, "<i8"), bucket == b
+        k = np.count_nonzero(mine)
+        counts[mine], followers[hot_bucket == b] = told[:k], told[k:]
+    trie, heads, tokens = shard_trie(known, contexts[trains], words[trains], rare, counts, hot, followers)
     trie = trie.mapped()
     # every pair once; they are sorted
-    head = np.r_[True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])]
+    head = _runs(contexts, words)
     which = np.cumsum(head) - 1
     c, w = contexts[head], words[head]
     is_known, found, value = trie.look_up(c, w)
@@ -401,9 +436,6 @@ def _scored(known: Unigrams, blobs: list[bytes], begin: int, shard: int, replies
     at = np.searchsorted(heads, c)
     at[at == len(heads)] = 0
     n = np.where(is_known, tokens[at], 0) if len(heads) else np.zeros(len(c))
-    # a salted context may have no training pair in this shard though others have
-    for k in np.flatnonzero(~is_known & np.isin(c, np.array(sorted(known.hot), np.uint64))):
-        n[k] = known.hot[int(c[k])][0]
     is_word = c != np.uint64(begin)
     base = np.where(is_word, np.log10(n + 1), 0.0)
     docs, at = np.unique(uid, return_inverse=True)
@@ -478,7 +510,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id"
         own = table.filter(table.column("blob").is_null())
         blobs = blobs_of(table)
         told = dict(zip(replies.column("bucket").to_pylist(), replies.column("blob").to_pylist()))
-        found = list(_scored(shared.value, blobs, begin, table.column("shard")[0].as_py(), told)) if blobs else []
+        found = list(_scored(shared.value, blobs, begin, told)) if blobs else []
         none = lambda c: pa.nulls(len(found), table.schema.field(c).type)
         sums = pa.table([none("shard"), pa.array([x for _, x in found], pa.binary()), none("doc_id"), none("uid"),
                          pa.array([x for x, _ in found], pa.int64()), none("held_out"), none("n_tokens")], names=names)

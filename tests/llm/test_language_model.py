@@ -109,3 +109,12 @@ def test_words_beyond_the_table_keep_their_own_counts(spark, monkeypatch):
     draw = np.random.default_rng(3)
     texts = {i: " ".join(f"w{int(draw.zipf(1.4)) % 300}" for _ in range(20)) for i in range(100)}
     check(lm.score(documents(spark, list(texts.values()))).collect(), texts)
+
+
+def test_salting_changes_no_probability(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 300)
+    draw = np.random.default_rng(1)
+    texts = {i: " ".join("the" if draw.random() < 0.4 else f"w{draw.integers(40)}" for _ in range(30)) for i in range(60)}
+    # words that follow "the" in held-out documents only
+    texts |= {i: f"the new{i} the" for i in range(60, 90) if zlib.crc32(str(i).encode()) % 7 == 2}
+    check(lm.score(documents(spark, list(texts.values()), ids=list(texts))).collect(), texts)
