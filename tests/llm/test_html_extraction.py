@@ -63,3 +63,20 @@ def test_driver_table_by_plain_rules(spark, sf_dir):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", main)]
         assert got[r.page_id].text == "\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
+
+
+def texts_of(spark, htmls, host="https://a.org"):
+    rows = [(i, f"{host}/{i}", h) for i, h in enumerate(htmls)]
+    return {r.page_id: r.text for r in extract(pages(spark, rows)).collect()}
+
+
+def test_names_are_whole_and_spare_what_holds_the_article():
+    for page in ("<body class='single has-sidebar'><p>Core</p></body>", "<body class='no-comments widget'><p>Core</p></body>",
+                 "<article class='post category-social tag-promo promo'><p>Core</p></article>",
+                 "<article><div class='widget-text'><p>Core</p></div></article>",
+                 "<div class='widget'><h1>Core</h1><article></article></div>", "<html class='modal'><main id='menu'><p>Core</p></main>"):
+        assert text(page) == "Core"
+    assert text("<main><h1>Head</h1><article><p>Core</p></article><p>After</p></main>") == "Head\nCore\nAfter"
+    assert text("<body><p>Body</p><article><p>Teaser</p></article></body>") == "Body\nTeaser"
+    assert text("<article><p>Core</p><div class='comments'><article class='comment'>me</article></div></article>") == "Core"
+    assert text("<p>a <span class='ad'>buy</span>b</p>") == "a b"
