@@ -287,9 +287,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
     hashed = pages.select("host", "html").where(F.col("host").isNotNull()).mapInArrow(
         run, "host string, content long, hashes array<long>")
-    # hash null: the host's pages
+    # hash null: the host's pages; copies of a main content count once
     counted = hashed.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy(
-        "host", "hash").agg(F.count("content").alias("n"))
+        "host", "hash").agg(F.count_distinct("content").alias("n"))
     counted = stage(counted.where((F.col("n") >= LEAST_PAGES)), "subtree-counts")
     total = counted.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
     recurring = counted.where(F.col("hash").isNotNull()).join(total, "host").where(

@@ -70,6 +70,16 @@ def texts_of(spark, htmls, host="https://a.org"):
     return {r.page_id: r.text for r in extract(pages(spark, rows)).collect()}
 
 
+def test_copies_of_an_article_stay_whole(spark):
+    story = "<div class='frame'><article class='x'><div><p>Lead</p><p>Body of the story</p></div></article></div>"
+    menu = "<div><p>Other stories</p></div>"
+    copies = texts_of(spark, [f"<body>{story}</body>"] * 12)
+    assert set(copies.values()) == {"Lead\nBody of the story"}
+    # copies beside other pages, with a menu on all of them
+    mixed = texts_of(spark, [f"<body>{menu}{story}</body>"] * 12 + [f"<body>{menu}<article><p>No {i}</p></article></body>" for i in range(8)])
+    assert mixed[0] == "Lead\nBody of the story" and mixed[15] == "No 3"
+
+
 def test_names_are_whole_and_spare_what_holds_the_article():
     for page in ("<body class='single has-sidebar'><p>Core</p></body>", "<body class='no-comments widget'><p>Core</p></body>",
                  "<article class='post category-social tag-promo promo'><p>Core</p></article>",
