@@ -2,7 +2,7 @@
 
 Every element's subtree gets a hash of its tag, attributes of style, text and
 children. Spark counts, per host, beside how many distinct main contents each
-hash occurs; subtrees beside at least half of them (four at least) are the
+hash occurs; subtrees beside at least a fiftieth of them (four at least) are the
 site's template and are deleted. What page markup itself declares as menu,
 header, footer, sidebar, notice, advert, form or comments goes as well, as such
 parts may differ from page to page. Articles, what holds nearly all text of a
@@ -28,7 +28,8 @@ from facsimile.llm.common import quoted
 from facsimile.sources.staging import stage
 
 LEAST_PAGES = 4
-LEAST_SHARE = 0.5
+#: Of a host's distinct main contents; small, as a site may have many layouts.
+LEAST_SHARE = 0.02
 #: A subtree with this share of the text of a page's articles (or else its main part) is no template.
 MOST = 0.8
 
@@ -294,7 +295,7 @@ def templates(pages: DataFrame) -> DataFrame:
     total = counted.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
     recurring = counted.where(F.col("hash").isNotNull()).join(total, "host").where(
         F.col("n") >= LEAST_SHARE * F.col("pages"))
-    # a hash beside half of the contents: a host has at most twice as many as its average page
+    # a hash beside a fiftieth of the contents: a host has at most fifty times as many as its average page
     return recurring.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 

@@ -90,3 +90,10 @@ def test_names_are_whole_and_spare_what_holds_the_article():
     assert text("<body><p>Body</p><article><p>Teaser</p></article></body>") == "Body\nTeaser"
     assert text("<article><p>Core</p><div class='comments'><article class='comment'>me</article></div></article>") == "Core"
     assert text("<p>a <span class='ad'>buy</span>b</p>") == "a b"
+
+
+def test_templates_of_less_than_half_of_a_host(spark):
+    layouts = [f"<div><p>Layout {k} of this site</p></div>" for k in range(3)]
+    for page in ("<body>{}<article><p>Story {}</p></article></body>", "<body><main>{}<p>Story {}</p></main></body>"):
+        got = texts_of(spark, [page.format(layouts[i % 3], i) for i in range(30)])
+        assert got == {i: f"Story {i}" for i in range(30)}
