@@ -399,7 +399,13 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
     are equal texts and share a component; a null id is given to a component
     only if it has no other. An empty table gives an empty result.
     """
-    docs = text_rows(docs, id_col, text_col)
+    return _joined(text_rows(docs, id_col, text_col), k, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, th, n, component, component_id) of every row; component is null for rows without a shingle."""
     sets = _sets(docs, k, percent)
     classes = stage(sets.where("n > 0").groupBy("cls").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"),
@@ -450,19 +456,30 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str
             "cid", F.coalesce("component", "cid").alias("component")), "components")
     named = classes.join(component, "cid").select("cls", "rep", "component")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "component").select("cls", "component_id")
-    return sets.select("doc_id", "n", "cls").join(ids, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = named.join(least, "component").select("cls", "component", "component_id")
+    return sets.select("doc_id", "th", "n", "cls").join(ids, "cls", "left").select("doc_id", "th", "n", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id, and one row of it."""
-    found = stage(join(docs, k, percent), "jaccard")
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    rows = docs.join(kept.select(F.col("doc_id").alias("kept_id")).distinct(), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+    """``docs`` with one row of each component: the smallest id (null last), then the smallest text hash.
+
+    An id may stand at several texts or be null. Rows without a shingle all stay.
+    """
+    found = stage(_joined(text_rows(docs), k, percent).select("doc_id", "th", "n", "component"), "jaccard")
+    per_key = found.where("n > 0").groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    first = per_key.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rows")).alias("first")).select(
+        F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th"), F.col("first.rows").alias("kept_rows"))
+    alone = found.where("n = 0").select("doc_id", "th", F.lit(1).cast("long")).distinct()
+    kept = stage(first.unionAll(alone), "kept")
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(keys["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == keys["kept_th"])
+        return docs.join(keys, same, "left_semi")
+
+    repeated = kept.where("kept_rows > 1")
+    once = rows_of(kept.where("kept_rows = 1"))
+    return once if repeated.isEmpty() else once.unionAll(rows_of(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -72,6 +72,21 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept) == [2, 7, 8, 9]
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcde"}
+    rows = [(None, text["a"] + " end"), (3, text["a"]), (None, text["a"]),     # near copies without an id
+            (None, text["b"] + " end"), (None, text["b"]), (None, text["b"]),  # and all without one
+            (11, text["c"]), (12, text["c"] + " end"), (12, text["d"]),        # an id at two texts
+            (6, text["e"]), (6, text["e"]),                                    # a repeated row
+            (5, ""), (5, ""), (None, None)]                                    # without a word: left alone
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows], kept_id="clash", th="clash")
+    got = [(r.doc_id, r.text) for r in jj.keep_first(docs).collect()]
+    of_b = [x for x in got if x[1] and x[1].startswith("b0 ")]
+    assert len(of_b) == 1 and of_b[0][0] is None
+    expected = [(3, text["a"]), (11, text["c"]), (12, text["d"]), (6, text["e"]), (5, ""), (5, ""), (None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected + of_b))
+
+
 def test_no_pair_that_links_is_ruled_out():
     draw = np.random.default_rng(3)
     sets = []
