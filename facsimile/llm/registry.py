@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from facsimile.llm import (
     decontamination, html_extraction, jaccard_join, language_model, packing, quality_classifier, quality_rules, sharding,
-    suffix_dedup, toxicity)
+    simhash, suffix_dedup, toxicity)
 
 QUERIES = {
     "op1_cotraining_quality": quality_classifier.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_string_tiling": decontamination.query,
     "op9_quality_rules": quality_rules.query,
     "op10_elias_fano_lm": language_model.query,
+    "op11_pigeonring_simhash": simhash.query,
 }
 ORACLES = {
     "op9_quality_rules": quality_rules.oracle(),
