@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from facsimile.llm import (
     decontamination, html_extraction, jaccard_join, language_model, packing, quality_classifier, quality_rules, sharding,
-    simhash, suffix_dedup, toxicity)
+    simhash, suffix_dedup, toxicity, vector_codes)
 
 QUERIES = {
     "op1_cotraining_quality": quality_classifier.query,
@@ -18,7 +18,9 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_elias_fano_lm": language_model.query,
     "op11_pigeonring_simhash": simhash.query,
+    "op12_cover_tree_codes": vector_codes.query,
 }
 ORACLES = {
     "op9_quality_rules": quality_rules.oracle(),
+    "op12_cover_tree_codes": vector_codes.oracle(),
 }
