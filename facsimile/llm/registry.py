@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from facsimile.llm import (
-    decontamination, html_extraction, jaccard_join, language_model, packing, quality_classifier, quality_rules, sharding,
-    simhash, suffix_dedup, toxicity, vector_codes)
+    decontamination, html_extraction, jaccard_join, language_model, packing, phrases, quality_classifier, quality_rules,
+    sharding, simhash, suffix_dedup, toxicity, vector_codes)
 
 QUERIES = {
     "op1_cotraining_quality": quality_classifier.query,
@@ -19,8 +19,10 @@ QUERIES = {
     "op10_elias_fano_lm": language_model.query,
     "op11_pigeonring_simhash": simhash.query,
     "op12_cover_tree_codes": vector_codes.query,
+    "op13_prefix_free_phrases": phrases.query,
 }
 ORACLES = {
     "op9_quality_rules": quality_rules.oracle(),
     "op12_cover_tree_codes": vector_codes.oracle(),
+    "op13_prefix_free_phrases": phrases.oracle(),
 }

@@ -214,7 +214,7 @@ def kept_vectors(table: DataFrame, id_col: str, vec_col: str, label_col: str) ->
 
 def grow_trees(kept: DataFrame, width: int) -> DataFrame:
     """(vec_ids, labels, trees): a row per block, with one tree per part position."""
-    ids, labels = kept.schema["vec_id"].dataType, kept.schema["label"].dataType
+    ids, labels, most = kept.schema["vec_id"].dataType, kept.schema["label"].dataType, BLOCK
     schema = T.StructType([T.StructField("vec_ids", T.ArrayType(ids)), T.StructField("labels", T.ArrayType(labels)),
                            T.StructField("trees", T.ArrayType(T.ArrayType(T.BinaryType())))])
 
@@ -238,9 +238,9 @@ def grow_trees(kept: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, n = [], 0
         for batch in batches:
-            while n + batch.num_rows >= BLOCK:
-                waiting.append(batch.slice(0, BLOCK - n))
-                batch = batch.slice(BLOCK - n)
+            while n + batch.num_rows >= most:
+                waiting.append(batch.slice(0, most - n))
+                batch = batch.slice(most - n)
                 yield block(waiting)
                 waiting, n = [], 0
             if batch.num_rows:
