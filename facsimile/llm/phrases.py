@@ -23,12 +23,12 @@ texts without words give an empty result. Other columns are never read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facsimile.llm.common import WordHashes, mixed, quoted
@@ -45,21 +45,22 @@ TOP = 2000
 FILTER_BITS = 1 << 24
 #: Parts of a language's candidates that are cut to the first ones on their own.
 SLICES = 64
-#: Tokens and distinct chunks gathered before a task passes on what it has counted.
-TOGETHER = 1 << 20
-CHUNKS_TOGETHER = 1 << 15
+#: Bytes of chunks gathered before a task counts their phrases, and before it passes on what it has parsed.
+TOGETHER = 1 << 23
+PARSED_TOGETHER = 1 << 22
 
-_MARK = b"\n"
+#: No text in UTF-8 holds this byte.
+_MARK = b"\xff"
 _SEED = 42
-#: Fixed: what parts pieces becomes the mark, a tab becomes a space.
-_PLAIN = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n" * 10 + b" ")
+#: Fixed: what parts pieces becomes the mark.
+_PLAIN = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", _MARK * 10)
 
 
 # --- parsing -----------------------------------------------------------------------
 
 def tokens(text: bytes) -> list[bytes]:
     """Words in order, A-Z in lower case, with a mark between pieces."""
-    return [x for x in text.lower().translate(_PLAIN).replace(_MARK, b" \n ").split(b" ") if x]
+    return text.lower().translate(_PLAIN).replace(_MARK, b" \xff ").split()  # no white space but blanks and tabs is left
 
 
 def parse(text: bytes, hashes: WordHashes, period: int = PERIOD) -> Iterator[tuple[bytes, bool]]:
@@ -79,147 +80,166 @@ def parse(text: bytes, hashes: WordHashes, period: int = PERIOD) -> Iterator[tup
 
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, chunk, goes_on, freq): distinct chunks of each language with their frequencies."""
-    period, together = PERIOD, CHUNKS_TOGETHER
+    period, together = PERIOD, PARSED_TOGETHER
     rows = docs.select(F.coalesce(quoted(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        quoted(text_col).cast("string").cast("binary").alias("text"))
 
-    def batch_of(counts: Counter) -> pa.RecordBatch:
-        langs, chunks, on = zip(*counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(on, pa.bool_()),
-             pa.array(counts.values(), pa.int64())], names=["lang", "chunk", "goes_on", "freq"])
+    def batch_of(langs: list, chunks: list, on: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(on, pa.bool_())],
+                                          names=["lang", "chunk", "goes_on"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), Counter()
+        hashes = WordHashes()
+        langs, chunks, on, size = [], [], [], 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts.update((lang, chunk, on) for chunk, on in parse(text.as_py() or b"", hashes, period))
-                if len(counts) >= together:
-                    yield batch_of(counts)
-                    counts.clear()
-        if counts:
-            yield batch_of(counts)
+                text = text.as_py() or b""
+                found = list(parse(text, hashes, period))
+                langs += [lang] * len(found)
+                chunks += [chunk for chunk, _ in found]
+                on += [goes_on for _, goes_on in found]
+                size += len(text)
+                if size >= together:
+                    yield batch_of(langs, chunks, on)
+                    langs, chunks, on, size = [], [], [], 0
+        yield batch_of(langs, chunks, on)
 
-    parsed = rows.mapInArrow(run, "lang string, chunk binary, goes_on boolean, freq long")
-    return parsed.groupBy("lang", "chunk", "goes_on").agg(F.sum("freq").alias("freq"))
+    parsed = rows.mapInArrow(run, "lang string, chunk binary, goes_on boolean")
+    return parsed.groupBy("lang", "chunk", "goes_on").agg(F.count(F.lit(1)).alias("freq"))
 
 
 # --- counting ---------------------------------------------------------------------------
 
-def frequent_filter(phrases: DataFrame, least: int) -> np.ndarray:
-    """Bits, by the phrase's hash, of all phrases counted ``least`` times and more."""
-    bins = F.xxhash64("phrase").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
-    cells = phrases.where(F.col("a") >= least).select(
-        F.shiftright(bins, 6).alias("cell"), F.expr("shiftleft(1L, cast(xxhash64(phrase) & 63 as int))").alias("bit"))
+def frequent_filter(counts: DataFrame, length: int, least: int) -> np.ndarray:
+    """Bits, by the hashes of their words, of all phrases of one or two words counted ``least`` times and more."""
+    frequent = counts.where(F.col("a") >= least)
+    if length == 1:
+        hashed = F.xxhash64("phrase")
+    else:
+        first, second = (F.xxhash64(_word(i)) for i in range(2))
+        hashed = first.bitwiseXOR(F.shiftleft(second, 17).bitwiseOR(F.shiftrightunsigned(second, 47)))
+    cells = frequent.select(hashed.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")).alias("bin")).select(
+        F.shiftright("bin", 6).alias("cell"), F.expr("shiftleft(1L, cast(bin & 63 as int))").alias("bit"))
     rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[rows["cell"].to_numpy()] = rows["bits"].to_numpy()
     return table.view(np.uint64)
 
 
-def _among(phrases: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Whether the filter has each phrase."""
-    from xxhash import xxh64_intdigest
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of two words from theirs, as in ``frequent_filter``."""
+    return first ^ (second << np.uint64(17) | second >> np.uint64(47))
+
 
-    bins = np.fromiter((xxh64_intdigest(p, _SEED) for p in phrases), np.uint64, len(phrases)) & np.uint64(64 * len(table) - 1)
+def _among(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the filter has each hash."""
+    bins = hashes & np.uint64(64 * len(table) - 1)
     return (table[bins >> np.uint64(6)] >> (bins & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 class _Table:
-    """Tokens of many chunks as numbers, with weights; words of different languages have different numbers."""
-
-    def __init__(self, rows: list[tuple[str, bytes, bool, int]]):
-        known: dict[str, dict[bytes, int]] = {}
-        self.words, self.langs = [_MARK], [None]
-        ids, weights = [], []
-        for lang, chunk, goes_on, freq in rows:
-            number = known.setdefault(lang, {_MARK: 0})
-            row = chunk.split(b" ")
-            for w in row:
-                if w not in number:
-                    number[w] = len(self.words)
-                    self.words.append(w)
-                    self.langs.append(lang)
-            ids.extend(map(number.__getitem__, row))
-            ids.append(0)  # no phrase goes on into the next chunk
-            weights.append((len(row) - OVERLAP if goes_on else len(row), OVERLAP + 1 if goes_on else 1, freq))
-        own, rest, freqs = np.array(weights, np.int64).T
-        self.ids = np.array(ids, np.int64)
+    """Tokens of many chunks of one language as numbers, with weights."""
+
+    def __init__(self, chunks: pa.Array, goes_on: np.ndarray, freq: np.ndarray):
+        parts = pc.split_pattern(chunks, b" ")
+        sizes = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        self.words = coded.dictionary
+        #: numbers in order, -1 for marks and behind every chunk, so that no phrase goes on into the next
+        self.ids = np.full(int(sizes.sum()) + len(sizes), -1, np.int64)
+        mark = pc.index(self.words, pa.scalar(_MARK, self.words.type)).as_py()
+        ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids[ids == mark] = -1
+        self.ids[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
         # what starts in the shared tail counts in the next chunk
-        self.weights = np.repeat(np.stack([freqs, np.zeros_like(freqs)], 1).ravel(), np.stack([own, rest], 1).ravel())
-
-    def text(self, ids) -> bytes:
-        return b" ".join(self.words[i] for i in ids)
-
-    def unigrams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Words as rows of one number, and their counts."""
-        n = np.zeros(len(self.words), np.int64)
-        np.add.at(n, self.ids, self.weights)
-        found = np.flatnonzero(n[1:]) + 1
-        return found[:, None], n[found]
-
-    def _counted(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct codes, the place of one of each, and their weights' sums."""
-        kinds, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        n = np.zeros(len(kinds), np.int64)
-        np.add.at(n, inverse, self.weights[at])
-        return inverse, at[first], n
-
-    def bigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of words that the filter has, as rows of numbers, and their counts."""
-        good = np.concatenate([[False], _among(self.words[1:], words)])[self.ids]
-        at = np.flatnonzero(good[:-1] & good[1:] & (self.weights[:-1] > 0))
-        _, first, n = self._counted(self.ids[at] * len(self.words) + self.ids[at + 1], at)
-        return np.stack([self.ids[first], self.ids[first + 1]], 1), n
-
-    def trigrams(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words in threes whose both pairs the filter has, as rows of numbers, and their counts."""
-        both = np.flatnonzero((self.ids[:-1] > 0) & (self.ids[1:] > 0))
-        inverse, first, _ = self._counted(self.ids[both] * len(self.words) + self.ids[both + 1], both)
-        there = _among([self.text(p) for p in zip(self.ids[first].tolist(), self.ids[first + 1].tolist())], pairs)
-        pair = np.full(len(self.ids), -1)
-        pair[both] = np.where(there[inverse], inverse, -1)
-        at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0) & (self.weights[:-1] > 0))
-        _, first, n = self._counted(pair[at] * len(self.words) + self.ids[at + 2], at)
-        return np.stack([self.ids[first + j] for j in range(3)], 1), n
+        own = np.where(goes_on, sizes - OVERLAP, sizes)
+        self.weights = np.repeat(np.stack([freq, np.zeros_like(freq)], 1).ravel(), np.stack([own, sizes + 1 - own], 1).ravel())
+
+    def hashes(self) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        return np.fromiter((xxh64_intdigest(w, _SEED) for w in self.words.to_pylist()), np.uint64, len(self.words))
+
+    def _counted(self, at: np.ndarray, length: int) -> tuple[pa.Array, np.ndarray]:
+        """Distinct phrases that start at the places, and their counts."""
+        base, pairs = len(self.words), None
+        if not len(at):
+            return pa.array([], pa.binary()), np.empty(0, np.int64)
+        codes = self.ids[at]
+        for j in range(1, length):
+            if j == 2 and base ** 3 >= 1 << 63:  # pairs take numbers of their own
+                pairs, codes = np.unique(codes, return_inverse=True)
+            codes = codes * base + self.ids[at + j]
+        order = np.argsort(codes)
+        codes = codes[order]
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        counts = np.add.reduceat(self.weights[at[order]], starts)
+        codes, words = codes[starts], []
+        for j in reversed(range(length)):
+            codes, ids = (codes // base, codes % base) if j else (None, codes)
+            if j == 2 and pairs is not None:
+                codes = pairs[codes]
+            words.insert(0, self.words.take(pa.array(ids)))
+        return pc.binary_join_element_wise(*words, b" ") if length > 1 else words[0], counts
+
+    def unigrams(self) -> tuple[pa.Array, np.ndarray]:
+        return self._counted(np.flatnonzero((self.ids >= 0) & (self.weights > 0)), 1)
+
+    def bigrams(self, words: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Pairs of words that the filter has."""
+        good = np.append(_among(self.hashes(), words), False)[self.ids]  # the last one is for -1
+        return self._counted(np.flatnonzero(good[:-1] & good[1:] & (self.weights[:-1] > 0)), 2)
+
+    def trigrams(self, pairs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Words in threes whose both pairs the filter has."""
+        there, hashes = self.ids >= 0, self.hashes()[self.ids]
+        both = there[:-1] & there[1:] & _among(_pair_hash(hashes[:-1], hashes[1:]), pairs)
+        return self._counted(np.flatnonzero(both[:-1] & both[1:] & (self.weights[:-2] > 0)), 3)
 
 
 def count_phrases(chunks: DataFrame, length: int, frequent: np.ndarray | None = None) -> DataFrame:
     """(lang, phrase, a): occurrences of phrases of so many words; ``frequent`` filters what they are made of."""
     together = TOGETHER
 
-    def batch_of(rows: list) -> pa.RecordBatch:
-        table = _Table(rows)
-        ids, n = table.unigrams() if length == 1 else table.bigrams(frequent) if length == 2 else table.trigrams(frequent)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([table.langs[i] for i in ids[:, 0].tolist()], pa.string()),
-             pa.array(list(map(table.text, ids.tolist())), pa.binary()), pa.array(n)], names=["lang", "phrase", "a"])
+    def counted(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        for lang in pc.unique(rows["lang"]):
+            mine = rows.filter(pc.equal(rows["lang"], lang)).combine_chunks()
+            table = _Table(mine["chunk"].combine_chunks(), mine["goes_on"].to_numpy(), mine["freq"].to_numpy())
+            phrases, n = (table.unigrams() if length == 1 else
+                          table.bigrams(frequent) if length == 2 else table.trigrams(frequent))
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrases.cast(pa.binary()), pa.array(n)],
+                                             names=["lang", "phrase", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                waiting.append(row)
-                size += row[1].count(b" ") + 2
-                if size >= together:
-                    yield batch_of(waiting)
-                    waiting, size = [], 0
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= together:
+                yield from counted(waiting)
+                waiting, size = [], 0
         if waiting:
-            yield batch_of(waiting)
+            yield from counted(waiting)
 
-    counted = chunks.select("lang", "chunk", "goes_on", "freq").mapInArrow(run, "lang string, phrase binary, a long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    rows = chunks.select("lang", "chunk", "goes_on", "freq").mapInArrow(run, "lang string, phrase binary, a long")
+    return rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
 # --- scores --------------------------------------------------------------------------------
 
+def _word(i: int) -> Column:
+    """A word of the phrase, by its place."""
+    return F.split(F.col("phrase").cast("string"), " ").getItem(i).cast("binary")
+
+
 def _with_count(rows: DataFrame, part: str, counts: DataFrame, name: str) -> DataFrame:
     """Adds the count of the phrase in column ``part``."""
     there = counts.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), F.col("a").alias(name))
     return rows.join(there, (F.col("lang") == F.col("_lang")) & (F.col(part) == F.col("_phrase"))).drop("_lang", "_phrase")
 
 
-def _score(left: str, right: str) -> F.Column:
+def _score(left: str, right: str) -> Column:
     """floor(1000000 a a / (l r)), in decimals of 38 digits."""
     wide = lambda c: f"cast({c} as decimal(16,0))"
     return F.expr(f"({wide('a')} * {wide('a')} * 1000000) div ({wide(left)} * {wide(right)})")
@@ -230,12 +250,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases of two and three words."""
     chunks = stage(dictionary(docs, text_col, lang_col), "chunks")
     ones = stage(count_phrases(chunks, 1), "words")
-    twos = stage(count_phrases(chunks, 2, frequent_filter(ones, least)).where(F.col("a") >= least), "pairs")
-    threes = stage(count_phrases(chunks, 3, frequent_filter(twos, least)).where(F.col("a") >= least), "threes")
+    twos = stage(count_phrases(chunks, 2, frequent_filter(ones, 1, least)).where(F.col("a") >= least), "pairs")
+    threes = stage(count_phrases(chunks, 3, frequent_filter(twos, 2, least)).where(F.col("a") >= least), "threes")
 
-    word = lambda i: F.split(F.col("phrase").cast("string"), " ").getItem(i).cast("binary")
     joined = lambda a, b: F.concat(F.col(a), F.lit(b" "), F.col(b))
-    cut = threes.select("lang", "phrase", "a", word(0).alias("w1"), word(1).alias("w2"), word(2).alias("w3"))
+    cut = threes.select("lang", "phrase", "a", _word(0).alias("w1"), _word(1).alias("w2"), _word(2).alias("w3"))
     cut = cut.select("*", joined("w1", "w2").alias("w12"), joined("w2", "w3").alias("w23"))
     for part, counts in (("w1", ones), ("w23", twos), ("w12", twos), ("w3", ones)):
         cut = _with_count(cut, part, counts, f"f_{part}")
@@ -247,7 +266,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     holders = cut.select("lang", F.explode(F.array("w12", "w23")).alias("within"), F.col("a").alias("longer"))
     holders = holders.groupBy("lang", "within").agg(F.max("longer").alias("longer"))
-    pairs = twos.select("lang", "phrase", "a", word(0).alias("w1"), word(1).alias("w2"))
+    pairs = twos.select("lang", "phrase", "a", _word(0).alias("w1"), _word(1).alias("w2"))
     pairs = pairs.join(holders, (pairs.lang == holders.lang) & (pairs.phrase == holders.within), "left").where(
         F.col("longer").isNull() | (100 * F.col("longer") < WITHIN * F.col("a"))).select(pairs["*"])
     for part, name in (("w1", "l"), ("w2", "r")):

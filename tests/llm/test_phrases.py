@@ -49,7 +49,7 @@ def test_any_parsing_counts_alike(spark, monkeypatch, period, together):
     """Chunks of two tokens, of a few, and whole texts; many small tables; a filter that lets much through."""
     monkeypatch.setattr(phrases, "PERIOD", period)
     monkeypatch.setattr(phrases, "TOGETHER", together)
-    monkeypatch.setattr(phrases, "CHUNKS_TOGETHER", together)
+    monkeypatch.setattr(phrases, "PARSED_TOGETHER", together)
     monkeypatch.setattr(phrases, "FILTER_BITS", 128)
     rng = random.Random(period)
     words = [f"w{i}" for i in range(12)] + ["É", "Und", "a\x00b", "漢字"]
@@ -87,3 +87,17 @@ def test_scores_beyond_64_bits(spark):
     row = spark.createDataFrame([(3_000_000_007, 3_000_000_011, 3_000_000_019), (10 ** 11, 10 ** 11, 10 ** 11 + 1)], "a long, l long, r long")
     got = [r[0] for r in row.select(phrases._score("l", "r")).collect()]
     assert got == [10 ** 6 * a * a // (b * c) for a, b, c in [(3_000_000_007, 3_000_000_011, 3_000_000_019), (10 ** 11, 10 ** 11, 10 ** 11 + 1)]]
+
+
+def test_more_words_than_codes_hold():
+    """Three words of millions of distinct ones pass 64 bits; they count alike."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 1 << 22
+    chunk = b" ".join(b"%x" % i for i in range(n)) + b" 0 1 2 0 1 2"
+    table = phrases._Table(pa.array([chunk], pa.binary()), np.array([False]), np.array([3]))
+    every = np.full(phrases.FILTER_BITS // 64, (1 << 64) - 1, np.uint64)
+    found, counts = table.trigrams(every)
+    assert len(found) == n + 2 and {p for p, c in zip(found.to_pylist(), counts) if c > 3} == {b"0 1 2"}
+    assert found[int(np.argmax(counts))].as_py() == b"0 1 2" and counts.max() == 9 and counts.sum() == 3 * (n + 4)
