@@ -152,7 +152,7 @@ def p2(spark, sf_dir):
     frames = [profiler(spark, sf_dir, "events"), profiler(spark, sf_dir, "embeddings"), Profiler(flags)]
     result = None
     for p in frames:
-        part = p.basics.select("column_name", "inferred_type")
+        part = p.facts.select("column_name", "inferred_type")
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -165,7 +165,7 @@ SELECT '{c}' AS column_name, count(*) - count({c}) AS missing_count,
   round(100.0 * (count(*) - count({c})) / count(*), 6) AS missing_percentage, count(*) > count({c}) AS nullable FROM g"""
     for c in ALL_LINEITEM))
 def p3(spark, sf_dir):
-    return profiler(spark, sf_dir, "lineitem_gaps").basics.select(
+    return profiler(spark, sf_dir, "lineitem_gaps").facts.select(
         "column_name", "missing_count", rounded("missing_percentage"), "nullable")
 
 
@@ -206,9 +206,13 @@ def _numeric(spark, sf_dir):
     return profiler(spark, sf_dir, "lineitem_gaps").stats
 
 
+def _averages(spark, sf_dir):
+    return profiler(spark, sf_dir, "lineitem_gaps").averages
+
+
 @query("p6_mean_std", f"WITH {STATS} SELECT column_name, round(mean, 6) AS mean, round(std, 6) AS std_dev FROM s")
 def p6(spark, sf_dir):
-    return _numeric(spark, sf_dir).select(
+    return _averages(spark, sf_dir).select(
         "column_name", rounded("mean_cnt", alias="mean"), rounded("std_cnt", alias="std_dev"))
 
 
@@ -216,8 +220,8 @@ def p6(spark, sf_dir):
 WITH {STATS} SELECT column_name, round(skew, 6) AS skewness FROM s
 UNION ALL SELECT 'value', round(skewness(value), 6) FROM events""")
 def p7(spark, sf_dir):
-    events = profiler(spark, sf_dir, "events").stats.where("column_name = 'value'")
-    return _numeric(spark, sf_dir).select("column_name", rounded("skewness_cnt", alias="skewness")).unionByName(
+    events = profiler(spark, sf_dir, "events").averages.where("column_name = 'value'")
+    return _averages(spark, sf_dir).select("column_name", rounded("skewness_cnt", alias="skewness")).unionByName(
         events.select("column_name", rounded("skewness_cnt", alias="skewness")))
 
 
@@ -231,8 +235,8 @@ def p8(spark, sf_dir):
 
 @query("p9_min_max", f"WITH {STATS} SELECT column_name, round(lo, 6) AS min_value, round(hi, 6) AS max_value FROM s")
 def p9(spark, sf_dir):
-    return _numeric(spark, sf_dir).select(
-        "column_name", rounded("min_value"), rounded("max_value"))
+    return _averages(spark, sf_dir).select(
+        "column_name", rounded("min_cnt", alias="min_value"), rounded("max_cnt", alias="max_value"))
 
 
 @query("p10_outlier_cap", """

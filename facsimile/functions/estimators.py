@@ -14,10 +14,10 @@ def interpolated(low: Column, high: Column, n: Column, p: float) -> Column:
     return low + (high - low) * (h - F.floor(h))
 
 
-def adjusted_skewness(n: Column, m2: Column, m3: Column) -> Column:
-    """Adjusted Fisher-Pearson skewness from summed central powers; 0 if n <= 2."""
+def adjusted_skewness(n: Column, m2: Column, skew: Column) -> Column:
+    """Adjusted Fisher-Pearson skewness from the population's; 0 if n <= 2 or without spread."""
     n = n.cast("double")
-    value = F.try_divide(n * F.sqrt(n - 1), n - 2) * F.try_divide(m3, F.pow(m2, F.lit(1.5)))
+    value = F.try_divide(F.sqrt(n * (n - 1)), n - 2) * skew
     return F.when((n <= 2) | (m2 < 1e-14), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
 
 

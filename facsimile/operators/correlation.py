@@ -3,180 +3,135 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.missing import present
-from facsimile.operators.columns import EXACT, ROOT, group_of, numeric_cells, tally
+from facsimile.operators.columns import ROOT, name_of, numeric_rows, row_cells, tally
+from facsimile.operators.gram import common_counts, pair_moments, score_products
 from facsimile.operators.numeric import NO_FACTS, column_facts, ordered_values
 from facsimile.operators.ordered import Ordered
-from facsimile.operators.sizing import SMALL_ROWS, skew_safe_lookup
+from facsimile.operators.sizing import SMALL_BYTES, broadcast_if_small, skew_safe_lookup
+from facsimile.sources.staging import stage
+
+#: Rows of a group that are dealt to one task at least, when cells of a row come together.
+BUCKET_ROWS = 1 << 14
 
 
 @dataclass
 class Gaps:
     """Where missing values of one numeric column cut out values of another.
 
-    ``counters`` names one column for each pattern of gaps; ``narrows`` tells
-    for a pair (y, x) which pattern the values of y must be ranked under.
+    ``counters`` names one column (by its place) for each pattern of gaps;
+    ``pattern`` is, per column, the number of its pattern among them, counted
+    from 1; 0 stands for a column that cuts out nothing.
     """
 
-    counters: dict[str, str]
-    narrows: dict[tuple[int, int], str]
+    counters: dict[str, int]
+    pattern: list[int]
+
+
+def staged_numbers(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """The numeric columns, read once and written with a number per row."""
+    return stage(numeric_rows(df, columns, by).withColumn("row", F.monotonically_increasing_id()), "numbers")
 
 
-def gap_patterns(df: DataFrame, columns: list[str]) -> Gaps:
+def gap_patterns(numbers: DataFrame, count: int) -> Gaps:
     """The patterns of gaps; columns with the same gaps share one, and most tables have few."""
-    types = {f.name: f.dataType for f in df.schema}
-    k = len(columns)
-    if k < 2:
-        return Gaps({}, {})
-    base = df.select([present(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
-    found = base.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(f"count(c{i}) AS n{i}") for i in range(k)]).first()
-    gappy = [i for i in range(k) if 0 < found[f"n{i}"] < found["rows"]]
-    if not gappy:
-        return Gaps({}, {})
-    lost = base.agg(*[
-        F.expr(f"count_if(c{x} IS NULL AND c{y} IS NOT NULL) AS l{x}_{y}") for x in gappy for y in range(k) if y != x
-    ]).first()
-    same = lambda a, b: a == b or (lost[f"l{a}_{b}"] == 0 and lost[f"l{b}_{a}"] == 0)
-    first = {x: next(r for r in gappy if same(r, x)) for x in gappy}
-    narrows = {(y, x): f"p{first[x]}" for x in gappy for y in range(k) if y != x and lost[f"l{x}_{y}"] > 0}
-    return Gaps({p: columns[int(p[1:])] for p in sorted(set(narrows.values()))}, narrows)
-
-
-def rankable_values(df: DataFrame, columns: list[str], by: str | None, gaps: Gaps) -> Ordered:
+    if count < 2:
+        return Gaps({}, [0] * count)
+    n = {(r.i, r.j): r.n for r in common_counts(numbers.select(*[f"v{i}" for i in range(count)])).collect()}
+    both = lambda a, b: n.get((min(a, b), max(a, b)), 0)
+    cuts = [0 < both(x, x) and any(both(x, y) < both(y, y) for y in range(count)) for x in range(count)]
+    first: list[int] = []
+    pattern = [0] * count
+    for x in range(count):
+        if cuts[x]:
+            like = [a for a in first if both(a, a) == both(x, x) == both(a, x)]
+            first += [] if like else [x]
+            pattern[x] = first.index(like[0] if like else x) + 1
+    return Gaps({f"p{i + 1}": x for i, x in enumerate(first)}, pattern)
+
+
+def rankable_values(numbers: DataFrame, count: int, by: bool, gaps: Gaps) -> Ordered:
     """Ordered value counts that also count, per value, the rows each pattern of gaps leaves."""
-    cells = numeric_cells(df, columns, by, gaps.counters)
+    cells = row_cells(numbers, count, by, gaps.counters)
     return ordered_values(tally(cells, gaps.counters), ["cnt"], counters=gaps.counters)
 
 
-def _with_scores(rows: DataFrame, ranked: DataFrame, cid: int, names: dict[str, str], known: dict) -> DataFrame:
-    """Put the rank scores of one column on every row, by value."""
-    table = ranked.where(F.col("cid") == cid)
-    on = {"grp": "grp", f"v{cid}": "value"}
-    if known["wide"]:
-        on[f"w{cid}"] = "wide"
-    if known["distinct"] <= SMALL_ROWS:
-        side = table.select(
-            *[F.col(r).alias(f"_{left}_of_{cid}") for left, r in on.items()],
-            *[F.col(s).alias(a) for s, a in names.items()])
-        return rows.join(F.broadcast(side), [F.col(left) == F.col(f"_{left}_of_{cid}") for left in on], "left")
-    # Keys on more than 1/1000 of all rows; fewer than 1000, however many groups there are.
-    hot = table.where(F.col("cnt") * 1000 > known["n_root"])
-    return skew_safe_lookup(rows, on, table, hot, names)
-
-
-def spearman(df: DataFrame, columns: list[str], by: str | None = None,
-             values: Ordered | None = None, gaps: Gaps | None = None) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str], by: str | None = None, numbers: DataFrame | None = None,
+             values: Ordered | None = None, gaps: Gaps | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Rank correlation of every pair: (grp, col_a, col_b, rho), both triangles and the diagonal.
 
     Rows missing either value are left out of a pair and the rest ranked anew.
     All the rankings a column needs, one per pattern of gaps, come from the
-    same ordered counts and reach the rows in one lookup by value. An undefined
-    correlation is 0.
+    same ordered counts. Cells meet their scores by value in one join for all
+    columns, one shuffle brings the scores of a row together, and all pairs are
+    matrix products; the number of exchanges does not depend on the columns.
+    An undefined correlation is 0.
     """
-    types = {f.name: f.dataType for f in df.schema}
-    if gaps is None or values is None:
-        gaps = gap_patterns(df, columns)
-        values = rankable_values(df, columns, by, gaps)
-    facts = column_facts(values)
     k = len(columns)
+    if numbers is None:
+        numbers = staged_numbers(df, columns, by)
+    if gaps is None or values is None:
+        gaps = gap_patterns(numbers, k)
+        values = rankable_values(numbers, k, by is not None, gaps)
+    levels = F.array(F.lit(ROOT), *([F.col("grp")] if by else []))
+    leveled = numbers.withColumn("grp", F.explode(levels)).where("grp IS NOT NULL")
+    if sizes is None:
+        sizes = leveled.groupBy("grp").agg(F.count(F.lit(1)).alias("num_rows"))
+        sizes = sizes.unionByName(df.sparkSession.createDataFrame([(ROOT, 0)], sizes.schema)).groupBy("grp").agg(
+            F.sum("num_rows").alias("num_rows")).persist()
+    groups = sizes.count()
 
     # Average rank of each value, centred and scaled to (-1/2, 1/2), in total and per pattern.
     weights = ["cnt", *gaps.counters]
+    scores = {f"s{i}": f"s{i}" for i in range(len(weights))}
     ranked = values.positioned(*[f"n_{w}" for w in weights]).selectExpr(
         "grp", "cid", "value", "coalesce(wide, 0L) AS wide", "cnt",
-        *[f"coalesce(try_divide(cum_{w} - ({w} - 1) / 2.0D - (n_{w} + 1) / 2.0D, n_{w}), 0.0D) AS score_{w}" for w in weights])
-    used = {i: ["cnt", *sorted({p for (y, _), p in gaps.narrows.items() if y == i})] for i in range(k)}
-
-    cell = {c: present(c, types[c]) for c in columns}
-    base = []
-    for i, c in enumerate(columns):
-        base.append(cell[c].cast("double").alias(f"v{i}"))
-        if facts.get(i, NO_FACTS)["wide"]:
-            beyond = (cell[c] >= EXACT) | (cell[c] <= -EXACT)
-            base.append(F.when(beyond, cell[c]).otherwise(F.lit(0)).cast("bigint").alias(f"w{i}"))
-    base += [cell[c].isNotNull().alias(f"has_{p}") for p, c in gaps.counters.items()]
-
-    def score(y: int, x: int) -> str:
-        return f"s{y}_{gaps.narrows.get((y, x), 'cnt')}"
-
-    def level(grp: Column) -> DataFrame:
-        rows = df.select(grp.alias("grp"), *base).where("grp IS NOT NULL")
-        for i in range(k):
-            names = {f"score_{w}": f"s{i}_{w}" for w in used[i]}
-            rows = _with_scores(rows, ranked, i, names, facts.get(i, NO_FACTS))
-        own = [
-            F.expr(f"sum({'' if w == 'cnt' else f'CASE WHEN has_{w} THEN '}s{i}_{w} * s{i}_{w}{'' if w == 'cnt' else ' END'}) AS own_{i}_{w}")
-            for i in range(k) for w in used[i]
-        ]
-        # A value that is missing has no score, so a product exists on pair-complete rows only.
-        pairs = [F.expr(f"sum({score(i, j)} * {score(j, i)}) AS ab_{i}_{j}") for i, j in combinations(range(k), 2)]
-        return rows.groupBy("grp").agg(*own, *pairs)
-
-    sums = level(F.lit(ROOT))
-    if by:
-        sums = sums.unionByName(level(group_of(by)))
-    cells = [(c, c, f"CASE WHEN own_{i}_cnt > 1e-300D THEN 1.0D ELSE 0.0D END") for i, c in enumerate(columns)]
-    for i, j in combinations(range(k), 2):
-        rho = _ratio(f"ab_{i}_{j}", f"own_{score(i, j)[1:]}", f"own_{score(j, i)[1:]}")
-        cells += [(columns[i], columns[j], rho), (columns[j], columns[i], rho)]
-    return _matrix(sums, cells)
-
-
-def _matrix(sums: DataFrame, cells: list[tuple[str, str, str]]) -> DataFrame:
-    """One row per matrix cell from one row of sums."""
-    quoted = lambda c: "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    structs = ", ".join(f"struct({quoted(a)} AS col_a, {quoted(b)} AS col_b, {rho} AS rho)" for a, b, rho in cells)
-    return sums.selectExpr("grp", f"inline(array({structs}))")
-
-
-def _ratio(ab: str, aa: str, bb: str) -> str:
-    """Correlation from centred sums; 0 where it is undefined."""
-    spread = f"(sqrt({aa}) * sqrt({bb}))"
-    value = f"try_divide({ab}, CASE WHEN {spread} > 0 THEN {spread} END)"
-    return f"greatest(least(coalesce({value}, 0.0D), 1.0D), -1.0D)"
+        *[f"coalesce(try_divide(cum_{w} - ({w} - 1) / 2.0D - (n_{w} + 1) / 2.0D, n_{w}), 0.0D) AS s{i}" for i, w in enumerate(weights)])
+    dealt = leveled.join(broadcast_if_small(sizes, groups), "grp").withColumn(
+        "bucket", F.pmod(F.xxhash64("row"), F.ceil(F.col("num_rows") / BUCKET_ROWS))).drop("num_rows")
+    cells = row_cells(dealt, k, False, carry=("bucket", "row"), grouped=True).withColumn("wide", F.coalesce("wide", F.lit(0).cast("bigint")))
+    on = {c: c for c in ("grp", "cid", "value", "wide")}
+    facts = column_facts(values)
+    distinct = sum(f["distinct"] for f in facts.values())
+    if distinct * 8 * (len(weights) + 5) <= SMALL_BYTES:
+        side = ranked.select(*[F.col(c).alias(f"_{c}") for c in on], *scores)
+        scored = cells.join(F.broadcast(side), [F.col(c) == F.col(f"_{c}") for c in on])
+    else:
+        # Keys on more than 1/1000 of a column's cells; fewer than 2000 a column, however many groups there are.
+        total = F.element_at(F.array(*[F.lit(facts.get(i, NO_FACTS)["n_root"]) for i in range(k)]), F.col("cid") + 1)
+        scored = skew_safe_lookup(cells, on, ranked, ranked.where(F.col("cnt") * 1000 > total), scores)
+    sums = score_products(scored, k, gaps.pattern, len(weights))
+    return _matrix(sizes.select("grp"), columns, sums, F.lit(1e-300))
+
+
+def _matrix(groups: DataFrame, columns: list[str], sums: DataFrame, least: Column) -> DataFrame:
+    """(grp, col_a, col_b, rho) of all cells of the matrix; 0 where a correlation is undefined.
+
+    A column with a sum of squares up to ``least`` has no spread, and correlates 0 with itself too.
+    """
+    places = F.sequence(F.lit(0), F.lit(len(columns) - 1))
+    cells = groups.withColumn("a", F.explode(places)).withColumn("b", F.explode(places))
+    cells = cells.withColumns({"i": F.least("a", "b"), "j": F.greatest("a", "b")})
+    spread = F.sqrt("square_i") * F.sqrt("square_j")
+    rho = F.when(F.col("a") == F.col("b"), F.when(F.col("square_i") > least, F.lit(1.0))).otherwise(
+        F.try_divide(F.col("product"), F.when(spread > 0, spread)))
+    return cells.join(sums, ["grp", "i", "j"], "left").select(
+        "grp", name_of(F.col("a"), columns).alias("col_a"), name_of(F.col("b"), columns).alias("col_b"),
+        F.greatest(F.least(F.coalesce(rho, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)).alias("rho"))
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """Linear correlation of every pair over pair-complete rows: (grp, col_a, col_b, rho).
 
-    One pass for means and gaps, one for all products. Columns are shifted by
-    their means, so the sums lose no digits; a pair that touches a column with
-    gaps also sums its own means. A column without spread correlates 0, with
-    itself too.
+    One pass and one small exchange for any number of columns and gaps. Sums
+    are of distances from the pair's own means, so they lose no digits. A column
+    without spread correlates 0, with itself too.
     """
     types = {f.name: f.dataType for f in df.schema}
-    k = len(columns)
-    clean = df.select([present(c, types[c]).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    first = clean.agg(*[
-        F.expr(f"{f}(c{i}) AS {f}{i}") for i in range(k) for f in ("avg", "count", "min", "max")
-    ], F.count(F.lit(1)).alias("rows")).first()
-    gappy = [first[f"count{i}"] < first["rows"] for i in range(k)]
-    centre = [first[f"min{i}"] if first[f"min{i}"] == first[f"max{i}"] else first[f"avg{i}"] for i in range(k)]
-    away = clean.select([
-        (F.col(f"c{i}") - F.lit(centre[i]).cast("double")).alias(f"d{i}") for i in range(k)
-    ])
-    sums = [f"sum(d{i} * d{i}) AS own_{i}" for i in range(k)]
-    cells = [(c, c, f"CASE WHEN own_{i} > 0 THEN 1.0D ELSE 0.0D END") for i, c in enumerate(columns)]
-    for i, j in combinations(range(k), 2):
-        sums.append(f"sum(d{i} * d{j}) AS ab_{i}_{j}")
-        if not (gappy[i] or gappy[j]):
-            rho = _ratio(f"ab_{i}_{j}", f"own_{i}", f"own_{j}")
-        else:
-            for tag, here, there in (("a", i, j), ("b", j, i)):
-                x = f"CASE WHEN d{there} IS NOT NULL THEN d{here} END"
-                sums += [f"{f}({x}) AS {tag}{f}_{i}_{j}" for f in ("sum", "min", "max")]
-                sums.append(f"sum(({x}) * d{here}) AS {tag}{tag}_{i}_{j}")
-            sums.append(f"count(d{i} + d{j}) AS n_{i}_{j}")
-            e = f"{i}_{j}"
-            spread = lambda t: (
-                f"CASE WHEN {t}min_{e} < {t}max_{e} THEN "
-                f"greatest({t}{t}_{e} - try_divide({t}sum_{e} * {t}sum_{e}, n_{e}), 0.0D) ELSE 0.0D END")
-            rho = _ratio(f"(ab_{e} - try_divide(asum_{e} * bsum_{e}, n_{e}))", f"({spread('a')})", f"({spread('b')})")
-        cells += [(columns[i], columns[j], rho), (columns[j], columns[i], rho)]
-    row = away.agg(*[F.expr(s) for s in sums]).withColumn("grp", F.lit(ROOT))
-    return _matrix(row, cells)
+    numbers = df.select([present(c, types[c]).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    root = df.sparkSession.createDataFrame([(ROOT,)], "grp string")
+    return _matrix(root, columns, pair_moments(numbers).withColumn("grp", F.lit(ROOT)), F.lit(0.0))

@@ -69,40 +69,56 @@ def _mean(w: str) -> Column:
     return F.try_divide(F.col(f"moment_{w}"), F.col(f"n_{w}").cast("double"))
 
 
-def second_pass(values: Ordered, w: str) -> list[Column]:
-    """Central powers and quartiles of one weight, as aggregates of ``positioned`` rows."""
-    weight, cum, n = F.col(w), F.col(f"cum_{w}"), F.col(f"n_{w}")
-    away = F.col("value") - _mean(w)
-    square = away * away * weight
-    aggregates = [F.sum(square).alias(f"m2_{w}"), F.sum(square * away).alias(f"m3_{w}")]
+def quartiles(w: str) -> list[Column]:
+    """Quartiles of one weight, as aggregates of ``positioned`` rows."""
+    cum, n = F.col(f"cum_{w}"), F.col(f"n_{w}")
+    aggregates = []
     for q, p in QUARTILES.items():
         h = (n - 1).cast("double") * p
-        held = weight > 0
+        held = F.col(w) > 0
         low = F.min(F.when(held & (cum > F.floor(h)), F.col("value")))
         high = F.min(F.when(held & (cum > F.ceil(h)), F.col("value")))
         aggregates.append(interpolated(low, high, F.first(f"n_{w}"), p).alias(f"{q}_{w}"))
     return aggregates
 
 
+def moment_statistics(moments: DataFrame, places: list[int]) -> DataFrame:
+    """(grp, cid, mean_cnt, std_cnt, skewness_cnt, min_cnt, max_cnt) of numeric columns, from one pass over the table.
+
+    ``places`` are the columns' places in the table, by which ``moments`` goes.
+    """
+    cid = F.array_position(F.array(*[F.lit(p) for p in places]), F.col("cid")).cast("int") - 1
+    return moments.where(F.col("cid").isin(places)).select(
+        "grp", cid.alias("cid"), F.col("mean").alias("mean_cnt"), sample_std(F.col("n"), F.col("m2")).alias("std_cnt"),
+        adjusted_skewness(F.col("n"), F.col("m2"), F.col("skew")).alias("skewness_cnt"),
+        F.col("lo").alias("min_cnt"), F.col("hi").alias("max_cnt"))
+
+
+def order_statistics(values: Ordered) -> DataFrame:
+    """(grp, cid, n_cnt, distinct_cnt, decimals, quartiles) from the ordered value counts."""
+    known = ["n_cnt", "distinct_cnt", "decimals"]
+    rows = values.positioned(*known).groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in known], *quartiles("cnt"))
+    return rows.withColumn("iqr_cnt", F.col("q3_cnt") - F.col("q1_cnt"))
+
+
 def numeric_summary(values: Ordered, weights: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Moments, quartiles and range per (grp, cid); column names end in the weight.
+    """Mean, spread, quartiles and range per (grp, cid); column names end in the weight.
 
     ``extra`` adds further aggregates over the positioned rows to the same pass.
     """
-    known = ["decimals"] + [f"{m}_{w}" for w in weights for m in ("n", "moment", "distinct", "min", "max")]
+    known = [f"{m}_{w}" for w in weights for m in ("n", "moment", "min", "max")]
+    away = lambda w: F.col("value") - _mean(w)
     rows = values.positioned(*known).groupBy(*KEYS).agg(
         *[F.first(c).alias(c) for c in known],
-        *[a for w in weights for a in second_pass(values, w)],
+        *[F.sum(away(w) * away(w) * F.col(w)).alias(f"m2_{w}") for w in weights],
+        *[a for w in weights for a in quartiles(w)],
         *[a.alias(name) for name, a in (extra or {}).items()],
     )
     derived = {}
     for w in weights:
-        n = F.col(f"n_{w}")
         derived[f"mean_{w}"] = _mean(w)
-        derived[f"std_{w}"] = sample_std(n, F.col(f"m2_{w}"))
-        derived[f"skewness_{w}"] = adjusted_skewness(n, F.col(f"m2_{w}"), F.col(f"m3_{w}"))
-        derived[f"iqr_{w}"] = F.col(f"q3_{w}") - F.col(f"q1_{w}")
-    return rows.withColumns(derived).drop(*[f"{m}_{w}" for w in weights for m in ("m2", "m3", "moment")])
+        derived[f"std_{w}"] = sample_std(F.col(f"n_{w}"), F.col(f"m2_{w}"))
+    return rows.withColumns(derived).drop(*[f"{m}_{w}" for w in weights for m in ("m2", "moment")])
 
 
 def with_capped_range(stats: DataFrame, cap: bool) -> DataFrame:

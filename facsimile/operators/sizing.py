@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast, or a window run over unsplit keys, only up to this many rows.
 SMALL_ROWS = 200_000
+# Where the width of a row is known, or is not a few numbers, bytes decide.
+SMALL_BYTES = 32 << 20
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:

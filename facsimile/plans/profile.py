@@ -35,23 +35,33 @@ class Profiler:
 
     # --- counts ---------------------------------------------------------------
 
+    @cached_property
+    def moments(self) -> DataFrame:
+        """Rows, present values, range and central moments of every column, from one pass; cached, a row per (group, column)."""
+        return columns.moments(self.df, self.by).persist()
+
     @cached_property
     def sizes(self) -> DataFrame:
-        """(grp, num_rows); cached, one row per group and one for the table."""
-        return columns.group_sizes(self.df, self.by).persist()
+        """(grp, num_rows): one row per group and one for the table."""
+        return self.moments.where(F.col("cid") == columns.ROWS).select("grp", F.col("n").alias("num_rows"))
 
     @cached_property
     def groups(self) -> int:
         return self.sizes.count()
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """The numeric columns, staged with a number per row; whatever ranks or sorts reads these."""
+        return correlation.staged_numbers(self.df, self.numeric_names, self.by)
+
     @cached_property
     def values(self) -> Ordered:
         """Ordered value counts of the numeric columns."""
-        return correlation.rankable_values(self.df, self.numeric_names, self.by, self.gaps)
+        return correlation.rankable_values(self.numbers, len(self.numeric_names), self.by is not None, self.gaps)
 
     @cached_property
     def gaps(self) -> correlation.Gaps:
-        return correlation.gap_patterns(self.df, self.numeric_names)
+        return correlation.gap_patterns(self.numbers, len(self.numeric_names))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -69,10 +79,17 @@ class Profiler:
         struct = [F.struct(*[F.lit(v[i]).alias(k) for k, v in fields.items()]) for i in range(len(names))]
         return F.element_at(F.array(*struct), F.col("cid") + 1)
 
+    @cached_property
+    def averages(self) -> DataFrame:
+        """Mean, spread, skewness and range per (grp, cid) of the numeric columns; no value is sorted or sent for them."""
+        found = numeric.moment_statistics(self.moments, [self.names.index(c) for c in self.numeric_names])
+        return found.withColumn("column_name", columns.name_of(F.col("cid"), self.numeric_names))
+
     @cached_property
     def stats(self) -> DataFrame:
         """Numeric statistics per (grp, cid); cached."""
-        raw = numeric.numeric_summary(self.values, ["cnt"])
+        averages = broadcast_if_small(self.averages.drop("column_name"), self.groups * len(self.numeric_names))
+        raw = numeric.order_statistics(self.values).join(averages, KEYS)
         raw = numeric.with_capped_range(raw, self.cap).join(broadcast_if_small(self.sizes, self.groups), "grp")
         # Integer columns with gaps count as floating: their bins may be narrower than 1.
         facts = numeric.column_facts(self.values)
@@ -117,34 +134,42 @@ class Profiler:
     def correlations(self) -> DataFrame | None:
         if len(self.numeric_names) < 2:
             return None
-        return correlation.spearman(self.df, self.numeric_names, self.by, self.values, self.gaps)
+        return correlation.spearman(self.df, self.numeric_names, self.by, self.numbers, self.values, self.gaps, self.sizes)
 
     # --- assembly -------------------------------------------------------------
 
     @cached_property
-    def basics(self) -> DataFrame:
-        """One row per (group, column): class, gaps, distinct values, key, semantic type; no second pass."""
+    def facts(self) -> DataFrame:
+        """One row per (group, column): class and gaps, from the one pass of ``moments``."""
         listing = self.sizes.select(
             "grp", "num_rows", F.posexplode(F.array(*[F.lit(c) for c in self.names])).alias("position", "column_name"))
-        kinds = F.create_map(*[F.lit(v) for c in self.names for v in (c, columns.column_class(self.types[c]))])
+        kinds = F.element_at(F.array(*[F.lit(columns.column_class(self.types[c])) for c in self.names]), F.col("position") + 1)
+        found = self.moments.select("grp", F.col("cid").alias("position"), "n")
+        n = F.coalesce("n", F.lit(0).cast("bigint"))
+        missing = F.col("num_rows") - n
+        return listing.join(found, ["grp", "position"], "left").select(
+            "grp", "position", "column_name", F.when(n > 0, kinds).otherwise("unsupported").alias("inferred_type"),
+            (missing > 0).alias("nullable"), missing.alias("missing_count"),
+            F.coalesce(F.try_divide(missing * 100.0, F.col("num_rows").cast("double")), F.lit(0.0)).alias("missing_percentage"),
+            n.alias("n"))
+
+    @cached_property
+    def basics(self) -> DataFrame:
+        """One row per (group, column): class, gaps, distinct values, key, semantic type; cached."""
         parts = []
         if self.numeric_names:
             # every slice of a key repeats the key's totals
-            totals = self.values.parts.groupBy(*KEYS).agg(F.first("n_cnt").alias("n"), F.first("distinct_cnt").alias("d"))
+            totals = self.values.parts.groupBy(*KEYS).agg(F.first("distinct_cnt").alias("d"))
             parts.append(totals.withColumn("column_name", columns.name_of(F.col("cid"), self.numeric_names)))
         if self.label_names:
-            totals = self.label_totals.withColumnsRenamed({"n_cnt": "n", "distinct_cnt": "d"})
+            totals = self.label_totals.select(*KEYS, F.col("distinct_cnt").alias("d"))
             parts.append(totals.withColumn("column_name", columns.name_of(F.col("cid"), self.label_names)))
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        n, d = (F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in "nd")
-        kind = F.when(n > 0, F.element_at(kinds, F.col("column_name"))).otherwise("unsupported")
-        missing = F.col("num_rows") - n
-        semantic = F.when(kind == "categorical", categories.semantic_type(F.col("column_name")))
-        return listing.join(found, ["grp", "column_name"], "left").select(
-            "grp", "position", "column_name", kind.alias("inferred_type"), (missing > 0).alias("nullable"),
-            d.alias("num_unique"), missing.alias("missing_count"),
-            F.coalesce(F.try_divide(missing * 100.0, F.col("num_rows").cast("double")), F.lit(0.0)).alias("missing_percentage"),
-            categories.is_key(F.col("column_name"), d, n).alias("is_primary_key"),
+        d = F.coalesce("d", F.lit(0).cast("bigint"))
+        semantic = F.when(F.col("inferred_type") == "categorical", categories.semantic_type(F.col("column_name")))
+        return self.facts.join(found.drop("cid"), ["grp", "column_name"], "left").select(
+            "grp", "position", "column_name", "inferred_type", "nullable", d.alias("num_unique"), "missing_count",
+            "missing_percentage", categories.is_key(F.col("column_name"), d, F.col("n")).alias("is_primary_key"),
             (semantic if self.semantic else F.lit(None).cast("string")).alias("semantic_type"),
         ).persist()
 

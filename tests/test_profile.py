@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import facsimile as fs
+from facsimile.operators import columns
 from facsimile.operators.columns import ROOT
-from facsimile.operators.correlation import spearman
+from facsimile.operators.correlation import pearson, spearman
 
 
 def by_column(profile, grp=ROOT):
@@ -120,12 +121,61 @@ def test_shuffled_lookup_agrees_with_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(pdf)
     figures = lambda: {(r["grp"], r["col_a"], r["col_b"]): r["rho"] for r in spearman(df, list("abc"), "g").collect()}
     small = figures()
-    monkeypatch.setattr("facsimile.operators.correlation.SMALL_ROWS", 0)
+    monkeypatch.setattr("facsimile.operators.correlation.SMALL_BYTES", 0)
     large = figures()
     assert small.keys() == large.keys() and all(small[k] == pytest.approx(large[k], abs=1e-12) for k in small)
     assert small["=x", "a", "c"] == pytest.approx(pdf[pdf.g == "x"][["a", "c"]].corr(method="spearman").iloc[0, 1])
 
 
+def test_hundred_columns_with_gaps(spark):
+    """Every column with gaps of its own; the plan has as many exchanges as for three columns."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(120, 100)).round(1), columns=[f"c{i}" for i in range(100)])
+    pdf += rng.normal(size=(120, 1))
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.1)
+    df = spark.createDataFrame(pdf)
+    ranks = spearman(df, list(pdf.columns))
+    for found, expected in ((ranks, pdf.corr(method="spearman")), (pearson(df, list(pdf.columns)), pdf.corr())):
+        rows = found.collect()
+        assert len(rows) == 10_000
+        got = pd.DataFrame([r.asDict() for r in rows]).pivot(index="col_a", columns="col_b", values="rho")
+        assert np.allclose(got.loc[pdf.columns, pdf.columns], expected, atol=1e-9)
+    exchanges = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(spearman(df, list(pdf.columns[:20]))) == exchanges(spearman(df, ["c0", "c1", "c2"]))
+
+
+def test_moments_merge(spark):
+    """Parts far apart, in many tasks, and groups; figures as pandas has them."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([1e8 + rng.normal(size=400), rng.gamma(2, size=300)])
+    pdf = pd.DataFrame({"x": x, "y": x * 0 + 2.5, "g": np.where(np.arange(700) < 650, "a", "b"), "t": [None, "s"] * 350})
+    df = spark.createDataFrame(pdf).repartitionByRange(9, "x")
+    found = {(r.grp, r.cid): r for r in columns.moments(df, "g").collect()}
+    assert found["", columns.ROWS].n == 700 and found["=b", columns.ROWS].n == 50 and found["", 3].n == 350
+    for grp, part in (("", pdf), ("=a", pdf[pdf.g == "a"]), ("=b", pdf[pdf.g == "b"])):
+        r = found[grp, 0]
+        assert r.m2 == pytest.approx(((part.x - part.x.mean()) ** 2).sum(), rel=1e-9)
+        assert r.mean == pytest.approx(part.x.mean()) and (r.lo, r.hi) == (part.x.min(), part.x.max())
+        assert found[grp, 1].m2 == 0
+    plan = columns.moments(df, None)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_skewness" in plan or "partial_" in plan
+
+
+def test_three_reads_per_profile(spark, tmp_path):
+    """A table of numbers and texts is scanned three times: for moments, for numbers and for texts."""
+    df = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("v"), F.col("id").cast("string").alias("s"))
+    df.write.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    source = spark.read.parquet(str(tmp_path / "t")).coalesce(1)
+    fs.profile_table(source.mapInArrow(counted, source.schema), conditional_by="v")
+    assert reads.value == 3
+
+
 def test_groups(spark):
     rows = [("n", 1.0), ("n", 2.0), ("s", 10.0), ("s", None), (None, 50.0)]
     p = fs.profile_table(spark.createDataFrame(rows, "side string, v double"), conditional_by="side")
