@@ -83,6 +83,39 @@ def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 
+#: Up to so many values on the larger side the two-sample distribution is counted, as it is cheap there.
+EXACT_SIDE = 10_000
+
+
+def exact_kolmogorov_p(n: int, m: int, reach: int) -> float:
+    """P(D >= reach / (n m)) of the two-sample statistic, over all orders of n and m values.
+
+    An order is a lattice path from (0, 0) to (n, m), and its statistic is the
+    largest |i m - j n| / (n m) on the way. The share of paths to a point that
+    have touched the bound follows from the two points before it: the last step
+    of i + j came from the left in i / (i + j) of them. Points beyond the bound
+    have share 1, so a diagonal's work is the band between. All terms are
+    positive, so small probabilities keep their digits.
+    """
+    import numpy as np
+
+    if reach <= 0:
+        return 1.0
+    share = np.ones(n + 3)  # of the points (i, s - i) of a diagonal, at i + 1; 1 beyond the band
+    share[1] = 0.0
+    for s in range(1, n + m + 1):
+        # the band: |i m - (s - i) n| < reach, within the rectangle
+        low = max(0, s - m, (s * n - reach) // (n + m) + 1)
+        high = min(n, s, -((-s * n - reach) // (n + m)) - 1)
+        if low > high:
+            return 1.0
+        i = np.arange(low, high + 1)
+        # a point on an edge of the rectangle has no point before it on that side, at weight 0 or beyond the band
+        share[low + 1:high + 2] = (share[low:high + 1] * i + share[low + 1:high + 2] * (s - i)) / s
+        share[low], share[high + 2] = 1.0, 1.0
+    return float(share[n + 1])
+
+
 def two_decimals(value: Column) -> Column:
     """Round to two decimals by the exact binary value, ties to even, as printf does.
 

@@ -55,13 +55,13 @@ def _levels(group: Column | None) -> list[Column]:
     return [F.lit(ROOT)] + ([] if group is None else [group])
 
 
-def _long(df: DataFrame, cells: list[tuple[int, list[Column]]], group: Column | None, carry: tuple[str, ...] = ()) -> DataFrame:
+def _long(df: DataFrame, cells: list[tuple[int, list[Column]]], group: Column | None) -> DataFrame:
     structs = [
         F.struct(level.alias("grp"), F.lit(cid).alias("cid"), *values)
         for cid, values in cells
         for level in _levels(group)
     ]
-    long = df.select(*carry, F.inline(F.array(*structs)))
+    long = df.select(F.inline(F.array(*structs)))
     return long.where(F.col("grp").isNotNull() & F.col("value").isNotNull())
 
 
@@ -88,25 +88,27 @@ def numeric_rows(df: DataFrame, columns: list[str], by: str | None = None) -> Da
     return df.select(fields)
 
 
-def row_cells(rows: DataFrame, count: int, by: bool, counters: dict[str, int] | None = None,
-              carry: tuple[str, ...] = (), grouped: bool = False) -> DataFrame:
+def row_cells(rows: DataFrame, cids: Iterable[int], by: bool, counters: dict[str, int] | None = None) -> DataFrame:
     """One row (grp, cid, value, wide) per present cell of ``numeric_rows``, for the table and each group.
 
     ``counters`` adds, under each of its names, 1 where the column it names is
-    present in the same row, else 0. With ``grouped``, ``grp`` already is the level
-    to take, one row of ``rows`` each.
+    present in the same row, else 0.
     """
     beside = [F.when(F.col(f"v{i}").isNotNull(), 1).otherwise(0).cast("bigint").alias(c) for c, i in (counters or {}).items()]
-    cells = [(i, [F.col(f"v{i}").alias("value"), F.col(f"w{i}").alias("wide"), *beside]) for i in range(count)]
-    if not grouped:
-        return _long(rows, cells, F.col("grp") if by else None, carry)
-    structs = [F.struct(F.lit(cid).alias("cid"), *values) for cid, values in cells]
-    return rows.select("grp", *carry, F.inline(F.array(*structs))).where(F.col("value").isNotNull())
+    cells = [(i, [F.col(f"v{i}").alias("value"), F.col(f"w{i}").alias("wide"), *beside]) for i in cids]
+    return _long(rows, cells, F.col("grp") if by else None)
+
+
+def level_cells(rows: DataFrame, cids: Iterable[int], *carry: str) -> DataFrame:
+    """One row (carried columns, cid, value, wide) per present cell; ``wide`` is 0 where a double says all."""
+    cells = [F.struct(F.lit(i).alias("cid"), F.col(f"v{i}").alias("value"), F.coalesce(f"w{i}", F.lit(0).cast("bigint")).alias("wide"))
+             for i in cids]
+    return rows.select(*carry, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
 
 def numeric_cells(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     """One row (grp, cid, value, wide) per present numeric cell."""
-    return row_cells(numeric_rows(df, columns, by), len(columns), by is not None)
+    return row_cells(numeric_rows(df, columns, by), range(len(columns)), by is not None)
 
 
 def text_cells(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.estimators import kolmogorov_p
+from facsimile.functions.estimators import EXACT_SIDE, exact_kolmogorov_p, kolmogorov_p
 from facsimile.functions.missing import present
 from facsimile.operators.columns import KEYS, column_class, name_of, numeric_cells, text_cells
 from facsimile.operators.correlation import pearson
@@ -26,6 +26,12 @@ def paired_columns(ref: DataFrame, synth: DataFrame) -> list[tuple[str, str]]:
     return [(name, kind) for name, kind in pairs if kind]
 
 
+def listing(ref: DataFrame, synth: DataFrame) -> DataFrame:
+    """(position, column_name, type) of each compared column."""
+    rows = [(i, name, kind) for i, (name, kind) in enumerate(paired_columns(ref, synth))]
+    return ref.sparkSession.createDataFrame(rows, "position int, column_name string, type string")
+
+
 def dispatch(ref: DataFrame, synth: DataFrame) -> DataFrame:
     """(position, column_name, type, n_ref, n_synth, status) for each compared column."""
     pairs = paired_columns(ref, synth)
@@ -74,15 +80,36 @@ def ks_statistics(values: Ordered) -> DataFrame:
     """(grp, cid, n_ref, n_synth, ks_statistic, ks_p_value)."""
     rows = values.positioned("n_ref", "n_synth").groupBy(*KEYS).agg(
         F.first("n_ref").alias("n_ref"), F.first("n_synth").alias("n_synth"), ks_aggregate().alias("ks_statistic"))
-    rows = rows.where("n_ref > 0 AND n_synth > 0")
-    return rows.withColumn("ks_p_value", kolmogorov_p(F.col("ks_statistic"), F.col("n_ref"), F.col("n_synth")))
+    return with_p_values(rows.where("n_ref > 0 AND n_synth > 0"))
+
+
+def with_p_values(rows: DataFrame) -> DataFrame:
+    """Adds ``ks_p_value`` to rows with n_ref, n_synth and ks_statistic.
+
+    Up to ``EXACT_SIDE`` values on the larger side the exact two-sample
+    distribution is counted, each column in a task of its own; beyond, the limit law
+    at the effective size of both samples.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("ks_p_value", T.DoubleType())])
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            figures = [batch.column(c).to_pylist() for c in ("n_ref", "n_synth", "ks_statistic")]
+            p = [exact_kolmogorov_p(n, m, round(d * n * m)) if max(n, m) <= EXACT_SIDE else None for n, m, d in zip(*figures)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "ks_p_value"])
+
+    limit = kolmogorov_p(F.col("ks_statistic"), F.col("n_ref"), F.col("n_synth"))
+    # one row per column; a task each, as counting takes up to half a second
+    return rows.repartition(32, *KEYS).mapInArrow(counted, schema).withColumn("ks_p_value", F.coalesce("ks_p_value", limit))
 
 
 def numeric_metrics(ref: DataFrame, synth: DataFrame, names: list[str]) -> DataFrame:
     """All distances of the numeric columns, one row per column with values on both sides."""
     values = paired_values(ref, synth, names)
     stats = numeric_summary(values, ["ref", "synth"], {"ks_statistic": ks_aggregate()})
-    both = stats.where("n_ref > 0 AND n_synth > 0")
+    both = with_p_values(stats.where("n_ref > 0 AND n_synth > 0"))
     diff = lambda m: F.abs(F.col(f"{m}_ref") - F.col(f"{m}_synth"))
     relative = lambda m: diff(m) / F.greatest(F.abs(F.col(f"{m}_ref")), F.lit(1e-5))
     # A spread is compared only if both sides have more than one value.
@@ -99,7 +126,7 @@ def numeric_metrics(ref: DataFrame, synth: DataFrame, names: list[str]) -> DataF
     quantile = F.col("quantile_diff") / F.greatest(F.col("_size"), F.lit(1e-5))
     return both.select(
         name_of(F.col("cid"), names).alias("column_name"),
-        "ks_statistic", kolmogorov_p(F.col("ks_statistic"), F.col("n_ref"), F.col("n_synth")).alias("ks_p_value"),
+        "ks_statistic", "ks_p_value",
         diff("mean").alias("mean_diff"), diff("median").alias("median_diff"), diff("std").alias("std_diff"),
         "quantile_diff",
         ((relative("mean") + relative("median") + relative("std") + quantile) / 4.0).alias("numeric_distribution_error"),
@@ -111,7 +138,7 @@ def numeric_metrics(ref: DataFrame, synth: DataFrame, names: list[str]) -> DataF
 def category_metrics(ref: DataFrame, synth: DataFrame, names: list[str]) -> DataFrame:
     """Mean frequency distance over the union of categories: (column_name, mean_freq_diff)."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    as_text = synth.select([F.col(f"`{n}`").cast("string").alias(n) for n in names])
+    as_text = synth.select([_clean(synth, n).cast("string").alias(n) for n in names])
     left = text_cells(ref, names).withColumns({"ref": one, "synth": none})
     right = text_cells(as_text, names).withColumns({"ref": none, "synth": one})
     counts = left.unionByName(right).groupBy(*KEYS, "value").agg(F.sum("ref").alias("ref"), F.sum("synth").alias("synth"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.missing import present
-from facsimile.operators.columns import ROOT, name_of, numeric_rows, row_cells, tally
+from facsimile.operators.columns import ROOT, level_cells, name_of, numeric_rows, row_cells, tally
 from facsimile.operators.gram import common_counts, pair_moments, score_products
 from facsimile.operators.numeric import NO_FACTS, column_facts, ordered_values
 from facsimile.operators.ordered import Ordered
@@ -56,7 +56,7 @@ def gap_patterns(numbers: DataFrame, count: int) -> Gaps:
 
 def rankable_values(numbers: DataFrame, count: int, by: bool, gaps: Gaps) -> Ordered:
     """Ordered value counts that also count, per value, the rows each pattern of gaps leaves."""
-    cells = row_cells(numbers, count, by, gaps.counters)
+    cells = row_cells(numbers, range(count), by, gaps.counters)
     return ordered_values(tally(cells, gaps.counters), ["cnt"], counters=gaps.counters)
 
 
@@ -93,17 +93,27 @@ def spearman(df: DataFrame, columns: list[str], by: str | None = None, numbers:
         *[f"coalesce(try_divide(cum_{w} - ({w} - 1) / 2.0D - (n_{w} + 1) / 2.0D, n_{w}), 0.0D) AS s{i}" for i, w in enumerate(weights)])
     dealt = leveled.join(broadcast_if_small(sizes, groups), "grp").withColumn(
         "bucket", F.pmod(F.xxhash64("row"), F.ceil(F.col("num_rows") / BUCKET_ROWS))).drop("num_rows")
-    cells = row_cells(dealt, k, False, carry=("bucket", "row"), grouped=True).withColumn("wide", F.coalesce("wide", F.lit(0).cast("bigint")))
     on = {c: c for c in ("grp", "cid", "value", "wide")}
-    facts = column_facts(values)
-    distinct = sum(f["distinct"] for f in facts.values())
-    if distinct * 8 * (len(weights) + 5) <= SMALL_BYTES:
-        side = ranked.select(*[F.col(c).alias(f"_{c}") for c in on], *scores)
-        scored = cells.join(F.broadcast(side), [F.col(c) == F.col(f"_{c}") for c in on])
-    else:
+    facts = [column_facts(values).get(i, NO_FACTS) for i in range(k)]
+    # columns whose rankings are few are broadcast together, up to a size in bytes; the others share one shuffle
+    light, left = [], SMALL_BYTES
+    for i in sorted(range(k), key=lambda i: facts[i]["distinct"]):
+        left -= facts[i]["distinct"] * 8 * (len(weights) + 5)
+        light += [i] if left >= 0 else []
+    heavy = [i for i in range(k) if i not in light]
+    parts = []
+    if light:
+        side = ranked.where(F.col("cid").isin(light)).select(*[F.col(c).alias(f"_{c}") for c in on], *scores)
+        cells = level_cells(dealt, light, "grp", "bucket", "row")
+        parts.append(cells.join(F.broadcast(side), [F.col(c) == F.col(f"_{c}") for c in on]))
+    if heavy:
         # Keys on more than 1/1000 of a column's cells; fewer than 2000 a column, however many groups there are.
-        total = F.element_at(F.array(*[F.lit(facts.get(i, NO_FACTS)["n_root"]) for i in range(k)]), F.col("cid") + 1)
-        scored = skew_safe_lookup(cells, on, ranked, ranked.where(F.col("cnt") * 1000 > total), scores)
+        total = F.element_at(F.array(*[F.lit(f["n_root"]) for f in facts]), F.col("cid") + 1)
+        table = ranked.where(F.col("cid").isin(heavy))
+        cells = level_cells(dealt, heavy, "grp", "bucket", "row")
+        parts.append(skew_safe_lookup(cells, on, table, table.where(F.col("cnt") * 1000 > total), scores))
+    named = ["grp", "bucket", "row", "cid", *scores]
+    scored = parts[0].select(*named) if len(parts) == 1 else parts[0].select(*named).unionAll(parts[1].select(*named))
     sums = score_products(scored, k, gaps.pattern, len(weights))
     return _matrix(sizes.select("grp"), columns, sums, F.lit(1e-300))
 

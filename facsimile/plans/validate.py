@@ -33,7 +33,7 @@ class Validation:
 def column_metrics(ref: DataFrame, synth: DataFrame) -> DataFrame:
     """Status and metrics of every column both tables have."""
     pairs = comparison.paired_columns(ref, synth)
-    listing = comparison.dispatch(ref, synth)
+    listing = comparison.listing(ref, synth)
     numeric = [n for n, kind in pairs if kind == comparison.NUMERIC]
     labels = [n for n, kind in pairs if kind == comparison.CATEGORICAL]
     if numeric:
@@ -44,7 +44,10 @@ def column_metrics(ref: DataFrame, synth: DataFrame) -> DataFrame:
         listing = listing.join(comparison.category_metrics(ref, synth, labels), "column_name", "left")
     else:
         listing = listing.withColumn("mean_freq_diff", F.lit(None).cast("double"))
-    return listing.select("position", "column_name", "type", "status", *_METRICS, "mean_freq_diff")
+    # only columns with values on both sides have figures
+    compared = F.col("ks_statistic").isNotNull() | F.col("mean_freq_diff").isNotNull()
+    status = F.when(compared, "compared").otherwise("empty").alias("status")
+    return listing.select("position", "column_name", "type", status, *_METRICS, "mean_freq_diff")
 
 
 def validate_tables(ref: DataFrame, synth: DataFrame) -> Validation:

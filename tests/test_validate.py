@@ -1,10 +1,13 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import facsimile as fs
-from facsimile.functions.estimators import kolmogorov_p
+from facsimile.functions.estimators import exact_kolmogorov_p, kolmogorov_p
+from facsimile.operators import comparison
 from facsimile.operators.correlation import pearson
 
 STAFF = """badge,wage,years,stars,team
@@ -149,3 +152,60 @@ def test_p_value_at_finite_sizes(spark):
         kolmogorov_p(F.col("d"), F.col("n"), F.col("m"))).collect()
     for (n, m, d), (p,) in zip(cases, got):
         assert p == pytest.approx(exact_p(round(n * m / (n + m)), d), abs=0.004)
+
+
+def test_exact_p_value():
+    """Every order of a few values enumerated; equal sides by the closed form of Gnedenko and Korolyuk."""
+    from itertools import combinations
+    from math import comb
+
+    for n, m in ((1, 1), (3, 3), (4, 6), (7, 3)):
+        orders = []
+        for left in combinations(range(n + m), n):
+            at, most = 0, 0
+            for t in range(n + m):
+                at += m if t in left else -n
+                most = max(most, abs(at))
+            orders.append(most)
+        for reach in range(n * m + 2):
+            expected = sum(x >= reach for x in orders) / len(orders)
+            assert exact_kolmogorov_p(n, m, reach) == pytest.approx(expected, rel=1e-12, abs=1e-15)
+    for n, k in ((8, 4), (15, 7), (60, 31), (2000, 60), (10_000, 250)):
+        closed = 2 * sum((-1) ** (t - 1) * (comb(2 * n, n - t * k) / comb(2 * n, n) if n <= 500 else
+                                            np.exp(log_comb(2 * n, n - t * k) - log_comb(2 * n, n))) for t in range(1, n // k + 1))
+        assert exact_kolmogorov_p(n, n, k * n) == pytest.approx(closed, rel=1e-7)
+    # the tables' critical value for twice 20 values at 5 % is a distance of 9/20
+    assert exact_kolmogorov_p(20, 20, 9 * 20) < 0.05 < exact_kolmogorov_p(20, 20, 8 * 20)
+
+
+def log_comb(n, k):
+    from math import lgamma
+
+    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+
+def test_p_value_of_small_tables(spark):
+    """Small sides are counted, large ones go by the limit law; both in one table."""
+    rng = np.random.default_rng(11)
+    ref = pd.DataFrame({"a": rng.normal(size=13), "b": rng.normal(size=13)})
+    ref.loc[4, "b"] = np.nan
+    synth = pd.DataFrame({"a": rng.normal(0.8, 1, size=100), "b": rng.normal(size=100)})
+    m = metrics(fs.validate_tables(spark.createDataFrame(ref), spark.createDataFrame(synth)))
+    for name, n in (("a", 13), ("b", 12)):
+        assert m[name]["ks_p_value"] == pytest.approx(exact_kolmogorov_p(n, 100, round(m[name]["ks_statistic"] * n * 100)))
+    rows = spark.createDataFrame([("", 0, 10_000, 10_000, 0.02), ("", 1, 10_001, 10_000, 0.02)],
+                                 "grp string, cid int, n_ref long, n_synth long, ks_statistic double")
+    exact, limit = (r.ks_p_value for r in comparison.with_p_values(rows).orderBy("cid").collect())
+    assert exact == exact_kolmogorov_p(10_000, 10_000, 2_000_000) and exact == pytest.approx(limit, abs=1e-3)
+
+
+@pytest.mark.skipif("FIDELITY_PAIR" not in os.environ, reason="two CSV files, the reference table and a synthetic one")
+def test_published_figures(spark):
+    """The published report on a pair of example tables."""
+    v = fs.validate_tables(*[fs.read_table(spark, path) for path in os.environ["FIDELITY_PAIR"].split(",")])
+    score, m = v.score.first(), metrics(v)
+    assert round(score["overall"], 1) == 71.3 and round(score["mean_absolute_correlation_error"], 2) == 0.32
+    published = {"id": (0.2200, 1.9400, 1.0), "salary": (0.5304, 14272.1371, 17848.1150), "age": (0.5243, 2.4179, 5.5),
+                 "rating": (0.3077, 0.2405, 0.0)}
+    for name, figures in published.items():
+        assert [round(m[name][f], 4) for f in ("ks_statistic", "mean_diff", "median_diff")] == list(figures)
