@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from catalog.inputs import LINEITEM_NUMBERS, load, profile, profiler, sql_input, synthetic
 from catalog.profiling import BINS, GAPS, STATS, _spearman_sql
 from catalog.registry import query, rounded
-from facsimile import generate_table, impose_rank_correlation, write_table
+from facsimile import generate_table, impose_rank_correlation, profile_table, write_table
 from facsimile.functions.hashed import normal_cdf
+from facsimile.operators.comparison import ks_statistics, paired_values
 from facsimile.operators.copula import target_matrix
 from facsimile.operators.correlation import spearman
 from facsimile.operators.marginals import strategies
@@ -471,6 +472,33 @@ def g18(spark, sf_dir):
     return per_group.unionByName(whole)
 
 
+@query("g18_hot_group", """
+SELECT count(*) AS num_rows, true AS hot_close, true AS hot_alike, CAST(0 AS BIGINT) AS unknown_groups,
+  CAST(0 AS BIGINT) AS beyond_range FROM orders""")
+def g18_hot(spark, sf_dir):
+    """Some thousand groups, one of which holds half of the rows; prices come from each group's own distribution."""
+    def make():
+        part = F.when(F.col("o_orderkey") % 2 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("o_custkey") % 1000).cast("string")))
+        return stage(load(spark, sf_dir, "orders").select(part.alias("part"), "o_totalprice"), "parts")
+
+    source = make()
+    p = profile_table(source, conditional_by="part")
+    rows = source.count()
+    table = stage(generate_table(p, rows), "many-groups")
+    ranges = p.columns.where("column_name = 'o_totalprice'").select("grp", "min_value", "max_value")
+    found = table.groupBy(F.concat(F.lit("="), "part").alias("grp")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).join(ranges, "grp", "left")
+    hot = lambda df: df.where("part = 'hot'").select("o_totalprice")
+    ks = ks_statistics(paired_values(hot(source), hot(table), ["o_totalprice"])).first()
+    half = source.where("part = 'hot'").count()
+    # a density from 1000 sample values and its kernels' width add to the chance of two samples
+    alike = ks["ks_statistic"] < 0.06 + 2 / half**0.5
+    return found.agg(
+        F.sum("n").alias("num_rows"), F.max((F.col("grp") == "=hot") & (F.abs(F.col("n") - half) < 4 * half**0.5)).alias("hot_close"),
+        F.lit(bool(alike)).alias("hot_alike"), F.count_if(F.col("min_value").isNull()).alias("unknown_groups"),
+        F.count_if((F.col("lo") < F.col("min_value")) | (F.col("hi") > F.col("max_value"))).alias("beyond_range"))
+
+
 @query("g19_shuffled", """
 SELECT count(*) AS num_rows, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, true AS hash_ordered FROM customer""")
 def g19(spark, sf_dir):

@@ -1,10 +1,11 @@
-"""Marginal distributions as tables of segments.
+"""Marginal distributions, computed from a profile alone.
 
 Columns with a closed form (normal, cut to a range or not) are drawn from it.
-Every other is drawn the same way: a uniform u picks the segment with
+A density estimate is an array of quantiles at fixed knots; arithmetic on a
+uniform u says between which two it falls, and a monotone cubic joins them, so
+it needs no lookup. Bins and constants are segments: u picks the one with
 lo <= u < hi, and the value lies between x0 and x1 in proportion. Steps have
-x0 = x1. The whole inverse distribution function of a column is thus a few
-rows, computed from its profile alone.
+x0 = x1.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from facsimile.functions.hashed import _ERFC, normal_cdf, normal_quantile, norma
 from facsimile.operators.sizing import exclusive_total
 
 KEYS = ["grp", "column_name"]
-GRID = 1024
-SEGMENT = "grp string, column_name string, lo double, hi double, x0 double, x1 double"
+#: Knots of a density: even steps of 1/EVEN, and HALVES half octaves down to 2^-DEEPEST beyond the outermost on either side.
+EVEN = 256
+DEEPEST = 50
+HALVES = 2 * (DEEPEST - 8)
+KNOTS = 2 * HALVES + EVEN - 1
 
 
 def strategies(columns: DataFrame, histogram: DataFrame, sample: DataFrame) -> DataFrame:
@@ -69,11 +73,10 @@ def _bin_segments(chosen: DataFrame, histogram: DataFrame) -> DataFrame:
     )
 
 
-def _tail_steps() -> list[float]:
-    """Probabilities a density is laid out at: even steps, and ever finer ones towards both ends."""
-    fine = [2.0 ** (-k / 8) for k in range(8 * 50, 8 * 10, -1)]
-    even = [k / GRID for k in range(1, GRID)]
-    return sorted({0.0, *fine, *even, *[1.0 - p for p in fine], 1.0})
+def knot_places() -> list[float]:
+    """The probabilities of the knots: even steps, and ever finer ones towards both ends."""
+    low = [2.0 ** (i / 2 - DEEPEST) for i in range(HALVES)]
+    return [*low, *[k / EVEN for k in range(1, EVEN)], *[1.0 - p for p in reversed(low)]]
 
 
 def _erfc(x):
@@ -99,7 +102,7 @@ def density_curve(points, steps):
     width = points.std(ddof=1) * len(points) ** -0.2
     if width == 0:
         return np.full(len(steps), points[0])
-    xs = np.linspace(points[0] - 8.5 * width, points[-1] + 8.5 * width, 6 * GRID)
+    xs = np.linspace(points[0] - 8.5 * width, points[-1] + 8.5 * width, 6144)
 
     def tail(side):
         """Log chance to lie beyond xs on one side."""
@@ -118,9 +121,24 @@ def density_curve(points, steps):
     return np.maximum.accumulate(np.where(steps < 0.5, low, high))
 
 
-def _curve_segments(chosen: DataFrame, sample: DataFrame) -> DataFrame:
-    """Segments of density estimates on at most 1000 sample values each, held to the column's range."""
+def monotone_slopes(steps, values):
+    """Slopes at the knots of a cubic that rises wherever the values do: weighted harmonic means of the secants."""
+    import numpy as np
+
+    width = np.diff(steps)
+    secant = np.diff(values) / width
+    before, after = width[:-1], width[1:]
+    left, right = secant[:-1], secant[1:]
+    flat = (left <= 0) | (right <= 0)
+    left, right = np.where(flat, 1.0, left), np.where(flat, 1.0, right)
+    inner = 3.0 * (before + after) / ((2.0 * after + before) / left + (after + 2.0 * before) / right)
+    return np.concatenate([[secant[0]], np.where(flat, 0.0, inner), [secant[-1]]])
+
+
+def density_knots(chosen: DataFrame, sample: DataFrame) -> DataFrame:
+    """(grp, column_name, knots, slopes) of density estimates on at most 1000 sample values each, held to the column's range."""
     values = sample.groupBy(*KEYS).agg(F.collect_list("value").alias("values"))
+    chosen = chosen.where(F.col("strategy") == "density")
     rows = chosen.join(values, KEYS, "left").select(*KEYS, "min_value", "max_value", "values")
 
     def curves(batches):
@@ -129,51 +147,81 @@ def _curve_segments(chosen: DataFrame, sample: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        steps = np.array(_tail_steps())
+        steps = np.array(knot_places())
         for frame in batches:
+            found = []
             for row in frame.itertuples(index=False):
                 low = -inf if pd.isna(row.min_value) else row.min_value
                 high = inf if pd.isna(row.max_value) else row.max_value
                 x = np.clip(density_curve(row.values, steps), low, high)
-                yield pd.DataFrame({
-                    "grp": row.grp, "column_name": row.column_name,
-                    "lo": steps[:-1], "hi": steps[1:], "x0": x[:-1], "x1": x[1:],
-                })
+                found.append((row.grp, row.column_name, x, monotone_slopes(steps, x)))
+            yield pd.DataFrame(found, columns=["grp", "column_name", "knots", "slopes"])
 
-    return rows.mapInPandas(curves, SEGMENT)
+    return rows.mapInPandas(curves, "grp string, column_name string, knots array<double>, slopes array<double>")
+
+
+def with_knot_draw(rows: DataFrame, u: str, knots: Column, slopes: Column, alias: str) -> DataFrame:
+    """Adds the quantile at the uniform ``u`` (a column's name) of an array of knots: its place by arithmetic, a cubic between.
+
+    Each step is a column of its own, so nothing is computed twice.
+    """
+    col = lambda name: F.col(f"_{name}_{alias}")
+    step = lambda frame, **columns: frame.withColumns({f"_{k}_{alias}": v for k, v in columns.items()})
+    # both ends alike, by the distance from the nearer one
+    rows = step(rows, end=F.least(F.col(u), 1.0 - F.col(u)), upper=F.col(u) >= 0.5)
+    rows = step(rows, half=F.least(F.greatest(
+        F.floor(2.0 * (F.log2(F.greatest(col("end"), F.lit(1e-300))) + DEEPEST)), F.lit(0)), F.lit(HALVES)).cast("int"))
+    tail = col("half") < HALVES
+    rows = step(rows, first=F.when(tail, F.pow(F.lit(2.0), col("half") / 2.0 - DEEPEST)),
+                even=F.floor(F.col(u) * EVEN).cast("int"))
+    rows = step(
+        rows,
+        width=F.when(tail, col("first") * (2.0**0.5 - 1.0)).otherwise(F.lit(1.0 / EVEN)),
+        place=F.when(tail & col("upper"), KNOTS - 2 - col("half")).when(tail, col("half")).otherwise(HALVES - 1 + col("even")))
+    gone = F.when(tail, (col("end") - col("first")) / col("width")).otherwise(F.col(u) * EVEN - col("even"))
+    gone = F.least(F.greatest(gone, F.lit(0.0)), F.lit(1.0))
+    rows = step(
+        rows, s=F.when(tail & col("upper"), 1.0 - gone).otherwise(gone),
+        y0=F.element_at(knots, col("place") + 1), y1=F.element_at(knots, col("place") + 2),
+        m0=F.element_at(slopes, col("place") + 1), m1=F.element_at(slopes, col("place") + 2))
+    s = col("s")
+    value = col("y0") + s * s * (3.0 - 2.0 * s) * (col("y1") - col("y0")) + col("width") * s * (1.0 - s) * (
+        (1.0 - s) * col("m0") - s * col("m1"))
+    rows = rows.withColumn(alias, F.least(F.greatest(value, col("y0")), col("y1")))
+    return rows.drop(*[f"_{c}_{alias}" for c in ("end", "upper", "half", "first", "even", "width", "place", "s", "y0", "y1", "m0", "m1")])
 
 
 #: Strategies with a closed form, which need no segments.
 BELLS = ("normal", "truncated_normal")
 
 
-def bell_draw(u: Column, z: Column | None, mean: Column, std: Column, low: Column, high: Column) -> Column:
-    """A normal cut to [low, high] (null: open) at the uniform ``u``, or at the normal score ``z`` if there is one.
+def with_bell_draw(rows: DataFrame, alias: str, u: Column, z: Column | None, mean: Column, std: Column,
+                   low: Column, high: Column) -> DataFrame:
+    """Adds a normal cut to [low, high] (null: open) at the uniform ``u``, or at the normal score ``z`` if there is one.
 
     Draws above the median count their chance from the upper end, so both tails
-    keep their digits.
+    keep their digits. Each step is a column of its own: polynomials within
+    polynomials would be computed thousands of times.
     """
-    a, b = (low - mean) / std, (high - mean) / std
+    col = lambda name: F.col(f"_{name}_{alias}")
+    step = lambda frame, **columns: frame.withColumns({f"_{k}_{alias}": v for k, v in columns.items()})
     none = F.lit(0.0)
-    below, beyond = F.coalesce(normal_cdf(a), none), F.coalesce(normal_tail(b), none)
-    if z is None:
-        lower, upper = u, F.lit(1.0) - u
-        first_half = u < 0.5
-        open_score = F.when(first_half, normal_quantile(lower)).otherwise(-normal_quantile(upper))
-    else:
-        lower, upper = normal_cdf(z), normal_tail(z)
-        first_half = z < 0
-        open_score = z
-    left_out = below + beyond
-    score = F.when(first_half, normal_quantile(below + lower * (F.lit(1.0) - left_out))).otherwise(
-        -normal_quantile(beyond + upper * (F.lit(1.0) - left_out)))
-    bounded = low.isNotNull() | high.isNotNull()
-    value = mean + std * F.when(bounded, score).otherwise(open_score)
-    return F.least(F.greatest(value, low), high)
-
-
-def numeric_segments(chosen: DataFrame, histogram: DataFrame, sample: DataFrame) -> DataFrame:
-    """Segments of all numeric columns but keys and bells: (grp, column_name, lo, hi, x0, x1).
+    rows = step(rows, a=(low - mean) / std, b=(high - mean) / std, lower=u if z is None else normal_cdf(z),
+                upper=F.lit(1.0) - u if z is None else normal_tail(z), first=u < 0.5 if z is None else z < 0)
+    rows = step(rows, below=F.coalesce(normal_cdf(col("a")), none), beyond=F.coalesce(normal_tail(col("b")), none))
+    rows = step(rows, inside=F.lit(1.0) - (col("below") + col("beyond")))
+    rows = step(rows, p=F.when(col("first"), col("below") + col("lower") * col("inside")).otherwise(
+        col("beyond") + col("upper") * col("inside")))
+    rows = step(rows, q=normal_quantile(col("p")))
+    score = F.when(col("first"), col("q")).otherwise(-col("q"))
+    if z is not None:
+        score = F.when(low.isNotNull() | high.isNotNull(), score).otherwise(z)
+    rows = rows.withColumn(alias, F.least(F.greatest(mean + std * score, low), high))
+    return rows.drop(*[f"_{c}_{alias}" for c in ("a", "b", "lower", "upper", "first", "below", "beyond", "inside", "p", "q")])
+
+
+def numeric_segments(chosen: DataFrame, histogram: DataFrame) -> DataFrame:
+    """Segments of all numeric columns but keys, bells and densities: (grp, column_name, lo, hi, x0, x1).
 
     ``chosen`` comes from :func:`strategies`.
     """
@@ -183,5 +231,4 @@ def numeric_segments(chosen: DataFrame, histogram: DataFrame, sample: DataFrame)
     flat = of("constant", "uniform").select(
         *KEYS, F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), low.alias("x0"), high.alias("x1"))
     bins = _bin_segments(of("discrete", "histogram"), histogram)
-    curves = _curve_segments(of("density"), sample)
-    return flat.unionByName(bins).unionByName(curves)
+    return flat.unionByName(bins)

@@ -22,6 +22,24 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
+def salted_join(df: DataFrame, key: str, size: str, place: str, side: DataFrame, sizes: DataFrame, rows: int) -> DataFrame:
+    """Left join of ``df`` to the one row of ``side`` that has its key, where a key may hold any share of the rows.
+
+    ``size`` is the number of rows of a row's key and ``place`` its number among
+    them; ``sizes`` has (key, size) once per key. A key's rows are dealt to as
+    many salts as they fill eighths of a task's share, and its row of ``side`` is
+    repeated for each: some eight times the number of tasks more rows in all.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, rows // (8 * tasks))
+    salts = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / share)
+    repeated = side.join(sizes.withColumnRenamed(size, "_size"), key).withColumn(
+        "_side_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts("_size") - 1))).withColumnRenamed(key, "_side_key")
+    dealt = df.withColumn("_salt", F.pmod(F.col(place), salts(size)))
+    on = (F.col(key) == F.col("_side_key")) & (F.col("_salt") == F.col("_side_salt"))
+    return dealt.join(repeated, on, "left").drop("_salt", "_side_salt", "_side_key", "_size")
+
+
 def skew_safe_lookup(
     df: DataFrame,
     on: dict[str, str],

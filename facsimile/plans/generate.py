@@ -7,6 +7,8 @@ sorted or shuffled unless a lookup table is too large to broadcast.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +18,10 @@ from facsimile.operators.columns import ROOT
 from facsimile.operators.copula import mixing_rows
 from facsimile.operators.draws import Size, by_segment, draw_category, draw_numeric
 from facsimile.operators.fakes import fake
-from facsimile.operators.marginals import BELLS, bell_draw, numeric_segments, strategies
+from facsimile.operators.marginals import (
+    BELLS, KNOTS, density_knots, numeric_segments, strategies, with_bell_draw, with_knot_draw)
 from facsimile.operators.ordered import ordered
-from facsimile.operators.sizing import SMALL_ROWS, broadcast_if_small, exclusive_total
+from facsimile.operators.sizing import SMALL_BYTES, SMALL_ROWS, exclusive_total, salted_join
 from facsimile.plans.profile import Profile
 from facsimile.sources.session import prefer_compiled_methods
 from facsimile.sources.staging import stage
@@ -77,7 +80,7 @@ class Generator:
         pos = permuted(F.col("id"), size, "row", self.seed)
         if not self.by:
             return ids.select(pos.alias("pos"), F.lit(ROOT).alias("grp"), pos.alias("idx"), size.alias("size"))
-        bounds = self.group_bounds()
+        bounds = self.bounds
         groups = bounds.count()
         deal = permuted(F.col("id"), size, "group", self.seed)
         placed = ids.select(pos.alias("pos"), deal.alias("deal"), F.lit("all").alias("grp"))
@@ -107,7 +110,8 @@ class Generator:
         counted = drawn.groupBy(F.concat(F.lit("="), F.col("value")).alias("group")).agg(F.count(F.lit(1)).alias("size"))
         return counted.unionByName(empty).where("size > 0")
 
-    def group_bounds(self) -> DataFrame:
+    @cached_property
+    def bounds(self) -> DataFrame:
         """(group, size, start): groups end to end on 0..n-1."""
         draws = stage(self.group_draws().withColumn("everything", F.lit(0)), "groups")
         if draws.count() <= SMALL_ROWS:
@@ -131,6 +135,7 @@ class Generator:
                 for figure in ("mean", "std_dev", "min_value", "max_value"):
                     wanted[f"{figure}_{i}"] = F.max(F.when(at, F.col(figure)))
         table = self.plan.groupBy("grp").agg(*[c.alias(a) for a, c in wanted.items()])
+        curves = self._curves()
         factors = None
         if len(self.numeric) > 1:
             correlations = self.profile.correlations
@@ -143,12 +148,33 @@ class Generator:
             if factors is not None:
                 found = factors.first()
                 constants["factor"] = list(found["factor"]) if found else None
-            return None, constants
-        if factors is not None:
-            table = table.join(factors, "grp", "left")
+            side = None if curves is None else stage(curves, "curves")
+            return side, constants | ({a: F.col(a) for a in side.columns if a != "grp"} if side is not None else {})
+        for more in (curves, factors):
+            if more is not None:
+                table = table.join(more, "grp", "left")
         table = stage(table, "parameters")
         return table, {a: F.col(a) for a in table.columns if a != "grp"}
 
+    def _curves(self) -> DataFrame | None:
+        """(grp, knots_<i>, slopes_<i>, ...): the density estimates of all columns that have one, a row per group."""
+        at = [i for i, f in enumerate(self.facts) if "density" in f["strategies"]]
+        if not at:
+            return None
+        knots = density_knots(self.plan, self.profile.sample)
+        own = lambda i, c: F.first(F.when(F.col("column_name") == self.names[i], F.col(c)), ignorenulls=True).alias(f"{c}_{i}")
+        return knots.groupBy("grp").agg(*[own(i, c) for i in at for c in ("knots", "slopes")])
+
+    def _with_parameters(self, rows: DataFrame, side: DataFrame) -> DataFrame:
+        """Every row with its group's parameters: broadcast up to a size in bytes, else a join that splits large groups."""
+        fields = [f for f in side.schema if f.name != "grp"]
+        curves = sum(f.name.startswith(("knots_", "slopes_")) for f in fields)
+        width = 8 * (curves * KNOTS + len(fields) - curves + ("factor" in side.columns) * len(self.numeric) ** 2 + 8)
+        if not self.by or self.groups * width <= SMALL_BYTES:
+            return rows.join(F.broadcast(side), "grp", "left")
+        sizes = self.bounds.select(F.coalesce("group", F.lit(ROOT)).alias("grp"), "size")
+        return salted_join(rows, "grp", "size", "idx", side, sizes, self.n)
+
     def _copula_order(self) -> list[str]:
         """Numeric columns, the first key ahead: its score is fixed by its value."""
         keys = [c for c in self.numeric if self._fact(c)["strategy"] == "key"]
@@ -160,13 +186,13 @@ class Generator:
         side, constants = self._parameters()
         rows = self.rows()
         if side is not None:
-            rows = rows.join(broadcast_if_small(side, self.groups), "grp", "left")
+            rows = self._with_parameters(rows, side)
         at = [F.col("pos"), F.col("grp")]
         rows = self._with_uniforms(rows, constants, at)
-        numeric_drawn = self.plan.where(~F.col("strategy").isin("key", "empty", "categories", "semantic", *BELLS))
+        numeric_drawn = self.plan.where(~F.col("strategy").isin("key", "empty", "categories", "semantic", "density", *BELLS))
         segments, sizes = None, {}
         if self.numeric:
-            segments = stage(numeric_segments(numeric_drawn, self.profile.histogram, self.profile.sample), "segments")
+            segments = stage(numeric_segments(numeric_drawn, self.profile.histogram), "segments")
             per_group = segments.groupBy("column_name", "grp").count()
             for r in per_group.groupBy("column_name").agg(F.max("count"), F.sum("count")).collect():
                 sizes[r[0]] = Size(r[1], r[2], self.groups)
@@ -175,8 +201,10 @@ class Generator:
             if name in sizes:
                 own = segments.where(F.col("column_name") == name).drop("column_name")
                 rows = draw_numeric(rows, f"u_{i}", own, sizes[name], f"v_{i}")
+            if "density" in kinds:
+                rows = self._with_curve(rows, i, constants, name in sizes)
             if not kinds.isdisjoint(BELLS):
-                rows = self._with_bell(rows, i, constants, name in sizes)
+                rows = self._with_bell(rows, i, constants, name in sizes or "density" in kinds)
             if name not in sizes and "categories" in kinds:
                 own = self.profile.frequencies.where(F.col("column_name") == name).select("grp", "value", "weight")
                 size = Size(fact["most_unique"], fact["all_unique"], self.groups)
@@ -184,15 +212,23 @@ class Generator:
         output = [self._finished(i, fact, constants, at) for i, fact in enumerate(self.facts)]
         return rows.select(output)
 
+    def _with_curve(self, rows: DataFrame, i: int, constants: dict, drawn: bool) -> DataFrame:
+        """``v_<i>`` of the groups in which the column has a density estimate."""
+        rows = with_knot_draw(rows, f"u_{i}", constants[f"knots_{i}"], constants[f"slopes_{i}"], f"_curve_{i}")
+        other = F.col(f"v_{i}") if drawn else F.lit(None).cast("double")
+        rows = rows.withColumn(f"v_{i}", F.when(constants[f"strategy_{i}"] == "density", F.col(f"_curve_{i}")).otherwise(other))
+        return rows.drop(f"_curve_{i}", f"knots_{i}", f"slopes_{i}")
+
     def _with_bell(self, rows: DataFrame, i: int, constants: dict, drawn: bool) -> DataFrame:
         """``v_<i>`` of the groups in which the column is normal, cut to its range or not."""
         z = F.col(f"z_{i}") if f"z_{i}" in rows.columns else None
         figure = lambda name: constants[f"{name}_{i}"]
         strategy = constants[f"strategy_{i}"]
         cut = lambda name: F.when(strategy == "truncated_normal", figure(name))
-        value = bell_draw(F.col(f"u_{i}"), z, figure("mean"), figure("std_dev"), cut("min_value"), cut("max_value"))
+        rows = with_bell_draw(rows, f"_bell_{i}", F.col(f"u_{i}"), z, figure("mean"), figure("std_dev"),
+                              cut("min_value"), cut("max_value"))
         other = F.col(f"v_{i}") if drawn else F.lit(None).cast("double")
-        return rows.withColumn(f"v_{i}", F.when(strategy.isin(*BELLS), value).otherwise(other))
+        return rows.withColumn(f"v_{i}", F.when(strategy.isin(*BELLS), F.col(f"_bell_{i}")).otherwise(other)).drop(f"_bell_{i}")
 
     def _with_uniforms(self, rows: DataFrame, constants: dict, at: list[Column]) -> DataFrame:
         """Add ``u_<i>``: correlated through the copula for numeric columns, else independent."""

@@ -143,7 +143,7 @@ def test_permutations_are_independent(spark):
 def test_tails_of_bells(spark):
     from statistics import NormalDist
 
-    from facsimile.operators.marginals import bell_draw
+    from facsimile.operators.marginals import with_bell_draw
 
     unit = NormalDist()
     points = [-8.0, -5.0, -1.0, 0.0, 2.0, 6.0]
@@ -151,10 +151,12 @@ def test_tails_of_bells(spark):
     for z, (p,) in zip(points, got):
         assert p == pytest.approx(unit.cdf(-z), rel=1e-6)
     none = F.lit(None).cast("double")
-    draw = lambda low, high, z: bell_draw(F.col("u"), z, F.lit(10.0), F.lit(2.0), low, high)
     for z in points:
-        row = spark.createDataFrame([(unit.cdf(z), z)], "u double, z double").select(
-            draw(none, none, F.col("z")), draw(F.lit(5.0), F.lit(11.0), F.col("z")), draw(F.lit(5.0), F.lit(11.0), None)).first()
+        row = spark.createDataFrame([(unit.cdf(z), z)], "u double, z double")
+        for name, low, high, at in (("open", none, none, F.col("z")), ("cut", F.lit(5.0), F.lit(11.0), F.col("z")),
+                                    ("even", F.lit(5.0), F.lit(11.0), None)):
+            row = with_bell_draw(row, name, F.col("u"), at, F.lit(10.0), F.lit(2.0), low, high)
+        row = row.select("open", "cut", "even").first()
         assert row[0] == pytest.approx(10 + 2 * z, abs=1e-9)
         a, b = unit.cdf(-2.5), unit.cdf(0.5)
         expected = 10 + 2 * unit.inv_cdf(a + unit.cdf(z) * (b - a))
@@ -164,14 +166,14 @@ def test_tails_of_bells(spark):
 def test_density_curve_follows_the_kernels():
     from statistics import NormalDist
 
-    from facsimile.operators.marginals import _tail_steps, density_curve
+    from facsimile.operators.marginals import density_curve, knot_places
 
     points = np.random.default_rng(0).normal(5, 3, 400)
-    steps = np.array(_tail_steps())
+    steps = np.array(knot_places())
     curve = density_curve(points, steps)
     width = points.std(ddof=1) * 400 ** -0.2
     assert (np.diff(curve) >= 0).all() and (np.diff(steps) > 0).all()
-    for k in (40, 200, 300, len(steps) // 2, len(steps) - 200, len(steps) - 120):
+    for k in (12, 50, 83, len(steps) // 2, len(steps) - 90, len(steps) - 50):
         cdf = np.mean([NormalDist(x, width).cdf(curve[k]) for x in points])
         sf = np.mean([NormalDist(-x, width).cdf(-curve[k]) for x in points])
         assert cdf == pytest.approx(steps[k], rel=0.02) and sf == pytest.approx(1 - steps[k], rel=0.02)
@@ -188,3 +190,72 @@ def test_random_expressions(spark):
         normal_quantile(F.col("p")), normal_cdf(normal_quantile(F.col("p")))).collect()
     for p, (z, back) in zip(points, got):
         assert z == pytest.approx(NormalDist().inv_cdf(p), abs=1e-6) and back == pytest.approx(p, abs=1e-6)
+
+
+def test_knots_by_arithmetic(spark):
+    """Draws between the knots follow the kernels' distribution, in the middle, in both tails and across a gap."""
+    from statistics import NormalDist
+
+    from facsimile.operators.marginals import density_curve, knot_places, monotone_slopes, with_knot_draw
+
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(0, 1, 300), rng.normal(40, 2, 200)])
+    steps = np.array(knot_places())
+    knots = density_curve(points, steps)
+    slopes = monotone_slopes(steps, knots)
+    assert len(steps) == len(set(steps)) == 2 * 84 + 255 and (slopes >= 0).all()
+    u = sorted([2.0**-52, 3e-15, 1e-9, 1e-5, 0.003, 1 / 256, 0.1234, 0.55, 0.9, 255 / 256, 0.999, 1 - 1e-6, 1 - 1e-12,
+                *steps[::31], *rng.random(200)])
+    df = spark.createDataFrame([(float(x),) for x in u], "u double").coalesce(1)
+    arrays = [F.lit(x.tolist()) for x in (knots, slopes)]
+    got = [r.v for r in with_knot_draw(df, "u", *arrays, "v").collect()]
+    assert (np.diff(got) >= 0).all()
+    assert np.interp(steps[::31], u, got) == pytest.approx(knots[::31], rel=1e-5)  # 1 - u has few digits at the far end
+    width = points.std(ddof=1) * len(points) ** -0.2
+    for x, value in zip(u, got):
+        cdf = np.mean([NormalDist(p, width).cdf(value) for p in points])
+        assert abs(cdf - x) < 1e-3 and (x > 0.1 or x < 1e-13 or cdf == pytest.approx(x, rel=0.03))
+
+
+@pytest.fixture(scope="module")
+def many_groups(spark):
+    """A thousand groups and one that holds half of the rows, with a column drawn from its density."""
+    df = spark.range(24_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 2001).cast("string"))).alias("g"),
+        (F.pow(F.rand(3) + 0.1, F.lit(2.0)) * F.when(F.col("id") % 2 == 0, 100).otherwise(1)).alias("v"))
+    return fs.profile_table(df, conditional_by="g")
+
+
+def test_many_groups_without_a_shuffle(spark, many_groups):
+    table = fs.generate_table(many_groups, 20_000, seed=3)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any(j in plan for j in ("SortMergeJoin", "ShuffledHashJoin", "Exchange range"))
+    g = table.toPandas()
+    assert g["g"].nunique() > 900 and 9_500 < (g["g"] == "hot").sum() < 10_500 and g["v"].notna().all()
+    real = many_groups.columns.where("column_name = 'v' AND grp = '=hot'").first()
+    hot = g[g["g"] == "hot"]["v"]
+    assert hot.median() == pytest.approx(real["median"], rel=0.1)
+    assert hot.between(real["min_value"] - 1e-4, real["max_value"] + 1e-4).all()  # four decimals are kept
+
+
+def test_large_groups_are_split(spark, many_groups, monkeypatch):
+    """Beyond the size for a broadcast, rows and values stay the same and no task gets much more than others."""
+    from facsimile.plans import generate
+
+    small = rows_of(fs.generate_table(many_groups, 20_000, seed=3))
+    monkeypatch.setattr(generate, "SMALL_BYTES", 0)
+    before = [spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows_of(fs.generate_table(many_groups, 20_000, seed=3)) == small
+        maker = generate.Generator(many_groups, 20_000, 3)
+        side, _ = maker._parameters()
+        rows = maker._with_parameters(maker.rows(), side)
+        sizes = sorted(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 20_000 and len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
