@@ -351,7 +351,7 @@ def g14(spark, sf_dir):
 
 @query("g15_correlation_target", f"""
 WITH {GAPS}, {_spearman_sql(LINEITEM_NUMBERS, 'g')}
-SELECT a.col_a, a.col_b, round((a.rho + b.rho) / 2, 6) AS rho FROM matrix a JOIN matrix b ON a.col_a = b.col_b AND a.col_b = b.col_a""")
+SELECT col_a, col_b, round(avg(rho) OVER (PARTITION BY least(col_a, col_b), greatest(col_a, col_b)), 6) AS rho FROM matrix""")
 def g15(spark, sf_dir):
     p = profile(spark, sf_dir, "lineitem_gaps")
     return target_matrix(p.correlations, LINEITEM_NUMBERS).select("col_a", "col_b", rounded("rho"))
@@ -499,6 +499,24 @@ def g18_hot(spark, sf_dir):
         F.count_if((F.col("lo") < F.col("min_value")) | (F.col("hi") > F.col("max_value"))).alias("beyond_range"))
 
 
+def _runs(batches):
+    """The first and last key of a partition, and whether its keys rise."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    first = last = None
+    rising = True
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        if len(keys):
+            rising &= bool((np.diff(keys.astype(object)) >= 0).all()) and (last is None or last <= keys[0])
+            first, last = keys[0] if first is None else first, keys[-1]
+    if first is not None:
+        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "first": int(first), "last": int(last), "rising": bool(rising)}],
+                                         schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("rising", pa.bool_())]))
+
+
 @query("g19_shuffled", """
 SELECT count(*) AS num_rows, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, true AS hash_ordered FROM customer""")
 def g19(spark, sf_dir):
@@ -507,7 +525,9 @@ def g19(spark, sf_dir):
     plain, mixed = generate_table(p, rows), generate_table(p, rows, shuffle=True)
     tagged = plain.withColumn("side", F.lit(1)).unionByName(mixed.withColumn("side", F.lit(-1)))
     net = tagged.groupBy(*plain.columns).agg(F.sum("side").alias("net"), F.count_if(F.col("side") < 0).alias("here"))
-    ordered = "Sort [xxhash64" in mixed._jdf.queryExecution().optimizedPlan().toString()
+    ends = mixed.select(F.xxhash64(*[F.col(c) for c in mixed.columns], F.lit(42)).alias("key")).mapInArrow(
+        _runs, "part int, first long, last long, rising boolean").orderBy("part").collect()  # a row per partition
+    ordered = all(r.rising for r in ends) and all(a.last <= b.first for a, b in zip(ends, ends[1:]))
     return net.agg(
         F.sum("here").alias("num_rows"), F.sum(F.greatest("net", F.lit(0))).cast("bigint").alias("lost"),
         F.sum(-F.least("net", F.lit(0))).cast("bigint").alias("gained"), F.lit(ordered).alias("hash_ordered"))

@@ -7,11 +7,11 @@ from facsimile.plans.profile import Profile, Profiler, profile_table
 from facsimile.plans.report import fidelity_run, numeric_fidelity, quality_report
 from facsimile.plans.validate import Validation, validate_tables
 from facsimile.sources.profiles import load_profile, save_profile
-from facsimile.sources.staging import release
+from facsimile.sources.staging import release, run
 from facsimile.sources.tables import EmptyTableError, read_table, require_rows, write_table
 
 __all__ = [
     "EmptyTableError", "Profile", "Profiler", "Validation", "fidelity_run", "generate_table",
     "impose_rank_correlation", "load_profile", "numeric_fidelity", "profile_table", "quality_report",
-    "read_table", "release", "require_rows", "save_profile", "scan_privacy", "validate_tables", "write_table",
+    "read_table", "release", "require_rows", "run", "save_profile", "scan_privacy", "validate_tables", "write_table",
 ]

@@ -13,7 +13,7 @@ from facsimile.operators.gram import common_counts, pair_moments, score_products
 from facsimile.operators.numeric import NO_FACTS, column_facts, ordered_values
 from facsimile.operators.ordered import Ordered
 from facsimile.operators.sizing import SMALL_BYTES, broadcast_if_small, skew_safe_lookup
-from facsimile.sources.staging import stage
+from facsimile.sources.staging import keep, stage
 
 #: Rows of a group that are dealt to one task at least, when cells of a row come together.
 BUCKET_ROWS = 1 << 14
@@ -81,8 +81,8 @@ def spearman(df: DataFrame, columns: list[str], by: str | None = None, numbers:
     leveled = numbers.withColumn("grp", F.explode(levels)).where("grp IS NOT NULL")
     if sizes is None:
         sizes = leveled.groupBy("grp").agg(F.count(F.lit(1)).alias("num_rows"))
-        sizes = sizes.unionByName(df.sparkSession.createDataFrame([(ROOT, 0)], sizes.schema)).groupBy("grp").agg(
-            F.sum("num_rows").alias("num_rows")).persist()
+        sizes = keep(sizes.unionByName(df.sparkSession.createDataFrame([(ROOT, 0)], sizes.schema)).groupBy("grp").agg(
+            F.sum("num_rows").alias("num_rows")))
     groups = sizes.count()
 
     # Average rank of each value, centred and scaled to (-1/2, 1/2), in total and per pattern.

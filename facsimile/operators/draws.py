@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facsimile.operators.ordered import ordered
 from facsimile.operators.sizing import SMALL_ROWS, broadcast_if_small, exclusive_total, skew_safe_lookup
+from facsimile.sources.staging import keep
 
 
 class Size(NamedTuple):
@@ -82,7 +83,7 @@ def draw_category(rows: DataFrame, u: str, categories: DataFrame, size: Size, al
         return joined.withColumnRenamed("value", alias).drop("_lo", "_hi")
     numbered = ordered(positive.withColumn("one", F.lit(1).cast("bigint")), ["grp", "weight"], ["value"], ["one"], "dictionary")
     classes = numbered.parts.groupBy("grp", "weight").agg(F.first("n_one").alias("members"))
-    classes = classes.withColumn("mass", F.col("weight") * F.col("members")).persist()
+    classes = keep(classes.withColumn("mass", F.col("weight") * F.col("members")))
     most, total = classes.groupBy("grp").count().agg(F.max("count"), F.sum("count")).first()
     laid = weight_segments(classes, ["grp"], [F.col("weight").desc()], "mass")
     joined = by_segment(rows, u, laid, ["weight", "members", "mass"], Size(most, total, size.groups))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.operators.sizing import broadcast_if_small
-from facsimile.sources.staging import stage
+from facsimile.sources.staging import keep, stage
 
 
 def slice_totals(df: DataFrame, order: list[str], weights: list[str]) -> DataFrame:
@@ -97,5 +97,5 @@ def ordered(
     parts = parts.withColumns({**shifts, **totals})
     if per_key:
         parts = parts.withColumns({a: c.over(whole) for a, c in per_key.items()})
-    parts = parts.persist()
+    parts = keep(parts)
     return Ordered(rows, keys, weights, parts, parts.count())

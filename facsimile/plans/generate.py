@@ -24,7 +24,7 @@ from facsimile.operators.ordered import ordered
 from facsimile.operators.sizing import SMALL_BYTES, SMALL_ROWS, exclusive_total, salted_join
 from facsimile.plans.profile import Profile
 from facsimile.sources.session import prefer_compiled_methods
-from facsimile.sources.staging import stage
+from facsimile.sources.staging import keep, stage
 
 _BELOW_ONE = 1.0 - 2.0**-52
 
@@ -42,7 +42,7 @@ class Generator:
         meta = profile.meta.where(F.col("grp") == ROOT).first()
         self.by = meta["conditional_by_column"]
         columns = profile.columns if self.by else profile.columns.where(F.col("grp") == ROOT)
-        self.plan = strategies(columns, profile.histogram, profile.sample).persist()
+        self.plan = keep(strategies(columns, profile.histogram, profile.sample))
         self.facts = self._column_facts()
         self.names = [f["column_name"] for f in self.facts]
         self.numeric = [f["column_name"] for f in self.facts if f["kind"] == "numeric"]
@@ -116,9 +116,9 @@ class Generator:
         draws = stage(self.group_draws().withColumn("everything", F.lit(0)), "groups")
         if draws.count() <= SMALL_ROWS:
             start = exclusive_total("size", ["everything"], [F.col("group")])
-            return draws.withColumn("start", start).drop("everything").persist()
+            return keep(draws.withColumn("start", start).drop("everything"))
         laid = ordered(draws, ["everything"], ["group"], ["size"], "group-bounds").positioned()
-        return laid.withColumn("start", F.col("cum_size") - F.col("size")).drop("everything", "cum_size").persist()
+        return keep(laid.withColumn("start", F.col("cum_size") - F.col("size")).drop("everything", "cum_size"))
 
     # --- parameters ---------------------------------------------------------------
 

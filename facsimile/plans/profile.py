@@ -15,7 +15,7 @@ from facsimile.operators.privacy import scan_privacy
 from facsimile.operators.sizing import broadcast_if_small
 from facsimile.plans.together import together
 from facsimile.sources.session import prefer_compiled_methods
-from facsimile.sources.staging import stage
+from facsimile.sources.staging import keep, stage
 
 
 class Profiler:
@@ -38,7 +38,7 @@ class Profiler:
     @cached_property
     def moments(self) -> DataFrame:
         """Rows, present values, range and central moments of every column, from one pass; cached, a row per (group, column)."""
-        return columns.moments(self.df, self.by).persist()
+        return keep(columns.moments(self.df, self.by))
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -70,7 +70,7 @@ class Profiler:
 
     @cached_property
     def label_totals(self) -> DataFrame:
-        return categories.label_totals(self.labels).persist()
+        return keep(categories.label_totals(self.labels))
 
     # --- statistics -----------------------------------------------------------
 
@@ -104,7 +104,7 @@ class Profiler:
         stats = numeric.with_bins(stats)
         if self.epsilon is not None:
             stats = numeric.with_moment_noise(stats, self.epsilon, self.seed)
-        return stats.persist()
+        return keep(stats)
 
     @cached_property
     def histogram(self) -> DataFrame:
@@ -167,11 +167,11 @@ class Profiler:
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         d = F.coalesce("d", F.lit(0).cast("bigint"))
         semantic = F.when(F.col("inferred_type") == "categorical", categories.semantic_type(F.col("column_name")))
-        return self.facts.join(found.drop("cid"), ["grp", "column_name"], "left").select(
+        return keep(self.facts.join(found.drop("cid"), ["grp", "column_name"], "left").select(
             "grp", "position", "column_name", "inferred_type", "nullable", d.alias("num_unique"), "missing_count",
             "missing_percentage", categories.is_key(F.col("column_name"), d, F.col("n")).alias("is_primary_key"),
             (semantic if self.semantic else F.lit(None).cast("string")).alias("semantic_type"),
-        ).persist()
+        ))
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -189,11 +189,11 @@ class Profiler:
             table = self.basics.withColumns({
                 **{k: F.lit(None).cast("double") for k in figures},
                 "discrete": F.lit(None).cast("boolean"), "places": F.lit(None).cast("int")})
-        return table.select(
+        return keep(table.select(
             *[c for c in self.basics.columns if c not in ("is_primary_key", "semantic_type")], *figures,
             F.coalesce("discrete", F.lit(False)).alias("is_discrete"), "is_primary_key", "semantic_type",
             F.coalesce("places", F.lit(4)).alias("decimals"),
-        ).persist()
+        ))
 
     @cached_property
     def warnings(self) -> DataFrame:

@@ -10,10 +10,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+#: Frames this package has cached, per open run; the first list belongs to no run.
+_kept: list[list[DataFrame]] = [[]]
+_folders: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -30,13 +35,44 @@ def staging_root(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write the frame once and return a frame that reads it back."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folders[-1] if _folders else staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop this application's staged tables and cached frames; results not yet read are lost."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a small frame until its run ends, or until ``release``."""
+    _kept[-1].append(df.persist())
+    return df
+
+
+def _drop(spark: SparkSession, folder: str, frames: list[DataFrame]) -> None:
+    for df in frames:
+        df.unpersist()
+    frames.clear()
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
-    spark.catalog.clearCache()
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[None]:
+    """What is staged and cached inside goes at the end, and nothing else; read results before."""
+    folder, frames = f"{staging_root(spark)}/run-{uuid.uuid4().hex}", []
+    _folders.append(folder)
+    _kept.append(frames)
+    try:
+        yield
+    finally:
+        _folders.remove(folder)
+        del _kept[next(i for i, x in enumerate(_kept) if x is frames)]
+        _drop(spark, folder, frames)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop all this package has staged and cached in the application, but no frame that the caller has cached.
+
+    Results not yet read are lost.
+    """
+    _drop(spark, staging_root(spark), [df for frames in _kept for df in frames])
+    for frames in _kept:
+        frames.clear()

@@ -86,11 +86,28 @@ def test_staged_tables_can_be_dropped(spark, monkeypatch, tmp_path):
     from facsimile.sources import staging
 
     monkeypatch.setattr(staging, "staging_root", lambda _: str(tmp_path / "own"))
+    monkeypatch.setattr(staging, "_folders", [])
+    monkeypatch.setattr(staging, "_kept", [[]])
     assert staging.stage(spark.range(3), "three").count() == 3 and (tmp_path / "own").exists()
     fs.release(spark)
     assert not (tmp_path / "own").exists()
 
 
+def test_runs_drop_their_own(spark, tmp_path, monkeypatch):
+    """A run's tables and caches go at its end; those of an outer run and the caller's own stay."""
+    from facsimile.sources import staging
+
+    mine = spark.range(5).persist()
+    outer = staging.stage(spark.range(3), "outer")
+    with fs.run(spark):
+        inner, kept = staging.stage(spark.range(4), "inner"), staging.keep(spark.range(6))
+        assert inner.count() == 4 and kept.count() == 6 and kept.is_cached
+    assert outer.count() == 3 and mine.is_cached and not kept.is_cached
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        inner.count()
+    mine.unpersist()
+
+
 def test_no_numeric_columns(spark):
     df = spark.createDataFrame([("a", True), ("b", False)], "s string, f boolean")
     score = fs.validate_tables(df, df).score.first()
