@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import as_bytes, mapped, mixed, quoted, signed
+from facsimile.llm.common import as_bytes, free_names, mapped, mixed, quoted, signed
 from facsimile.sources.staging import stage
 
 WIDTH = 100
@@ -436,7 +436,7 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataF
     if repeats.isEmpty():
         return docs, None
     key = [quoted(id_col), F.xxhash64(F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary"))]
-    names = ["__id", "__th"]
+    names = free_names(docs, "__id", "__th")
     once = docs.withColumns(dict(zip(names, key))).dropDuplicates(names).drop(*names)
     return once, repeats
 
@@ -449,14 +449,15 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
     """
     once, _ = _without_repeats(docs, id_col, text_col)
     _, found = _spans(once, id_col, text_col)
-    names = {k: f"__{k}" for k in ("doc", "none", "th", "found")}
+    kinds = ("doc", "none", "th", "found")
+    names = dict(zip(kinds, free_names(docs, *(f"__{k}" for k in kinds))))
     lists = found.select(*(F.col(k).alias(v) for k, v in names.items()))
     raw = F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary")
     doc = quoted(id_col)
-    on = ((F.coalesce(doc.cast("long"), F.lit(0)) == F.col("__doc")) & (doc.isNull() == F.col("__none"))
-          & (F.xxhash64(raw) == F.col("__th")))
+    on = ((F.coalesce(doc.cast("long"), F.lit(0)) == F.col(names["doc"])) & (doc.isNull() == F.col(names["none"]))
+          & (F.xxhash64(raw) == F.col(names["th"])))
     rows = once.join(lists, on, "left").select(
-        *(quoted(c) for c in docs.columns), "__found")
+        *(quoted(c) for c in docs.columns), names["found"])
     text_at = docs.columns.index(text_col)
     count_at = docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None
 

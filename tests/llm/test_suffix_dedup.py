@@ -81,6 +81,18 @@ def test_cut_keeps_characters_and_columns(spark):
     assert got[1].text.endswith(" tail") and len(got[1].text) < 20 and got[1].n_chars == len(got[1].text)
 
 
+def test_cut_leaves_columns_of_any_name(spark):
+    """Helper names as the user's own columns come back as they were, with repeated rows and without."""
+    clash = {name: f"mine {name}" for name in ("__id", "__th", "__doc", "__none", "__found", "doc", "th", "raw")}
+    body = "".join(random.Random(5).choices("abcd ", k=300))
+    for texts, ids in (([body, body[:200] + " end", "s"], [1, 2, 3]), ([body, body, body[:200], "s", "s"], [1, 1, 2, 3, 3])):
+        docs = documents(spark, texts, ids=ids, **clash)
+        got = sd.cut(docs).collect()
+        assert sd.cut(docs).columns == docs.columns and len(got) == len({*zip(ids, texts)})
+        assert all(r[name] == value for r in got for name, value in clash.items())
+        assert {r.doc_id: r.text for r in got}[2] == texts[ids.index(2)][200:]
+
+
 def test_previous_factors():
     draw = np.random.default_rng(4)
     for _ in range(60):
