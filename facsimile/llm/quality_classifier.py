@@ -7,31 +7,38 @@ each view labels the unlabelled documents it is sure of, by its calibrated
 probability, and the other view learns from them beside the true labels.
 Finally the calibrated views are combined.
 
-A round is one aggregation over a staged table of feature numbers: tasks add up
+Features are made once, in one map over the texts, and staged; rounds and scores
+read the staged numbers. A round is one aggregation over them: tasks add up
 counts per feature, and what reaches the driver is a fixed number of sums
-(features, and bins of scores for calibration) whatever the table's size. All
-labelled and all unlabelled documents take part. Calibration uses the labelled
-rows of fold 0, which no view learns from.
+(features, and bins of scores for calibration) whatever the table's size. True
+labels are a bounded sample (``LABELLED``, by hash of the id) and broadcast, so
+that no feature is shuffled; all other documents take part as unlabelled.
+Calibration uses the labelled rows of fold 0, which no view learns from.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from facsimile.llm.common import WordHashes, as_bytes, fold, mapped, quoted, shingle_hashes
+from facsimile.llm.common import WordHashes, as_bytes, fold, quoted, shingle_hashes
 from facsimile.sources.staging import stage
 
 ROUNDS = 3
 FOLDS = 5
 TEXT_FEATURES, META_FEATURES = 1 << 15, 1 << 12
 VIEWS = ("text", "meta")
+FEATURES = ("label", "calibrates", "text", "meta")
+SCORES = ("text_score", "meta_score", "score")
+#: The views learn from at most so many true labels, broadcast at some 16 bytes each; beyond, ids go by parts of their hashes.
+LABELLED, LABEL_PARTS = 400_000, 4096
 #: A view passes a label on where its calibrated probability of good quality is beyond these.
 SURE_BAD, SURE_GOOD = 0.02, 0.98
 LEAST_CHI_SQUARED = 15.1
@@ -55,7 +62,7 @@ def shape(word: bytes) -> bytes:
 class TextFeatures:
     """Feature numbers of a text; word tables are bounded and start anew when full."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __init__(self):
         self.hashes = WordHashes()
@@ -164,24 +171,21 @@ class QualityModel:
         t, m = np.clip(self.views["text"].odds(text), -12, 12), np.clip(self.views["meta"].odds(meta), -12, 12)
         return t, m, self.mix[0] * t + self.mix[1] * m + self.mix[2]
 
-    def _mapped(self, docs: DataFrame, columns: dict[str, str], name: str) -> DataFrame:
-        """``docs`` with a struct of the scores as last column."""
-        rows = docs.withColumn(name, F.lit(None).cast("struct<text:double,meta:double,score:double>"))
-        at = {k: docs.columns.index(v) for k, v in columns.items()}
-        shared = docs.sparkSession.sparkContext.broadcast(self)
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``featured`` with (c0, c1, ...) carried, and text_score, meta_score and score instead of the features."""
+        shared = rows.sparkSession.sparkContext.broadcast(self)
+        carried = [f for f in rows.schema if f.name not in FEATURES]
+        rows = rows.select("label", "calibrates", "text", "meta", *(f.name for f in carried))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, features = shared.value, TextFeatures()
             for batch in batches:
-                text = [features.of(x) for x in as_bytes(batch.column(at["text"]).cast(pa.large_string()))]
-                meta = [np.array(meta_features(*x)) for x in zip(*(batch.column(at[c]).to_pylist() for c in ("lang", "source", "n_chars")))]
-                scores = [1 / (1 + np.exp(-x)) for x in model.odds(text, meta)]
-                kind = batch.schema.field(batch.num_columns - 1).type
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.StructArray.from_arrays([pa.array(s, pa.float64()) for s in scores], fields=list(kind))],
-                    schema=batch.schema)
+                if batch.num_rows:
+                    odds = shared.value.odds(*_unpacked(batch)[2:])
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns[4:], *(pa.array(1 / (1 + np.exp(-x)), pa.float64()) for x in odds)],
+                        names=[*batch.schema.names[4:], *SCORES])
 
-        return mapped(rows, run)
+        return rows.mapInArrow(run, T.StructType([*carried, *(T.StructField(c, T.DoubleType()) for c in SCORES)]))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text_score, meta_score, score, good) of every row: chances of good quality, good where 0.5 or more.
@@ -190,39 +194,70 @@ class QualityModel:
         the features of an empty text; null metadata are values of their own;
         repeated rows count each.
         """
-        rows = docs.select(*(quoted(c).alias(c) for c in ("doc_id", "text", "lang", "source", "n_chars")))
-        out = self._mapped(rows, {c: c for c in ("text", "lang", "source", "n_chars")}, "scores")
-        return out.select("doc_id", F.col("scores.text").alias("text_score"), F.col("scores.meta").alias("meta_score"),
-                          F.col("scores.score").alias("score"), (F.col("scores.score") >= 0.5).alias("good"))
+        return self.verdicts(featured(docs, None, carry=["doc_id"]))
+
+    def verdicts(self, rows: DataFrame) -> DataFrame:
+        """As ``score``, for rows of ``featured`` that carry doc_id alone."""
+        return self.scored(rows).select(
+            F.col("c0").alias("doc_id"), *SCORES, (F.col("score") >= 0.5).alias("good"))
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows of good quality, with all their columns."""
-        name = "scores"
-        while name in docs.columns:
-            name += "_"
-        out = self._mapped(docs, {c: c for c in ("text", "lang", "source", "n_chars")}, name)
-        return out.where(quoted(name).getField("score") >= 0.5).drop(name)
+        return self.good(featured(docs, None, carry=docs.columns), docs.columns)
+
+    def good(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """As ``keep``, for rows of ``featured`` that carry the named columns."""
+        return self.scored(rows).where("score >= 0.5").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
 
 
-def featured(docs: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
-    """(label, calibrates, text, meta) of every row, staged: label null if none; features as arrays."""
-    given = labels.select(quoted("doc_id").alias("doc_id"), quoted(label_col).cast("int").alias("label")).where(
-        F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = docs.select(*(quoted(c).alias(c) for c in ("doc_id", "text", "lang", "source", "n_chars")))
+def bounded_labels(labels: DataFrame, label_col: str) -> DataFrame:
+    """(key, label) of at most ``LABELLED`` ids: all, or those of the lowest hashes.
+
+    The lower of several labels of an id counts; other labels than 0 and 1 and
+    null ids are left out. ``key`` is the id if a number, else its digest, so
+    that the table has a proven size.
+    """
+    doc_id = quoted("doc_id")
+    given = labels.select(_key(doc_id, labels).alias("key"), quoted(label_col).cast("int").alias("label")).where(
+        F.col("label").isin(0, 1) & F.col("key").isNotNull()).groupBy("key").agg(F.min("label").alias("label"))
+    part = F.pmod(F.xxhash64("key"), F.lit(LABEL_PARTS))
+    sizes = dict(given.groupBy(part.alias("part")).count().collect())
+    total, limit = 0, 0
+    while limit < LABEL_PARTS and total + sizes.get(limit, 0) <= LABELLED:
+        total += sizes.get(limit, 0)
+        limit += 1
+    return given.where(part < limit)
+
+
+def _key(doc_id: Column, df: DataFrame) -> Column:
+    kind = df.select(doc_id).schema[0].dataType
+    return doc_id.cast("long") if isinstance(kind, T.IntegralType) else F.md5(doc_id.cast("string").cast("binary"))
+
+
+def featured(docs: DataFrame, labels: DataFrame | None, label_col: str = "quality", carry: Sequence[str] = ()) -> DataFrame:
+    """(label, calibrates, text, meta, c0, c1, ...) of every row: features as arrays, label null if none, carried columns by place."""
+    own = docs.select(_key(quoted("doc_id"), docs).alias("key"), (fold(quoted("doc_id"), FOLDS) == 0).alias("calibrates"),
+                      *(quoted(c).alias(c) for c in ("text", "lang", "source", "n_chars")),
+                      *(quoted(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    if labels is None:
+        rows = own.withColumn("label", F.lit(None).cast("int"))
+    else:
+        rows = own.join(F.broadcast(bounded_labels(labels, label_col)), "key", "left")
+    carried = [own.schema[f"c{i}"] for i in range(len(carry))]
+    rows = rows.select("label", "calibrates", "text", "lang", "source", "n_chars", *(f.name for f in carried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = TextFeatures()
         for batch in batches:
-            text = [features.of(x) for x in as_bytes(batch.column(1))]
-            meta = [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            text = [features.of(x) for x in as_bytes(batch.column(2))]
+            meta = [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32()))],
-                names=["doc_id", "text", "meta"])
+                [batch.column(0), batch.column(1), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32())),
+                 *batch.columns[6:]], names=[*FEATURES, *batch.schema.names[6:]])
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id {id_type}, text array<int>, meta array<int>")
-    return stage(out.join(given, "doc_id", "left").select(
-        "label", (fold(F.col("doc_id"), FOLDS) == 0).alias("calibrates"), "text", "meta"), "quality-rows")
+    numbers = T.ArrayType(T.IntegerType())
+    kinds = (T.IntegerType(), T.BooleanType(), numbers, numbers)
+    return rows.mapInArrow(run, T.StructType([*(T.StructField(c, k) for c, k in zip(FEATURES, kinds)), *carried]))
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -324,13 +359,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds:
     Without labelled rows outside fold 0 every score is 0.5, so all are kept;
     with one class only, every row gets that class.
     """
-    rows = featured(docs, labels, label_col)
+    return learned(stage(featured(docs, labels, label_col), "quality-rows"), rounds)
+
+
+def learned(rows: DataFrame, rounds: int = ROUNDS) -> QualityModel:
+    """As ``fit``, from staged rows of ``featured``."""
     model = QualityModel()
     taught = rows.where(F.col("label").isNotNull() & ~F.col("calibrates"))
     n = {r.label: r.n for r in taught.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         model.constant = 0.0 if not n else 12.0 if 1 in n else -12.0
         return model
+    rows = rows.select(*FEATURES)
     for number in range(rounds + 1):
         model.views = _learn(rows, model if number else None)
         model.rounds.append({view: model.views[view].totals for view in VIEWS})
@@ -339,6 +379,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rounds:
     return model
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of good quality by a model from ``labels``; texts are read once, and staged beside their features."""
+    rows = stage(featured(docs, labels, carry=docs.columns), "quality-rows")
+    return learned(rows).good(rows, docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows no view learns from."""
     return fold(doc_id, FOLDS) == 0
@@ -347,5 +393,6 @@ def held_out(doc_id: Column) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, scored."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = fit(docs, labels).score(docs)
+    rows = stage(featured(docs, labels, carry=["doc_id"]), "quality-rows")
+    scored = learned(rows).verdicts(rows)
     return scored.withColumnRenamed("good", "kept").withColumn("held_out", held_out(F.col("doc_id")))

@@ -41,6 +41,21 @@ def test_views_teach_each_other(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(240) if i % 3]
 
 
+def test_labels_are_a_bounded_sample(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    assert qc.bounded_labels(labels.unionAll(labels), "quality").count() == 120
+    monkeypatch.setattr(qc, "LABELLED", 50)
+    few = qc.bounded_labels(labels, "quality").count()
+    assert 40 <= few <= 50
+    kept = qc.keep_good(docs, labels)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(240) if i % 3]
+    # ids that are texts have a key of fixed size
+    named = labels.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    taught = qc.featured(docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))), named)
+    assert taught.where("label is not null").count() == few
+
+
 def test_edges(spark):
     docs, labels = labelled(spark)
     odd = documents(spark, [None, "", "calm words number", "BAD!!! " * 200_000, "x", "x"], ids=[1000, None, 1, 3, 7, 7])
