@@ -14,7 +14,7 @@ from facsimile.sources.staging import stage
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    return quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).keep(docs)
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
