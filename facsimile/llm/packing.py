@@ -18,6 +18,8 @@ the longest document, however many rows a block has.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -63,17 +65,33 @@ class Encoder:
     LIMIT = 500_000  # entries of each table, some 120 MB
     TAIL = b".,;:!?*&%$#|"
     TOGETHER = 1_000_000
+    #: Words of these letters alone are one piece to the rules, whose only effect on them is lower case.
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.in_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}  # stems and tails
         self.closing = np.array(self.tokenizer.encode(". ! ?", add_special_tokens=False).ids, "<u4")
         self.words: dict[bytes, bytes] = {}  # what stands between white space
 
     def _learn(self, words: list[bytes]) -> None:
-        """Tokenize words joined by spaces, and tell them apart again by their places."""
+        """Plain words go to the model at once; others joined by spaces, told apart again by their places."""
         self.known[b""] = b""
-        words = [w for w in words if w]
+        others = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.LETTERS.fullmatch(text):
+                text = text.lower()
+                symbols = text if text.isascii() else self.in_bytes.pre_tokenize_str(text)[0][0]
+                ids = [t.id for t in self.model.tokenize(symbols)]
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            elif w:
+                others.append(w)
+        words = others
         for i in range(0, len(words), 1000):
             part = words[i:i + 1000]
             texts = [w.decode("utf-8", "replace") for w in part]
@@ -118,7 +136,7 @@ class Encoder:
             for words in split:
                 ids = b"".join(map(ids_of.__getitem__, words))
                 coded = np.frombuffer(ids, "<u4")
-                places = np.flatnonzero(np.isin(coded, self.closing)) + 1
+                places = np.flatnonzero(np.logical_or.reduce([coded == c for c in self.closing])) + 1
                 yield ids + END_ID.to_bytes(4, "little"), places[places < len(coded)]
 
 

@@ -76,6 +76,14 @@ def test_words_apart_give_the_ids_of_whole_texts(path):
         assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_letters_of_every_kind_give_the_ids_of_the_rules(path):
+    coder = packing.Encoder(path)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x20, 0x250) for a in ("", "x", "É") for b in ("", "é")]
+    texts += [" ".join(texts), "İstanbul Σίσυφος ΣΑΣ", "it's I'LL Ünder<|x", "naïve-Café ﬁ ǅ", "e\u0301te\u0301", "A" * 5000]
+    for text, (ids, _) in zip(texts, coder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_cuts_are_the_cheapest():
     draw = random.Random(4)
     for _ in range(150):
