@@ -67,6 +67,12 @@ class Generator:
     def _fact(self, name: str):
         return self.facts[self.names.index(name)]
 
+    @cached_property
+    def widest(self) -> dict[str, int]:
+        """Bytes of the longest category of each column, with what stands beside it in a table of segments."""
+        longest = self.profile.frequencies.groupBy("column_name").agg(F.max(F.octet_length("value")).alias("bytes"))
+        return {r.column_name: (r.bytes or 0) + 64 for r in longest.collect()}
+
     # --- rows and groups --------------------------------------------------------
 
     def rows(self) -> DataFrame:
@@ -105,7 +111,7 @@ class Generator:
             return empty
         rows = self.spark.range(self.n - missing).select(
             F.lit(ROOT).alias("grp"), uniform("group", self.seed, F.col("id")).alias("_u"))
-        size = Size(fact["most_unique"], fact["most_unique"], 1)
+        size = Size(fact["most_unique"], fact["most_unique"], 1, self.widest.get(self.by, 0))
         drawn = draw_category(rows, "_u", weights.select("grp", "value", "weight"), size, "value")
         counted = drawn.groupBy(F.concat(F.lit("="), F.col("value")).alias("group")).agg(F.count(F.lit(1)).alias("size"))
         return counted.unionByName(empty).where("size > 0")
@@ -207,7 +213,7 @@ class Generator:
                 rows = self._with_bell(rows, i, constants, name in sizes or "density" in kinds)
             if name not in sizes and "categories" in kinds:
                 own = self.profile.frequencies.where(F.col("column_name") == name).select("grp", "value", "weight")
-                size = Size(fact["most_unique"], fact["all_unique"], self.groups)
+                size = Size(fact["most_unique"], fact["all_unique"], self.groups, self.widest.get(name, 0))
                 rows = draw_category(rows, f"u_{i}", own, size, f"v_{i}")
         output = [self._finished(i, fact, constants, at) for i, fact in enumerate(self.facts)]
         return rows.select(output)

@@ -90,6 +90,32 @@ def test_many_categories_agree_with_few(spark, monkeypatch):
     assert max(abs(drawn.get(v, 0.0) - f) for v, f in true.items()) < 0.015
 
 
+def test_noisy_weights_that_all_differ(spark, monkeypatch):
+    rows = [(f"hot{i % 3}",) for i in range(600)] + [(f"v{i % 250}",) for i in range(1500)]
+    p = fs.profile_table(spark.createDataFrame(rows, "s string"), epsilon=1.0)
+    monkeypatch.setattr("facsimile.operators.draws.SMALL_ROWS", 10)
+    drawn = fs.generate_table(p, 30000).groupBy("s").count().toPandas().set_index("s")["count"] / 30000
+    true = {r["value"]: r["frequency"] for r in p.frequencies.collect()}
+    assert len({r["weight"] for r in p.frequencies.collect()}) > 200
+    assert drawn.sum() == pytest.approx(1.0) and set(drawn.index) <= set(true)
+    assert max(abs(drawn.get(v, 0.0) - f) for v, f in true.items()) < 0.015
+
+
+def test_long_texts_meet_rows_in_a_shuffle(spark):
+    """A third of the rows hold one text of 100 kB; by its bytes the table is too large for a broadcast."""
+    word = F.when(F.col("id") < 100, "long ").when(F.col("id") < 280, F.format_string("%05d", F.col("id") % 150))
+    p = fs.profile_table(spark.range(300).select(F.repeat(word, 20_000).alias("s")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = fs.generate_table(p, 1500)
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        count = {r.word: r["count"] for r in out.groupBy(F.substring("s", -5, 5).alias("word"), F.length("s").alias("n")).count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(count.values()) == 1500 and count[None] == 100 and len(count) > 120
+    assert count["long "] / 1400 == pytest.approx(100 / 280, abs=0.05)
+
+
 def test_made_up_values(spark):
     df = spark.createDataFrame([(f"p{i}@real.org", f"Real {i}", "+1", "note") for i in range(30)], "email string, full_name string, phone string, memo string")
     g = fs.generate_table(fs.profile_table(df, smart_pii=True), 200).toPandas()
