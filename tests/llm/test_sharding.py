@@ -64,3 +64,47 @@ def test_place_takes_the_highest_dot_product():
     chosen, loads = sharding.place(items, 2)
     assert chosen[0] != chosen[1] and chosen[1] == chosen[2]
     assert loads[:, 0].tolist() == [8, 8]
+
+
+def test_place_leaves_room_for_bytes():
+    # the second shard has most room for tokens and rows, yet no bytes left for the last item
+    items = np.array([[6, 0, 0], [1, 3, 3], [5, 1, 1]])
+    chosen, loads = sharding.place(items, 2)
+    assert chosen.tolist() == [1, 0, 0] and sorted(loads[:, 0].tolist()) == [6, 6]
+
+
+def test_pieces_of_a_cut_group_join_to_whole_shards():
+    items = np.array([[3, 3, 3]] * 7 + [[1, 1, 1]] * 2)
+    owners = ["g"] * 7 + [None, None]
+    assert sharding.joined_parts(owners, items, [10, 10, 10]).tolist() == [0, 0, 0, 1, 1, 1, 2, 3, 4]
+
+
+def test_equal_texts_share_a_shard_beside_a_hot_group(spark):
+    texts = ([f"group {g} " + "word " * (g % 5) for g in range(60) for _ in range(1 + g % 9)]
+             + ["hot text of one group"] * 200 + [None] * 3 + [""] * 2)
+    shards = 4
+    rows = sharding.shard(documents(spark, texts), shards).collect()
+    load = checked(rows, texts, shards)
+    where = defaultdict(set)
+    weight = Counter()
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+        weight[texts[r.doc_id]] += r.size
+    total = [sum(r.size for r in rows), sum(r.n_tokens for r in rows), len(rows)]
+    hot = "hot text of one group"
+    assert weight[hot] > total[0] / shards and len(where[hot]) > 1
+    assert all(len(s) == 1 for t, s in where.items() if t != hot)
+    assert max(load) - min(load) <= max(w for t, w in weight.items() if t != hot)
+
+
+def test_groups_of_the_driver_table_are_whole(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = sharding.query(spark, sf_dir).collect()
+    where = defaultdict(set)
+    for r in rows:
+        where[docs[r.doc_id]].add(r.shard)
+    size = Counter()
+    for r in rows:
+        size[docs[r.doc_id]] += r.size
+    shard_bytes = sum(size.values()) / 24
+    assert all(len(s) == 1 for t, s in where.items() if size[t] <= shard_bytes / 2)
