@@ -43,7 +43,34 @@ def test_tiles_are_greedy_string_tiles():
     for _ in range(300):
         a, b = ([draw.choice(b"abc"[:draw.choice([1, 2, 3])]) for _ in range(draw.randrange(22))] for _ in "ab")
         coded = [hashes.of([bytes([x]) for x in s]) for s in (a, b)]
-        assert dc.tiles(*coded, least=3) == tiling_by_brute_force(a, b, 3)
+        plain = tiling_by_brute_force(a, b, 3)
+        assert dc.tiles(*coded, least=3) == plain
+        assert dc.tiles_by_length(*coded, least=3) == plain
+
+
+def test_texts_that_repeat_themselves_take_linear_memory():
+    import time
+    import tracemalloc
+
+    hashes = WordHashes()
+    item, doc = (hashes.of([b"a"] * n + tail) for n, tail in ((2_000, [b"b"] * 40), (400_000, [b"b"] * 50)))
+    tracemalloc.start()
+    begun = time.perf_counter()
+    # 400 million pairs of equal windows
+    assert dc.tiles(item, doc) == [(0, 398_000, 2_040)]
+    assert time.perf_counter() - begun < 30 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_short_and_unspaced_items(spark):
+    unspaced = "".join(chr(0x4E00 + 37 * i % 9000) for i in range(80))
+    thai = "".join(chr(0x0E01 + 7 * i % 40) for i in range(30))
+    items = ["four words stand here", "two words", "alone", unspaced, unspaced[:6], thai, "six words of one more item"]
+    docs = ["before Four words, stand here after", "four words stand there", "only two words", "alone",
+            "前" * 30 + unspaced + "後", unspaced[40:] + "中" + unspaced[:40], unspaced[:30] + "別" * 50, thai + "ก",
+            "here four words stand", "six words of one other item", "six words of one more"]
+    got = {i: [leak.item_id for leak in found] for i, found in leaks(spark, docs, items).items()}
+    assert got == {0: [0], 1: [], 2: [1], 3: [], 4: [3, 4], 5: [3, 4], 6: [4], 7: [5], 8: [], 9: [], 10: [6]}
 
 
 def test_reordered_partial_and_clean(spark):
@@ -52,7 +79,7 @@ def test_reordered_partial_and_clean(spark):
     edited = " ".join(w if i != 12 else "other" for i, w in enumerate(words))
     half = " ".join(words[:15])
     got = leaks(spark, [f"before {ITEM.upper()} after", moved, edited, half, "plain text " * 40,
-                        ", ".join(words), None, "", "x " * 400_000 + ITEM], [ITEM, None, "", "too short"])
+                        ", ".join(words), None, "", "x " * 400_000 + ITEM], [ITEM, None, "", "short"])
     assert [[leak.item_id for leak in got[i]] for i in range(9)] == [[0], [0], [0], [], [], [0], [], [], [0]]
     assert got[0][0].coverage == got[1][0].coverage == 1 and len(got[1][0].tiles) == 2
     assert 0.9 < got[2][0].coverage < 1
@@ -87,3 +114,22 @@ def test_driver_table_by_brute_force(spark, sf_dir):
         assert inside <= got.get(r.doc_id, set())
         whole += len(inside)
     assert whole and sum(map(len, got.values())) <= whole * 1.2 and all(got.values())
+
+
+def test_find_leaks_by_brute_force(spark):
+    draw = random.Random(5)
+    items = [" ".join(draw.choice(["to", "be", "or", "not", "so", "it", "is"]) for _ in range(draw.randrange(0, 24))) for _ in range(12)]
+    docs = [" ".join(draw.choice(["to", "be", "or", "not", "so", "it", "is"]) for _ in range(draw.randrange(0, 60))) for _ in range(25)]
+    docs += [items[k] + " " + items[k - 1] for k in range(12)]
+    got = leaks(spark, docs, items)
+    expected = {}
+    for d, doc in enumerate(docs):
+        expected[d] = {}
+        for k, item in enumerate(items):
+            a, b = item.split(), doc.split()
+            if len(a) > 1:
+                tiles = tiling_by_brute_force(a, b, min(5, len(a)))
+                if sum(t[2] for t in tiles) >= 0.6 * len(a):
+                    expected[d][k] = [tuple(t) for t in tiles]
+    assert {d: {x.item_id: [tuple(t) for t in x.tiles] for x in found} for d, found in got.items()} == expected
+    assert sum(map(len, expected.values())) > 12
