@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.functions.missing import CSV_NULL_TOKENS, normalize_missing
+from facsimile.sources import quoted_csv
 
 
 class EmptyTableError(ValueError):
@@ -24,8 +25,9 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, multi_
     CSV is read as text first, so that every missing-value token is dropped
     before types are decided; one aggregate over the file then settles each
     column as bigint, double, boolean or string. ``multi_line`` admits line breaks
-    inside quotes, at a cost: a file is then read by one task, so large tables
-    should lie in many files.
+    inside quotes; one file is still read by many tasks (see ``quoted_csv``), and
+    its cells are staged once as Parquet. Folders with partition columns are left
+    to Spark's own reader, one task a file.
     """
     if (format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")) != "csv":
         return normalize_missing(spark.read.format(format or "parquet").load(path))
@@ -33,6 +35,8 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, multi_
     columns = text.columns
     if not columns:
         raise EmptyTableError(f"{path} has no header and no row")
+    if multi_line and len(spark.read.text(path).columns) == 1:
+        text = quoted_csv.read(spark, path, columns, _DIALECT)
     clean = text.select([
         F.when(~F.col(f"`{c}`").isin(CSV_NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in columns
     ])
