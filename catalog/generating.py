@@ -191,7 +191,8 @@ def g7(spark, sf_dir):
     plan = strategies(p.columns, p.histogram, p.sample).where(open_ended).select("strategy", "mean", "std_dev").first()
     known = base.columns.where(open_ended).select("min_value").first()
     z = (F.col("l_extendedprice") - plan["mean"]) / plan["std_dev"]
-    table = generate_table(p, rows)
+    # drawn once; a filter on the lazy table would take the draw's whole expression into itself
+    table = stage(generate_table(p, rows).select("l_extendedprice"), "normal")
     found = _law_distance(table, "l_extendedprice", normal_cdf(z))
     n = F.col("drawn")
     # chances beyond 2, 3 and 4 standard deviations, fixed values

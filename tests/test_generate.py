@@ -285,3 +285,22 @@ def test_large_groups_are_split(spark, many_groups, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.enabled", before[1])
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_normal_query_draws_its_table_once(spark, monkeypatch):
+    """What the law is held against is a staged table, so no filter takes the draw's expression into itself."""
+    from catalog import generating
+
+    class Seen(Exception):
+        pass
+
+    def look(table, *rest):
+        raise Seen(table._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(generating, "_law_distance", look)
+    monkeypatch.setattr(generating, "load", lambda *a: spark.range(50))
+    monkeypatch.setattr(generating, "profile", lambda *a, **o: fs.profile_table(
+        spark.range(50).select((F.col("id") * 1.0).alias("l_extendedprice")), epsilon=1e9))
+    with pytest.raises(Seen) as seen:
+        generating.g7(spark, "")
+    assert "Range" not in str(seen.value)
