@@ -543,14 +543,25 @@ def g20(spark, sf_dir):
         F.posexplode(F.array(*[F.lit(c) for c in table.columns])).alias("position", "column_name"), "num_rows")
 
 
+#: Rows that the narrower of two layouts gives to a task.
+LAYOUT_ROWS = 250_000
+
+
+def layout(rows: int) -> int:
+    """Partitions of the narrower layout: one for a small table, then as many as the rows ask for."""
+    return max(1, -(-rows // LAYOUT_ROWS))
+
+
 @query("g21_determinism", """
 SELECT kind, n AS num_rows, true AS as_expected FROM (SELECT count(*) AS n FROM orders), (VALUES ('partitions'), ('seed')) AS t(kind)""")
 def g21(spark, sf_dir):
     p = profile(spark, sf_dir, "orders_flags", conditional_by="o_orderpriority")
     rows = load(spark, sf_dir, "orders_flags").count()
-    one = generate_table(p, rows, seed=7, partitions=1).persist()
+    few = layout(rows)
+    one = stage(generate_table(p, rows, seed=7, partitions=few), "few-parts")
     result = None
-    for kind, other in (("partitions", generate_table(p, rows, seed=7, partitions=8)), ("seed", generate_table(p, rows, seed=8, partitions=8))):
+    for kind, other in (("partitions", generate_table(p, rows, seed=7, partitions=8 * few)),
+                        ("seed", generate_table(p, rows, seed=8, partitions=8 * few))):
         tagged = one.withColumn("side", F.lit(1)).unionByName(other.withColumn("side", F.lit(-1)))
         net = tagged.groupBy(*one.columns).agg(F.sum("side").alias("net"), F.count_if(F.col("side") < 0).alias("here"))
         differ = F.sum(F.abs("net"))

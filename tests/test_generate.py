@@ -304,3 +304,10 @@ def test_normal_query_draws_its_table_once(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         generating.g7(spark, "")
     assert "Range" not in str(seen.value)
+
+
+def test_layouts_grow_with_the_rows():
+    """No layout that the determinism query compares is one task of all rows, but for a small table."""
+    from catalog.generating import LAYOUT_ROWS, layout
+
+    assert layout(0) == layout(LAYOUT_ROWS) == 1 and layout(9_000_000) == 36
