@@ -160,8 +160,8 @@ def density_knots(chosen: DataFrame, sample: DataFrame) -> DataFrame:
     return rows.mapInPandas(curves, "grp string, column_name string, knots array<double>, slopes array<double>")
 
 
-def with_knot_draw(rows: DataFrame, u: str, knots: Column, slopes: Column, alias: str) -> DataFrame:
-    """Adds the quantile at the uniform ``u`` (a column's name) of an array of knots: its place by arithmetic, a cubic between.
+def with_knot_place(rows: DataFrame, u: str, alias: str) -> DataFrame:
+    """Adds between which knots the uniform ``u`` (a column's name) lies, and how far: arithmetic, without the knots.
 
     Each step is a column of its own, so nothing is computed twice.
     """
@@ -180,15 +180,30 @@ def with_knot_draw(rows: DataFrame, u: str, knots: Column, slopes: Column, alias
         place=F.when(tail & col("upper"), KNOTS - 2 - col("half")).when(tail, col("half")).otherwise(HALVES - 1 + col("even")))
     gone = F.when(tail, (col("end") - col("first")) / col("width")).otherwise(F.col(u) * EVEN - col("even"))
     gone = F.least(F.greatest(gone, F.lit(0.0)), F.lit(1.0))
-    rows = step(
-        rows, s=F.when(tail & col("upper"), 1.0 - gone).otherwise(gone),
-        y0=F.element_at(knots, col("place") + 1), y1=F.element_at(knots, col("place") + 2),
-        m0=F.element_at(slopes, col("place") + 1), m1=F.element_at(slopes, col("place") + 2))
+    rows = step(rows, s=F.when(tail & col("upper"), 1.0 - gone).otherwise(gone))
+    return rows.drop(*[f"_{c}_{alias}" for c in ("end", "upper", "half", "first", "even")])
+
+
+def knot_ends(alias: str, knots: Column, slopes: Column) -> dict[str, Column]:
+    """The two knots and slopes at the place; taken for all columns in one step, so no row carries arrays further."""
+    place = F.col(f"_place_{alias}")
+    return {f"_{c}{k}_{alias}": F.element_at(array, place + 1 + k) for c, array in (("y", knots), ("m", slopes)) for k in (0, 1)}
+
+
+def with_knot_value(rows: DataFrame, alias: str) -> DataFrame:
+    """Adds the quantile at the uniform: a cubic between the two knots."""
+    col = lambda name: F.col(f"_{name}_{alias}")
     s = col("s")
     value = col("y0") + s * s * (3.0 - 2.0 * s) * (col("y1") - col("y0")) + col("width") * s * (1.0 - s) * (
         (1.0 - s) * col("m0") - s * col("m1"))
     rows = rows.withColumn(alias, F.least(F.greatest(value, col("y0")), col("y1")))
-    return rows.drop(*[f"_{c}_{alias}" for c in ("end", "upper", "half", "first", "even", "width", "place", "s", "y0", "y1", "m0", "m1")])
+    return rows.drop(*[f"_{c}_{alias}" for c in ("width", "place", "s", "y0", "y1", "m0", "m1")])
+
+
+def with_knot_draw(rows: DataFrame, u: str, knots: Column, slopes: Column, alias: str) -> DataFrame:
+    """All three steps for one column: adds the quantile at the uniform ``u`` (a column's name) of an array of knots."""
+    rows = with_knot_place(rows, u, alias)
+    return with_knot_value(rows.withColumns(knot_ends(alias, knots, slopes)), alias)
 
 
 #: Strategies with a closed form, which need no segments.

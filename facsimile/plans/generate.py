@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.hashed import angle, normal_cdf, normal_quantile, permuted, radius, uniform
+from facsimile.functions.hashed import angle, normal_cdf, normal_quantile, radius, uniform, with_permuted
 from facsimile.operators.columns import ROOT
 from facsimile.operators.copula import mixing_rows
 from facsimile.operators.draws import Size, by_segment, draw_category, draw_numeric
 from facsimile.operators.fakes import fake
 from facsimile.operators.marginals import (
-    BELLS, KNOTS, density_knots, numeric_segments, strategies, with_bell_draw, with_knot_draw)
+    BELLS, KNOTS, density_knots, knot_ends, numeric_segments, strategies, with_bell_draw, with_knot_place, with_knot_value)
 from facsimile.operators.ordered import ordered
 from facsimile.operators.sizing import SMALL_BYTES, SMALL_ROWS, exclusive_total, salted_join
 from facsimile.plans.profile import Profile
@@ -83,13 +83,13 @@ class Generator:
         """
         ids = self.spark.range(0, self.n, 1, self.partitions)
         size = F.lit(self.n).cast("bigint")
-        pos = permuted(F.col("id"), size, "row", self.seed)
+        ids = with_permuted(ids, "pos", F.col("id"), size, "row", self.seed)
         if not self.by:
-            return ids.select(pos.alias("pos"), F.lit(ROOT).alias("grp"), pos.alias("idx"), size.alias("size"))
+            return ids.select("pos", F.lit(ROOT).alias("grp"), F.col("pos").alias("idx"), size.alias("size"))
         bounds = self.bounds
         groups = bounds.count()
-        deal = permuted(F.col("id"), size, "group", self.seed)
-        placed = ids.select(pos.alias("pos"), deal.alias("deal"), F.lit("all").alias("grp"))
+        ids = with_permuted(ids, "deal", F.col("id"), size, "group", self.seed)
+        placed = ids.select("pos", "deal", F.lit("all").alias("grp"))
         placed = placed.withColumn("_u", (F.col("deal") + 0.5) / self.n)
         segments = bounds.select(
             F.lit("all").alias("grp"), "group", "size", "start",
@@ -129,7 +129,7 @@ class Generator:
     # --- parameters ---------------------------------------------------------------
 
     def _parameters(self) -> tuple[DataFrame | None, dict]:
-        """Per-group constants of every column: literals for one group, else a table by group."""
+        """Per-group constants of every column but curves: literals for one group, else a table by group."""
         wanted = {}
         for i, name in enumerate(self.names):
             at = F.col("column_name") == name
@@ -141,7 +141,6 @@ class Generator:
                 for figure in ("mean", "std_dev", "min_value", "max_value"):
                     wanted[f"{figure}_{i}"] = F.max(F.when(at, F.col(figure)))
         table = self.plan.groupBy("grp").agg(*[c.alias(a) for a, c in wanted.items()])
-        curves = self._curves()
         factors = None
         if len(self.numeric) > 1:
             correlations = self.profile.correlations
@@ -154,19 +153,14 @@ class Generator:
             if factors is not None:
                 found = factors.first()
                 constants["factor"] = list(found["factor"]) if found else None
-            side = None if curves is None else stage(curves, "curves")
-            return side, constants | ({a: F.col(a) for a in side.columns if a != "grp"} if side is not None else {})
-        for more in (curves, factors):
-            if more is not None:
-                table = table.join(more, "grp", "left")
+            return None, constants
+        if factors is not None:
+            table = table.join(factors, "grp", "left")
         table = stage(table, "parameters")
         return table, {a: F.col(a) for a in table.columns if a != "grp"}
 
-    def _curves(self) -> DataFrame | None:
-        """(grp, knots_<i>, slopes_<i>, ...): the density estimates of all columns that have one, a row per group."""
-        at = [i for i, f in enumerate(self.facts) if "density" in f["strategies"]]
-        if not at:
-            return None
+    def _curves(self, at: list[int]) -> DataFrame:
+        """(grp, knots_<i>, slopes_<i>, ...): the density estimates of the columns ``at``, a row per group."""
         knots = density_knots(self.plan, self.profile.sample)
         own = lambda i, c: F.first(F.when(F.col("column_name") == self.names[i], F.col(c)), ignorenulls=True).alias(f"{c}_{i}")
         return knots.groupBy("grp").agg(*[own(i, c) for i in at for c in ("knots", "slopes")])
@@ -195,6 +189,7 @@ class Generator:
             rows = self._with_parameters(rows, side)
         at = [F.col("pos"), F.col("grp")]
         rows = self._with_uniforms(rows, constants, at)
+        rows = self._with_curves(rows)
         numeric_drawn = self.plan.where(~F.col("strategy").isin("key", "empty", "categories", "semantic", "density", *BELLS))
         segments, sizes = None, {}
         if self.numeric:
@@ -208,22 +203,50 @@ class Generator:
                 own = segments.where(F.col("column_name") == name).drop("column_name")
                 rows = draw_numeric(rows, f"u_{i}", own, sizes[name], f"v_{i}")
             if "density" in kinds:
-                rows = self._with_curve(rows, i, constants, name in sizes)
+                other = F.col(f"v_{i}") if name in sizes else F.lit(None).cast("double")
+                drawn = F.when(constants[f"strategy_{i}"] == "density", F.col(f"_curve_{i}")).otherwise(other)
+                rows = rows.withColumn(f"v_{i}", drawn).drop(f"_curve_{i}")
             if not kinds.isdisjoint(BELLS):
                 rows = self._with_bell(rows, i, constants, name in sizes or "density" in kinds)
             if name not in sizes and "categories" in kinds:
                 own = self.profile.frequencies.where(F.col("column_name") == name).select("grp", "value", "weight")
                 size = Size(fact["most_unique"], fact["all_unique"], self.groups, self.widest.get(name, 0))
                 rows = draw_category(rows, f"u_{i}", own, size, f"v_{i}")
+        for i in self.ranked:
+            rows = self._ranked_key(rows, f"z_{i}", f"rank_{i}")
+        for i, fact in enumerate(self.facts):
+            if self._has_gaps(fact):
+                rows = with_permuted(rows, f"place_{i}", F.col("idx"), F.col("size"), f"gap/{fact['column_name']}", self.seed, F.col("grp"))
         output = [self._finished(i, fact, constants, at) for i, fact in enumerate(self.facts)]
         return rows.select(output)
 
-    def _with_curve(self, rows: DataFrame, i: int, constants: dict, drawn: bool) -> DataFrame:
-        """``v_<i>`` of the groups in which the column has a density estimate."""
-        rows = with_knot_draw(rows, f"u_{i}", constants[f"knots_{i}"], constants[f"slopes_{i}"], f"_curve_{i}")
-        other = F.col(f"v_{i}") if drawn else F.lit(None).cast("double")
-        rows = rows.withColumn(f"v_{i}", F.when(constants[f"strategy_{i}"] == "density", F.col(f"_curve_{i}")).otherwise(other))
-        return rows.drop(f"_curve_{i}", f"knots_{i}", f"slopes_{i}")
+    def _with_curves(self, rows: DataFrame) -> DataFrame:
+        """``_curve_<i>``: the density estimate's quantile, of every column that has one in some group.
+
+        Their arrays are literals for one group; a table of groups meets the rows in one join and
+        its arrays end there, as rows that carry them on would be copied, and shuffled, by the kilobyte.
+        """
+        at = [i for i, f in enumerate(self.facts) if "density" in f["strategies"]]
+        if not at:
+            return rows
+        for i in at:
+            rows = with_knot_place(rows, f"u_{i}", f"_curve_{i}")
+        curves = self._curves(at)
+        if self.by:
+            side = stage(curves, "curves")
+            rows = self._with_parameters(rows, side)
+            array = {c: F.col(c) for c in side.columns if c != "grp"}
+        else:
+            # one row of some numbers per column; a text is one literal, folded into an array once
+            array = {c: F.split(F.lit(",".join(map(repr, v))), ",").cast("array<double>")
+                     for c, v in curves.drop("grp").first().asDict().items()}
+        ends = {}
+        for i in at:
+            ends |= knot_ends(f"_curve_{i}", array[f"knots_{i}"], array[f"slopes_{i}"])
+        rows = rows.withColumns(ends).drop(*array)
+        for i in at:
+            rows = with_knot_value(rows, f"_curve_{i}")
+        return rows
 
     def _with_bell(self, rows: DataFrame, i: int, constants: dict, drawn: bool) -> DataFrame:
         """``v_<i>`` of the groups in which the column is normal, cut to its range or not."""
@@ -245,6 +268,7 @@ class Generator:
         ]
         independent = {f"u_{index[c]}": uniform(f"u/{c}", self.seed, *at) for c in drawn}
         factor = constants.get("factor")
+        self.ranked = []
         if factor is None:
             independent.update({f"u_{index[c]}": uniform(f"u/{c}", self.seed, *at) for c in self.numeric})
             return rows.withColumns(independent) if independent else rows
@@ -281,8 +305,7 @@ class Generator:
         }
         if uniforms:
             rows = rows.withColumns(uniforms)
-        for c in keys[1:]:
-            rows = self._ranked_key(rows, f"z_{index[c]}", f"rank_{index[c]}")
+        self.ranked = [index[c] for c in keys[1:]]
         return rows
 
     def _ranked_key(self, rows: DataFrame, score: str, alias: str) -> DataFrame:
@@ -313,12 +336,17 @@ class Generator:
             value = value.cast("boolean") if kind == "boolean" else value
         else:
             return F.lit(None).cast(dtype).alias(name)
-        if fact["most_missing"] > 0 and fact["strategy"] != "key":
+        if self._has_gaps(fact):
             missing = F.floor(constants[f"missing_{i}"] / 100.0 * F.col("size"))
-            place = permuted(F.col("idx"), F.col("size"), f"gap/{name}", self.seed, F.col("grp"))
-            value = F.when(place >= missing, value)
+            value = F.when(F.col(f"place_{i}") >= missing, value)
         return value.alias(name)
 
+    def _has_gaps(self, fact) -> bool:
+        """Whether values of the column are left out; one without any value is null throughout."""
+        drawn = fact["kind"] == "numeric" or fact["strategy"] == "key" or (
+            fact["kind"] in ("categorical", "boolean") and set(fact["strategies"]) != {"empty"})
+        return drawn and fact["column_name"] != self.by and fact["most_missing"] > 0 and fact["strategy"] != "key"
+
     def _finished_numeric(self, i: int, fact, constants: dict) -> Column:
         kinds, strategy = set(fact["strategies"]), constants[f"strategy_{i}"]
         if fact["strategy"] == "key":

@@ -311,3 +311,44 @@ def test_layouts_grow_with_the_rows():
     from catalog.generating import LAYOUT_ROWS, layout
 
     assert layout(0) == layout(LAYOUT_ROWS) == 1 and layout(9_000_000) == 36
+
+
+def test_permutation_by_steps(spark):
+    """The compiled steps give the places of the one expression, those beyond the grid's rest included, per group too."""
+    from facsimile.functions.hashed import with_permuted
+
+    for n in (1, 2, 7, 400, 9_999, 10_001):
+        df = with_permuted(spark.range(n), "p", F.col("id"), F.lit(n).cast("bigint"), "t", 3)
+        df = df.withColumn("q", permuted(F.col("id"), F.lit(n).cast("bigint"), "t", 3))
+        assert tuple(df.agg(F.count_if(F.col("p") != F.col("q")), F.count_distinct("p"), F.max("p")).first()) == (0, n, n - 1)
+    groups = spark.range(3_000).select((F.col("id") % 50 + 1).alias("size"), F.expr("id div 50").alias("idx"))
+    groups = groups.where("idx < size").withColumn("grp", F.col("size").cast("string"))
+    df = with_permuted(groups, "p", F.col("idx"), F.col("size"), "t", 3, F.col("grp"))
+    assert df.where(F.col("p") != permuted(F.col("idx"), F.col("size"), "t", 3, F.col("grp"))).count() == 0
+    assert df.select("grp", "p").distinct().count() == groups.count()
+
+
+def _mixed(spark):
+    return spark.range(600).select(
+        F.concat(F.lit("t"), (F.col("id") * 7 % 300).cast("string")).alias("label"),
+        (F.sqrt("id") + F.col("id") % 11 / 7).alias("a"), (F.col("id") * F.col("id") % 997 / 8).alias("b"),
+        F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("part"))
+
+
+@pytest.mark.parametrize("by", [None, "part"])
+def test_no_shuffle_carries_arrays(spark, monkeypatch, by):
+    """Texts too large for a broadcast are met in a shuffle; arrays of knots have ended before it."""
+    from facsimile.operators import draws
+
+    monkeypatch.setattr(draws, "SMALL_BYTES", 0)
+    p = fs.profile_table(_mixed(spark), conditional_by=by)
+    table = fs.generate_table(p, 600)
+    joins, todo, carried = 0, [table._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        todo += children
+        if node.nodeName() == "Join" and "_nth" in node.toString().split("\n")[0]:
+            joins += 1
+            carried.append("knots_" in children[0].output().mkString())
+    assert joins and not any(carried)
