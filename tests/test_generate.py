@@ -352,3 +352,18 @@ def test_no_shuffle_carries_arrays(spark, monkeypatch, by):
             joins += 1
             carried.append("knots_" in children[0].output().mkString())
     assert joins and not any(carried)
+
+
+def test_noise_shares_the_counts(spark):
+    """Noise comes after all counting: a profile with noise reads the staged counts of one without, and is what a new one gives."""
+    from facsimile import Profiler
+
+    plain = Profiler(_mixed(spark))
+    plain.run()
+    shared, alone = plain.noised(2.0), Profiler(_mixed(spark), epsilon=2.0)
+    assert shared.values is plain.values and shared.numbers is plain.numbers and shared.correlations is plain.correlations
+    a, b = shared.run(), alone.run()
+    for part in ("columns", "histogram", "sample", "frequencies", "meta"):
+        x, y = getattr(a, part), getattr(b, part)
+        columns = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes]
+        assert x.select(columns).exceptAll(y.select(columns)).count() == 0 == y.select(columns).exceptAll(x.select(columns)).count()
