@@ -15,7 +15,7 @@ from facsimile.operators.categories import semantic_type
 from facsimile.operators.columns import columns_of, name_of, numeric_cells, tally
 from facsimile.operators.numeric import histogram, is_discrete, with_bins, with_capped_range
 from facsimile.operators.privacy import alerts, matches_identifier, uniqueness
-from facsimile.sources.staging import staging_root
+from facsimile.sources.staging import stage, staging_root
 
 GAPS = sql_input("lineitem_gaps", "g")
 NUMBERS = sql_numbers(LINEITEM_NUMBERS, "g", "u")
@@ -298,8 +298,11 @@ WITH {STATS} SELECT column_name, least(n, 1000) AS sampled, least(n, 1000) AS po
 WHERE NOT (places = 0 AND (d < 20 OR d / greatest(n, 1) < 0.05))""")
 def p14(spark, sf_dir):
     p = profiler(spark, sf_dir, "lineitem_gaps")
-    own = p.values.rows.select("cid", "value", F.lit(1).alias("known"))
-    found = p.sample.join(own, ["cid", "value"], "left").groupBy("cid").agg(
+    # at most 1000 rows a column; they are sent to the ordered values, not those to them
+    sample = stage(p.sample, "sample")
+    drawn = sample.select("cid", "value").distinct()
+    own = p.values.rows.select("cid", "value").join(F.broadcast(drawn), ["cid", "value"], "left_semi").withColumn("known", F.lit(1))
+    found = sample.join(own, ["cid", "value"], "left").groupBy("cid").agg(
         F.count(F.lit(1)).alias("sampled"), F.count_distinct("idx").alias("positions"),
         F.count_if(F.col("known").isNull()).alias("foreign_values"), F.avg("value").alias("mean"))
     return found.join(p.stats.select("cid", "column_name", "mean_cnt", "std_cnt"), "cid").select(

@@ -35,3 +35,26 @@ def test_rank_correlation_travels_as_arrays(spark, monkeypatch, small):
     for a in names:
         for b in names:
             assert got.loc[a, b] == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_sample_goes_to_the_values_and_not_they_to_it(spark, tmp_path):
+    """Few rows of a sample are checked against all ordered values, which are neither sorted nor shuffled for it."""
+    from catalog.profiling import p14
+
+    n = 3000
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({
+        "l_orderkey": np.arange(n), "l_partkey": rng.integers(0, 900, n), "l_suppkey": rng.integers(0, 9, n), "l_linenumber": rng.integers(1, 7, n),
+        "l_quantity": rng.integers(1, 50, n).astype(float), "l_extendedprice": rng.random(n).round(4), "l_discount": rng.random(n).round(2),
+        "l_tax": rng.random(n).round(3), "l_returnflag": rng.choice(["A", "N", "R"], n), "l_linestatus": rng.choice(["F", "O"], n)})
+    spark.createDataFrame(frame).write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = p14(spark, str(tmp_path))
+        assert "LeftSemi, BuildRight" in found._jdf.queryExecution().toString()
+        rows = {r.column_name: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows["l_extendedprice"].sampled == rows["l_extendedprice"].positions == 1000
+    assert all(r.foreign_values == 0 and r.mean_close for r in rows.values())
