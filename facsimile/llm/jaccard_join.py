@@ -3,18 +3,23 @@
 A document is its set of hashed word shingles. Equal sets form a class; classes
 are joined. Two sets that link share one of their first
 ``n - ceil(t * n) + 1`` shingles in any fixed order (hot shingles last), so
-classes meet in buckets by such a shingle, and buckets of one class vanish.
-Within a bucket, trees over the classes hold, per node, the OR of the members'
-bitmaps and the range of their sizes; a dual traversal drops node pairs whose
-bitmaps leave too little overlap possible. What remains is checked against the
-whole sets.
+classes meet in buckets by such a shingle, and buckets of one class vanish. At
+the first shingle they share, both still have enough shingles from there on: a
+class's ``reach`` is the largest partner for which that holds, so a pair is
+looked at in few of the buckets it shares. Within a bucket, trees over the
+classes hold, per node, the OR of the members' bitmaps and the ranges of their
+sizes and reaches; a dual traversal drops node pairs whose bitmaps leave too
+little overlap possible. What remains is checked against the whole sets.
 
 Only connection matters, so pairs inside a component are never looked at. A
-first round joins every class with its likeliest partner in a few buckets; the
+first round joins every class in a few buckets with two partners at most, the
+likeliest and the first of the likely ones, so that copies form stars; the
 second takes every bucket that still holds several components, and checks for
 each class the likeliest partner in each other component. Where that one is no
-link, another may be: a third round compares such classes with all others of
-their buckets. So no possible link is left unchecked and components are exact.
+link, another of its component may be, if there is one: a third round compares
+the classes of which this holds. A pair left unchecked by the second has on
+either side a likelier partner that was none, so both its classes are among
+them. So no possible link is left unchecked and components are exact.
 """
 
 from __future__ import annotations
@@ -42,8 +47,8 @@ FIRST_TOKENS = 4
 FIRST_BLOCK = 512
 #: Class keys broadcast at most; more are joined by a shuffle.
 MOST_KEYS = 500_000
-PAIRS_AT_A_TIME = 60_000
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Node pairs compared at once, by their number and the bytes of their bitmaps; pairs held before the likeliest are chosen.
+PAIRS_AT_A_TIME, BYTES_AT_A_TIME, PAIRS_HELD = 8192, 4 << 20, 1 << 18
 
 
 def shingle_set(data: bytes, hashes: WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -58,6 +63,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def reaches(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Largest partner of a class of n shingles, if the first one they share is that at ``place`` of its order.
+
+    The overlap is then n - place at most, and a link needs percent / (100 + percent) of both sizes.
+    """
+    return (100 + percent) * (n - place) // percent - n
+
+
 def bitmap(shingles: np.ndarray) -> bytes:
     """One to two bits a shingle, a power of two in all."""
     bits = 128
@@ -74,30 +87,35 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _bits(maps: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+
+
 class Signatures:
-    """Members of a bucket with bitmaps of one length: a tree with the OR of bitmaps and size ranges per node."""
+    """Members of a bucket with bitmaps of one length: a tree with the OR of bitmaps and ranges of sizes and reaches per node."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, component: np.ndarray, member: np.ndarray):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, component: np.ndarray, reach: np.ndarray, member: np.ndarray):
         order = np.lexsort((sizes, component))
-        excess = sizes - _POPCOUNT[maps].sum(axis=1)  # shingles beyond the bits they set
+        excess = sizes - _bits(maps)  # shingles beyond the bits they set
         self.member = member[order]
-        # level 0: the members; per level bitmaps, least and largest size, least and largest component, largest excess
-        self.levels = [(maps[order], sizes[order], sizes[order], component[order], component[order], excess[order])]
+        # level 0: the members; per level bitmaps, least and largest size, least and largest component, largest excess and reach
+        self.levels = [(maps[order], sizes[order], sizes[order], component[order], component[order], excess[order], reach[order])]
         while len(self.levels[-1][0]) > FANOUT:
             below = self.levels[-1]
             at = np.arange(0, len(below[0]), FANOUT)
-            ops = (np.bitwise_or, np.minimum, np.maximum, np.minimum, np.maximum, np.maximum)
+            ops = (np.bitwise_or, np.minimum, np.maximum, np.minimum, np.maximum, np.maximum, np.maximum)
             self.levels.append(tuple(op.reduceat(x, at, axis=0) for op, x in zip(ops, below)))
 
 
-def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node pairs that may hold a link between components, and their largest possible overlap."""
-    overlap = _POPCOUNT[x[0][i] & y[0][j]].sum(axis=1, dtype=np.int64) + np.minimum(x[5][i], y[5][j])
+def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The node pairs that may hold a link between components, and their largest possible overlap."""
+    keep = (x[6][i] >= y[1][j]) & (y[6][j] >= x[1][i])
+    keep &= ~((x[3][i] == x[4][i]) & (y[3][j] == y[4][j]) & (x[3][i] == y[3][j]))
+    i, j = i[keep], j[keep]
+    overlap = _bits(x[0][i] & y[0][j]) + np.minimum(x[5][i], y[5][j])
     overlap = np.minimum(overlap, np.minimum(x[2][i], y[2][j]))
     keep = (100 + percent) * overlap >= percent * (x[1][i] + y[1][j])
-    keep &= (100 * x[2][i] >= percent * y[1][j]) & (100 * y[2][j] >= percent * x[1][i])
-    keep &= ~((x[3][i] == x[4][i]) & (y[3][j] == y[4][j]) & (x[3][i] == y[3][j]))
-    return keep, overlap
+    return i[keep], j[keep], overlap[keep]
 
 
 def dual_traversal(x: Signatures, y: Signatures, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -105,19 +123,19 @@ def dual_traversal(x: Signatures, y: Signatures, percent: int) -> Iterator[tuple
     same = x is y
     top = max(len(x.levels), len(y.levels)) - 1
     level = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
+    at_a_time = max(1, min(PAIRS_AT_A_TIME, BYTES_AT_A_TIME // x.levels[0][0][:1].nbytes))
     i, j = np.divmod(np.arange(len(level(x, top)[0]) * len(level(y, top)[0])), len(level(y, top)[0]))
     work = [(top, i, j)]
     while work:
         k, i, j = work.pop()
-        if len(i) > PAIRS_AT_A_TIME:
+        if len(i) > at_a_time:
             half = len(i) // 2
             work += [(k, i[:half], j[:half]), (k, i[half:], j[half:])]
             continue
         if same:
             ordered = i <= j if k else i < j
             i, j = i[ordered], j[ordered]
-        keep, overlap = _possible(level(x, k), level(y, k), i, j, percent)
-        i, j, overlap = i[keep], j[keep], overlap[keep]
+        i, j, overlap = _possible(level(x, k), level(y, k), i, j, percent)
         if not len(i):
             continue
         if not k:
@@ -137,52 +155,94 @@ def dual_traversal(x: Signatures, y: Signatures, percent: int) -> Iterator[tuple
 
 
 def _likeliest(a: np.ndarray, b: np.ndarray, overlap: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-    """Of the pairs, both ways round, the likeliest for each member and other component."""
+    """Of (member, partner, overlap), the likeliest partner for each member and other component."""
     likely = overlap / (sizes[a] + sizes[b] - overlap)
-    a, b, likely = np.r_[a, b], np.r_[b, a], np.r_[likely, likely]
     order = np.lexsort((b, -likely, component[b], a))
-    a, b = a[order], b[order]
+    a, b, overlap = a[order], b[order], overlap[order]
     first = np.r_[True, (a[1:] != a[:-1]) | (component[b[1:]] != component[b[:-1]])]
-    return a[first], b[first]
+    return a[first], b[first], overlap[first]
 
 
-def candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int,
-               best_only: bool, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of one bucket that may link two components; with ``best_only`` the likeliest for each
-    member and other component. ``left`` marks members compared with all; pairs of two unmarked are left out."""
+def _partners(a: np.ndarray, b: np.ndarray, overlap: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int):
+    """Of (member, partner, overlap), two for each member at most: the likeliest, and the least component among the likely ones."""
+    likely = overlap / (sizes[a] + sizes[b] - overlap)
+    alike = 200 * likely >= 100 + percent  # a bitmap makes sets look more alike than they are
+    order = np.lexsort((component[b], -likely, a))
+    best = order[np.r_[True, a[order][1:] != a[order][:-1]]]
+    order = np.lexsort((component[b], a))
+    order = order[alike[order]]
+    least = order[np.r_[True, a[order][1:] != a[order][:-1]][:len(order)]]
+    kept = np.union1d(best, least)
+    return a[kept], b[kept], overlap[kept]
+
+
+def _chosen(found: Iterator[tuple], sizes: np.ndarray, component: np.ndarray, percent: int, best_only: bool, first_only: bool,
+            left: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of the pairs found, as :func:`candidates` has them; few are held at a time."""
+    held, n, most = [], 0, PAIRS_HELD
+
+    def chosen():
+        a, b, overlap = (np.concatenate(x) for x in zip(*held))
+        if not len(a):
+            return a, b, overlap
+        return _partners(a, b, overlap, sizes, component, percent) if first_only else _likeliest(a, b, overlap, sizes, component)
+
+    for a, b, overlap in found:
+        if left is not None:
+            keep = left[a] | left[b]
+            a, b, overlap = a[keep], b[keep], overlap[keep]
+        if not best_only:
+            yield a, b
+            continue
+        held.append((np.r_[a, b], np.r_[b, a], np.r_[overlap, overlap]))
+        n += 2 * len(a)
+        if n > most:
+            held = [chosen()]
+            n = len(held[0][0])
+            most = max(PAIRS_HELD, 2 * n)
+    if held:
+        yield chosen()[:2]
+
+
+def _found(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int, reach: np.ndarray) -> Iterator[tuple]:
+    """(a, b, largest possible overlap) of the pairs of one bucket that may link two components."""
     length = np.array([len(m) for m in maps])
-    found = []
     trees: dict[tuple[int, int], Signatures] = {}
-    n = len(maps)
 
     def tree(own: int, bits: int) -> Signatures:
         """Members whose bitmaps have ``own`` bytes, folded to ``bits`` bytes."""
         if (own, bits) not in trees:
             at = np.flatnonzero(length == own)
-            raw = np.frombuffer(b"".join(maps[k] for k in at), np.uint8).reshape(len(at), own)
-            while raw.shape[1] > bits:
+            raw = np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), own // 8)
+            while raw.shape[1] * 8 > bits:
                 raw = raw[:, :raw.shape[1] // 2] | raw[:, raw.shape[1] // 2:]
-            trees[own, bits] = Signatures(raw, sizes[at], component[at], at)
+            trees[own, bits] = Signatures(raw, sizes[at], component[at], reach[at], at)
         return trees[own, bits]
 
     present = sorted(set(length.tolist()))
     for own in present:
         a = tree(own, own)
-        found.extend(dual_traversal(a, a, percent))
+        yield from dual_traversal(a, a, percent)
         if 2 * own in present:  # sizes that link differ by less than a factor of two
-            found.extend(dual_traversal(tree(2 * own, own), a, percent))
-    if not found:
+            yield from dual_traversal(tree(2 * own, own), a, percent)
+
+
+def candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int, best_only: bool,
+               left: np.ndarray | None = None, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of one bucket that may link two components; with ``best_only`` the likeliest for each
+    member and other component. ``left`` marks members compared with all; pairs of two unmarked are left out.
+    ``reach`` is the largest partner of each in this bucket."""
+    reach = reaches(sizes, 0, percent) if reach is None else reach
+    pairs = list(_chosen(_found(maps, sizes, component, percent, reach), sizes, component, percent, best_only, False, left))
+    if not pairs:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b, overlap = (np.concatenate(x) for x in zip(*found))
-    if left is not None:
-        keep = left[a] | left[b]
-        a, b, overlap = a[keep], b[keep], overlap[keep]
-    return _likeliest(a, b, overlap, sizes, component) if best_only and len(a) else (a, b)
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    return a, b
 
 
-def small_candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int, best_only: bool,
-                     left: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`candidates` of many buckets at once that are no larger than a tree's root: only the members' own level."""
+def _small_found(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int, reach: np.ndarray,
+                 left: np.ndarray, bucket: np.ndarray) -> Iterator[tuple]:
+    """:func:`_found` of many buckets at once that are no larger than a tree's root: only the members' own level."""
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     count = np.diff(np.r_[starts, len(bucket)])
     owner = np.repeat(np.arange(len(starts)), count)
@@ -190,32 +250,25 @@ def small_candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray
     later = (starts + count)[owner] - np.arange(len(bucket)) - 1
     a = np.repeat(np.arange(len(bucket)), later)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
-    keep = (component[a] != component[b]) & (left[a] | left[b])
-    keep &= (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+    keep = (component[a] != component[b]) & (left[a] | left[b]) & (reach[a] >= sizes[b]) & (reach[b] >= sizes[a])
     a, b = a[keep], b[keep]
     length = np.array([len(m) for m in maps])
-    found = []
     for bits in np.unique(np.minimum(length[a], length[b])).tolist() if len(a) else ():
         own = np.minimum(length[a], length[b]) == bits
-        i, j = a[own], b[own]
-        used = np.unique(np.r_[i, j])
-        raw = np.empty((len(used), bits), np.uint8)
-        for k, m in enumerate(used.tolist()):
-            one = np.frombuffer(maps[m], np.uint8)
-            while len(one) > bits:
-                one = one[:len(one) // 2] | one[len(one) // 2:]
-            raw[k] = one
-        n, comp = sizes[used], component[used]
-        level = (raw, n, n, comp, comp, n - _POPCOUNT[raw].sum(axis=1))
-        x, y = np.searchsorted(used, i), np.searchsorted(used, j)
-        for at in range(0, len(i), PAIRS_AT_A_TIME):
-            part = slice(at, at + PAIRS_AT_A_TIME)
-            ok, overlap = _possible(level, level, x[part], y[part], percent)
-            found.append((i[part][ok], j[part][ok], overlap[ok]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b, overlap = (np.concatenate(x) for x in zip(*found))
-    return _likeliest(a, b, overlap, sizes, component) if best_only and len(a) else (a, b)
+        first, second = a[own], b[own]
+        for at in range(0, len(first), PAIRS_AT_A_TIME):
+            i, j = first[at:at + PAIRS_AT_A_TIME], second[at:at + PAIRS_AT_A_TIME]
+            used = np.unique(np.r_[i, j])
+            raw = np.empty((len(used), bits // 8), np.uint64)
+            for k, m in enumerate(used.tolist()):
+                one = np.frombuffer(maps[m], np.uint64)
+                while len(one) * 8 > bits:
+                    one = one[:len(one) // 2] | one[len(one) // 2:]
+                raw[k] = one
+            n, comp = sizes[used], component[used]
+            level = (raw, n, n, comp, comp, n - _bits(raw), reach[used])
+            x, y, overlap = _possible(level, level, np.searchsorted(used, i), np.searchsorted(used, j), percent)
+            yield used[x], used[y], overlap
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -270,44 +323,48 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return stage(rows.mapInArrow(run, f"doc_id {id_type}, th long, n long, cls binary, prefix binary, map binary"), "shingle-sets")
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, cid) of each prefix."""
-    for batch in batches:
-        prefixes = [np.frombuffer(p, "<u8") for p in batch.column(1).to_pylist()]
-        cid = np.repeat(batch.column(0).to_numpy(), [len(p) for p in prefixes])
-        tokens = np.concatenate(prefixes) if prefixes else EMPTY
-        for at in range(0, len(tokens), 200_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(tokens[at:at + 200_000])), pa.array(cid[at:at + 200_000])], names=["token", "cid"])
+def _explode(percent: int):
+    """(token, cid, n, reach) of each prefix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = [np.frombuffer(p, "<u8") for p in batch.column(2).to_pylist()]
+            length = np.array([len(p) for p in prefixes], np.int64)
+            tokens = np.concatenate(prefixes) if prefixes else EMPTY
+            cid, n = (np.repeat(batch.column(c).to_numpy(), length) for c in (0, 1))
+            reach = reaches(n, np.arange(len(tokens)) - np.repeat(np.cumsum(length) - length, length), percent)
+            for at in range(0, len(tokens), 200_000):
+                part = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(tokens[part])), *(pa.array(x[part]) for x in (cid, n, reach))], names=["token", "cid", "n", "reach"])
+    return run
 
 
-def _pairs(buckets: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """(hub, member) pairs of classes to check, from rows (token, block, cid, n, map, component, left)."""
+def _pairs(buckets: DataFrame, percent: int, best_only: bool, first_only: bool) -> DataFrame:
+    """(hub, member) pairs of classes to check, from rows (token, block, cid, n, map, component, left, reach)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, small = None, [], []
 
-        def out(hub, member):
-            for at in range(0, len(hub), 200_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hub[at:at + 200_000]), pa.array(member[at:at + 200_000])], names=["hub", "member"])
+        def out(rows: list, find, *more):
+            cid, n, maps, component, left, reach = zip(*rows)
+            cid, n, component, left, reach = (np.array(x) for x in (cid, n, component, left, reach))
+            found = find(list(maps), n, component, percent, reach, *([left, *more] if more else []))
+            for a, b in _chosen(found, n, component, percent, best_only, first_only, left):
+                for at in range(0, len(a), 200_000):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cid[b[at:at + 200_000]]), pa.array(cid[a[at:at + 200_000]])], names=["hub", "member"])
 
         def closed():
             """A bucket of several levels by itself; small ones wait for others."""
             if 1 < len(held) <= FANOUT:
                 small.append(held)
             elif len(held) > 1:
-                cid, n, maps, component, left = zip(*held)
-                cid, component = np.array(cid), np.array(component)
-                a, b = candidates(list(maps), np.array(n), component, percent, best_only, np.array(left))
-                yield from out(cid[b], cid[a])
+                yield from out(held, _found)
 
         def gathered():
             if small:
-                cid, n, maps, component, left = zip(*(x for bucket in small for x in bucket))
-                cid = np.array(cid)
+                # a class may stand in several of them
                 bucket = np.repeat(np.arange(len(small)), [len(x) for x in small])
-                a, b = small_candidates(list(maps), np.array(n), np.array(component), percent, best_only, np.array(left), bucket)
-                yield from out(cid[b], cid[a])
+                yield from out([x for one in small for x in one], _small_found, bucket)
             small.clear()
 
         for batch in batches:
@@ -321,7 +378,7 @@ def _pairs(buckets: DataFrame, percent: int, best_only: bool) -> DataFrame:
         yield from closed()
         yield from gathered()
 
-    dealt = buckets.select("token", "block", "cid", "n", "map", "component", "left")
+    dealt = buckets.select("token", "block", "cid", "n", "map", "component", "left", "reach")
     return dealt.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(run, "hub long, member long")
 
 
@@ -370,24 +427,42 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows (token, cid, component) of buckets with several components, dealt into blocks.
+    """Rows (token, cid, reach, component) of buckets with several components, dealt into blocks.
 
     In a bucket beyond BLOCK classes, those of its largest component are split over
     blocks, and all others go to every block (``left``), where they meet each other and
-    the block's part of the largest component.
+    the block's part of the largest component. If the others pass BLOCK too, all classes are
+    dealt to groups, and a block is a pair of groups.
     """
     sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     per_token = sizes.groupBy("token").agg(
         F.sum("n").alias("all"), F.count(F.lit(1)).alias("several"),
         F.max(F.struct("n", "component")).alias("most")).where("several > 1").select(
         "token", F.col("most.component").alias("most"),
-        F.when(F.col("all") > BLOCK, F.ceil(F.col("most.n") / F.lit(BLOCK // 2))).otherwise(F.lit(1)).cast("int").alias("blocks"))
+        F.when(F.col("all") > BLOCK, F.ceil(F.col("most.n") / F.lit(BLOCK // 2))).otherwise(F.lit(1)).cast("int").alias("blocks"),
+        F.when(F.col("all") - F.col("most.n") > BLOCK, F.ceil(F.col("all") / F.lit(BLOCK // 2))).otherwise(F.lit(0)).cast("int").alias("groups"))
     known = rows.join(per_token, "token")
-    is_most = (F.col("component") == F.col("most")) & (F.col("blocks") > 1)
-    return known.select(
-        "token", "cid", "component", (~is_most).alias("left"),
-        F.explode(F.when(is_most, F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))).otherwise(
-            F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
+    is_most = (F.col("component") == F.col("most")) & (F.col("blocks") > 1) & (F.col("groups") == 0)
+    groups, group = F.col("groups"), F.pmod(F.xxhash64("cid"), F.greatest("groups", F.lit(1))).cast("int")
+    dealt = known.withColumn("group", group).select(
+        "token", "cid", "reach", "component", "group", "groups", (~is_most).alias("left"),
+        F.explode(F.when(groups > 0, F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.least(g, "group").cast("long") * groups
+                                                 + F.greatest(g, "group"))).otherwise(
+            F.when(is_most, F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"))).otherwise(
+                F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda g: g.cast("long"))))).alias("block"))
+    # the second of two groups meets only the first there, as its own classes meet in a block of their own
+    first = F.col("block") < (F.col("group") + F.lit(1)).cast("long") * groups
+    return dealt.select("token", "cid", "reach", "component", "block", F.when(groups > 0, first).otherwise(F.col("left")).alias("left"))
+
+
+def _open(pairs: DataFrame, component: DataFrame, before: DataFrame) -> DataFrame:
+    """(cid) of classes apart from one they were paired with, whose component ``before`` had others to pair with."""
+    others = before.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("component")
+    known = before.join(others, "component").select("cid", F.lit(True).alias("several"))
+    known = component.join(known, "cid", "left")
+    of = lambda side: known.select(F.col("cid").alias(side), F.col("component").alias(f"{side}_component"), F.col("several").alias(f"{side}_several"))
+    apart = pairs.join(of("hub"), "hub").join(of("member"), "member").where("hub_component <> member_component AND hub_several AND member_several")
+    return apart.select(F.col("hub").alias("cid")).unionAll(apart.select("member")).distinct()
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,37 +487,25 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
         F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map")).select(
         "cls", "n", "prefix", "map", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"),
         F.monotonically_increasing_id().alias("cid")), "classes")
-    tokens = classes.select("cid", "prefix").mapInArrow(_explode, "token long, cid long")
-    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    rows = stage(tokens.join(several, "token"), "shared-tokens")
-    component = classes.select("cid", F.col("cid").alias("component"))
+    tokens = classes.select("cid", "n", "prefix").mapInArrow(_explode(percent), "token long, cid long, n long, reach long")
+    # the smaller of two that link reaches its own size at least, the other one that of the smaller
+    several = tokens.groupBy("token").agg(
+        F.count(F.lit(1)).alias("all"), F.min(F.when(F.col("reach") >= F.col("n"), F.col("n"))).alias("least")).where("all > 1 AND least IS NOT NULL")
+    rows = stage(tokens.drop("n").join(several.drop("all"), "token").where("reach >= least").drop("least"), "shared-tokens")
+    # first round: the first tokens of each class; hot buckets are cut by salts, as any partner will do
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("token"))
+    known = rows.withColumn("rank", rank).where(F.col("rank") <= FIRST_TOKENS).drop("rank")
+    size = known.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "token", F.ceil(F.col("n") / F.lit(FIRST_BLOCK)).cast("int").alias("blocks"))
+    buckets = known.join(size, "token").withColumns({
+        "block": F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long"), "left": F.lit(True), "component": F.col("cid")})
     true = pairs_done = None
     for number in range(3):
-        first_only, best_only = number == 0, number < 2
-        if number == 2:
-            # classes whose likeliest partner in some other component is no link
-            apart = pairs_done.join(found.select(F.col("u").alias("hub"), F.col("v").alias("member")), ["hub", "member"], "left_anti")
-            of = lambda side: component.select(F.col("cid").alias(side), F.col("component").alias(f"{side}_component"))
-            apart = apart.join(of("hub"), "hub").join(of("member"), "member").where("hub_component <> member_component")
-            open_ = stage(apart.select(F.col("hub").alias("cid")).unionAll(apart.select("member")).distinct()
-                          .withColumn("open", F.lit(True)), "open")
-            if open_.isEmpty():
-                break
-            tokens_left = rows.join(open_.select("cid"), "cid").select("token").distinct()
-            rows = rows.join(tokens_left, "token")
-        known = rows.join(component, "cid")
-        if first_only:
-            # the first tokens of each class; hot buckets are cut by salts, as any partner will do
-            rank = F.row_number().over(Window.partitionBy("cid").orderBy("token"))
-            known = known.withColumn("rank", rank).where(F.col("rank") <= FIRST_TOKENS).drop("rank")
-            size = known.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(FIRST_BLOCK)).cast("int").alias("blocks"))
-            buckets = known.join(size, "token").withColumn(
-                "block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("left", F.lit(True))
-        else:
-            buckets = _blocked(known)
-        if number == 2:
-            buckets = buckets.join(open_, "cid", "left").withColumn("left", F.coalesce("open", F.lit(False))).drop("open")
-        pairs = _pairs(buckets.join(classes.select("cid", "n", "map"), "cid"), percent, best_only)
+        # any pair is as good in the first round, wherever it meets
+        signed_rows = buckets.join(classes.select("cid", "n", "map"), "cid")
+        if number == 0:
+            signed_rows = signed_rows.withColumn("reach", F.floor(F.col("n") * 100 / percent).cast("long"))
+        pairs = _pairs(signed_rows, percent, number < 2, number == 0)
         pairs = pairs.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
         if pairs_done is not None:
             pairs = pairs.join(pairs_done, ["hub", "member"], "left_anti")
@@ -452,8 +515,16 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
         true = found if true is None else true.unionAll(found)
         pairs_done = pairs if pairs_done is None else pairs_done.unionAll(pairs)
         reached = components(true)
+        before = None if number == 0 else component
         component = stage(classes.select("cid").join(reached, F.col("cid") == F.col("node"), "left").select(
             "cid", F.coalesce("component", "cid").alias("component")), "components")
+        if number == 0:
+            buckets = _blocked(rows.join(component, "cid"))
+        elif number == 1:
+            open_ = stage(_open(pairs_done, component, before), "open")
+            if open_.isEmpty():
+                break
+            buckets = _blocked(rows.join(component.join(open_, "cid"), "cid"))
     named = classes.join(component, "cid").select("cls", "rep", "component")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "component").select("cls", "component", "component_id")

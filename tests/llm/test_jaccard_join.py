@@ -60,6 +60,66 @@ def test_families_near_the_threshold(spark, monkeypatch):
     check(jj.join(documents(spark, texts)).collect(), dict(enumerate(texts)))
 
 
+def test_copies_are_paired_in_stars(spark, monkeypatch):
+    draw, pairs, stage = random.Random(5), [], jj.stage
+    base = [f"b{i}" for i in range(400)]
+    texts = [" ".join([*base[:i], f"e{i}", *base[i + 1:]]) for i in range(10, 390, 3)]
+    draw.shuffle(texts)
+
+    def staged(df, name):
+        out = stage(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "stage", staged)
+    check(jj.join(documents(spark, texts)).collect(), dict(enumerate(texts)))
+    assert sum(pairs) <= 2 * jj.FIRST_TOKENS * len(texts) < len(texts) ** 2 // 8
+
+
+def test_large_buckets_of_small_components_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK", 16)
+    # token 1: every class by itself; token 2: one large component and few others; token 3: one component; token 4: small
+    rows = [(1, i, 9, i) for i in range(100)] + [(2, i, 9, min(i, 95)) for i in range(100)] + [(3, i, 9, 0) for i in range(50)]
+    rows += [(2, 200 + i, 9, 95) for i in range(60)] + [(4, 1, 9, 1), (4, 2, 9, 2)]
+    rows = [(t, c, r, 1000 if t == 2 and 5 <= c else p) for t, c, r, p in rows]
+    blocks = {}
+    for r in jj._blocked(spark.createDataFrame(rows, "token long, cid long, reach long, component long")).collect():
+        assert r.cid not in blocks.setdefault((r.token, r.block), {})
+        blocks[r.token, r.block][r.cid] = (r.component, r.left)
+    assert max(map(len, blocks.values())) < 45
+    met = {(t, *sorted((a, b))) for (t, _), held in blocks.items() for a, (p, x) in held.items() for b, (q, y) in held.items()
+           if p != q and (x or y)}
+    assert met == {(t, a, b) for t, a, _, p in rows for u, b, _, q in rows if t == u and a < b and p != q}
+
+
+def test_reach_keeps_the_bucket_of_the_first_shared_shingle():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        base = np.unique(draw.integers(0, 2**63, draw.integers(1, 60)).astype(np.uint64))
+        a, b = (np.union1d(base[draw.random(len(base)) > 0.08], draw.integers(0, 2**63, draw.integers(0, 4)).astype(np.uint64)) for _ in "ab")
+        if len(a) and len(b) and jj.links(a, b, 85):
+            first = np.intersect1d(a, b)[0]
+            i, j = np.searchsorted(a, first), np.searchsorted(b, first)
+            assert i < jj.prefix_length(len(a), 85) and j < jj.prefix_length(len(b), 85)
+            assert len(b) <= jj.reaches(len(a), i, 85) and len(a) <= jj.reaches(len(b), j, 85)
+
+
+def test_pairs_are_chosen_a_few_at_a_time(monkeypatch):
+    draw = np.random.default_rng(6)
+    n = 60
+    sizes, component = draw.integers(50, 60, n), draw.integers(0, 9, n)
+    a, b = np.triu_indices(n, 1)
+    overlap = draw.integers(30, 50, len(a))
+    found = [(a[i:i + 7], b[i:i + 7], overlap[i:i + 7]) for i in range(0, len(a), 7)]
+    for first_only in (False, True):
+        monkeypatch.setattr(jj, "PAIRS_HELD", 1 << 18)
+        whole = {tuple(p) for x in jj._chosen(iter(found), sizes, component, 85, True, first_only, None) for p in np.array(x).T.tolist()}
+        monkeypatch.setattr(jj, "PAIRS_HELD", 10)
+        cut = {tuple(p) for x in jj._chosen(iter(found), sizes, component, 85, True, first_only, None) for p in np.array(x).T.tolist()}
+        assert whole == cut and len(whole) <= (2 * n if first_only else 9 * n)
+
+
 def test_edges(spark):
     texts = [None, "", " \n", "one", "ONE", "one two", "One  two\t", "a b c d", "a b c d e", "x " * 100_000, "X " * 90_000,
              "ü Ü", "ü ü", "a b c d"]
