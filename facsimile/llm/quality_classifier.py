@@ -43,6 +43,8 @@ LABELLED, LABEL_PARTS = 400_000, 4096
 SURE_BAD, SURE_GOOD = 0.02, 0.98
 LEAST_CHI_SQUARED = 15.1
 LEAST_DOCUMENTS = 4
+#: Texts that are taken out of an Arrow batch at a time.
+TEXTS = 256
 #: Bins of raw scores (text view) and of combined ones, for calibration.
 BINS = 512
 GRID = 48
@@ -174,18 +176,15 @@ class QualityModel:
     def scored(self, rows: DataFrame) -> DataFrame:
         """Rows of ``featured`` with (c0, c1, ...) carried, and text_score, meta_score and score instead of the features."""
         shared = rows.sparkSession.sparkContext.broadcast(self)
-        carried = [f for f in rows.schema if f.name not in FEATURES]
-        rows = rows.select("label", "calibrates", "text", "meta", *(f.name for f in carried))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    odds = shared.value.odds(*_unpacked(batch)[2:])
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[4:], *(pa.array(1 / (1 + np.exp(-x)), pa.float64()) for x in odds)],
-                        names=[*batch.schema.names[4:], *SCORES])
+        @F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SCORES]))
+        def scores(text: pa.Array, meta: pa.Array) -> pa.Array:
+            odds = shared.value.odds(_split(text), _split(meta))
+            return pa.StructArray.from_arrays([pa.array(1 / (1 + np.exp(-x)), pa.float64()) for x in odds], names=[*SCORES])
 
-        return rows.mapInArrow(run, T.StructType([*carried, *(T.StructField(c, T.DoubleType()) for c in SCORES)]))
+        carried = [c for c in rows.columns if c not in FEATURES]
+        found = rows.select(*carried, scores("text", "meta").alias("scores"))
+        return found.select(*carried, *(F.col("scores")[c].alias(c) for c in SCORES))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, text_score, meta_score, score, good) of every row: chances of good quality, good where 0.5 or more.
@@ -236,38 +235,41 @@ def _key(doc_id: Column, df: DataFrame) -> Column:
 
 def featured(docs: DataFrame, labels: DataFrame | None, label_col: str = "quality", carry: Sequence[str] = ()) -> DataFrame:
     """(label, calibrates, text, meta, c0, c1, ...) of every row: features as arrays, label null if none, carried columns by place."""
+    # what is carried never leaves the JVM, where a text would cross into Python and back once more, and is held once
+    carried = [f"c{i}" for i in range(len(carry))]
+    place = {c: dict(zip(carry, carried)).get(c, c) for c in ("text", "lang", "source", "n_chars")}
     own = docs.select(_key(quoted("doc_id"), docs).alias("key"), (fold(quoted("doc_id"), FOLDS) == 0).alias("calibrates"),
-                      *(quoted(c).alias(c) for c in ("text", "lang", "source", "n_chars")),
-                      *(quoted(c).alias(f"c{i}") for i, c in enumerate(carry)))
+                      *(quoted(c).alias(c) for c, at in place.items() if at == c),
+                      *(quoted(c).alias(at) for c, at in zip(carry, carried)))
     if labels is None:
         rows = own.withColumn("label", F.lit(None).cast("int"))
     else:
         rows = own.join(F.broadcast(bounded_labels(labels, label_col)), "key", "left")
-    carried = [own.schema[f"c{i}"] for i in range(len(carry))]
-    rows = rows.select("label", "calibrates", "text", "lang", "source", "n_chars", *(f.name for f in carried))
+    numbers = T.ArrayType(T.IntegerType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType([T.StructField(view, numbers) for view in VIEWS]))
+    def views(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         features = TextFeatures()
-        for batch in batches:
-            text = [features.of(x) for x in as_bytes(batch.column(2))]
-            meta = [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(text, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.int32())),
-                 *batch.columns[6:]], names=[*FEATURES, *batch.schema.names[6:]])
+        for text, *facts in batches:
+            # a few texts at a time exist as Python objects beside their batch
+            of_text = [features.of(x) for i in range(0, len(text), TEXTS) for x in as_bytes(text.slice(i, TEXTS))]
+            of_meta = [meta_features(*x) for x in zip(*(f.to_pylist() for f in facts))]
+            yield pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in (of_text, of_meta)], names=[*VIEWS])
 
-    numbers = T.ArrayType(T.IntegerType())
-    kinds = (T.IntegerType(), T.BooleanType(), numbers, numbers)
-    return rows.mapInArrow(run, T.StructType([*(T.StructField(c, k) for c, k in zip(FEATURES, kinds)), *carried]))
+    found = rows.select("label", "calibrates", views(*place.values()).alias("views"), *carried)
+    return found.select("label", "calibrates", *(F.col("views")[view].alias(view) for view in VIEWS), *carried)
+
+
+def _split(column: pa.Array) -> list[np.ndarray]:
+    """The feature numbers of each row."""
+    ends = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy(zero_copy_only=False)[:ends[-1]], ends[1:-1]) if len(column) else []
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """label (-1 if none), calibrates, and both views' features."""
     label = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-    lists = []
-    for column in batch.columns[2:4]:
-        ends = column.offsets.to_numpy()
-        lists.append(np.split(column.values.to_numpy(zero_copy_only=False)[:ends[-1]], ends[1:-1]) if len(column) else [])
-    return label, batch.column(1).to_numpy(zero_copy_only=False), *lists
+    return label, batch.column(1).to_numpy(zero_copy_only=False), _split(batch.column(2)), _split(batch.column(3))
 
 
 def _sums(rows: DataFrame, make, size: int) -> np.ndarray:

@@ -56,6 +56,21 @@ def test_labels_are_a_bounded_sample(spark, monkeypatch):
     assert taught.where("label is not null").count() == few
 
 
+def test_carried_columns_stay_in_the_jvm(spark):
+    docs, labels = labelled(spark)
+    rows = qc.featured(docs, labels, carry=docs.columns)
+    kept = qc.learned(rows.persist()).good(rows, docs.columns)
+    for frame in (qc.featured(docs, labels, carry=docs.columns), kept):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    rows.unpersist()
+    # a carried column of another spelling, and rows without some of the columns
+    odd = docs.withColumnRenamed("text", "TEXT")
+    assert sorted(r.TEXT for r in qc.keep_good(odd, labels).collect()) == sorted(r.text for r in kept.collect())
+    few = qc.featured(docs, labels, carry=["doc_id", "source"])
+    assert few.columns == [*qc.FEATURES, "c0", "c1"] and few.count() == 240
+
+
 def test_edges(spark):
     docs, labels = labelled(spark)
     odd = documents(spark, [None, "", "calm words number", "BAD!!! " * 200_000, "x", "x"], ids=[1000, None, 1, 3, 7, 7])
