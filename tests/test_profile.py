@@ -242,3 +242,19 @@ def test_two_decimals_round_as_printf(spark):
     ratios = [(a, b) for b in (7, 8, 40, 200, 1000) for a in range(0, b + 1, 3)]
     df = spark.createDataFrame([(a / b, f"{a / b:.2f}") for a, b in ratios], "x double, text string")
     assert df.where(F.format_string("%.2f", two_decimals(F.col("x"))) != F.col("text")).count() == 0
+
+
+def test_noisy_histograms_share_counts_and_rank_nothing(spark, tmp_path):
+    from catalog import inputs
+
+    spark.range(400).selectExpr("id AS l_orderkey", "id % 7 AS l_discount", "id % 3 AS l_tax", "'A' AS l_returnflag").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    noisy = inputs.profiler(spark, str(tmp_path), "lineitem_gaps", epsilon=1.0)
+    plain = inputs.profiler(spark, str(tmp_path), "lineitem_gaps")
+    assert noisy.epsilon == 1.0 and plain.epsilon is None
+    bins = noisy.histogram.count()
+    # the one that came first has counted for both, and only what a histogram needs
+    assert bins == plain.histogram.count() and noisy.values is plain.values and noisy.numbers is plain.numbers
+    for step in ("correlations", "labels", "label_totals"):
+        assert step not in plain.__dict__ and step not in noisy.__dict__
+    assert noisy.stats is not plain.stats
