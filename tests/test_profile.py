@@ -258,3 +258,22 @@ def test_noisy_histograms_share_counts_and_rank_nothing(spark, tmp_path):
     for step in ("correlations", "labels", "label_totals"):
         assert step not in plain.__dict__ and step not in noisy.__dict__
     assert noisy.stats is not plain.stats
+
+
+def test_gaps_are_counted_without_looking_at_full_columns(spark, monkeypatch):
+    from facsimile.operators import correlation
+    from facsimile.operators.gram import common_counts
+
+    rows = [tuple(None if c and r % (c + 1) == 0 else float(r) for c in range(5)) for r in range(60)] + [(1.0, None, None, 2.0, 3.0)] * 2
+    full = [(*r, float(i), float(-i)) for i, r in enumerate(rows)]
+    sent = []
+    monkeypatch.setattr(correlation, "common_counts", lambda df: sent.append(df.columns) or common_counts(df))
+    for most in (10, 2):  # by sets of present columns, then by matrices
+        monkeypatch.setattr(correlation, "MASK_COLUMNS", most)
+        for data, k in ((full, 7), (full[:1], 7), ([], 3)):
+            df = spark.createDataFrame([r[:k] for r in data], ", ".join(f"v{i} double" for i in range(k)))
+            want = {(i, j): sum(r[i] is not None and r[j] is not None for r in data) for i in range(k) for j in range(i, k)}
+            assert correlation._present_together(df, k) == want
+    assert sent and all(c == [f"v{i}" for i in (1, 2, 3, 4)] for c in sent)
+    full_only = spark.createDataFrame([(float(i), float(i)) for i in range(9)], "v0 double, v1 double")
+    assert correlation.gap_patterns(full_only, 2) == correlation.Gaps({}, [0, 0])
