@@ -367,3 +367,19 @@ def test_noise_shares_the_counts(spark):
         x, y = getattr(a, part), getattr(b, part)
         columns = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes]
         assert x.select(columns).exceptAll(y.select(columns)).count() == 0 == y.select(columns).exceptAll(x.select(columns)).count()
+
+
+def test_distance_at_many_points_is_one_search_a_row(spark, monkeypatch):
+    from catalog.generating import _points_distance
+
+    rng = np.random.default_rng(5)
+    values = np.concatenate([np.round(rng.gamma(2.0, size=3000), 2), [math.nan, -0.0, 0.0]])
+    points = [0.0, 0.0, *np.sort(np.round(rng.gamma(2.0, size=3000), 2))]
+    law = [float(x) for x in np.linspace(0, 1, len(points))]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 7, "v double").repartition(3)
+    kind, widest = type(df), []
+    plain = kind.agg
+    monkeypatch.setattr(kind, "agg", lambda self, *columns: widest.append(len(columns)) or plain(self, *columns))
+    expected = max(abs((values <= x).sum() / len(values) - p) for x, p in zip(points, law)) * len(values) ** 0.5
+    assert _points_distance(df, "v", points, law) == pytest.approx(expected, rel=1e-12)
+    assert max(widest, default=0) < 10
