@@ -15,7 +15,7 @@ from facsimile.operators.copula import target_matrix
 from facsimile.operators.correlation import spearman
 from facsimile.operators.marginals import strategies
 from facsimile.plans.generate import Generator
-from facsimile.sources.staging import stage, staging_root
+from facsimile.sources.staging import stage, staging_root, sweep
 
 # Noise this weak leaves every statistic as it is but keeps raw values out of the profile.
 WEAK = 1e9
@@ -387,7 +387,8 @@ def g16(spark, sf_dir):
     names = ["l_quantity", "l_extendedprice", "l_discount"]
     target = [[1.0, 0.6, -0.4], [0.6, 1.0, 0.1], [-0.4, 0.1, 1.0]]
     before = load(spark, sf_dir, "lineitem_gaps")
-    after = impose_rank_correlation(before, names, target).persist()
+    after = stage(impose_rank_correlation(before, names, target), "imposed")
+    sweep(spark)
     figures = lambda df, tag: df.agg(*[F.struct(
         F.count(c).alias("n"), F.sum(F.round(F.col(c) * 100).cast("bigint")).alias("total"), F.min(c).alias("lo"), F.max(c).alias("hi"),
         F.sum((F.round(F.col(c) * 100) * F.round(F.col(c) * 100)).cast("decimal(38,0)")).alias("squares")).alias(c) for c in names])

@@ -383,3 +383,27 @@ def test_distance_at_many_points_is_one_search_a_row(spark, monkeypatch):
     expected = max(abs((values <= x).sum() / len(values) - p) for x, p in zip(points, law)) * len(values) ** 0.5
     assert _points_distance(df, "v", points, law) == pytest.approx(expected, rel=1e-12)
     assert max(widest, default=0) < 10
+
+
+def test_impose_rank_correlation_writes_rows_once(spark, monkeypatch):
+    import glob
+    import os
+
+    from facsimile.operators import copula
+    from facsimile.sources.staging import run, staging_root
+
+    monkeypatch.setattr(copula, "BLOCK", 7, raising=False)  # values reach over several blocks of ranks, and blocks hold several values
+    rng = np.random.default_rng(8)
+    a = [None if i % 9 == 0 else float(v) for i, v in enumerate(np.round(rng.normal(size=300), 2))]
+    b = [float(v) for v in rng.choice([-0.0, 0.0, 0.0, 1.0, math.inf], 300)]
+    rows = [(x, y, int(i % 4), "t" * (i % 3)) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, c int, t string").repartition(5)
+    with run(spark):
+        before = set(glob.glob(f"{staging_root(spark)}/run-*/*"))
+        out = fs.impose_rank_correlation(df, ["a", "b", "c"], [[1, 0.7, 0], [0.7, 1, 0], [0, 0, 1]]).collect()
+        staged = sorted(os.path.basename(f).rsplit("-", 1)[0] for f in set(glob.glob(f"{staging_root(spark)}/run-*/*")) - before)
+    shown = lambda values: sorted(map(repr, values))  # noqa: E731  -0.0 is not 0.0
+    for i in range(4):
+        assert shown(r[i] for r in out) == shown(r[i] for r in rows)
+    assert shown(r["t"] for r in out if r["a"] is None) == shown(r[3] for r in rows if r[0] is None)
+    assert staged == ["imposed", "rows"]
