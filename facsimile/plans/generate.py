@@ -208,7 +208,8 @@ class Generator:
                 rows = rows.withColumn(f"v_{i}", drawn).drop(f"_curve_{i}")
             if not kinds.isdisjoint(BELLS):
                 rows = self._with_bell(rows, i, constants, name in sizes or "density" in kinds)
-            if name not in sizes and "categories" in kinds:
+            # a row's group is known before its values
+            if name != self.by and name not in sizes and "categories" in kinds:
                 own = self.profile.frequencies.where(F.col("column_name") == name).select("grp", "value", "weight")
                 size = Size(fact["most_unique"], fact["all_unique"], self.groups, self.widest.get(name, 0))
                 rows = draw_category(rows, f"u_{i}", own, size, f"v_{i}")
